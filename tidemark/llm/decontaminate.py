@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import WORD_TABLE, chunks, merged, texts
 
@@ -109,10 +110,9 @@ def _annotate(docs: DataFrame, indexes: list, at: int, finish: Callable, schema,
 FOUND = pa.struct([("spans", pa.list_(pa.list_(pa.int64()))), ("items", pa.list_(pa.string()))])
 
 
-def _with(docs: DataFrame, carry: str, first: bool):
-    from pyspark.sql.types import StructType
-
-    return StructType(docs.schema.fields).add(carry, "struct<spans: array<array<bigint>>, items: array<string>>") if first else docs.schema
+def _with(docs: DataFrame, carry: str, first: bool) -> T.StructType:
+    found = T.StructType([T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("items", T.ArrayType(T.StringType()))])
+    return T.StructType([*docs.schema.fields, T.StructField(carry, found)]) if first else docs.schema
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:

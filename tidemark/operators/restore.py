@@ -12,15 +12,15 @@ from ..functions import payload
 from ..functions.scope import any_prefix
 from ..schemas import DIRTY, PARTITION, SOURCE
 from .capture import Model, in_order, patched, replaced
-from .trees import cut
+from .trees import cascade, cut
 
 PARENT_DIRTY = "Parent is dirty; could not deserialize."
 PARENT_MISSING = "Parent does not exist in Store; could not deserialize."
 
 
-def references(rows: DataFrame, model: Model) -> DataFrame:
-    """(from_id, column, to_model, to_id) of all foreign keys that are set, but for those of the model to itself."""
-    keys = [k for k in model.foreign_keys if k.model != model.name]
+def references(rows: DataFrame, model: Model, to_itself: bool = False) -> DataFrame:
+    """(from_id, column, to_model, to_id) of all foreign keys that are set; those of the model to itself only if asked."""
+    keys = [k for k in model.foreign_keys if to_itself or k.model != model.name]
     if not keys:
         return rows.sparkSession.createDataFrame([], "from_id string, column string, to_model string, to_id string")
     each = F.array(*[F.struct(F.lit(k.column).alias("column"), F.lit(k.model).alias("to_model"), F.col(f"row.{k.column}").cast("string").alias("to_id")) for k in keys])
@@ -38,6 +38,12 @@ def to_deleted(refs: DataFrame, store: DataFrame) -> DataFrame:
     return refs.join(gone, "to_id")
 
 
+def _reasons(bad: DataFrame) -> DataFrame:
+    """(from_id, why): JSON of column to message."""
+    each = F.concat(F.lit('"'), "column", F.lit('": "'), missing_text(F.col("to_model"), F.col("to_id")), F.lit('"'))
+    return bad.groupBy("from_id").agg(F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_set(each)), ", "), F.lit("}")).alias("why"))
+
+
 def missing_text(model: Column, pk: Column) -> Column:
     return F.concat(model, F.lit(" instance with id '"), pk, F.lit("' does not exist"))
 
@@ -108,14 +114,12 @@ def restore_model(app: DataFrame, model: Model, store: DataFrame, profile: str,
     alive = cut(parse(dirty.where("not deleted and not hard_deleted"), model))
     refs = references(alive.where("error is null"), model)
     out_of = refs.join(excluded.select(F.col("id").alias("to_id")), "to_id", "left_semi")
-    bad = missing(refs, store).unionByName(out_of)
-    bad = bad.groupBy("from_id").agg(F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_set(F.concat(F.lit('"'), "column", F.lit('": "'), missing_text(F.col("to_model"), F.col("to_id")), F.lit('"')))), ", "), F.lit("}")).alias("why"))
+    bad = _reasons(missing(refs, store).unionByName(out_of))
     gone = to_deleted(refs, store).groupBy("from_id").agg(F.max("hard").alias("hard"))
     judged = alive.join(bad.withColumnRenamed("from_id", "id"), "id", "left").join(gone.withColumnRenamed("from_id", "id"), "id", "left")
     judged = cut(judged.withColumn("error", F.coalesce("error", "why")).drop("why"))
     good = judged.where("error is null and hard is null")
-    removed = dirty.where("deleted or hard_deleted").select("id")
-    app = replaced(app.join(removed, "id", "left_anti"), app_rows(good, model).select(*app.columns))
+    app = replaced(app, app_rows(good, model).select(*app.columns))
     failed = judged.where("error is not null").select("id", "error")
     error = dirty.select("id", "deserialization_error").join(failed, "id", "left")
     marks = error.select("id", F.col("error").isNotNull().alias("dirty_bit"), F.coalesce("error", "deserialization_error").alias("deserialization_error"))
@@ -125,6 +129,8 @@ def restore_model(app: DataFrame, model: Model, store: DataFrame, profile: str,
 def _restore_levels(app: DataFrame, model: Model, own: DataFrame, store: DataFrame, excluded: DataFrame):
     """A table that refers to itself, level by level from rows whose parent is clean or that have none."""
     rows = parse(own.where("dirty_bit"), model)
+    bad = _reasons(missing(references(rows.where("error is null"), model, to_itself=True), store)).withColumnRenamed("from_id", "id")
+    rows = rows.join(bad, "id", "left").withColumn("error", F.coalesce("error", "why")).drop("why")
     good = cut(rows.withColumn("ok", F.col("error").isNull() | F.col("deleted") | F.col("hard_deleted")))
     clean = own.where("not dirty_bit").select(F.col("id").alias("parent"))
     level = good.join(clean, F.col("self_ref_fk") == F.col("parent"), "left_semi").union(good.where("self_ref_fk = ''"))
@@ -148,8 +154,7 @@ def _restore_levels(app: DataFrame, model: Model, own: DataFrame, store: DataFra
     left = failed.select("id", F.col("error").alias("e")).union(behind).union(lost)
     marks = marks.union(left.select("id", F.lit(True), "e"))
     alive = restored.where("not deleted and not hard_deleted")
-    gone = restored.where("deleted or hard_deleted").select("id")
-    app = replaced(app.join(gone, "id", "left_anti"), app_rows(alive, model).select(*app.columns))
+    app = replaced(app, app_rows(alive, model).select(*app.columns))
     return app, marks, excluded.select("id").union(failed.select("id")), store.sparkSession.createDataFrame([], "id string, hard boolean")
 
 
@@ -160,13 +165,21 @@ def restore(apps: dict[str, DataFrame], models: list[Model], store: DataFrame, p
     older error text of rows that succeed, the level path blanks it.
     """
     spark = store.sparkSession
-    excluded = spark.createDataFrame([], "id string")
+    excluded, roots, keys = spark.createDataFrame([], "id string"), {}, []
     gone = spark.createDataFrame([], "id string, hard boolean")
     out = {}
     for model in in_order(models):
+        own = store.where((F.col("profile") == profile) & (F.col("model_name") == model.name) & F.col("dirty_bit"))
+        own = own.where(any_prefix("partition", filters)) if filters else own
+        roots[model.name] = cut(own.where("deleted or hard_deleted").select("id"))
+        keys += [(model.name, k.column, k.model) for k in model.foreign_keys]
         app, marks, excluded, lost = restore_model(apps[model.name], model, store, profile, excluded, skip_erroring, filters)
         out[model.name], excluded, gone = cut(app), cut(excluded), cut(gone.union(lost))
         store = cut(patched(store, marks, ["dirty_bit", "deserialization_error"]))
+    if any(not r.isEmpty() for r in roots.values()):  # rows of deleted records go, and with them those that refer to them
+        for name, ids in cascade(roots, out, keys).items():
+            roots[name] = ids
+        out = {name: cut(app.join(roots[name], "id", "left_anti").select(*app.columns)) for name, app in out.items()}
     track = lambda rows: rows.select("id", F.lit(profile).alias("profile")).distinct()
     return Restored(store, out, track(gone), track(gone.where("hard")), excluded)
 
