@@ -168,18 +168,23 @@ def restore(apps: dict[str, DataFrame], models: list[Model], store: DataFrame, p
     excluded, roots, keys = spark.createDataFrame([], "id string"), {}, []
     gone = spark.createDataFrame([], "id string, hard boolean")
     out = {}
+    waiting = store.where((F.col("profile") == profile) & F.col("dirty_bit"))
+    waiting = {r[0] for r in (waiting.where(any_prefix("partition", filters)) if filters else waiting).select("model_name").distinct().collect()}  # as many as models
     for model in in_order(models):
+        keys += [(model.name, k.column, k.model) for k in model.foreign_keys]
+        if waiting.isdisjoint({model.name, *model.depends_on}):
+            out[model.name] = apps[model.name]
+            continue
         own = store.where((F.col("profile") == profile) & (F.col("model_name") == model.name) & F.col("dirty_bit"))
         own = own.where(any_prefix("partition", filters)) if filters else own
         roots[model.name] = cut(own.where("deleted or hard_deleted").select("id"))
-        keys += [(model.name, k.column, k.model) for k in model.foreign_keys]
         app, marks, excluded, lost = restore_model(apps[model.name], model, store, profile, excluded, skip_erroring, filters)
         out[model.name], excluded, gone = cut(app), cut(excluded), cut(gone.union(lost))
         store = cut(patched(store, marks, ["dirty_bit", "deserialization_error"]))
     if any(not r.isEmpty() for r in roots.values()):  # rows of deleted records go, and with them those that refer to them
         for name, ids in cascade(roots, out, keys).items():
             roots[name] = ids
-        out = {name: cut(app.join(roots[name], "id", "left_anti").select(*app.columns)) for name, app in out.items()}
+        out |= {name: cut(out[name].join(ids, "id", "left_anti").select(*out[name].columns)) for name, ids in roots.items()}
     track = lambda rows: rows.select("id", F.lit(profile).alias("profile")).distinct()
     return Restored(store, out, track(gone), track(gone.where("hard")), excluded)
 

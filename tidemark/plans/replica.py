@@ -73,17 +73,23 @@ class Replica:
             self.erased = cut(self.erased.union(track))
 
     def serialize(self, filters: Filter | None = None) -> None:
-        names = list(filters) if filters else None
-        done = capture.capture(self.apps, self.models, self.store, self.rmc, self.dmc, self.deleted, self.erased, self.profile, self.instance_id, self.tick(), names)
+        """Capture what is dirty; tables without a dirty row are neither read again nor written."""
+        names, counter = list(filters) if filters else None, self.tick()
+        changed = [m for m in self.models if not self.apps[m.name].where(DIRTY).isEmpty()]
+        if not changed and self.deleted.isEmpty() and self.erased.isEmpty():
+            self.dmc = cut(capture.own_counters(self.dmc, names, self.instance_id, counter))
+            return
+        done = capture.capture(self.apps, changed, self.store, self.rmc, self.dmc, self.deleted, self.erased, self.profile, self.instance_id, counter, names)
         self.store, self.rmc, self.dmc = cut(done.store), cut(done.rmc), cut(done.dmc)
-        self.apps = {k: cut(v) for k, v in done.apps.items()}
+        self.apps |= {k: cut(v) for k, v in done.apps.items()}
         empty = self.spark.createDataFrame([], DELETED)
         self.deleted, self.erased = empty, empty
 
     def deserialize(self, filters: Filter | None = None, skip_erroring: bool = False) -> None:
         done = restore.restore(self.apps, self.models, self.store, self.profile, skip_erroring, list(filters) if filters else None)
         self.store, self.apps = done.store, done.apps
-        self.deleted, self.erased = cut(self.deleted.union(done.deleted)), cut(self.erased.union(done.erased))
+        if not done.deleted.isEmpty():
+            self.deleted, self.erased = cut(self.deleted.union(done.deleted)), cut(self.erased.union(done.erased))
 
     def vector(self, filters: Filter, producer: bool) -> DataFrame:
         """Wire vector of a filter, without entries that no record needs."""
