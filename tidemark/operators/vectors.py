@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scope import any_prefix, is_prefix_of
 from .prefix import prefix_join
+from .trees import cut
 
 WIRE = "side string, partition string, instance_id string, counter int"
 KEYS = ["partition", "instance_id"]
@@ -80,7 +81,7 @@ def wire_vector(dmc: DataFrame, filters: list[str], records: DataFrame | None =
     sub = any_prefix("partition", filters)
     above = F.exists(_filter_array(filters), lambda f: f.startswith(F.col("partition")) & (f != F.col("partition")))
     sides = F.explode(F.array_compact(F.array(F.when(sub, F.lit("sub")), F.when(above, F.lit("super")))))
-    kept = reachable(dmc, records) if records is not None else dmc
+    kept = cut(reachable(dmc, records)) if records is not None else dmc  # few rows of much work, read several times below
     return without_redundant(kept.select(sides.alias("side"), *KEYS, "counter"))
 
 
