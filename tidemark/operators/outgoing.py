@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scope import Filter
 from ..schemas import RECORD_COLUMNS
 from . import vectors
+from .trees import written
 from .vectors import ENTRY_LIMIT, PART_ENTRY_LIMIT, LimitExceeded
 
 
@@ -30,6 +31,7 @@ def _bounded(diff: DataFrame, weight: int, limit: int) -> DataFrame:
 
 def queue_flat(store: DataFrame, diff: DataFrame, filters: list[str], profile: str) -> DataFrame:
     """Store rows under the filters whose last save is above the diff's bound for its instance."""
+    diff = written(diff)  # counted, then joined
     bound = _bounded(diff.select(F.col("instance_id").alias("i"), F.col("counter").alias("c")), diff.count(), ENTRY_LIMIT)
     own = store.where(F.col("profile") == profile).where(Filter("\n".join(filters)).column("partition"))
     return own.join(bound, (F.col("last_saved_instance") == F.col("i")) & (F.col("last_saved_counter") > F.col("c")), "left_semi")
@@ -41,6 +43,7 @@ def queue(store: DataFrame, diff: DataFrame, profile: str) -> DataFrame:
     One semi-join, so no row comes twice; the instance is its equal key and the
     diff, whose size is limited, the broadcast side.
     """
+    diff = written(diff)  # counted, then joined
     size = diff.agg(F.count("*"), F.countDistinct("partition")).first()
     bound = _bounded(diff.select(F.col("partition").alias("p"), F.col("instance_id").alias("i"), F.col("counter").alias("c")), size[0] + size[1], PART_ENTRY_LIMIT)
     above = (F.col("last_saved_instance") == F.col("i")) & (F.col("last_saved_counter") > F.col("c")) & F.col("partition").startswith(F.col("p"))

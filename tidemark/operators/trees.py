@@ -2,45 +2,81 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 from functools import lru_cache
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rounds of a closure between two writes of all that was seen.
+COMPACT_ROUNDS = 8
+
 
 @lru_cache(1)
 def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="tidemark-")
 
 
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``. Only in local mode may the setting be missing; a temporary folder stands in then."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = _local_folder()
+    return base.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the shared folder of ``spark.checkpoint.dir``, so that loops neither grow plans nor fear lost executors.
+    """Checkpoint in the shared folder, so that loops neither grow plans nor fear lost executors."""
+    spark: SparkSession = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        base = _shared_folder(spark)
+        if not spark.conf.get("spark.checkpoint.dir", None):
+            spark.sparkContext.setCheckpointDir(base)
+    return df.checkpoint()
 
-    Only in local mode may the setting be missing; a temporary folder stands in then.
+
+def written(df: DataFrame) -> DataFrame:
+    """As ``cut``, by a table in the shared folder, removed when Python exits.
+
+    A checkpoint keeps the constraints that the optimizer derived; in a closure
+    they multiply from round to round until no plan compiles. A table starts afresh.
     """
     spark: SparkSession = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(_local_folder())
-    return df.checkpoint()
+    path = f"{_shared_folder(spark)}/{spark.sparkContext.applicationId}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_drop, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    try:
+        table = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        table.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(table, True)
+    except Exception:  # the session is gone; the folder is the cluster's to clean
+        pass
 
 
 def reach(seed: DataFrame, links: DataFrame) -> DataFrame:
     """(id, depth): what can be reached from ``seed`` (id) over ``links`` (parent, child), each at its least depth.
 
-    A round for each level; ids met before are dropped, so cycles end.
+    A round for each level; ids met before are dropped, so cycles end. Each round
+    writes its new ids only; what was seen is their union, written as one table
+    now and then so that the plan stays short.
     """
-    seen = frontier = cut(seed.select("id").distinct().withColumn("depth", F.lit(0)))
-    depth = 0
-    while True:
-        depth += 1
+    seen = frontier = written(seed.select("id").distinct().withColumn("depth", F.lit(0)))
+    for depth in count(1):
         step = frontier.join(links, frontier["id"] == links["parent"]).select(links["child"].alias("id")).distinct()
-        frontier = cut(step.join(seen, "id", "left_anti").withColumn("depth", F.lit(depth)))
+        frontier = written(step.join(seen, "id", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             return seen
-        seen = cut(seen.union(frontier))
+        seen = seen.union(frontier)
+        if depth % COMPACT_ROUNDS == 0:
+            seen = written(seen)
 
 
 def ancestors(tree: DataFrame, ids: DataFrame) -> DataFrame:
