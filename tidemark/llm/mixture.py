@@ -11,8 +11,6 @@ from .common import stash
 WEIGHTS = (5, 2, 1)
 #: A source is taken at most so many times over.
 MOST = 3
-#: Rows of one sort group beyond which a size class is dealt to several.
-GROUP_ROWS = 500_000
 
 
 def word_count(text: Column) -> Column:
@@ -53,8 +51,9 @@ def taken_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     offset is taken down to whole numbers, and a document comes once for each
     number reached in it. The order makes copies of like sizes evenly spaced, so
     the words taken stay near the target. Prefix sums need no source in one task:
-    a source is cut into groups by size class (and, where groups are large, by a
-    hash of the id), whose counts are summed over groups only.
+    all rows are cut into ranges of (source, size, doc_id), however many there are,
+    and a rank in a range is shifted by the counts of the ranges before it. Where
+    the cuts lie changes no rank.
 
     Null texts have size 0; null sources are a source of their own, last by name;
     repeated rows are documents of their own; an empty table gives none.
@@ -62,15 +61,15 @@ def taken_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sizes = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
     sizes = stash(sizes, "sizes")
     targets = stash(source_targets(sizes), "targets")
-    most = targets.agg(F.max("n")).first()[0] or 0
-    parts = 1 + most // GROUP_ROWS
-    grouped = sizes.withColumn("cls", F.length(F.bin("size"))).withColumn("part", F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(parts)))
-    counts = grouped.groupBy("source", "cls", "part").agg(F.count("*").alias("c"))
-    before = Window.partitionBy("source").orderBy("cls", "part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("source", "cls", "part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("before"))
-    within = Window.partitionBy("source", "cls", "part").orderBy("size", "doc_id")
+    order = ["source", "size", "doc_id"]
+    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    grouped = stash(sizes.repartitionByRange(ranges, *order).withColumn("part", F.spark_partition_id()), "ranges")
+    counts = grouped.groupBy("source", "part").agg(F.count("*").alias("c"))
+    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("source", "part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("before"))
+    within = Window.partitionBy("source", "part").orderBy("size", "doc_id")
     ranked = grouped.withColumn("r", F.row_number().over(within))
-    same = ranked["source"].eqNullSafe(starts["source"]) & (ranked["cls"] == starts["cls"]) & (ranked["part"] == starts["part"])
+    same = ranked["source"].eqNullSafe(starts["source"]) & (ranked["part"] == starts["part"])
     placed = ranked.join(starts, same).select("doc_id", ranked["source"], "size", (F.col("before") + F.col("r")).alias("rank"))
     known = placed.join(F.broadcast(targets) if targets.count() <= 100_000 else targets, placed["source"].eqNullSafe(targets["source"]))
     reached = lambda k: F.floor(offset(placed["source"], seed) + F.col("rate") * k)
