@@ -135,28 +135,53 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(th, text) of the texts named by ``wanted`` (th), one row each."""
+    bits = rows.sparkSession.sparkContext.broadcast(bitmap(wanted, "th", 24))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "text"):
+            th = batch.column(0).to_numpy(zero_copy_only=False)
+            first = np.unique(th, return_index=True)[1]
+            yield batch.take(pa.array(first[in_bitmap(bits.value, th[first].view(np.uint64))]))
+
+    found = rows.select("th", "text").mapInArrow(scan, "th long, text string")
+    return found.join(wanted.select("th"), "th", "left_semi").dropDuplicates(["th"])
+
+
 def _document_counts(rows: DataFrame, terms: DataFrame) -> DataFrame:
-    """(h long, df long): in how many documents the terms stand, by hash; a few other words may come along."""
+    """(h long, df long): in how many distinct texts the terms stand, by hash; a few other words may come along.
+
+    All rows are counted, and of each text that repeats the copies are taken off again,
+    so that only such texts are shuffled.
+    """
     bits = rows.sparkSession.sparkContext.broadcast(bitmap(terms, "h", 24))
+    repeated = stash(rows.groupBy("th").agg((1 - F.count("*")).alias("weight")).where("weight < 0"), "repeated")
+    weighed = rows.select("text", F.lit(1).cast("long").alias("weight"))
+    if not repeated.isEmpty():
+        weighed = weighed.union(_texts(rows, repeated).join(repeated, "th").select("text", "weight"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in chunks(batches, "text"):
-            found = []
-            for raw in texts(batch.column(0)):
+            found, times = [], []
+            for raw, weight in zip(texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                 h = hashes.of(raw.translate(WORD_TABLE).split())
                 found.append(np.unique(h[in_bitmap(bits.value, h)]))
-            h, n = np.unique(np.concatenate(found), return_counts=True)
+                times.append(np.full(len(found[-1]), weight, np.int64))
+            h, at = np.unique(np.concatenate(found), return_inverse=True)
+            n = np.zeros(len(h), np.int64)
+            np.add.at(n, at, np.concatenate(times))
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "df"])
 
-    return rows.select("text").mapInArrow(scan, "h long, df long").groupBy("h").agg(F.sum("df").alias("df"))
+    return weighed.mapInArrow(scan, "h long, df long").groupBy("h").agg(F.sum("df").alias("df"))
 
 
 def disclosing_terms(scanned: DataFrame, rows: DataFrame) -> DataFrame | None:
     """(entity, term, action): terms that give away too much of a protected value; None if no term could.
 
-    With N documents, a value c seen in n(c) distinct contexts and a term t in
-    df(t) documents, the term reveals PMI(c, t) = log2((co(c, t) / n(c)) / (df(t) / N))
+    With N distinct texts, a value c seen in n(c) distinct contexts and a term t in
+    df(t) distinct texts, the term reveals PMI(c, t) = log2((co(c, t) / n(c)) / (df(t) / N))
     of the IC(c) = log2(N / n(c)) bits that the value is worth. Contexts count
     once each, so that copies of a document add nothing.
     """
@@ -166,7 +191,7 @@ def disclosing_terms(scanned: DataFrame, rows: DataFrame) -> DataFrame | None:
     if together.isEmpty():
         return None
     own = pairs.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("nc"))
-    n = scanned.count()
+    n = scanned.select("th").distinct().count()
     scored = together.join(own, "entity").join(_document_counts(rows, together), "h")
     ic = F.log2(F.lit(float(n)) / F.col("nc"))
     share = F.when(ic > 0, F.log2(F.col("co") / F.col("nc") * float(n) / F.col("df")) / ic)
