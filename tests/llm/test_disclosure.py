@@ -31,3 +31,17 @@ def test_copies_change_no_decision(spark, copied):
     assert terms(more) == want
     clean = lambda df: {r.text for r in pii.sanitise(df).collect()}
     assert clean(more) == clean(plain)
+
+
+def test_terms_go_wherever_they_stand(spark):
+    """A name far from the value it discloses, in the title and beside it, but not in texts without the value."""
+    far = lambda i: " ".join(f"far{i}x{k}" for k in range(40))
+    texts = [f"Zorblat report {i} {far(i)} zo@mail.example {far(i)} ends with zorblat" for i in range(5)]
+    texts += [f"beside zo@mail.example zorblat, {far(5)} and zorblat zorblat"]
+    other = [f"report {i} ends with rain" for i in range(400)] + ["one about zorblat"]
+    df = frame(spark, texts + other)
+    got = terms(df)
+    assert all(got[t].count("zorblat") + got[t].count("Zorblat") == t.lower().count("zorblat") for t in texts)
+    assert not any(got[t] for t in other)
+    clean = [r.text for r in pii.sanitise(df).sort("doc_id").collect()]
+    assert not any("zorblat" in t.lower() for t in clean[: len(texts)]) and clean[len(texts) :] == other

@@ -11,12 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_TABLE, WordHashes, bitmap, chunks, in_bitmap, stash, texts
+from .common import WORD_TABLE, WordHashes, bitmap, chunks, in_bitmap, merged, stash, texts
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words on either side of a protected value that are its context.
-CONTEXT = 6
-#: Distinct contexts in which a term must stand with a value.
+#: Distinct texts in which a term must stand with a value.
 SUPPORT = 3
 #: Share of a value's information from which a term is generalised, and from which it is removed.
 GENERALISE, REMOVE = 0.5, 0.8
@@ -28,7 +26,6 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 NO_DIGIT = bytes(c for c in range(256) if not 48 <= c <= 57)
-ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -93,22 +90,18 @@ def said(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
 
 
-def context(text: str, spans: list[tuple[int, int, int]], own: tuple[int, int, int]) -> list[tuple[str, int, int]]:
-    """Words (term, start, end) near a span that no other span covers."""
-    _, a, b = own
-    lo, hi = max(0, a - 32 * CONTEXT), min(len(text), b + 32 * CONTEXT)
-    while lo and not text[lo - 1].isspace():
-        lo -= 1
-    while hi < len(text) and not text[hi].isspace():
-        hi += 1
-    words = [m.span() for m in WORD.finditer(text, lo, hi)]
-    left = [w for w in words if w[1] <= a][-CONTEXT:]
-    right = [w for w in words if w[0] >= b][:CONTEXT]
-    return [(text[s:e].translate(ASCII_LOWER), s, e) for s, e in left + right if not any(s < y and x < e for _, x, y in spans)]
+def words_outside(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[bytes, int, int]]:
+    """Words (term, start, end) of a text that no span covers, even in part."""
+    covered, i = merged([a for _, a, _ in spans], [b for _, _, b in spans]), 0
+    for m in WORD.finditer(text):
+        s, e = m.span()
+        while i < len(covered) and covered[i][1] <= s:
+            i += 1
+        if i == len(covered) or covered[i][0] >= e:
+            yield m[0].encode().translate(WORD_TABLE), s, e
 
 
-MENTION = pa.struct([("entity", pa.int64()), ("context", pa.int64()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
-SCANNED = "doc_id {}, th long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, mentions array<struct<entity: long, context: long, term: string, start: int, end: int>>"
+SCANNED = "doc_id {}, th long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, entities array<long>"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,22 +109,17 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     key = lambda s: xxh64_intdigest(s.encode(), 42) - (1 << 63)
     for batch in chunks(batches, "text"):
-        counts, digest, base, mentions = ([], [], [], []), [], [], []
+        counts, digest, base, entities = ([], [], [], []), [], [], []
         for raw in texts(batch.column(1)):
             text, spans = base_spans(raw)
             for kind, n in enumerate(counts):
                 n.append(sum(k == kind for k, _, _ in spans))
             base.append(said(spans))
             digest.append(sha256(base[-1].encode()).hexdigest())
-            own = []
-            for span in spans:
-                near = context(text, spans, span)
-                entity, place = key(f"{span[0]}:{text[span[1] : span[2]].lower()}"), key(" ".join(w for w, _, _ in near))
-                own += [{"entity": entity, "context": place, "term": w, "start": a, "end": b} for w, a, b in near]
-            mentions.append(own)
+            entities.append(sorted({key(f"{k}:{text[a:b].lower()}") for k, a, b in spans}))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(2), *(pa.array(n, pa.int64()) for n in counts), pa.array(digest, pa.string()), pa.array(base, pa.string()), pa.array(mentions, pa.list_(MENTION))],
-            ["doc_id", "th", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "mentions"],
+            [batch.column(0), batch.column(2), *(pa.array(n, pa.int64()) for n in counts), pa.array(digest, pa.string()), pa.array(base, pa.string()), pa.array(entities, pa.list_(pa.int64()))],
+            ["doc_id", "th", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "entities"],
         )
 
 
@@ -177,25 +165,75 @@ def _document_counts(rows: DataFrame, terms: DataFrame) -> DataFrame:
     return weighed.mapInArrow(scan, "h long, df long").groupBy("h").agg(F.sum("df").alias("df"))
 
 
+def _named(batch: pa.RecordBatch, bits: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(th, text) of the texts of a batch (th, text) that a bitmap names, once each."""
+    th = batch.column(0).to_numpy(zero_copy_only=False)
+    first = np.unique(th, return_index=True)[1]
+    at = first[in_bitmap(bits, th[first].view(np.uint64))]
+    yield from zip(th[at].tolist(), texts(batch.column(1).take(pa.array(at))), strict=True)
+
+
+def _vocabulary(rows: DataFrame, holders: np.ndarray) -> DataFrame:
+    """(h long): the words of the texts named by a bitmap, some more than once."""
+    bits = rows.sparkSession.sparkContext.broadcast(holders)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in chunks(batches, "text"):
+            found = [np.unique(hashes.of(raw.translate(WORD_TABLE).split())) for _, raw in _named(batch, bits.value)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(found)).view(np.int64))], ["h"])
+
+    return rows.select("th", "text").mapInArrow(scan, "h long")
+
+
+def _places(rows: DataFrame, holders: np.ndarray, terms: np.ndarray, every: bool) -> DataFrame:
+    """(th, h, start, end) of terms outside protected values, both from bitmaps; the first place in each text or every one."""
+    share = rows.sparkSession.sparkContext.broadcast((holders, terms))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in chunks(batches, "text"):
+            for th, raw in _named(batch, share.value[0]):
+                text, spans = base_spans(raw)
+                words = list(words_outside(text or raw.decode(), spans))
+                h = hashes.of([w for w, _, _ in words])
+                at = np.nonzero(in_bitmap(share.value[1], h))[0] if len(h) else np.zeros(0, np.int64)
+                if not every:
+                    at = at[np.unique(h[at], return_index=True)[1]]
+                ends = np.array([(words[i][1], words[i][2]) for i in at], np.int32).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), th, np.int64)), pa.array(h[at].view(np.int64)), pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["th", "h", "start", "end"])
+
+    return rows.select("th", "text").mapInArrow(scan, "th long, h long, start int, end int").distinct()
+
+
 def disclosing_terms(scanned: DataFrame, rows: DataFrame) -> DataFrame | None:
-    """(entity, term, action): terms that give away too much of a protected value; None if no term could.
+    """(th, h, action): terms, by hash, that give away too much of a value in the text th; None if no term could.
 
-    With N distinct texts, a value c seen in n(c) distinct contexts and a term t in
-    df(t) distinct texts, the term reveals PMI(c, t) = log2((co(c, t) / n(c)) / (df(t) / N))
-    of the IC(c) = log2(N / n(c)) bits that the value is worth. Contexts count
-    once each, so that copies of a document add nothing.
+    With N distinct texts, a value c in n(c) of them, a term t in df(t) and both in
+    co(c, t), the term reveals PMI(c, t) = log2((co(c, t) / n(c)) / (df(t) / N)) of the
+    IC(c) = log2(N / n(c)) bits that the value is worth, wherever in a text it stands.
+    As co is at most n(c), no term beyond df = N (n(c) / N) ** GENERALISE can reach
+    that share; such terms are left out before pairs are counted.
     """
-    pairs = scanned.select(F.explode("mentions").alias("m")).select("m.entity", "m.context", "m.term").distinct()
-    together = pairs.groupBy("entity", "term").agg(F.count("*").alias("co")).where(f"co >= {SUPPORT}")
-    together = stash(together.withColumn("h", F.xxhash64("term")), "together")
-    if together.isEmpty():
+    held = scanned.select("th", F.explode("entities").alias("entity")).distinct()
+    own = stash(held.groupBy("entity").agg(F.count("*").alias("nc")).where(f"nc >= {SUPPORT}"), "values")
+    most = own.agg(F.max("nc")).first()[0]
+    if not most:
         return None
-    own = pairs.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("nc"))
-    n = scanned.select("th").distinct().count()
-    scored = together.join(own, "entity").join(_document_counts(rows, together), "h")
-    ic = F.log2(F.lit(float(n)) / F.col("nc"))
-    share = F.when(ic > 0, F.log2(F.col("co") / F.col("nc") * float(n) / F.col("df")) / ic)
-    return scored.withColumn("share", share).where(F.col("share") >= GENERALISE).select("entity", "term", F.when(F.col("share") >= REMOVE, "remove").otherwise("generalise").alias("action"))
+    held = stash(held.join(own, "entity"), "held")
+    holders = bitmap(held, "th", 24)
+    n = float(scanned.select("th").distinct().count())
+    counts = _document_counts(rows, _vocabulary(rows, holders))
+    counts = stash(counts.where((F.col("df") >= SUPPORT) & (F.col("df") <= n * (most / n) ** GENERALISE + 1)), "terms")
+    words = _places(rows, holders, bitmap(counts, "h", 24), every=False).select("th", "h").distinct()
+    together = words.join(held.select("th", "entity"), "th").groupBy("entity", "h").agg(F.count("*").alias("co")).where(f"co >= {SUPPORT}")
+    ic = F.log2(F.lit(n) / F.col("nc"))
+    share = F.when(ic > 0, F.log2(F.col("co") / F.col("nc") * n / F.col("df")) / ic)
+    scored = together.join(own, "entity").join(counts, "h").withColumn("share", share).where(F.col("share") >= GENERALISE)
+    flagged = scored.select("entity", "h", F.when(F.col("share") >= REMOVE, "remove").otherwise("generalise").alias("action"))
+    flagged = stash(flagged.join(held.select("th", "entity"), "entity").groupBy("th", "h").agg(F.max("action").alias("action")), "flagged")
+    return None if flagged.isEmpty() else flagged
 
 
 def _found(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame | None]:
@@ -206,9 +244,10 @@ def _found(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Data
     terms = disclosing_terms(scanned, rows)
     if terms is None:
         return rows, scanned, None
-    seen = scanned.select("doc_id", "th", F.explode("mentions").alias("m")).select("doc_id", "th", "m.*")
-    spans = seen.join(terms, ["entity", "term"]).groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.struct("start", "end", "action"))).alias("terms"))
-    return rows, scanned, spans.withColumnsRenamed({"doc_id": "__id", "th": "__th"})
+    places = _places(rows, bitmap(terms, "th", 24), bitmap(terms, "h", 24), every=True).join(terms, ["th", "h"])
+    spans = places.groupBy("th").agg(F.array_sort(F.collect_set(F.struct("start", "end", "action"))).alias("terms"))
+    spans = scanned.select("doc_id", "th").distinct().join(spans, "th").select("doc_id", "th", "terms")
+    return rows, scanned, stash(spans.withColumnsRenamed({"doc_id": "__id", "th": "__th"}), "spans")
 
 
 def scan_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -219,7 +258,7 @@ def scan_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     documents without a protected value have no terms.
     """
     _, scanned, spans = _found(docs, id_col, text_col)
-    scanned = scanned.drop("mentions")
+    scanned = scanned.drop("entities")
     if spans is None:
         return scanned.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.lit(0).cast("long").alias("n_term"), "base_sha256", F.col("base").alias("spans"))
     joined = scanned.join(spans, scanned["doc_id"].eqNullSafe(spans["__id"]) & (scanned["th"] == spans["__th"]), "left")
