@@ -11,11 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, texts
+from .common import chunks, merged, texts
 
 KINDS = ("assign", "access", "hex", "random")
-#: Characters a token below which a string counts as random.
-RATIO = 2.3
+#: Characters a token below which a string counts as random: if it mixes digits, small and capital letters, and if it doesn't.
+RATIO, PLAIN_RATIO = 2.3, 1.95
+#: Characters that a string needs for the ratio to tell. Measured on tests/llm: below this random strings and words overlap.
+LEAST = 16
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
@@ -28,7 +30,8 @@ HEX = re.compile(r"[0-9a-f]{16,}")  # from the left, the same runs as [0-9a-f]+
 _mark = lambda chars: bytes(120 if chr(c) in chars else 32 for c in range(256))
 HEX_MARK = _mark("0123456789abcdef")
 LONG_MARK = _mark("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
-LONG = re.compile(rb"x{20,}")
+LONG = re.compile(rb"x{%d,}" % LEAST)
+PART = re.compile(r"[^+/_-]+")
 #: Known digests and identifiers, which are random but no secrets: hex digests of usual lengths, UUIDs, integrity values.
 KNOWN = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}|sha(?:1|256|384|512)-[a-z0-9+/=]+)", re.IGNORECASE | re.ASCII)
 
@@ -51,24 +54,53 @@ def base_spans(raw: bytes) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def random_spans(raw: bytes, base: list[tuple[int, int, int]], tokens, ratio: float) -> list[tuple[int, int, int]]:
-    """Long strings with few characters a token, but for known digests, identifiers and what ``base`` covers."""
+def mixes(part: str) -> bool:
+    """Does it mix digits, small and capital letters other than by a capital first letter?"""
+    kinds = any(c.isdigit() for c in part) + (part.lower() != part) + (part.upper() != part)
+    return kinds > 1 and not part[1:].islower()
+
+
+def random_parts(word: str, tokens, ratio: float, plain_ratio: float) -> Iterator[tuple[int, int]]:
+    """Spans in a run of letters, digits and separators that have few characters a token.
+
+    A run that mostly consists of mixed parts is judged whole; otherwise, or if it
+    passes, each of its parts between separators is. Digits alone are an identifier.
+    """
+    parts = [m.span() for m in PART.finditer(word)]
+    mixed = sum(b - a for a, b in parts if mixes(word[a:b]))
+    if len(word) < LEAST or KNOWN.fullmatch(word):
+        return
+    if 2 * mixed >= len(word) and len(word) < ratio * len(tokens(word)):
+        yield 0, len(word)
+        return
+    for a, b in parts:
+        part = word[a:b]
+        if b - a >= LEAST and not part.isdigit() and not KNOWN.fullmatch(part) and b - a < (ratio if mixes(part) else plain_ratio) * len(tokens(part)):
+            yield a, b
+
+
+def random_spans(raw: bytes, base: list[tuple[int, int, int]], tokens, ratio: float, plain_ratio: float = PLAIN_RATIO) -> list[tuple[int, int, int]]:
+    """Strings of ``LEAST`` characters or more with few characters a token.
+
+    What ``base`` covers is cut out of them; known digests and identifiers don't count.
+    """
     marked = raw.translate(LONG_MARK)
-    if b"x" * 20 not in marked:
+    if b"x" * LEAST not in marked:
         return []
-    out = []
+    out, done, chars, i, covered = [], 0, 0, 0, merged([a for a, _, _ in base], [b for _, _, b in base])
     for m in LONG.finditer(marked):
-        word = raw[m.start() : m.end()]
-        kinds = (any(48 <= c <= 57 for c in word)) + (word.lower() != word) + (word.upper() != word)
-        if kinds < 2 or not any(48 <= c <= 57 for c in word) and word[1:].islower():
-            continue
-        text = word.decode()
-        if KNOWN.fullmatch(text) or len(text) >= ratio * len(tokens(text)):
-            continue
-        start = len(raw[: m.start()].decode())
-        end = start + len(text)
-        if not any(a < end and start < b for a, _, b in base):
-            out.append((start, 3, end))
+        chars += len(raw[done : m.start()].decode())
+        done, start = m.start(), chars
+        word = raw[m.start() : m.end()].decode()
+        while i < len(covered) and covered[i][1] <= start:
+            i += 1
+        free, at, j = [], start, i
+        while j < len(covered) and covered[j][0] < start + len(word):
+            free.append((at, covered[j][0]))
+            at, j = covered[j][1], j + 1
+        for a, b in [*free, (at, start + len(word))]:
+            if b > a:
+                out += [(a + x, 3, a + y) for x, y in random_parts(word[a - start : b - start], tokens, ratio, plain_ratio)]
     return out
 
 
@@ -86,7 +118,9 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row for each row of ``docs``: doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans.
 
     Spans are kind:start:end in code points, end exclusive, by start and then
-    kind. Null texts count as empty and have none.
+    kind. Null texts count as empty and have none. Of kind "random" are strings
+    that a public vocabulary cuts into tokens of few characters, ``LEAST``
+    characters at least; digits alone, known digests and UUIDs are left out.
     """
     ranks = vocabulary(docs.sparkSession, vocabulary_path)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
