@@ -60,6 +60,30 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names that ``df`` doesn't have, close to the given ones."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def numbered(df: DataFrame, keys: list, part: str, place: str, name: str) -> DataFrame:
+    """``df`` written in ranges of ``keys``, with the number of a row's range and its place in the order of all rows.
+
+    Places grow along the order and leave gaps between ranges only. Where ranges
+    are cut depends on Spark's sample, so only differences inside a range and
+    counts of whole ranges mean anything. No row is moved more than once.
+    """
+    ranges = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    dealt = df.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys)
+    return stash(dealt.withColumn(place, F.monotonically_increasing_id()).withColumn(part, F.shiftright(place, 33).cast("int")), name)
+
+
 def texts(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a string column; null counts as empty."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

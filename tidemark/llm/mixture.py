@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import numbered, stash, unused
 
 #: Weights of the sources in the order of their names, repeating.
 WEIGHTS = (5, 2, 1)
@@ -43,54 +43,62 @@ def offset(source: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(source, F.lit("")))), 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
 
 
+def _mixed(rows: DataFrame, names: list[str], ties: list[Column], seed: str) -> DataFrame:
+    """``rows`` with the columns source_size, target and copies, called as the last three of ``names``.
+
+    The first two of ``names`` are the columns that hold source and size; ``ties``
+    order rows further.
+    """
+    source, size, source_size, target, copies = names
+    part, place, before, start, rate = unused(rows, "part", "place", "before", "start", "rate")
+    order = [F.col(source).asc_nulls_last(), F.col(size), *ties]
+    ranged = numbered(rows, order, part, place, "ranges")
+    targets = source_targets(ranged.select(F.col(source).alias("source"), F.col(size).alias("size")))
+    counts = ranged.groupBy(source, part).agg(F.count("*").alias("c"), F.min(place).alias(start))
+    earlier = Window.partitionBy(source).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(F.col(source).alias("s"), F.col(part).alias("p"), start, F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias(before))
+    known = stash(starts.join(targets, F.col("s").eqNullSafe(F.col("source"))).select("s", "p", start, before, "source_size", "target", F.col("rate").alias(rate)), "targets")
+    known = known.withColumnsRenamed({"s": unused(ranged, "s")[0], "p": unused(ranged, "p")[0]})
+    known = known.withColumnsRenamed({"source_size": source_size, "target": target})
+    s, p = known.columns[:2]
+    small = known.count() <= 100_000  # a row for each source and range
+    both = ranged.join(F.broadcast(known) if small else known, ranged[source].eqNullSafe(known[s]) & (ranged[part] == known[p]))
+    rank = F.col(before) + F.col(place) - F.col(start) + 1
+    reached = lambda k: F.floor(offset(F.col(source), seed) + F.col(rate) * k)
+    drawn = F.least(reached(rank) - reached(rank - 1), F.ceil(rate)).cast("long")
+    return both.withColumn(copies, drawn).select(*rows.columns, source_size, target, copies)
+
+
 def taken_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix") -> DataFrame:
     """One row for each row of ``docs``: doc_id, source, size, source_size, target, copies (long).
 
     Within a source documents stand in order of size, each with the same expected
-    number of copies (target over source size). Their prefix sum plus one random
-    offset is taken down to whole numbers, and a document comes once for each
-    number reached in it. The order makes copies of like sizes evenly spaced, so
-    the words taken stay near the target. Prefix sums need no source in one task:
-    all rows are cut into ranges of (source, size, doc_id), however many there are,
-    and a rank in a range is shifted by the counts of the ranges before it. Where
-    the cuts lie changes no rank.
+    number of copies (target over source size); so the prefix sum of expected
+    copies is that number times the rank. The sum plus one random offset is taken
+    down to whole numbers, and a document comes once for each number reached in
+    it. The order makes copies of like sizes evenly spaced, so the words taken stay
+    near the target. Prefix sums need no source in one task: all rows are cut into
+    ranges of (source, size, doc_id), however many there are, and a rank in a range
+    is shifted by the counts of the ranges before it. Where the cuts lie changes no
+    rank.
 
     Null texts have size 0; null sources are a source of their own, last by name;
-    repeated rows are documents of their own; an empty table gives none.
+    repeated rows are documents of their own, dealt to ranges as if they differed;
+    an empty table gives none. Ids may be of any type that Spark sorts.
     """
     sizes = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
-    sizes = stash(sizes, "sizes")
-    targets = stash(source_targets(sizes), "targets")
-    order = ["source", "size", "doc_id"]
-    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    grouped = stash(sizes.repartitionByRange(ranges, *order).withColumn("part", F.spark_partition_id()), "ranges")
-    counts = grouped.groupBy("source", "part").agg(F.count("*").alias("c"))
-    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("source", "part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("before"))
-    within = Window.partitionBy("source", "part").orderBy("size", "doc_id")
-    ranked = grouped.withColumn("r", F.row_number().over(within))
-    same = ranked["source"].eqNullSafe(starts["source"]) & (ranked["part"] == starts["part"])
-    placed = ranked.join(starts, same).select("doc_id", ranked["source"], "size", (F.col("before") + F.col("r")).alias("rank"))
-    known = placed.join(F.broadcast(targets) if targets.count() <= 100_000 else targets, placed["source"].eqNullSafe(targets["source"]))
-    reached = lambda k: F.floor(offset(placed["source"], seed) + F.col("rate") * k)
-    copies = F.least(reached(F.col("rank")) - reached(F.col("rank") - 1), F.ceil("rate"))
-    return known.select("doc_id", placed["source"], "size", "source_size", "target", copies.cast("long").alias("copies"))
+    return _mixed(sizes, ["source", "size", "source_size", "target", "copies"], [F.col("doc_id").asc_nulls_first(), F.monotonically_increasing_id()], seed)
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix") -> DataFrame:
     """The mixed corpus: ``docs`` with each row as often as it is taken, all columns kept.
 
-    Rows with one doc_id are matched by source and size as well; rows that agree
-    in all three take the copies of their group evenly, the first ones one more.
+    The copies are those of ``taken_copies``. Rows of one source, size and doc_id
+    stand in the order of their texts; rows that agree in all of these are taken
+    as if they stood in the order of the input.
     """
-    marks = taken_copies(docs, id_col, text_col, source_col, seed)
-    marks = marks.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
-    marks = marks.where("__copies > 0").toDF("__id", "__source", "__size", "__copies", "__rows")
-    own = F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).cast("string").eqNullSafe(F.col("__source")) & (word_count(F.col(text_col)) == F.col("__size"))
-    joined = docs.join(marks, own)
-    if marks.where("__rows > 1").isEmpty():
-        joined = joined.withColumn("__own", F.col("__copies"))
-    else:
-        nth = F.row_number().over(Window.partitionBy("__id", "__source", "__size").orderBy(text_col))
-        joined = joined.withColumn("__own", F.expr("__copies div __rows") + F.when(nth <= F.col("__copies") % F.col("__rows"), 1).otherwise(0)).where("__own > 0")
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__own").cast("int")))).select(*docs.columns)
+    size, source, source_size, target, copies, copy = unused(docs, "size", "named", "source_size", "target", "copies", "copy")
+    rows = docs.withColumn(size, word_count(F.col(text_col))).withColumn(source, F.col(source_col).cast("string"))
+    ties = [F.col(id_col).asc_nulls_first(), F.xxhash64(text_col), F.monotonically_increasing_id()]
+    taken = _mixed(rows, [source, size, source_size, target, copies], ties, seed).where(F.col(copies) > 0)
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*docs.columns)
