@@ -1,72 +1,100 @@
-from __future__ import annotations
-
-from tidemark.operators import merge
-from tidemark.schemas import BUFFER, RMC, RMCB, STORE
+"""Merging against a plain evaluator of the four rules, over a grid of vectors and flags."""
 
-OWN, SESSION = "I", "s1"
-BASE = {"profile": "f", "model_name": "m", "partition": "p", "source_id": "x", "deleted": False, "hard_deleted": False, "self_ref_fk": ""}
+from __future__ import annotations
 
+import itertools
 
-def store_row(i, lsi, lsc, conflicting=""):
-    return BASE | {"id": i, "serialized": "store", "last_saved_instance": lsi, "last_saved_counter": lsc, "conflicting_serialized_data": conflicting, "dirty_bit": False, "deserialization_error": "e", "last_transfer_session_id": None}
+import pytest
+from pyspark.sql import functions as F
 
+from tidemark.operators import merge
+from tidemark.schemas import BUFFER, RMC, RMCB, STORE
 
-def buffer_row(i, lsi, lsc, session=SESSION, **more):
-    return BASE | {"transfer_session_id": session, "model_uuid": i, "serialized": "buffer", "last_saved_instance": lsi, "last_saved_counter": lsc, "conflicting_serialized_data": ""} | more
+OWN, SESSION, CLOCK = "me", "s1", 40
+PLAIN = {"profile": "f", "model_name": "m", "partition": "p", "source_id": "x", "self_ref_fk": ""}
+
+
+def grid():
+    """(store row or None, its vector, buffer row or None, its vector) of every case, by record id."""
+    cases = {}
+    for n, (has, got, mine, theirs, deleted, hard) in enumerate(itertools.product(({"k": 2}, {"k": 5, "q": 1}), ({"k": 3}, {"q": 4}, {"k": 2, "q": 4, OWN: 7}), (("k", 2), ("q", 3)), (("k", 3), ("q", 4)), (False, True), (False, True))):
+        cases[f"r{n}"] = ((*mine, "own text", "aside" * (n % 2), not deleted and n % 3 == 0), has, (*theirs, "" if hard else "their text", deleted, hard), got)
+    cases["new"] = (None, {}, ("k", 1, "their text", False, False), {"k": 1, "q": 9})
+    cases["alone"] = (("k", 2, "own text", "", False), {"k": 2}, None, {})
+    return cases
+
+
+def evaluate(case):
+    """(class, store row without identity, vector) after the merge."""
+    mine, has, theirs, got = case
+    has = {**has, mine[0]: max(mine[1], has.get(mine[0], 0))} if mine else {}
+    got = {**got, theirs[0]: max(theirs[1], got.get(theirs[0], 0))} if theirs else {}
+    if theirs is None:
+        return None, (mine[2], mine[3], mine[4], False, mine[0], mine[1], False, "e", None), has
+    taken = (theirs[2], "", theirs[3], theirs[4], theirs[0], theirs[1], True, "", SESSION)
+    if mine is None:
+        return merge.NEW, taken, got
+    if has.get(theirs[0], -1) >= theirs[1]:
+        return merge.REVERSE_FF, (mine[2], mine[3], mine[4], False, mine[0], mine[1], False, "e", None), has
+    if got.get(mine[0], -1) >= mine[1]:
+        return merge.FAST_FORWARD, taken, has | got
+    vector = {i: max(has.get(i, 0), got.get(i, 0)) for i in has.keys() | got.keys()} | {OWN: CLOCK}
+    texts = ("", "") if theirs[4] else (mine[2], f"{theirs[2]}\n{mine[3]}")
+    return merge.CONFLICT, (*texts, mine[4] or theirs[3], theirs[4], OWN, CLOCK, True, "", SESSION), vector
 
 
 def make(spark, rows, schema):
     return spark.createDataFrame([tuple(r[c] for c in schema.fieldNames()) for r in rows], schema)
 
 
-def vector(text):
-    return {x[0]: int(x[1:]) for x in text.split()}
-
-
-def run(spark):
-    store = [store_row("1", "D", 3), store_row("2", "C", 2, "store"), store_row("5", "C", 2, "store"), store_row("7", "C", 2, "store"), store_row("3", "A", 1), store_row("8", "A", 1)]
-    buffer = [
-        buffer_row("1", "A", 1), buffer_row("2", "F", 2, deleted=True), buffer_row("5", "F", 2), buffer_row("7", "F", 2, hard_deleted=True, serialized=""),
-        buffer_row("3", "F", 2), buffer_row("4", "A", 1), buffer_row("6", "A", 1, session="other"),
-    ]
-    rmc = {"1": "A3 B1 C2 D3", "2": "A1 B1 C2 D3", "5": "A3 B1 C2 D3", "7": "A3 B1 C2 D3", "3": "A1 B2 C3 D4", "8": "A1"}
-    rmcb = {"1": "A1 F2 G3 H4", "2": "A3 F2 G3 H4", "5": "A1 F2 G3 H4", "7": "A1 F2 G3 H4", "3": "A3 F2 G3 H4", "4": "A1 F2 G3 H4"}
-    s, b = make(spark, store, STORE), make(spark, buffer, BUFFER)
-    r = spark.createDataFrame([(i, k, c) for i, v in rmc.items() for k, c in vector(v).items()], RMC)
-    rb = [(SESSION, i, k, c) for i, v in rmcb.items() for k, c in vector(v).items()]
-    rb += [(SESSION, "3", "A", 1), ("other", "6", "A", 1)]  # entries of a transfer may repeat
-    return s, b, r, spark.createDataFrame(rb, RMCB)
-
-
-def test_classes(spark):
-    found = {r.model_uuid: r["class"] for r in merge.classes(*run(spark), SESSION).collect()}
-    assert found == {"1": "REVERSE_FF", "2": "CONFLICT", "5": "CONFLICT", "7": "CONFLICT", "3": "FAST_FORWARD", "4": "NEW"}
-
-
-def test_merged(spark):
-    store, rmc = merge.merge(*run(spark), OWN, 9, SESSION)
-    s = {r.id: r for r in store.collect()}
-    v = {}
-    for r in rmc.collect():
-        assert (r.id, r.instance_id) not in v
-        v[r.id, r.instance_id] = r.counter
-    assert set(s) == {"1", "2", "3", "4", "5", "7", "8"}
-    assert s["1"].serialized == "store" and s["1"].last_transfer_session_id is None and ("1", "F") not in v and not s["1"].dirty_bit
-    two = s["2"]
-    assert (two.serialized, two.conflicting_serialized_data, two.deleted, two.last_saved_instance, two.last_saved_counter, two.dirty_bit, two.deserialization_error, two.last_transfer_session_id) == ("store", "buffer\nstore", True, OWN, 9, True, "", SESSION)
-    assert (v["2", "A"], v["2", "F"], v["2", OWN]) == (3, 2, 9)
-    assert s["5"].conflicting_serialized_data == "buffer\nstore" and v["5", "A"] == 3
-    assert (s["7"].serialized, s["7"].conflicting_serialized_data, s["7"].hard_deleted) == ("", "", True)
-    assert (s["3"].serialized, s["3"].last_saved_instance, s["3"].dirty_bit, v["3", "A"], v["3", "B"]) == ("buffer", "F", True, 3, 2)
-    assert s["4"].serialized == "buffer" and [v["4", i] for i in "AFGH"] == [1, 2, 3, 4]
-    assert s["8"].deserialization_error == "e" and v["8", "A"] == 1
-
-
-def test_merging_again_changes_nothing(spark):
-    s, b, r, rb = run(spark)
-    store, rmc = merge.merge(s, b, r, rb, OWN, 9, SESSION)
-    found = {x["class"] for x in merge.classes(store, b, rmc, rb, SESSION).collect()}
-    assert found == {"REVERSE_FF"}
+@pytest.fixture(scope="module")
+def tables(spark):
+    store, buffer, rmc, rmcb = [], [], [], []
+    for i, (mine, has, theirs, got) in grid().items():
+        if mine:
+            store.append(PLAIN | {"id": i, "last_saved_instance": mine[0], "last_saved_counter": mine[1], "serialized": mine[2], "conflicting_serialized_data": mine[3], "deleted": mine[4], "hard_deleted": False, "dirty_bit": False, "deserialization_error": "e", "last_transfer_session_id": None})
+            rmc += [(i, k, c) for k, c in {**has, mine[0]: max(mine[1], has.get(mine[0], 0))}.items()]
+        if theirs:
+            buffer.append(PLAIN | {"transfer_session_id": SESSION, "model_uuid": i, "last_saved_instance": theirs[0], "last_saved_counter": theirs[1], "serialized": theirs[2], "conflicting_serialized_data": "", "deleted": theirs[3], "hard_deleted": theirs[4]})
+            rmcb += [(SESSION, i, k, c) for k, c in got.items()] + [(SESSION, i, theirs[0], theirs[1])]  # entries of a transfer may repeat
+    other = buffer[0] | {"transfer_session_id": "elsewhere", "model_uuid": "not ours"}
+    return make(spark, store, STORE), make(spark, [*buffer, other], BUFFER), spark.createDataFrame(rmc, RMC), spark.createDataFrame([*rmcb, ("elsewhere", "not ours", "k", 1)], RMCB)
+
+
+def test_grid(spark, tables):
+    want = {i: evaluate(case) for i, case in grid().items()}
+    assert {w[0] for w in want.values()} == {None, merge.NEW, merge.REVERSE_FF, merge.FAST_FORWARD, merge.CONFLICT}
+    assert {r.model_uuid: r["class"] for r in merge.classes(*tables, SESSION).collect()} == {i: w[0] for i, w in want.items() if w[0]}
+    every = merge.joined(*tables, SESSION)
+    whole = merge.merged_store(every, OWN, CLOCK, SESSION), merge.merged_vectors(every, OWN, CLOCK)
+    for store, rmc in (whole, merge.merge(*tables, OWN, CLOCK, SESSION)):
+        rows = {r.id: r for r in store.collect()}
+        vectors = {}
+        for r in rmc.collect():
+            assert r.instance_id not in vectors.setdefault(r.id, {})
+            vectors[r.id][r.instance_id] = r.counter
+        assert rows.keys() == vectors.keys() == want.keys()
+        for i, (_, row, vector) in want.items():
+            s = rows[i]
+            assert (s.serialized, s.conflicting_serialized_data, s.deleted, s.hard_deleted, s.last_saved_instance, s.last_saved_counter, s.dirty_bit, s.deserialization_error, s.last_transfer_session_id) == row, i
+            assert vectors[i] == vector, i
+
+
+def test_merging_again_changes_nothing(spark, tables):
+    store, buffer, rmc, rmcb = tables
+    done, seen = merge.merge(store, buffer, rmc, rmcb, OWN, CLOCK, SESSION)
+    assert {x["class"] for x in merge.classes(done, buffer, seen, rmcb, SESSION).collect()} == {merge.REVERSE_FF}
+    assert merge.changes(done, buffer, seen, rmcb, OWN, CLOCK + 1, SESSION)[0].isEmpty()
+
+
+def test_rule_for_conflicts(spark, tables):
+    """A model's own rule chooses the text that a conflict keeps, unless the record is erased."""
+    rule = F.concat(F.lit("both: "), F.col("s.serialized"), F.lit("|"), F.col("b.serialized"))
+    store, _ = merge.merge(*tables, OWN, CLOCK, SESSION, rule)
+    rows = {r.id: r.serialized for r in store.collect()}
+    for i, case in grid().items():
+        kind, row, _ = evaluate(case)
+        assert rows[i] == ("both: own text|their text" if kind == merge.CONFLICT and not case[2][4] else row[0])
 
 
 def test_empty(spark):

@@ -11,6 +11,7 @@ from tidemark.functions.scope import Filter, Scope
 from tidemark.operators.capture import ForeignKey, Model
 from tidemark.operators.exchange import InvalidTransfer, received
 from tidemark.plans.replica import NotAllowed, Replica, Transfer, pull, push
+from tidemark.operators.restore import PARENT_DIRTY, PARENT_MISSING
 from tidemark.schemas import DIRTY
 
 
@@ -142,7 +143,7 @@ def test_reference_to_deleted_is_deleted_next_time(spark):
 @pytest.mark.parametrize(
     "model, change, message",
     [
-        ("summary", {"user_id": "e" * 32}, "user instance with id '" + "e" * 32 + "' does not exist"),
+        ("summary", {"user_id": "e" * 32}, "no user has the id " + "e" * 32),
         ("summary", {"user_id": None}, "cannot be null"),
         ("interaction", {"user_id": None}, ""),
         ("summary", {}, ""),
@@ -191,7 +192,7 @@ def test_missing_parent(spark, matching):
     tamper(a, f["child"], payload={"name": "child", "parent_id": "b" * 32}, **({"self_ref_fk": "b" * 32} if matching else {}))
     a.deserialize()
     row = a.store.where(F.col("id") == f["child"]).first()
-    assert row.dirty_bit and "exist" in row.deserialization_error
+    assert row.dirty_bit and ("has the id" in row.deserialization_error or row.deserialization_error == PARENT_MISSING)
 
 
 def test_dirty_parent(spark):
@@ -202,7 +203,7 @@ def test_dirty_parent(spark):
     tamper(a, f["child"])
     a.deserialize()
     error = {r.id: r.deserialization_error for r in a.store.collect()}
-    assert "JSON" in error[f["root"]] and error[f["child"]] == "Parent is dirty; could not deserialize."
+    assert "JSON" in error[f["root"]] and error[f["child"]] == PARENT_DIRTY
 
 
 def test_received_records_are_checked(spark):

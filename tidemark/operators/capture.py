@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -41,8 +42,8 @@ class Model:
     depends_on: tuple[str, ...] = ()
     checks: tuple[tuple[str, Column, str], ...] = ()
     defaults: dict[str, Column] = field(default_factory=dict)
-    #: (current, pushed) texts to the text that a conflict keeps; None keeps the store's.
-    resolve_conflict: object = None
+    #: Columns of the store's and the other side's text to the text that a conflict keeps; None keeps the store's.
+    resolve_conflict: Callable[[Column, Column], Column] | None = None
 
     @property
     def self_key(self) -> str | None:
@@ -56,6 +57,34 @@ class Model:
         return [c for c in self.schema.fieldNames() if c not in self.skipped]
 
 
+class Registry:
+    """Models by profile and name."""
+
+    def __init__(self, **profiles: list[Model]):
+        self._profiles = {name: {m.name: m for m in in_order(models)} for name, models in profiles.items()}
+
+    def model(self, profile: str, name: str) -> Model:
+        return self._profiles[profile][name]
+
+    def models(self, profile: str) -> list[Model]:
+        """All models of a profile, those that others refer to first; none for an unknown profile."""
+        return list(self._profiles.get(profile, {}).values())
+
+
+def saved(rows: DataFrame, table: DataFrame, dirty: bool | None = True) -> DataFrame:
+    """Rows with the dirty bit that a save gives them: set, cleared, or (None) left as the table has it, set for new rows."""
+    if dirty is not None:
+        return rows.withColumn(DIRTY, F.lit(dirty))
+    had = table.select("id", F.col(DIRTY).alias("__had"))
+    return rows.drop(DIRTY).join(had, "id", "left").withColumn(DIRTY, F.coalesce("__had", F.lit(True))).drop("__had")
+
+
+def updated(table: DataFrame, which: Column, changes: dict[str, Column], dirty: bool | None = True) -> DataFrame:
+    """A bulk update of the rows that ``which`` holds for; the dirty bit as in ``saved``."""
+    marks = changes if dirty is None else changes | {DIRTY: F.lit(dirty)}
+    return table.select(*[F.when(which, marks[c]).otherwise(F.col(c)).alias(c) if c in marks else F.col(c) for c in table.columns])
+
+
 def in_order(models: list[Model]) -> list[Model]:
     """Models with those that they refer to or depend on before them."""
     from graphlib import TopologicalSorter
@@ -104,7 +133,7 @@ def captured(app: DataFrame, model: Model, store: DataFrame, profile: str, insta
 def replaced(table: DataFrame, new: DataFrame, key: str | list[str] = "id") -> DataFrame:
     """Full-row upsert: rows of ``new`` in place of those with the same key."""
     keys = [key] if isinstance(key, str) else key
-    return table.join(new.select(*keys), keys, "left_anti").unionByName(new)
+    return table.join(new.select(*keys).distinct(), keys, "left_anti").select(*table.columns).unionByName(new)
 
 
 def patched(table: DataFrame, changes: DataFrame, columns: list[str], key: str = "id") -> DataFrame:
@@ -172,4 +201,4 @@ def capture(apps: dict[str, DataFrame], models: list[Model], store: DataFrame, r
     return Captured(out, touched(rmc, saved, instance_id, counter), own_counters(dmc, filters, instance_id, counter), clean)
 
 
-__all__ = ["PLACEHOLDER", "Captured", "ForeignKey", "Model", "capture", "captured", "hard_deleted", "identified", "in_order", "own_counters", "patched", "replaced", "soft_deleted", "touched"]
+__all__ = ["PLACEHOLDER", "Captured", "ForeignKey", "Model", "Registry", "capture", "captured", "hard_deleted", "identified", "in_order", "own_counters", "patched", "replaced", "saved", "soft_deleted", "touched", "updated"]

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import RECORD_COLUMNS
+from .capture import replaced
 
 NEW, REVERSE_FF, FAST_FORWARD, CONFLICT = "NEW", "REVERSE_FF", "FAST_FORWARD", "CONFLICT"
 _EMPTY = "cast(map() as map<string, int>)"
@@ -44,6 +45,24 @@ def joined(store: DataFrame, buffer: DataFrame, rmc: DataFrame, rmcb: DataFrame,
     return every.withColumn("class", classified())
 
 
+def met(store: DataFrame, buffer: DataFrame, rmc: DataFrame, rmcb: DataFrame, session: str | None = None) -> DataFrame:
+    """As ``joined``, of the buffered records alone.
+
+    Store and vectors are cut to the ids of the buffer before anything else, so
+    that a small buffer costs a scan of the ids and not a shuffle of the store.
+    """
+    if session is not None:
+        buffer, rmcb = (x.where(F.col("transfer_session_id") == session) for x in (buffer, rmcb))
+    ids = buffer.select(F.col("model_uuid").alias("id"))
+    return joined(store.join(ids, "id", "left_semi"), buffer, rmc.join(ids, "id", "left_semi"), rmcb)
+
+
+def changes(store: DataFrame, buffer: DataFrame, rmc: DataFrame, rmcb: DataFrame, instance_id: str, counter: int, session: str, resolve: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(store rows, all vector entries of their ids) of the records that a merge changes; the rest stays as it is."""
+    every = met(store, buffer, rmc, rmcb, session).where(F.col("class").isin(NEW, FAST_FORWARD, CONFLICT))
+    return merged_store(every, instance_id, counter, session, resolve), merged_vectors(every, instance_id, counter)
+
+
 def classified() -> Column:
     seen = lambda vector, row: F.coalesce(F.element_at(F.col(vector), F.col(f"{row}.last_saved_instance")) >= F.col(f"{row}.last_saved_counter"), F.lit(False))
     return F.when(F.col("b").isNull(), F.lit(None)).when(F.col("s").isNull(), NEW).when(seen("has", "b"), REVERSE_FF).when(seen("got", "s"), FAST_FORWARD).otherwise(CONFLICT)
@@ -54,9 +73,12 @@ def classes(store: DataFrame, buffer: DataFrame, rmc: DataFrame, rmcb: DataFrame
     return joined(store, buffer, rmc, rmcb, session).where("class is not null").select(F.col("id").alias("model_uuid"), "class")
 
 
-def merged_store(every: DataFrame, instance_id: str, counter: int, session: str) -> DataFrame:
+def merged_store(every: DataFrame, instance_id: str, counter: int, session: str, resolve: Column | None = None) -> DataFrame:
     """The store after the merge, from ``joined``; counter is the instance's, raised once for this merge.
 
+    ``resolve`` is the text that a conflict keeps, over the structs ``s`` (the
+    store's row) and ``b`` (the buffer's); without it the store's text stays.
+
     In a conflict a hard deletion by the other side blanks both texts; deletions
     of either side hold; place and identity stay the store's.
     """
@@ -64,7 +86,7 @@ def merged_store(every: DataFrame, instance_id: str, counter: int, session: str)
     conflict = F.col("class") == CONFLICT
     hard = F.col("b.hard_deleted")
     changes: dict[str, Column] = {c: F.col(f"s.{c}") for c in RECORD_COLUMNS} | {
-        "serialized": F.when(hard, "").otherwise(F.col("s.serialized")),
+        "serialized": F.when(hard, "").otherwise(F.col("s.serialized") if resolve is None else F.coalesce(resolve, F.col("s.serialized"))),
         "deleted": F.col("s.deleted") | F.col("b.deleted"),
         "hard_deleted": F.col("s.hard_deleted") | hard,
         "last_saved_instance": F.lit(instance_id),
@@ -91,10 +113,10 @@ def merged_vectors(every: DataFrame, instance_id: str, counter: int) -> DataFram
     return every.select("id", F.explode(vector).alias("instance_id", "counter"))
 
 
-def merge(store: DataFrame, buffer: DataFrame, rmc: DataFrame, rmcb: DataFrame, instance_id: str, counter: int, session: str) -> tuple[DataFrame, DataFrame]:
+def merge(store: DataFrame, buffer: DataFrame, rmc: DataFrame, rmcb: DataFrame, instance_id: str, counter: int, session: str, resolve: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(store, rmc) after one session's buffer was merged."""
-    every = joined(store, buffer, rmc, rmcb, session)
-    return merged_store(every, instance_id, counter, session), merged_vectors(every, instance_id, counter)
+    rows, entries = changes(store, buffer, rmc, rmcb, instance_id, counter, session, resolve)
+    return replaced(store, rows), replaced(rmc, entries, "id")
 
 
 def dmc_with_flat(dmc: DataFrame, vector: DataFrame, own: DataFrame, filters: list[str]) -> DataFrame:

@@ -16,23 +16,28 @@ class PartitionOutsideFilter(ValueError):
     pass
 
 
+def outside(wire: DataFrame, filters: Filter) -> DataFrame:
+    """(partition): what a vector names as under the filter and isn't."""
+    return wire.where("side = 'sub'").where(~filters.column("partition")).select("partition").distinct()
+
+
 def check_partitions(wire: DataFrame, filters: Filter) -> None:
     """Every partition under the filter that a vector names must be in the filter."""
-    bad = wire.where("side = 'sub'").where(~filters.column("partition")).select("partition").first()
+    bad = outside(wire, filters).first()
     if bad:
-        raise PartitionOutsideFilter(f"Partition '{bad[0]}' is not in filter")
+        raise PartitionOutsideFilter(f"a vector names {bad[0]!r}, which the filter doesn't cover")
 
 
-def _bounded(diff: DataFrame, weight: int, limit: int) -> DataFrame:
+def _within(weight: int, limit: int) -> None:
     if weight >= limit:
-        raise LimitExceeded(f"Limit of {limit} instances + partitions exceeded with {weight}")
-    return F.broadcast(diff)  # below the limit just checked
+        raise LimitExceeded(f"{weight} vector entries and partitions are too many for a transfer (fewer than {limit})")
 
 
 def queue_flat(store: DataFrame, diff: DataFrame, filters: list[str], profile: str) -> DataFrame:
     """Store rows under the filters whose last save is above the diff's bound for its instance."""
     diff = written(diff)  # counted, then joined
-    bound = _bounded(diff.select(F.col("instance_id").alias("i"), F.col("counter").alias("c")), diff.count(), ENTRY_LIMIT)
+    _within(diff.count(), ENTRY_LIMIT)
+    bound = F.broadcast(diff.select(F.col("instance_id").alias("i"), F.col("counter").alias("c")))
     own = store.where(F.col("profile") == profile).where(Filter("\n".join(filters)).column("partition"))
     return own.join(bound, (F.col("last_saved_instance") == F.col("i")) & (F.col("last_saved_counter") > F.col("c")), "left_semi")
 
@@ -40,14 +45,21 @@ def queue_flat(store: DataFrame, diff: DataFrame, filters: list[str], profile: s
 def queue(store: DataFrame, diff: DataFrame, profile: str) -> DataFrame:
     """As queue_flat with a bound for each partition: the row's partition starts with the bound's.
 
-    One semi-join, so no row comes twice; the instance is its equal key and the
-    diff, whose size is limited, the broadcast side.
+    A row's partition is cut to each length that bounds have (few, a partition has
+    at most 128 characters), and each length is one broadcast join on equal keys,
+    instance and prefix. Bounds are one for each key, so no row comes twice, and the
+    store isn't shuffled.
     """
     diff = written(diff)  # counted, then joined
-    size = diff.agg(F.count("*"), F.countDistinct("partition")).first()
-    bound = _bounded(diff.select(F.col("partition").alias("p"), F.col("instance_id").alias("i"), F.col("counter").alias("c")), size[0] + size[1], PART_ENTRY_LIMIT)
-    above = (F.col("last_saved_instance") == F.col("i")) & (F.col("last_saved_counter") > F.col("c")) & F.col("partition").startswith(F.col("p"))
-    return store.where(F.col("profile") == profile).join(bound, above, "left_semi")
+    size = diff.agg(F.count("*"), F.countDistinct("partition"), F.collect_set(F.length("partition"))).first()
+    _within(size[0] + size[1], PART_ENTRY_LIMIT)
+    rows, above = store.where(F.col("profile") == profile), F.lit(False)
+    for n in sorted(size[2]):
+        i, p, c = f"__i{n}", f"__p{n}", f"__c{n}"
+        bound = diff.where(F.length("partition") == n).groupBy(F.col("instance_id").alias(i), F.col("partition").alias(p)).agg(F.min("counter").alias(c))
+        rows = rows.join(F.broadcast(bound), (F.col("last_saved_instance") == F.col(i)) & (F.substring("partition", 1, n) == F.col(p)), "left")
+        above = above | F.coalesce(F.col("last_saved_counter") > F.col(c), F.lit(False))
+    return rows.where(above).select(*store.columns)
 
 
 def buffered(queued: DataFrame, session: str) -> DataFrame:

@@ -12,10 +12,10 @@ from ..functions import payload
 from ..functions.scope import any_prefix
 from ..schemas import DIRTY, PARTITION, SOURCE
 from .capture import Model, in_order, patched, replaced
-from .trees import cascade, cut
+from .trees import COMPACT_ROUNDS, cascade, cut, written
 
-PARENT_DIRTY = "Parent is dirty; could not deserialize."
-PARENT_MISSING = "Parent does not exist in Store; could not deserialize."
+PARENT_DIRTY = "waits for its parent, which is not restored"
+PARENT_MISSING = "has a parent that the store lacks"
 
 
 def references(rows: DataFrame, model: Model, to_itself: bool = False) -> DataFrame:
@@ -45,7 +45,7 @@ def _reasons(bad: DataFrame) -> DataFrame:
 
 
 def missing_text(model: Column, pk: Column) -> Column:
-    return F.concat(model, F.lit(" instance with id '"), pk, F.lit("' does not exist"))
+    return F.concat(F.lit("no "), model, F.lit(" has the id "), pk)
 
 
 def checks(model: Model) -> list[tuple[str, Column, str]]:
@@ -95,12 +95,13 @@ def app_rows(good: DataFrame, model: Model) -> DataFrame:
     return good.select(*[F.col("id").alias("id") if c == "id" else F.col(f"row.{c}").alias(c) for c in model.schema.fieldNames()], F.lit(False).alias(DIRTY), F.col("source_id").alias(SOURCE), F.col("partition").alias(PARTITION))
 
 
-def restore_model(app: DataFrame, model: Model, store: DataFrame, profile: str, excluded: DataFrame, skip_erroring: bool = False, filters: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def restore_model(app: DataFrame, model: Model, store: DataFrame, profile: str, excluded: DataFrame, skip_erroring: bool = False, filters: list[str] | None = None, targets: dict[str, DataFrame] | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(app, marks, excluded, gone) after one model's dirty store rows were restored.
 
     ``marks`` (id, dirty_bit, deserialization_error) are changes of the store;
     ``gone`` (id, hard) are records to be deleted by the next capture, because
-    they refer to deleted ones.
+    they refer to deleted ones. A model that refers to itself needs ``targets``, the
+    application rows (id) of other models that it refers to, as they are by now.
     """
     own = store.where((F.col("profile") == profile) & (F.col("model_name").isin(model.name, *model.depends_on)))
     if filters:
@@ -110,7 +111,7 @@ def restore_model(app: DataFrame, model: Model, store: DataFrame, profile: str,
     own = cut(own)
     dirty = own.where("dirty_bit")
     if model.self_key:
-        return _restore_levels(app, model, own, store, excluded)
+        return _restore_levels(app, model, own, excluded, targets or {})
     alive = cut(parse(dirty.where("not deleted and not hard_deleted"), model))
     refs = references(alive.where("error is null"), model)
     out_of = refs.join(excluded.select(F.col("id").alias("to_id")), "to_id", "left_semi")
@@ -126,26 +127,45 @@ def restore_model(app: DataFrame, model: Model, store: DataFrame, profile: str,
     return app, marks, excluded.select("id").union(failed.select("id")), judged.where("error is null and hard is not null").select("id", "hard")
 
 
-def _restore_levels(app: DataFrame, model: Model, own: DataFrame, store: DataFrame, excluded: DataFrame):
-    """A table that refers to itself, level by level from rows whose parent is clean or that have none."""
-    rows = parse(own.where("dirty_bit"), model)
-    bad = _reasons(missing(references(rows.where("error is null"), model, to_itself=True), store)).withColumnRenamed("from_id", "id")
-    rows = rows.join(bad, "id", "left").withColumn("error", F.coalesce("error", "why")).drop("why")
-    good = cut(rows.withColumn("ok", F.col("error").isNull() | F.col("deleted") | F.col("hard_deleted")))
+def _restore_levels(app: DataFrame, model: Model, own: DataFrame, excluded: DataFrame, targets: dict[str, DataFrame]):
+    """A table that refers to itself, level by level from rows whose parent is clean or that have none.
+
+    References, also those to other models, have to name application rows: a target
+    that failed or is deleted has none. A deleted row is done with, but whoever
+    refers to it fails. Each level writes its own rows only.
+    """
+    rows = parse(own.where("dirty_bit"), model).withColumn("gone", F.col("deleted") | F.col("hard_deleted"))
+    refs = references(rows.where("error is null and not gone"), model)
+    bad = None
+    for name in dict.fromkeys(k.model for k in model.foreign_keys if k.model != model.name):
+        named = refs.where(F.col("to_model") == name)
+        lost = named.join(targets[name].select(F.col("id").alias("to_id")), "to_id", "left_anti") if name in targets else named
+        bad = lost if bad is None else bad.unionByName(lost)
+    if bad is not None:
+        rows = rows.join(_reasons(bad).withColumnRenamed("from_id", "id"), "id", "left").withColumn("error", F.coalesce("error", "why")).drop("why")
+    rows = rows.withColumn("error", F.when(~F.col("gone"), F.col("error"))).withColumn("up", F.nullif(F.col(f"row.{model.self_key}").cast("string"), F.lit("")))
+    rows = written(rows.select("id", "self_ref_fk", "source_id", "partition", "row", "gone", "error", "up"))
+    present = app.select("id").join(rows.where("gone").select("id"), "id", "left_anti")
     clean = own.where("not dirty_bit").select(F.col("id").alias("parent"))
-    level = good.join(clean, F.col("self_ref_fk") == F.col("parent"), "left_semi").union(good.where("self_ref_fk = ''"))
-    done = cut(level)
-    frontier = done.where("ok")
-    while not frontier.isEmpty():
-        parents = frontier.select(F.col("id").alias("parent"))
-        step = good.join(parents, F.col("self_ref_fk") == F.col("parent"), "left_semi").join(done.select("id"), "id", "left_anti").select(*done.columns)
-        step = cut(step)
-        if step.isEmpty():
+    level = rows.join(clean, F.col("self_ref_fk") == F.col("parent"), "left_semi").union(rows.where("self_ref_fk = ''"))
+    done, depth = None, 0
+    while True:
+        there = present.select(F.col("id").alias("up"), F.lit(True).alias("there"))
+        lost = F.col("error").isNull() & ~F.col("gone") & F.col("up").isNotNull() & F.col("there").isNull()
+        why = F.concat(F.lit(f'{{"{model.self_key}": "'), missing_text(F.lit(model.name), F.col("up")), F.lit('"}'))
+        judged = level.join(there.distinct(), "up", "left").withColumn("error", F.when(lost, why).otherwise(F.col("error"))).drop("there")
+        judged = written(judged.select(*rows.columns))
+        if judged.isEmpty():
             break
-        done = cut(done.union(step))
-        frontier = step.where("ok")
-    restored, failed = done.where("ok"), done.where("not ok")
-    waiting = good.join(done.select("id"), "id", "left_anti")
+        done, depth = judged if done is None else done.union(judged), depth + 1
+        present = present.union(judged.where("error is null and not gone").select("id"))
+        if depth % COMPACT_ROUNDS == 0:
+            done, present = written(done), written(present)
+        parents = judged.where("error is null").select(F.col("id").alias("parent"))
+        level = rows.join(parents, F.col("self_ref_fk") == F.col("parent"), "left_semi").join(done.select("id"), "id", "left_anti").select(*rows.columns)
+    done = judged if done is None else done
+    restored, failed = done.where("error is null"), done.where("error is not null")
+    waiting = rows.join(done.select("id"), "id", "left_anti")
     known = own.select(F.col("id").alias("parent"))
     dirty_left = failed.select("id").union(waiting.select("id")).withColumnRenamed("id", "parent")
     behind = waiting.join(dirty_left, F.col("self_ref_fk") == F.col("parent"), "left_semi").select("id", F.lit(PARENT_DIRTY).alias("e"))
@@ -153,9 +173,8 @@ def _restore_levels(app: DataFrame, model: Model, own: DataFrame, store: DataFra
     marks = restored.select("id", F.lit(False).alias("dirty_bit"), F.lit("").alias("deserialization_error"))
     left = failed.select("id", F.col("error").alias("e")).union(behind).union(lost)
     marks = marks.union(left.select("id", F.lit(True), "e"))
-    alive = restored.where("not deleted and not hard_deleted")
-    app = replaced(app, app_rows(alive, model).select(*app.columns))
-    return app, marks, excluded.select("id").union(failed.select("id")), store.sparkSession.createDataFrame([], "id string, hard boolean")
+    app = replaced(app, app_rows(restored.where("not gone"), model).select(*app.columns))
+    return app, marks, excluded.select("id").union(failed.select("id")), app.sparkSession.createDataFrame([], "id string, hard boolean")
 
 
 def restore(apps: dict[str, DataFrame], models: list[Model], store: DataFrame, profile: str, skip_erroring: bool = False, filters: list[str] | None = None) -> Restored:
@@ -177,8 +196,10 @@ def restore(apps: dict[str, DataFrame], models: list[Model], store: DataFrame, p
             continue
         own = store.where((F.col("profile") == profile) & (F.col("model_name") == model.name) & F.col("dirty_bit"))
         own = own.where(any_prefix("partition", filters)) if filters else own
+        own = own.where("deserialization_error = ''") if skip_erroring else own
         roots[model.name] = cut(own.where("deleted or hard_deleted").select("id"))
-        app, marks, excluded, lost = restore_model(apps[model.name], model, store, profile, excluded, skip_erroring, filters)
+        targets = _living(model, roots, out, keys) if model.self_key else None
+        app, marks, excluded, lost = restore_model(apps[model.name], model, store, profile, excluded, skip_erroring, filters, targets)
         out[model.name], excluded, gone = cut(app), cut(excluded), cut(gone.union(lost))
         store = cut(patched(store, marks, ["dirty_bit", "deserialization_error"]))
     if any(not r.isEmpty() for r in roots.values()):  # rows of deleted records go, and with them those that refer to them
@@ -189,6 +210,14 @@ def restore(apps: dict[str, DataFrame], models: list[Model], store: DataFrame, p
     return Restored(store, out, track(gone), track(gone.where("hard")), excluded)
 
 
+def _living(model: Model, roots: dict[str, DataFrame], out: dict[str, DataFrame], keys: list[tuple[str, str, str]]) -> dict[str, DataFrame]:
+    """Application rows (id) that other models have by now, without those that this restore deletes."""
+    others = {k.model for k in model.foreign_keys} - {model.name}
+    own = {name: rows for name, rows in roots.items() if name != model.name}
+    gone = cascade(own, out, [k for k in keys if k[0] in out]) if any(not r.isEmpty() for r in own.values()) else {}
+    return {n: out[n].select("id").join(gone[n], "id", "left_anti") if n in gone else out[n].select("id") for n in others if n in out}
+
+
 def invalid_references(refs: DataFrame, store: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(missing, deleted) of a table of references."""
     return missing(refs, store), to_deleted(refs, store)

@@ -47,12 +47,18 @@ def written(df: DataFrame) -> DataFrame:
     they multiply from round to round until no plan compiles. A table starts afresh.
     """
     spark: SparkSession = df.sparkSession
-    path = f"{_shared_folder(spark)}/{spark.sparkContext.applicationId}/cut-{uuid.uuid4().hex}"
+    path = scratch(spark, "cut")
     df.write.parquet(path)
-    atexit.register(_drop, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's name in the shared folder, removed when Python exits."""
+    path = f"{_shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_drop, spark, path)
+    return path
+
+
 def _drop(spark: SparkSession, path: str) -> None:
     try:
         table = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -126,12 +126,14 @@ def diff(sender: DataFrame, receiver: DataFrame) -> DataFrame:
 def chunks(vector: DataFrame, size: int) -> list[dict[str, dict[str, int]]]:
     """Vector entries in groups of at most ``size`` partitions and instances, in order.
 
-    A partition costs one entry wherever it is opened. Only a transfer's vector,
-    which has a size limit, comes here.
+    A partition costs one entry wherever it is opened. A vector beyond the limit
+    of a transfer is refused.
     """
+    if (n := vector.count()) > ENTRY_LIMIT:
+        raise LimitExceeded(f"{n} vector entries are too many for a transfer")
     out: list[dict[str, dict[str, int]]] = []
     room, opened = 0, None
-    for part, instance, counter in sorted(tuple(r) for r in vector.select(*KEYS, "counter").limit(ENTRY_LIMIT + 1).collect()):
+    for part, instance, counter in sorted(tuple(r) for r in vector.select(*KEYS, "counter").collect()):
         cost = 1 if part == opened else 2
         if not out or room < cost:
             out.append({})
@@ -142,9 +144,9 @@ def chunks(vector: DataFrame, size: int) -> list[dict[str, dict[str, int]]]:
 
 
 def to_json(wire: DataFrame) -> str:
-    """Wire form as text, for a session's record."""
+    """Wire form as text, for a session's record: every entry, however many (one text holds them all)."""
     out: dict[str, dict] = {"super": {}, "sub": {}}
-    for side, part, instance, counter in wire.select("side", *KEYS, "counter").limit(2 * ENTRY_LIMIT).collect():
+    for side, part, instance, counter in wire.select("side", *KEYS, "counter").collect():
         entries = out[side].setdefault(part, {})
         if instance is not None:
             entries[instance] = counter

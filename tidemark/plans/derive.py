@@ -23,6 +23,12 @@ class Tables:
     spark: SparkSession
     sf_dir: str
 
+    def settled(self) -> Tables:
+        """The same tables with the vectors, which plans read several times, written down once."""
+        from ..operators.trees import written
+
+        return _Settled(self.spark, self.sf_dir, written(self.dmc))
+
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
@@ -78,6 +84,22 @@ class Tables:
         return self.dmc.where("length(partition) % 3 <> 1 or partition = ''").selectExpr("partition", "instance_id", "cast(greatest(counter - length(partition) * 7 % 23, 1) as int) as counter")
 
 
+@dataclass
+class _Settled(Tables):
+    kept: DataFrame
+
+    @property
+    def dmc(self) -> DataFrame:
+        return self.kept
+
+
+def strangers(peer: DataFrame) -> DataFrame:
+    """A vector with entries that no record can reach: other instances, and partitions below any record's."""
+    other = peer.where("counter % 3 = 0").selectExpr("partition", "concat('x', instance_id) as instance_id", "counter")
+    below = peer.where("counter % 4 = 1").selectExpr("concat(partition, '/none') as partition", "instance_id", "counter")
+    return peer.unionByName(other).unionByName(below)
+
+
 SQL = f"""
 base AS (SELECT o_orderkey AS k, 'n' || c_nationkey || ':c' || c_custkey || ':orders' AS partition, o_custkey, o_orderstatus, substr(sha256('n' || c_nationkey || ':c' || c_custkey || ':orders' || '::' || o_orderkey || '::order'), 1, 32) AS id
   FROM orders JOIN customer ON o_custkey = c_custkey),
@@ -95,6 +117,7 @@ dmc AS (SELECT partition, instance_id, max(counter)::INT AS counter FROM (
   UNION ALL SELECT split_part(partition, ':', 1), last_saved_instance, last_saved_counter - 20 FROM store WHERE k % 3 = 0
   UNION ALL SELECT split_part(partition, ':', 1) || ':' || split_part(partition, ':', 2), last_saved_instance, last_saved_counter FROM store) WHERE counter > 0 GROUP BY ALL),
 peer AS (SELECT partition, instance_id, greatest(counter - length(partition) * 7 % 23, 1)::INT AS counter FROM dmc WHERE length(partition) % 3 <> 1 OR partition = ''),
+wide AS (SELECT * FROM peer UNION ALL SELECT partition, 'x' || instance_id, counter FROM peer WHERE counter % 3 = 0 UNION ALL SELECT partition || '/none', instance_id, counter FROM peer WHERE counter % 4 = 1),
 filters AS (SELECT unnest({FILTERS!r}) AS f)"""
 
 

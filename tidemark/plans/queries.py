@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import identity, payload, scope
-from ..operators import capture, exchange, merge, outgoing, restore, sessions, trees, vectors
+from ..operators import capture, certificates, exchange, merge, outgoing, restore, sessions, trees, vectors
 from ..operators.prefix import prefix_join
-from .derive import FILTERS, MODEL, PROFILE, SESSION, Tables
+from ..sources import pages, snapshots
+from ..streaming import ingest
+from .derive import FILTERS, MODEL, PROFILE, SESSION, Tables, strangers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -84,8 +86,15 @@ def uuid_normal(t: Tables) -> DataFrame:
 
 @query
 def record_validation(t: Tables) -> DataFrame:
-    broken = F.when(F.col("source_id").cast("long") % 9 == 0, F.concat("source_id", F.lit("x"))).otherwise(F.col("source_id"))
-    return exchange.judged(t.buffer.withColumn("source_id", broken), SESSION, FILTER, "other").select("model_uuid", "profile", "problem")
+    """Wire records, some with a wrong source id, session or entry, or with nulls."""
+    k = F.col("k")
+    wire = exchange.nested(t.buffer, t.rmcb).withColumn("k", F.col("source_id").cast("long"))
+    entries = F.when(k % 31 == 0, F.transform("rmcb_list", lambda r: r.withField("model_uuid", F.lit(None).cast("string")))).when(k % 37 == 0, F.transform("rmcb_list", lambda r: r.withField("transfer_session_id", F.lit("t0")))).when(k % 41 == 0, F.lit(None))
+    wire = wire.withColumns({
+        "source_id": F.when(k % 9 == 0, F.concat("source_id", F.lit("x"))).when(k % 29 == 0, F.lit(None)).otherwise(F.col("source_id")), "partition": F.when(k % 19 != 0, F.col("partition")),
+        "transfer_session_id": F.when(k % 43 == 0, F.lit("t0")).when(k % 23 != 0, F.col("transfer_session_id")), "rmcb_list": F.when((k % 31 == 0) | (k % 37 == 0) | (k % 41 == 0), entries).otherwise(F.col("rmcb_list")),
+    })
+    return exchange.judged(wire, SESSION, FILTER, "other").select("model_uuid", "profile", "problem")
 
 
 @query
@@ -184,12 +193,12 @@ def fk_deleted(t: Tables) -> DataFrame:
 
 @query
 def fsic_reduction_producer(t: Tables) -> DataFrame:
-    return vectors.reachable(t.peer, vectors.store_pairs(t.store.where("cast(source_id as long) % 3 = 0")))
+    return vectors.reachable(strangers(t.peer), vectors.store_pairs(t.store))
 
 
 @query
 def fsic_reduction_receiver(t: Tables) -> DataFrame:
-    return vectors.reachable(t.peer, vectors.vector_pairs(t.store.where("cast(source_id as long) % 10 = 0"), t.rmc))
+    return vectors.reachable(strangers(t.peer), vectors.vector_pairs(t.store, t.rmc))
 
 
 @query
@@ -205,14 +214,25 @@ def _tree(t: Tables) -> DataFrame:
 
 @query
 def parent_closure(t: Tables) -> DataFrame:
-    seed = t.raw("customer").where("c_custkey % 50 = 3").selectExpr("c_custkey as id")
-    return trees.descendants(_tree(t), seed)
+    """All below the roots."""
+    tree = _tree(t)
+    return trees.descendants(tree, tree.where("parent_id is null"))
 
 
 @query
 def certificate_ancestors(t: Tables) -> DataFrame:
-    seed = t.raw("customer").where("c_custkey % 40 = 7").selectExpr("c_custkey as id")
-    return trees.ancestors(_tree(t), seed)
+    """All above the leaves, each at its least distance from one."""
+    tree = _tree(t)
+    leaves = tree.join(tree.select(F.col("parent_id").alias("id")), "id", "left_anti")
+    return trees.ancestors(tree, leaves)
+
+
+@query
+def certificate_chains(t: Tables) -> DataFrame:
+    """Customers as certificates with scopes of different width."""
+    wide = "array(case when id % 7 = 0 then 'n1' when id % 5 = 0 then 'n12' else 'n' end)"
+    certs = _tree(t).selectExpr("id", "parent_id", f"{wide} as read", f"if(id % 11 = 0, array('n', 'w'), {wide}) as write")
+    return certificates.judged_chains(certs).select("id", "valid")
 
 
 @query
@@ -243,12 +263,12 @@ def fsic_v1_receiver(t: Tables) -> DataFrame:
 
 @query
 def fsic_v2_sub(t: Tables) -> DataFrame:
-    return vectors.wire_vector(t.dmc, FILTERS, vectors.store_pairs(t.store)).where("side = 'sub'").drop("side")
+    return vectors.wire_vector(t.settled().dmc, FILTERS, vectors.store_pairs(t.store)).where("side = 'sub'").drop("side")
 
 
 @query
 def fsic_v2_super(t: Tables) -> DataFrame:
-    return vectors.wire_vector(t.dmc, FILTERS, vectors.vector_pairs(t.store, t.rmc)).where("side = 'super'").drop("side")
+    return vectors.wire_vector(t.settled().dmc, FILTERS, vectors.vector_pairs(t.store, t.rmc)).where("side = 'super'").drop("side")
 
 
 @query
@@ -259,16 +279,21 @@ def fsic_redundant(t: Tables) -> DataFrame:
 
 def _sent(t: Tables) -> DataFrame:
     """Expanded vectors; in wire form a vector has a size limit and is written down between stages."""
-    return vectors.expanded(trees.cut(vectors.wire_vector(t.dmc, FILTERS)), FILTERS)
+    return vectors.expanded(trees.written(vectors.wire_vector(t.dmc, FILTERS)), FILTERS)
 
 
 def _had(t: Tables) -> DataFrame:
-    return vectors.expanded(trees.cut(vectors.wire_vector(t.peer, FILTERS)), FILTERS)
+    return vectors.expanded(trees.written(vectors.wire_vector(t.peer, FILTERS)), FILTERS)
+
+
+def _lacking(t: Tables) -> DataFrame:
+    t = t.settled()
+    return vectors.diff(_sent(t), _had(t))
 
 
 @query
 def fsic_expand(t: Tables) -> DataFrame:
-    return _sent(t)
+    return _sent(t.settled())
 
 
 @query
@@ -278,7 +303,7 @@ def fsic_diff_v1(t: Tables) -> DataFrame:
 
 @query
 def fsic_diff_v2(t: Tables) -> DataFrame:
-    return vectors.diff(_sent(t), _had(t))
+    return _lacking(t)
 
 
 @query
@@ -303,7 +328,7 @@ def queue_v1(t: Tables) -> DataFrame:
 
 @query
 def queue_v2(t: Tables) -> DataFrame:
-    return outgoing.buffered(outgoing.queue(t.store, vectors.diff(_sent(t), _had(t)), PROFILE), "t2")
+    return outgoing.buffered(outgoing.queue(t.store, _lacking(t), PROFILE), "t2")
 
 
 @query
@@ -380,9 +405,123 @@ def capture_rows(t: Tables) -> DataFrame:
     return out.select("id", "partition", "source_id", text("k"), text("v"), text("status"), "deleted", "last_saved_instance", "last_saved_counter", "conflicting_serialized_data", "dirty_bit", "last_transfer_session_id")
 
 
+def _captured(t: Tables) -> capture.Captured:
+    """A whole capture under the filters: every second order is dirty, some are deleted, some erased."""
+    app = t.base.select("id", "k", F.col("o_orderstatus").alias("status"), (F.col("k") % 2 == 0).alias("_dirty"), F.col("k").cast("string").alias("_source_id"), F.col("partition").alias("_partition"))
+    model = capture.Model(MODEL, T.StructType.fromDDL("id string, k long, status string"), skipped=frozenset({"id"}))
+    erased = t.base.where("k % 30 = 1").select("id", F.lit(PROFILE).alias("profile"))
+    return capture.capture({MODEL: app}, [model], t.store, t.rmc, t.dmc, _deletes(t), erased, PROFILE, "i3", 500, FILTERS)
+
+
+@query
+def serialize_store(t: Tables) -> DataFrame:
+    """The store after a whole capture."""
+    text = lambda c: F.get_json_object("serialized", f"$.{c}").alias(c)
+    return _captured(t).store.select("id", "partition", "source_id", text("k"), text("v"), text("status"), "deleted", "hard_deleted", "last_saved_instance", "last_saved_counter", "conflicting_serialized_data", "dirty_bit", "last_transfer_session_id")
+
+
+@query
+def serialize_vectors(t: Tables) -> DataFrame:
+    """Record and database vectors after a whole capture, and what is still dirty in the application."""
+    done = _captured(t)
+    apps = done.apps[MODEL].select(F.lit("dirty").alias("kind"), "id", F.lit(None).cast("string").alias("instance_id"), F.lit(None).cast("int").alias("counter"), "_dirty").where("_dirty").drop("_dirty")
+    return done.rmc.select(F.lit("record").alias("kind"), "id", "instance_id", "counter").union(done.dmc.select(F.lit("database"), "partition", "instance_id", "counter")).union(apps)
+
+
+@query
+def own_counters(t: Tables) -> DataFrame:
+    return capture.own_counters(t.dmc, ["n1", "n10", "new"], "i3", 500)
+
+
+@query
+def dirty_rule(t: Tables) -> DataFrame:
+    """Saves and a bulk update that set, clear or leave the dirty bit."""
+    table = t.base.where("k % 3 <> 0").select("id", "k", (F.col("k") % 2 == 0).alias("_dirty"))
+    rows = t.base.select("id", "k")
+    each = [capture.saved(rows, table, d).select(F.lit(f"save {d}").alias("how"), "id", "_dirty") for d in (True, False, None)]
+    each += [capture.updated(table, F.col("k") % 4 == 0, {"k": F.col("k") + 1}, d).select(F.lit(f"update {d}").alias("how"), "id", "_dirty") for d in (True, False, None)]
+    out = each[0]
+    for other in each[1:]:
+        out = out.unionByName(other)
+    return out
+
+
+_USER = capture.Model("user", T.StructType([T.StructField("id", T.StringType()), T.StructField("name", T.StringType(), True, {"not_blank": True, "max_length": 12})]), skipped=frozenset({"id"}))
+_BOOKED = T.StructType([T.StructField("id", T.StringType()), T.StructField("user_id", T.StringType())])
+_BOOKING = capture.Model("booking", _BOOKED, (capture.ForeignKey("user_id", "user", nullable=False),), skipped=frozenset({"id"}))
+
+
+def _stored(rows: DataFrame, model: str) -> DataFrame:
+    """Store rows of (id, serialized, deleted, hard_deleted, dirty_bit, self_ref_fk, deserialization_error)."""
+    plain = {"profile": F.lit(PROFILE), "model_name": F.lit(model), "partition": F.concat(F.lit("p:"), "id"), "source_id": F.col("id"), "last_saved_instance": F.lit("i1"), "last_saved_counter": F.lit(1), "conflicting_serialized_data": F.lit(""), "last_transfer_session_id": F.lit(None).cast("string")}
+    return rows.withColumns(plain).select(*capture.STORE.fieldNames())
+
+
+def _app(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.select(*columns, F.lit(False).alias("_dirty"), F.col("id").alias("_source_id"), F.concat(F.lit("p:"), "id").alias("_partition"))
+
+
+def _restored(t: Tables, skip: bool = False) -> restore.Restored:
+    """Customers and their orders: blank or long names, missing, failed and deleted customers, deletions of either."""
+    users = t.raw("customer").selectExpr(
+        "concat('u', c_custkey) as id", """concat('{"name":"', case when c_custkey % 9 = 0 then '' when c_custkey % 25 = 0 then 'much too long a name' else concat('c', c_custkey) end, '"}') as serialized""", "c_custkey % 13 = 0 as deleted", "c_custkey % 39 = 0 as hard_deleted",
+        "c_custkey % 4 <> 0 as dirty_bit", "'' as self_ref_fk", "if(c_custkey % 10 = 0, 'old', '') as deserialization_error")
+    books = t.raw("orders").selectExpr(
+        "concat('o', o_orderkey) as id", """case when o_orderkey % 31 = 0 then 'no json' when o_orderkey % 19 = 0 then '{"user_id":null}' else concat('{"user_id":"', if(o_orderkey % 17 = 0, 'x', 'u'), o_custkey, '"}') end as serialized""", "o_orderkey % 23 = 0 as deleted",
+        "o_orderkey % 46 = 0 as hard_deleted", "o_orderkey % 3 <> 0 as dirty_bit", "'' as self_ref_fk", "if(o_orderkey % 10 = 0, 'old', '') as deserialization_error")
+    store = _stored(users, "user").unionByName(_stored(books, "booking"))
+    apps = {
+        "user": _app(t.raw("customer").where("c_custkey % 4 = 0 and c_custkey % 13 <> 0 or c_custkey % 26 = 13").selectExpr("concat('u', c_custkey) as id", "'before' as name"), ["id", "name"]),
+        "booking": _app(t.raw("orders").where("o_orderkey % 3 = 0 and o_orderkey % 23 <> 0").selectExpr("concat('o', o_orderkey) as id", "concat('u', o_custkey) as user_id"), ["id", "user_id"]),
+    }
+    return restore.restore(apps, [_BOOKING, _USER], store, PROFILE, skip_erroring=skip)
+
+
+@query
+def deserialize_apps(t: Tables) -> DataFrame:
+    """Application rows after a whole restore: values of restored ones, deletions and what they take along."""
+    done = _restored(t)
+    users = done.apps["user"].select(F.lit("user").alias("model"), "id", F.col("name").alias("value"), "_dirty")
+    return users.union(done.apps["booking"].select(F.lit("booking"), "id", "user_id", "_dirty"))
+
+
+@query
+def deserialize_marks(t: Tables) -> DataFrame:
+    """Store rows after a whole restore, with what the next capture has to delete."""
+    done = _restored(t)
+    marks = done.store.select("id", "dirty_bit", "deserialization_error")
+    gone = done.deleted.select("id", F.lit(True).alias("to_delete")).join(done.erased.select("id", F.lit(True).alias("to_erase")), "id", "left")
+    return marks.join(gone, "id", "left").select("id", "dirty_bit", "deserialization_error", F.coalesce("to_delete", F.lit(False)).alias("to_delete"), F.coalesce("to_erase", F.lit(False)).alias("to_erase"))
+
+
+@query
+def skip_erroring(t: Tables) -> DataFrame:
+    """Which rows stay dirty if records that failed before are passed over."""
+    return _restored(t, skip=True).store.where("dirty_bit and deserialization_error = 'old'").select("id")
+
+
+@query
+def restore_levels(t: Tables) -> DataFrame:
+    """A tree restored level by level: owners that failed or were deleted, lost parents, texts that aren't JSON."""
+    owners = t.raw("supplier").selectExpr("concat('u', s_suppkey) as id", """if(s_suppkey % 5 = 0, '{"name":""}', '{"name":"n"}') as serialized""", "s_suppkey % 7 = 0 as deleted", "false as hard_deleted", "s_suppkey % 14 <> 0 as dirty_bit", "'' as self_ref_fk", "'' as deserialization_error")
+    up = "if(c_custkey % 29 = 0, concat('lost', c_custkey), if(c_custkey = 1, '', concat('f', c_custkey div 2)))"
+    nodes = t.raw("customer").withColumn("n", t.raw("supplier").agg(F.count("*")).scalar()).selectExpr(
+        "concat('f', c_custkey) as id", f"""if(c_custkey % 37 = 0, '[', concat('{{"parent_id":"', {up}, '","owner_id":"u', c_custkey * 7 % n + 1, '"}}')) as serialized""", "c_custkey % 41 = 0 as deleted", "false as hard_deleted", "c_custkey % 11 <> 0 as dirty_bit",
+        f"{up} as self_ref_fk", "'' as deserialization_error")
+    schema = T.StructType.fromDDL("id string, parent_id string, owner_id string")
+    node = capture.Model("node", schema, (capture.ForeignKey("parent_id", "node"), capture.ForeignKey("owner_id", "user")), skipped=frozenset({"id"}))
+    apps = {
+        "user": _app(t.raw("supplier").where("s_suppkey % 3 = 0 and s_suppkey % 14 <> 0").selectExpr("concat('u', s_suppkey) as id", "'before' as name"), ["id", "name"]),
+        "node": _app(t.raw("customer").where("c_custkey % 11 = 0 and c_custkey % 41 <> 0").selectExpr("concat('f', c_custkey) as id", "'' as parent_id", "'' as owner_id"), ["id", "parent_id", "owner_id"]),
+    }
+    done = restore.restore(apps, [node, _USER], _stored(owners, "user").unionByName(_stored(nodes, "node")), PROFILE)
+    there = done.apps["node"].select("id", F.col("owner_id").alias("owner"))
+    return done.store.where("model_name = 'node'").select("id", "dirty_bit", "deserialization_error").join(there, "id", "left")
+
+
 @query
 def restore_rows(t: Tables) -> DataFrame:
-    """Dirty store rows into an application table whose status must not be blank and that refers to customers."""
+    """Dirty store rows parsed and held against a rule of the model's own (see deserialize_apps for a whole restore)."""
     model = capture.Model(MODEL, T.StructType.fromDDL("k long, v int"), checks=(("k", F.col("row.k") % 9 == 0, "Not nine."),))
     rows = restore.parse(t.store.where("dirty_bit and not deleted and not hard_deleted"), model)
     return rows.select("id", "row.k", "row.v", "error")
@@ -433,6 +572,67 @@ def session_clear(t: Tables) -> DataFrame:
     return sessions.without(both, t.spark.createDataFrame([(SESSION,)], "id string")).select("transfer_session_id", "model_uuid")
 
 
+@query
+def page_files(t: Tables) -> DataFrame:
+    """Pages written to an exchange folder, and read again from the third on."""
+    folder = trees.scratch(t.spark, "pages")
+    pages.write_pages(t.buffer, t.rmcb, folder, size=100, per_file=4)
+    wire = pages.read_pages(t.spark, folder, SESSION, first=2)
+    return wire.select("model_uuid", "serialized", "page", F.size("rmcb_list").alias("entries"))
+
+
+@query
+def stream_store(t: Tables) -> DataFrame:
+    """The store after a stream has merged a transfer that came in pages."""
+    return _streamed(t).read("store")
+
+
+@query
+def stream_counters(t: Tables) -> DataFrame:
+    """The database vector after a stream has merged a whole transfer."""
+    return _streamed(t).read("dmc")
+
+
+def _streamed(t: Tables) -> snapshots.Snapshots:
+    root, kept = trees.scratch(t.spark, "stream"), t.settled()
+    sink = snapshots.Snapshots(t.spark, f"{root}/replica")
+    sink.commit({"store": t.store, "rmc": t.rmc, "dmc": kept.peer})
+    pages.write_vector(vectors.wire_vector(kept.dmc, FILTERS), t.buffer.count(), SESSION, f"{root}/vectors")
+    pages.write_pages(t.buffer, t.rmcb, f"{root}/pages")
+    ingest.merge_stream(t.spark, f"{root}/pages", sink, f"{root}/state", "i3", scope.Filter(""), PROFILE, lambda: 500, f"{root}/vectors").awaitTermination()
+    return sink
+
+
+@query
+def latest_sessions(t: Tables) -> DataFrame:
+    _, transfers = _session_tables(t)
+    return sessions.latest_active(transfers).select("sync_session_id", "id")
+
+
+@query
+def readable_buffers(t: Tables) -> DataFrame:
+    _, transfers = _session_tables(t)
+    rows = t.buffer.withColumn("transfer_session_id", F.col("source_id"))
+    return sessions.readable_buffers(rows, transfers).select("model_uuid", "transfer_session_id")
+
+
+@query
+def partitions_outside(t: Tables) -> DataFrame:
+    """What a vector names as under the filter that a narrower filter doesn't cover."""
+    return outgoing.outside(vectors.wire_vector(t.settled().dmc, FILTERS), scope.Filter("n10 n3:c1"))
+
+
+@query
+def scope_filters(t: Tables) -> DataFrame:
+    place = identity.filled_column(F.lit("${main}:${sub}:${other}"), {"main": F.concat(F.lit("n"), F.col("c_nationkey").cast("string")), "sub": F.col("c_custkey").cast("string")})
+    return t.raw("customer").select("c_custkey", place.alias("prefix"))
+
+
+@query
+def short_names(t: Tables) -> DataFrame:
+    return t.base.select("id", identity.short_name(F.col("id")).alias("name"))
+
+
 @query
 def page_sessions(t: Tables) -> DataFrame:
     return t.buffer.groupBy("profile").agg(F.countDistinct("transfer_session_id").alias("n"))

@@ -54,13 +54,16 @@ class Replica:
         self.counter += 1
         return self.counter
 
-    def upsert(self, model: str, rows: DataFrame) -> None:
-        """Save application rows; they are dirty until captured. Missing bookkeeping columns are filled in."""
+    def upsert(self, model: str, rows: DataFrame, dirty: bool | None = True) -> None:
+        """Save application rows; they are dirty until captured, or as ``dirty`` says (see capture.saved).
+
+        Missing bookkeeping columns are filled in.
+        """
         spec = next(m for m in self.models if m.name == model)
         for c in (SOURCE, PARTITION):
             if c not in rows.columns:
                 rows = rows.withColumn(c, F.lit(None).cast("string"))
-        rows = capture.identified(rows.withColumn(DIRTY, F.lit(True)), spec).select(*self.apps[model].columns)
+        rows = capture.saved(cut(capture.identified(rows.withColumn(DIRTY, F.lit(True)), spec)), self.apps[model], dirty).select(*self.apps[model].columns)
         self.apps[model] = cut(capture.replaced(self.apps[model], cut(rows)))
 
     def delete(self, model: str, ids: DataFrame, erase: bool = False) -> None:
@@ -97,10 +100,18 @@ class Replica:
         return cut(vectors.wire_vector(self.dmc, list(filters), pairs))
 
     def dequeue(self, session: str, peer_vector: DataFrame) -> None:
-        store, rmc = merge.merge(self.store, self.buffer, self.rmc, self.rmcb, self.instance_id, self.tick(), session)
+        store, rmc = merge.merge(self.store, self.buffer, self.rmc, self.rmcb, self.instance_id, self.tick(), session, self._resolve())
         self.store, self.rmc = cut(store), cut(rmc)
         self.dmc = cut(merge.dmc_with_parts(self.dmc, peer_vector))
 
+    def _resolve(self):
+        """The models' own rules for conflicts, as one column; None if there is none."""
+        own = [m for m in self.models if m.resolve_conflict]
+        out = F.lit(None).cast("string")
+        for m in own:
+            out = F.when(F.col("s.model_name") == m.name, m.resolve_conflict(F.col("s.serialized"), F.col("b.serialized"))).otherwise(out)
+        return out if own else None
+
     def drop_buffers(self, session: str) -> None:
         other = F.col("transfer_session_id") != session
         self.buffer, self.rmcb = cut(self.buffer.where(other)), cut(self.rmcb.where(other))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..operators.restore import PARENT_DIRTY, PARENT_MISSING
 from ..schemas import RECORD_COLUMNS
 from .derive import FILTERS, PROFILE, SESSION, with_tables
 
@@ -71,6 +72,32 @@ _MERGED = {
 _CONFLICT_COLUMNS = ", ".join(f"{_MERGED.get(c, 's.' + c)} AS {c}" for c in RECORD_COLUMNS)
 _S, _B = (", ".join(f"{x}.{c}" for c in RECORD_COLUMNS) for x in "sb")
 
+_ORDERED = f"""SELECT s.id, {_S}, s.dirty_bit, s.deserialization_error, s.last_transfer_session_id FROM store s LEFT JOIN cls ON s.id = model_uuid WHERE class IS NULL OR class = 'REVERSE_FF'
+UNION ALL SELECT b.model_uuid, {_B}, true, '', '{SESSION}' FROM buffer b JOIN cls USING (model_uuid) WHERE class IN ('NEW', 'FAST_FORWARD')
+UNION ALL SELECT s.id, {_CONFLICT_COLUMNS}, true, '', '{SESSION}' FROM store s JOIN buffer b ON s.id = b.model_uuid JOIN cls ON cls.model_uuid = s.id WHERE class = 'CONFLICT'"""
+_DMC_PARTS = "SELECT coalesce(p.partition, w.partition) AS partition, coalesce(p.instance_id, w.instance_id) AS instance_id, greatest(p.counter, w.counter) AS counter FROM peer p FULL JOIN (SELECT * FROM ws WHERE side = 'sub' AND instance_id IS NOT NULL) w ON p.partition = w.partition AND p.instance_id = w.instance_id"
+#: Orders that a capture under the filters takes, and those that it leaves dirty.
+_CHANGED = "changed AS (SELECT * FROM base WHERE k % 2 = 0 AND EXISTS (SELECT 1 FROM filters WHERE starts_with(partition, f)))"
+_SAVED = "saved AS (SELECT id FROM changed UNION SELECT id FROM store WHERE k % 10 = 1 AND k % 4 <> 1)"
+#: Customers and orders of a whole restore: what is wrong with each, and what its reference points at.
+_RESTORED = """u AS (SELECT c_custkey AS c, 'u' || c_custkey AS id, c_custkey % 4 <> 0 AS dirty, c_custkey % 13 = 0 AS deleted, c_custkey % 39 = 0 AS hard, CASE WHEN c_custkey % 10 = 0 THEN 'old' ELSE '' END AS old,
+  CASE WHEN c_custkey % 4 = 0 OR c_custkey % 13 = 0 THEN NULL WHEN c_custkey % 9 = 0 THEN '{"name": "This field cannot be blank."}' WHEN c_custkey % 25 = 0 THEN '{"name": "Ensure this value has at most 12 characters."}' END AS error FROM customer),
+o AS (SELECT 'o' || o_orderkey AS id, o_orderkey AS k, o_custkey AS c, o_orderkey % 3 <> 0 AS dirty, o_orderkey % 23 = 0 AS deleted, CASE WHEN o_orderkey % 10 = 0 THEN 'old' ELSE '' END AS old, CASE WHEN o_orderkey % 17 = 0 THEN 'x' ELSE 'u' END || o_custkey AS ref FROM orders),
+b AS (SELECT o.*, CASE WHEN NOT o.dirty OR o.deleted THEN NULL WHEN k % 31 = 0 THEN '{"serialized": "Payload is not JSON.", "user_id": "This field cannot be null."}' WHEN k % 19 = 0 THEN '{"user_id": "This field cannot be null."}'
+  WHEN k % 17 = 0 OR u.error IS NOT NULL THEN '{"user_id": "no user has the id ' || ref || '"}' END AS error, u.deleted AND o.dirty AND NOT o.deleted AS points_at_deleted, u.hard FROM o JOIN u USING (c))"""
+_APPS = """SELECT 'user' AS model, id, CASE WHEN dirty THEN 'c' || c ELSE 'before' END AS value, false AS _dirty FROM u WHERE NOT deleted AND error IS NULL
+UNION ALL SELECT 'booking', id, ref, false FROM b WHERE dirty AND NOT deleted AND error IS NULL AND NOT points_at_deleted
+UNION ALL SELECT 'booking', b.id, 'u' || b.c, false FROM b JOIN u USING (c) WHERE NOT b.dirty AND NOT b.deleted AND NOT (u.dirty AND u.deleted)"""
+_MARKS = """SELECT id, error IS NOT NULL AS dirty_bit, coalesce(error, old) AS deserialization_error, false AS to_delete, false AS to_erase FROM u
+UNION ALL SELECT id, error IS NOT NULL, coalesce(error, old), error IS NULL AND points_at_deleted, error IS NULL AND points_at_deleted AND hard FROM b"""
+_NODES = f"""WITH RECURSIVE n AS (SELECT c_custkey AS k, c_custkey // 2 AS p, CASE WHEN c_custkey % 29 = 0 THEN 'lost' || c_custkey WHEN c_custkey = 1 THEN '' ELSE 'f' || (c_custkey // 2) END AS up, c_custkey % 29 = 0 AS lost, c_custkey % 41 = 0 AS gone, c_custkey % 11 <> 0 AS dirty,
+  c_custkey * 7 % (SELECT count(*) FROM supplier) + 1 AS s FROM customer),
+m AS (SELECT *, CASE WHEN gone THEN NULL WHEN k % 37 = 0 THEN '{{"serialized": "Payload is not JSON."}}' WHEN s % 7 = 0 OR (s % 3 <> 0 AND s % 5 = 0) THEN '{{"owner_id": "no user has the id u' || s || '"}}' END AS own, '{{"parent_id": "no node has the id ' || up || '"}}' AS orphan FROM n),
+r AS (SELECT k, gone, CASE WHEN gone THEN NULL WHEN own IS NOT NULL THEN own WHEN k <> 1 AND p % 41 = 0 THEN orphan END AS error FROM m WHERE dirty AND (k = 1 OR (NOT lost AND p % 11 = 0))
+  UNION ALL SELECT m.k, m.gone, CASE WHEN m.gone THEN NULL WHEN own IS NOT NULL THEN own WHEN r.gone THEN orphan END FROM r JOIN m ON m.p = r.k AND m.dirty AND NOT m.lost AND m.k <> 1 WHERE r.error IS NULL)
+SELECT 'f' || m.k AS id, m.dirty AND (r.k IS NULL OR r.error IS NOT NULL) AS dirty_bit, CASE WHEN NOT m.dirty THEN '' WHEN r.k IS NOT NULL THEN coalesce(r.error, '') WHEN m.lost THEN '{PARENT_MISSING}' ELSE '{PARENT_DIRTY}' END AS deserialization_error,
+  CASE WHEN m.gone THEN NULL WHEN NOT m.dirty THEN '' WHEN r.k IS NOT NULL AND r.error IS NULL THEN 'u' || s END AS owner FROM m LEFT JOIN r USING (k)"""
+
 ORACLES: dict[str, str] = {
     "prefix_filter": _t("SELECT id, partition FROM store WHERE EXISTS (SELECT 1 FROM filters WHERE starts_with(partition, f))"),
     "reverse_prefix": _t("SELECT * FROM dmc WHERE starts_with('n1:c5:orders', partition)"),
@@ -84,8 +111,9 @@ SELECT n_nationkey, starts_with(w, 'n2') AND (starts_with(w, 'n1') OR starts_wit
 SELECT o_orderkey, id, replace(place, '${id}', id) AS partition FROM o""",
     "composed_id": "SELECT o_orderkey, substr(sha256(concat_ws(':', nullif(o_orderstatus, ''), CASE WHEN o_custkey % 2 = 0 THEN NULL ELSE nullif(o_orderpriority, '') END, o_custkey::VARCHAR)), 1, 32) AS id FROM orders",
     "uuid_normal": _t("SELECT k, CASE WHEN k % 5 <> 0 THEN id END AS id FROM base"),
-    "record_validation": _t(f"""SELECT model_uuid, 'other' AS profile, CASE WHEN k % 9 = 0 THEN 'Id does not match the namespaced id'
-  WHEN NOT EXISTS (SELECT 1 FROM filters WHERE starts_with(partition, f)) THEN 'Partition ' || partition || ' is not contained within filter' END AS problem FROM buffer WHERE transfer_session_id = '{SESSION}'"""),
+    "record_validation": _t(f"""SELECT model_uuid, 'other' AS profile, CASE WHEN k % 43 = 0 OR k % 23 = 0 THEN 'record of another transfer' WHEN k % 19 = 0 THEN 'outside of the filter: no partition'
+  WHEN NOT EXISTS (SELECT 1 FROM filters WHERE starts_with(partition, f)) THEN 'outside of the filter: ' || partition WHEN k % 9 = 0 OR k % 29 = 0 THEN 'id is not that of its fields'
+  WHEN k % 31 = 0 THEN 'vector entry of another record' WHEN k % 37 = 0 OR k % 41 = 0 THEN 'vector entry of another transfer, or no list of entries' END AS problem FROM buffer WHERE transfer_session_id = '{SESSION}'"""),
     "json_serialize": """SELECT o_orderkey AS k, '{"k":' || o_orderkey || ',"status":"' || o_orderstatus || '","cust":' || CASE WHEN o_custkey % 3 > 0 THEN '"' || o_custkey || '"' ELSE 'null' END || '}' AS serialized FROM orders""",
     "json_deserialize": _t("SELECT id, json_extract_string(serialized, '$.k')::BIGINT AS k, json_extract_string(serialized, '$.v')::INT AS v, 7 AS w FROM store"),
     "json_merge": _t("SELECT id, k, 3::BIGINT AS v, k AS w FROM store"),
@@ -102,13 +130,13 @@ SELECT o_orderkey, substr(sha1(lower(o_orderpriority || '::b88281f3-302c-4def-bb
     "reverse_ff": _t("SELECT model_uuid FROM cls WHERE class = 'REVERSE_FF'", CLS),
     "conflicts": _t("SELECT model_uuid FROM cls WHERE class = 'CONFLICT'", CLS),
     "fast_forward": _t("SELECT model_uuid FROM cls WHERE class = 'FAST_FORWARD'", CLS),
-    "fk_missing": _t("SELECT from_id, to_id, 'order instance with id ''' || to_id || ''' does not exist' AS error FROM refs WHERE NOT EXISTS (SELECT 1 FROM store WHERE store.id = to_id)", _REFS),
+    "fk_missing": _t("SELECT from_id, to_id, 'no order has the id ' || to_id AS error FROM refs WHERE NOT EXISTS (SELECT 1 FROM store WHERE store.id = to_id)", _REFS),
     "fk_deleted": _t("SELECT from_id, to_id, hard_deleted AS hard FROM refs JOIN store ON store.id = to_id WHERE deleted OR hard_deleted", _REFS),
-    "fsic_reduction_producer": _t("SELECT * FROM peer d WHERE EXISTS (SELECT 1 FROM store s WHERE k % 3 = 0 AND s.last_saved_instance = d.instance_id AND starts_with(s.partition, d.partition))"),
-    "fsic_reduction_receiver": _t("SELECT * FROM peer d WHERE EXISTS (SELECT 1 FROM rmc JOIN store USING (id) WHERE k % 10 = 0 AND rmc.instance_id = d.instance_id AND starts_with(store.partition, d.partition))"),
+    "fsic_reduction_producer": _t("SELECT * FROM wide d WHERE EXISTS (SELECT 1 FROM ps q WHERE q.instance_id = d.instance_id AND starts_with(q.partition, d.partition))", _PAIRS_S),
+    "fsic_reduction_receiver": _t("SELECT * FROM wide d WHERE EXISTS (SELECT 1 FROM pr q WHERE q.instance_id = d.instance_id AND starts_with(q.partition, d.partition))", _PAIRS_R),
     "prefix_pairs": _t("SELECT a.partition AS path, b.partition AS prefix FROM (SELECT DISTINCT partition FROM dmc) a JOIN (SELECT DISTINCT partition FROM dmc) b ON starts_with(a.partition, b.partition) AND a.partition <> b.partition"),
-    "parent_closure": f"WITH RECURSIVE {_TREE}, r AS (SELECT c_custkey AS id, 0 AS depth FROM customer WHERE c_custkey % 50 = 3 UNION ALL SELECT t.id, depth + 1 FROM r JOIN tree t ON t.parent_id = r.id) SELECT id, min(depth)::INT AS depth FROM r GROUP BY id",
-    "certificate_ancestors": f"WITH RECURSIVE {_TREE}, r AS (SELECT c_custkey AS id, 0 AS depth FROM customer WHERE c_custkey % 40 = 7 UNION ALL SELECT t.parent_id, depth + 1 FROM r JOIN tree t ON t.id = r.id WHERE t.parent_id IS NOT NULL) SELECT id, min(depth)::INT AS depth FROM r GROUP BY id",
+    "parent_closure": f"WITH RECURSIVE {_TREE}, r AS (SELECT id, 0 AS depth FROM tree WHERE parent_id IS NULL UNION ALL SELECT t.id, depth + 1 FROM r JOIN tree t ON t.parent_id = r.id) SELECT id, min(depth)::INT AS depth FROM r GROUP BY id",
+    "certificate_ancestors": f"WITH RECURSIVE {_TREE}, r AS (SELECT id, 0 AS depth FROM tree WHERE id NOT IN (SELECT parent_id FROM tree WHERE parent_id IS NOT NULL) UNION ALL SELECT t.parent_id, depth + 1 FROM r JOIN tree t ON t.id = r.id WHERE t.parent_id IS NOT NULL) SELECT id, min(depth)::INT AS depth FROM r GROUP BY id",
     "fk_cascade": f"""WITH RECURSIVE {_TREE}, c AS (SELECT c_custkey AS id FROM customer WHERE c_nationkey = 4 UNION SELECT t.id FROM c JOIN tree t ON t.parent_id = c.id)
 SELECT 'nation' AS table_name, 4::BIGINT AS id UNION ALL SELECT 'customer', id FROM c UNION ALL SELECT 'orders', o_orderkey FROM orders WHERE o_custkey IN (SELECT id FROM c)""",
     "fsic_v1_producer": _t("SELECT * FROM fs", _flat("dmc", "fs", True)),
@@ -120,15 +148,13 @@ SELECT 'nation' AS table_name, 4::BIGINT AS id UNION ALL SELECT 'customer', id F
     "fsic_diff_v1": _t("SELECT * FROM fdiff", _FLATS, _FDIFF),
     "fsic_diff_v2": _t("SELECT * FROM diff", _BOTH, _DIFF),
     "dmc_update_v1": _t("SELECT partition, instance_id, max(counter)::INT AS counter FROM (SELECT * FROM peer UNION ALL SELECT f, a.instance_id, a.counter FROM fs a LEFT JOIN fh b USING (instance_id), filters WHERE coalesce(b.counter, 0) < a.counter) GROUP BY ALL", _FLATS),
-    "dmc_update_v2": _t("SELECT coalesce(p.partition, w.partition) AS partition, coalesce(p.instance_id, w.instance_id) AS instance_id, greatest(p.counter, w.counter) AS counter FROM peer p FULL JOIN (SELECT * FROM ws WHERE side = 'sub' AND instance_id IS NOT NULL) w ON p.partition = w.partition AND p.instance_id = w.instance_id", _wire("dmc", "ws")),
+    "dmc_update_v2": _t(_DMC_PARTS, _wire("dmc", "ws")),
     "queue_v1": _t(f"SELECT 't2' AS transfer_session_id, id AS model_uuid, {_RECORD} FROM store s WHERE EXISTS (SELECT 1 FROM filters WHERE starts_with(partition, f)) AND EXISTS (SELECT 1 FROM fdiff d WHERE d.instance_id = s.last_saved_instance AND s.last_saved_counter > d.counter)", _FLATS, _FDIFF),
     "queue_v2": _t(f"SELECT 't2' AS transfer_session_id, id AS model_uuid, {_RECORD} FROM store s WHERE EXISTS (SELECT 1 FROM diff d WHERE d.instance_id = s.last_saved_instance AND s.last_saved_counter > d.counter AND starts_with(s.partition, d.partition))", _BOTH, _DIFF),
     "queue_v2_vectors": _t("SELECT 't2' AS transfer_session_id, id AS model_uuid, instance_id, counter FROM rmc WHERE id IN (SELECT id FROM store s WHERE EXISTS (SELECT 1 FROM diff d WHERE d.instance_id = s.last_saved_instance AND s.last_saved_counter > d.counter AND starts_with(s.partition, d.partition)))", _BOTH, _DIFF),
     "queued_count": _t("SELECT transfer_session_id, count(*) AS records_total FROM buffer GROUP BY 1"),
     "dequeue_classify": _t("SELECT class, count(*) AS n FROM cls GROUP BY 1", CLS),
-    "dequeue_store": _t(f"""SELECT s.id, {_S}, s.dirty_bit, s.deserialization_error, s.last_transfer_session_id FROM store s LEFT JOIN cls ON s.id = model_uuid WHERE class IS NULL OR class = 'REVERSE_FF'
-UNION ALL SELECT b.model_uuid, {_B}, true, '', '{SESSION}' FROM buffer b JOIN cls USING (model_uuid) WHERE class IN ('NEW', 'FAST_FORWARD')
-UNION ALL SELECT s.id, {_CONFLICT_COLUMNS}, true, '', '{SESSION}' FROM store s JOIN buffer b ON s.id = b.model_uuid JOIN cls ON cls.model_uuid = s.id WHERE class = 'CONFLICT'""", CLS),
+    "dequeue_store": _t(_ORDERED, CLS),
     "dequeue_rmc": _t("""SELECT * FROM rmc WHERE NOT EXISTS (SELECT 1 FROM cls WHERE model_uuid = id AND class <> 'REVERSE_FF')
 UNION ALL SELECT coalesce(a.id, b.model_uuid), coalesce(a.instance_id, b.instance_id), coalesce(b.counter, a.counter) FROM (SELECT * FROM rmc WHERE id IN (SELECT model_uuid FROM cls WHERE class IN ('NEW', 'FAST_FORWARD'))) a
   FULL JOIN (SELECT * FROM rmcb WHERE model_uuid IN (SELECT model_uuid FROM cls WHERE class IN ('NEW', 'FAST_FORWARD'))) b ON a.id = b.model_uuid AND a.instance_id = b.instance_id
@@ -142,6 +168,30 @@ UNION ALL SELECT id, instance_id, max(counter)::INT FROM (SELECT * FROM rmc UNIO
     "capture_rows": _t("""SELECT b.id, b.partition, b.k::VARCHAR AS source_id, b.k::VARCHAR AS k, CASE WHEN s.id IS NOT NULL THEN '1' END AS v, b.o_orderstatus AS status, false AS deleted, 'i3' AS last_saved_instance, 500 AS last_saved_counter,
   CASE WHEN s.dirty_bit THEN s.serialized || chr(10) || s.conflicting_serialized_data ELSE coalesce(s.conflicting_serialized_data, '') END AS conflicting_serialized_data, false AS dirty_bit, NULL::VARCHAR AS last_transfer_session_id
 FROM base b LEFT JOIN store s ON s.id = b.id WHERE b.k % 2 = 0"""),
+    "serialize_store": _t("""SELECT b.id, b.partition, b.k::VARCHAR AS source_id, b.k::VARCHAR AS k, CASE WHEN s.id IS NOT NULL THEN '1' END AS v, b.o_orderstatus AS status, false AS deleted, false AS hard_deleted, 'i3' AS last_saved_instance, 500 AS last_saved_counter,
+  CASE WHEN s.dirty_bit THEN s.serialized || chr(10) || s.conflicting_serialized_data ELSE coalesce(s.conflicting_serialized_data, '') END AS conflicting_serialized_data, false AS dirty_bit, NULL::VARCHAR AS last_transfer_session_id FROM changed b LEFT JOIN store s ON s.id = b.id
+UNION ALL SELECT id, partition, source_id, CASE WHEN k % 30 <> 1 THEN k::VARCHAR END, CASE WHEN k % 30 <> 1 THEN '1' END, NULL, deleted OR (k % 10 = 1 AND k % 4 <> 1), hard_deleted OR k % 30 = 1, CASE WHEN k % 10 = 1 AND k % 4 <> 1 THEN 'i3' ELSE last_saved_instance END,
+  CASE WHEN k % 10 = 1 AND k % 4 <> 1 THEN 500 ELSE last_saved_counter END, CASE WHEN k % 30 = 1 THEN '' ELSE conflicting_serialized_data END, dirty_bit AND NOT (k % 10 = 1 AND k % 4 <> 1), last_transfer_session_id FROM store WHERE id NOT IN (SELECT id FROM changed)""", _CHANGED),
+    "serialize_vectors": _t("""SELECT 'record' AS kind, id, instance_id, counter FROM rmc WHERE NOT (instance_id = 'i3' AND id IN (SELECT id FROM saved)) UNION ALL SELECT 'record', id, 'i3', 500 FROM saved
+UNION ALL SELECT 'database', partition, instance_id, counter FROM dmc WHERE NOT (instance_id = 'i3' AND partition IN (SELECT f FROM filters)) UNION ALL SELECT 'database', f, 'i3', 500 FROM filters
+UNION ALL SELECT 'dirty', id, NULL, NULL FROM base WHERE k % 2 = 0 AND id NOT IN (SELECT id FROM changed)""", _CHANGED, _SAVED),
+    "own_counters": _t("SELECT * FROM dmc WHERE NOT (instance_id = 'i3' AND partition IN ('n1', 'n10', 'new')) UNION ALL SELECT unnest(['n1', 'n10', 'new']), 'i3', 500"),
+    "dirty_rule": _t("""SELECT 'save True' AS how, id, true AS _dirty FROM base UNION ALL SELECT 'save False', id, false FROM base UNION ALL SELECT 'save None', id, k % 3 = 0 OR k % 2 = 0 FROM base
+UNION ALL SELECT 'update True', id, k % 2 = 0 FROM base WHERE k % 3 <> 0 UNION ALL SELECT 'update False', id, k % 2 = 0 AND k % 4 <> 0 FROM base WHERE k % 3 <> 0 UNION ALL SELECT 'update None', id, k % 2 = 0 FROM base WHERE k % 3 <> 0"""),
+    "deserialize_apps": f"WITH {_RESTORED} {_APPS}",
+    "deserialize_marks": f"WITH {_RESTORED} {_MARKS}",
+    "skip_erroring": "SELECT 'u' || c_custkey AS id FROM customer WHERE c_custkey % 10 = 0 AND c_custkey % 4 <> 0 UNION ALL SELECT 'o' || o_orderkey FROM orders WHERE o_orderkey % 10 = 0 AND o_orderkey % 3 <> 0",
+    "restore_levels": _NODES,
+    "certificate_chains": f"""WITH RECURSIVE {_TREE}, c AS (SELECT *, CASE WHEN id % 7 = 0 THEN 'n1' WHEN id % 5 = 0 THEN 'n12' ELSE 'n' END AS r, id % 11 = 0 AS w FROM tree),
+v AS (SELECT id, r, w, true AS valid FROM c WHERE parent_id IS NULL UNION ALL SELECT c.id, c.r, c.w, v.valid AND starts_with(c.r, v.r) AND (v.w OR (NOT c.w AND starts_with(c.r, v.r))) FROM v JOIN c ON c.parent_id = v.id) SELECT id, valid FROM v""",
+    "page_files": _t("SELECT model_uuid, serialized, page, (SELECT count(*) FROM rmcb WHERE rmcb.model_uuid = x.model_uuid)::INT AS entries FROM (SELECT model_uuid, serialized, (row_number() OVER (ORDER BY model_uuid) - 1) // 100 AS page FROM buffer) x WHERE page >= 2"),
+    "stream_store": _t(_ORDERED, CLS),
+    "stream_counters": _t(_DMC_PARTS, _wire("dmc", "ws")),
+    "latest_sessions": f"WITH {_SYNCS} SELECT sync_session_id, id FROM (SELECT *, row_number() OVER (PARTITION BY sync_session_id ORDER BY last_activity DESC, id DESC) AS n FROM transfers WHERE active) WHERE n = 1",
+    "readable_buffers": _t("SELECT model_uuid, source_id AS transfer_session_id FROM buffer WHERE k % 3 <> 0 AND k % 2 <> 0"),
+    "partitions_outside": _t("SELECT DISTINCT partition FROM ws WHERE side = 'sub' AND NOT starts_with(partition, 'n10') AND NOT starts_with(partition, 'n3:c1')", _wire("dmc", "ws")),
+    "scope_filters": "SELECT c_custkey, 'n' || c_nationkey || ':' || c_custkey || ':${other}' AS prefix FROM customer",
+    "short_names": _t(f"SELECT id, CASE WHEN n >= 65536 THEN {_quint('(n >> 16)')} ELSE '' END || {_quint('n')} AS name FROM (SELECT id, ('0x' || substr(id, 1, 8))::BIGINT AS n FROM base)"),
     "restore_rows": _t("""SELECT id, k, 1 AS v, CASE WHEN k % 9 = 0 THEN '{"k": "Not nine."}' END AS error FROM store WHERE dirty_bit AND NOT deleted AND NOT hard_deleted"""),
     "buffer_page": _t(f"SELECT transfer_session_id, model_uuid, {_RECORD} FROM buffer ORDER BY model_uuid LIMIT 500 OFFSET 500"),
     "buffer_chunks": _t("SELECT model_uuid, (row_number() OVER (ORDER BY model_uuid) - 1) // 500 AS page FROM buffer"),

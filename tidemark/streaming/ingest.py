@@ -1,50 +1,92 @@
 """Merging transfers as they arrive, with Structured Streaming.
 
 Order and lateness need no watermark: a late record is dropped or becomes a
-conflict by its version vector.
+conflict by its version vector. What a transfer promises (its vector) counts
+only once all its records have been merged.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.scope import Filter
 from ..operators import exchange, merge
-from ..sources.pages import stream_pages
+from ..operators.capture import replaced
+from ..operators.trees import cut
+from ..schemas import DMC
+from ..sources.pages import read_vectors, stream_pages
 from ..sources.snapshots import Snapshots
 
+_SEEN = ["transfer_session_id", "model_uuid"]
 
-def merge_batch(snapshots: Snapshots, wire: DataFrame, instance_id: str, filters: Filter, profile: str, clock: Callable[[], int]) -> list[str]:
+
+def _latest(buffer: DataFrame) -> DataFrame:
+    """One row of each record: of rows that differ, that with the greatest counter, then by instance and text."""
+    order = Window.partitionBy("model_uuid").orderBy(F.col("last_saved_counter").desc(), F.col("last_saved_instance").desc(), F.col("serialized").desc(), F.col("deleted").desc(), F.col("hard_deleted").desc())
+    return buffer.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+
+
+def merge_batch(snapshots: Snapshots, wire: DataFrame, instance_id: str, filters: Filter, profile: str, clock: Callable[[], int], vectors: DataFrame | None = None) -> list[str]:
     """Merge the records of one micro-batch, session by session in order of their names; returns the sessions.
 
-    The whole batch is one commit. The batch's number is no part of the result:
-    a batch that is run again finds its records in the store's vectors and drops
-    them, so replays change nothing but the clock.
+    The whole batch is one commit, and only of what it changes: rows of the store
+    and vectors of the records that came, not the tables. The batch's number is no
+    part of the result: a batch that is run again finds its records in the store's
+    vectors and drops them, so replays change nothing but the clock.
+
+    ``vectors`` (see sources.pages.read_vectors) tells what transfers bring. When
+    as many different records of a transfer have come as it has, its vector is taken
+    into the database vector, so that the next transfer needn't send them again.
     """
-    sessions = [r[0] for r in wire.select("transfer_session_id").distinct().orderBy("transfer_session_id").collect()]
+    sessions = [r[0] for r in wire.where("transfer_session_id is not null").select("transfer_session_id").distinct().orderBy("transfer_session_id").collect()]
     if not sessions:
         return []
-    store, rmc = snapshots.read("store"), snapshots.read("rmc")
-    refused = None
+    base = snapshots.version
+    held = set(snapshots.tables(base)) if base else set()
+    spark = wire.sparkSession
+    ids = wire.select(F.col("model_uuid").alias("id")).distinct()
+    store, rmc = (snapshots.read(t, base).join(ids, "id", "left_semi") for t in ("store", "rmc"))
+    store, rmc = cut(store), cut(rmc)
+    refused, rows, entries, came = None, None, None, None
     for session in sessions:
         buffer, rmcb, bad = exchange.received(wire.where(F.col("transfer_session_id") == session), session, filters, profile, quarantine=True)
-        store, rmc = merge.merge(store, buffer.dropDuplicates(["model_uuid"]), rmc, rmcb, instance_id, clock(), session)
+        buffer = cut(_latest(buffer))
+        some = [cut(x) for x in merge.changes(store, buffer, rmc, rmcb, instance_id, clock(), session)]
+        store, rmc = cut(replaced(store, some[0])), cut(replaced(rmc, some[1], "id"))
+        rows = some[0] if rows is None else replaced(rows, some[0])
+        entries = some[1] if entries is None else replaced(entries, some[1], "id")
         refused = bad if refused is None else refused.unionByName(bad)
-    snapshots.commit({"store": store, "rmc": rmc, "refused": refused.select("transfer_session_id", "model_uuid", "problem")})
+        came = buffer.select(*_SEEN) if came is None else came.unionByName(buffer.select(*_SEEN))
+    changed = {"store": (rows, ["id"]), "rmc": (entries, ["id"]), "refused": (refused.select(*_SEEN, "problem"), [*_SEEN, "problem"]), "received": (came, _SEEN)}
+    tables = {}
+    if vectors is not None:
+        seen = replaced(snapshots.read("received", base), came, _SEEN) if "received" in held else came
+        counted = seen.groupBy("transfer_session_id").agg(F.countDistinct("model_uuid").alias("n"))
+        due = vectors.join(counted.where(F.col("transfer_session_id").isin(sessions)), "transfer_session_id").where("n >= records")
+        dmc = snapshots.read("dmc", base) if "dmc" in held else spark.createDataFrame([], DMC)
+        told = due.where("side is not null").groupBy("side", "partition", "instance_id").agg(F.max("counter").alias("counter"))
+        tables = {"dmc": merge.dmc_with_parts(dmc, told), "received": cut(seen).join(due.select("transfer_session_id").distinct(), "transfer_session_id", "left_anti").select(*_SEEN)}
+        del changed["received"]  # of transfers that go on
+    snapshots.commit(tables, changed, after=base)
     return sessions
 
 
-def merge_stream(spark: SparkSession, folder: str, snapshots: Snapshots, checkpoint: str, instance_id: str, filters: Filter, profile: str, clock: Callable[[], int], **trigger) -> StreamingQuery:
-    """Start merging what arrives in an exchange folder; each micro-batch becomes a snapshot version."""
+def merge_stream(spark: SparkSession, folder: str, snapshots: Snapshots, checkpoint: str, instance_id: str, filters: Filter, profile: str, clock: Callable[[], int], vector_folder: str | None = None, **trigger) -> StreamingQuery:
+    """Start merging what arrives in an exchange folder; each micro-batch becomes a snapshot version.
+
+    ``vector_folder`` is where senders say what their transfers bring; they write
+    there before they write pages.
+    """
 
     def each(batch: DataFrame, _: int) -> None:
         batch.persist()
         try:
-            merge_batch(snapshots, batch, instance_id, filters, profile, clock)
+            merge_batch(snapshots, batch, instance_id, filters, profile, clock, read_vectors(spark, vector_folder) if vector_folder else None)
+            snapshots.compact()
         finally:
             batch.unpersist()
 
