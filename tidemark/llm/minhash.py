@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import WordHashes, chunks, mix64, rolling
 
@@ -42,7 +43,7 @@ def sketch(words: np.ndarray, bins: int = BINS, shingle: int = SHINGLE) -> np.nd
         hit = full[to]
         out[empty[hit]] = out[to[hit]]
         empty = empty[~hit]
-    out[empty] = out[np.nonzero(full)[0][0]]  # after 64 rounds: chance below 2e-8 a bin even if one bin alone is full
+    out[empty] = out[np.nonzero(full)[0][0]]  # after all rounds: chance below 2e-7 a bin even if one bin alone is full
     return out
 
 
@@ -100,35 +101,63 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 COMPARED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
+#: Bytes of text that a range of documents has, about; a longer text stands in one of its own.
+RANGE_BYTES = 32 << 20
+#: A document weighs one more for so many bytes when ranges are cut.
+WEIGHT_BYTES = 1 << 12
+
+
 def with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
     """Each row of ``docs`` against its edited text and the next document (see COMPARED).
 
-    Documents stand in order of doc_id (then of text, null first); the edited
-    text has its last quarter of code points replaced by the first as many of the
-    next document, and the first document follows the last. Ranges of doc_id
-    start at ids taken from the column itself, and the first document of a range
-    goes to the range before it as well, so each text moves once and no task
-    holds more than a range. Null and empty texts have no words. Rows with a
-    null doc_id come first.
+    Documents stand in order of doc_id, those of one doc_id by text; rows with a
+    null doc_id come first, in the order of their texts' hashes. The edited text has
+    its last quarter of code points replaced by the first as many of the next
+    document, and the first document follows the last. Null and empty texts have no
+    words. ``doc_id`` has to be of an integer type.
+
+    Documents are cut into ranges of about equal bytes, each a partition of its own;
+    a range starts at an id taken from the column itself (or, among null ids, at the
+    least hash), and its first document goes to the range before it as well. So each
+    text moves once, and no task holds more than a row and the one before it.
     """
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"{id_col} has to be of an integer type to be in order")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    n = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 2
-    marks = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(n)], 100 * n).alias("at"), F.min("doc_id").alias("least"), F.count(F.when(F.col("doc_id").isNull(), 1)).alias("nulls")).first()
-    bounds = sorted({*(marks["at"] or [])[1:]} - {marks["least"]})
-    # range 0 also holds what stands before the first bound
-    if bounds:
-        inside = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col("doc_id"))) if len(bounds) <= 16 else _place(bounds)(F.col("doc_id"))
-        rows = rows.withColumn("part", F.when(F.col("doc_id").isNull(), 0).otherwise(inside).cast("int"))
-        starts = F.col("doc_id").isin(bounds)
+    no_id, size = F.col("doc_id").isNull(), F.octet_length("text").cast("long")
+    total = rows.agg(F.sum(size).alias("bytes"), F.sum(F.when(no_id, size)).alias("null_bytes"), F.min("doc_id").alias("least")).first()
+    most = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    n = parts or max(int(most) * 2, -(-(total["bytes"] or 0) // RANGE_BYTES))
+    bounds = []
+    if total["least"] is not None:
+        weighed = rows.where(~no_id).select(F.explode(F.array_repeat("doc_id", (1 + F.expr(f"octet_length(text) div {WEIGHT_BYTES}")).cast("int"))).alias("doc_id"))
+        bounds = weighed.agg(F.percentile_approx("doc_id", [i / n for i in range(n)], 100 * n)).first()[0]
+        bounds = sorted({*bounds} - {total["least"]})
+    # ranges of null ids by hash, then ranges of ids
+    nulls = 0 if total["null_bytes"] is None else parts or 1 + total["null_bytes"] // RANGE_BYTES
+    part = nulls + (_place(bounds)(F.col("doc_id")) if bounds else F.lit(0))
+    last = nulls + len(bounds) - (total["least"] is None)
+    rows, firsts = rows.withColumn("key", F.lit(0).cast("long")), F.lit(None).cast("int")
+    if nulls:
+        rows = rows.withColumn("key", F.when(no_id, F.xxhash64("text")).otherwise(F.lit(0)))
+        part = F.when(no_id, F.least(F.lit(nulls - 1), F.floor((F.col("key") / F.lit(2.0**64) + 0.5) * nulls).cast("int"))).otherwise(part)
+        least = sorted(tuple(r) for r in rows.where(no_id).groupBy(part.alias("p")).agg(F.min("key")).collect())  # a row for each range
+        before = last
+        for p, key in least:
+            firsts = F.when(no_id & (F.col("key") == key), before).otherwise(firsts)
+            before = p
     else:
-        rows, starts = rows.withColumn("part", F.lit(0)), F.lit(False)
-    first = F.col("doc_id").isNull() if marks["nulls"] else F.col("doc_id") == F.lit(marks["least"])
-    to = F.array_compact(F.array(F.struct("part", F.lit(0).alias("halo")), F.when(starts, F.struct((F.col("part") - 1).alias("part"), F.lit(1).alias("halo"))), F.when(first, F.struct(F.lit(len(bounds)).alias("part"), F.lit(1).alias("halo")))))
-    dealt = rows.withColumn("to", F.explode(to)).select(F.col("to.part").alias("part"), F.col("to.halo").alias("halo"), "doc_id", "text")
-    dealt = dealt.repartition(len(bounds) + 1, "part").sortWithinPartitions("part", "halo", F.col("doc_id").asc_nulls_first(), "text")
+        before = last
+    rows = rows.withColumn("part", part.cast("int"))
+    if total["least"] is not None:
+        inner = F.when(F.col("doc_id").isin(bounds), F.col("part") - 1) if bounds else F.lit(None).cast("int")
+        firsts = F.when(F.col("doc_id") == total["least"], before).otherwise(F.coalesce(inner, firsts))
+    to = F.array_compact(F.array(F.struct("part", F.lit(0).alias("halo")), F.when(firsts.isNotNull(), F.struct(firsts.cast("int").alias("part"), F.lit(1).alias("halo")))))
+    dealt = rows.withColumn("to", F.explode(to)).select(F.col("to.part").alias("part"), F.col("to.halo").alias("halo"), "doc_id", "text", "key")
+    dealt = dealt.repartitionById(nulls + len(bounds) + 1, F.col("part")).sortWithinPartitions("part", "halo", F.col("doc_id").asc_nulls_first(), "key", "text").drop("key")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, out, held, seen = Sketcher(), [], None, None
+        of, out, held = Sketcher(), [], None
         for batch in chunks(batches, "text"):
             part, halo, ids, body = (batch.column(i).to_pylist() for i in range(4))
             for p, extra, i, text in zip(part, halo, ids, body, strict=True):
@@ -157,12 +186,16 @@ def compare(of: Sketcher, doc_id: int, text: str, mins: np.ndarray | None, after
 
 
 def _place(bounds: list[int]):
-    """The number of bounds at or below a value, as a balanced expression."""
+    """The number of bounds at or below a value: a binary search in a constant array."""
+    at = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<long>")
+    whole = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
+
+    def expr(x) -> object:
+        def half(s, _):
+            mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+            below = (s["lo"] < s["hi"]) & (F.get(at, mid) <= x)
+            return F.struct(F.when(below, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(below | (s["lo"] >= s["hi"]), s["hi"]).otherwise(mid).alias("hi"))
 
-    def expr(lo: int, hi: int, x) -> object:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(x < F.lit(bounds[mid]), expr(lo, mid, x)).otherwise(expr(mid + 1, hi, x))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(len(bounds).bit_length())), whole, half, lambda s: s["lo"])
 
-    return lambda x: expr(0, len(bounds), x)
+    return expr
