@@ -11,13 +11,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_TABLE, WordHashes, bitmap, chunks, in_bitmap, merged, stash, texts
+from .common import WORD_TABLE, WordHashes, bitmap, chunks, in_bitmap, merged, stash, texts, unused
 
 KINDS = ("email", "ip", "card", "phone")
-#: Distinct texts in which a term must stand with a value.
+#: Distinct texts in which a term must stand with a value: of fewer no share can be estimated, as every word of a
+#: text that comes once stands in all texts of each value in it.
 SUPPORT = 3
 #: Share of a value's information from which a term is generalised, and from which it is removed.
 GENERALISE, REMOVE = 0.5, 0.8
+#: A term is wider than another if it stands in this share of the other's texts, and in this many times as many in all.
+WIDER_SHARE, WIDER_TIMES = 0.8, 2
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -165,11 +168,12 @@ def _document_counts(rows: DataFrame, terms: DataFrame) -> DataFrame:
     return weighed.mapInArrow(scan, "h long, df long").groupBy("h").agg(F.sum("df").alias("df"))
 
 
-def _named(batch: pa.RecordBatch, bits: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """(th, text) of the texts of a batch (th, text) that a bitmap names, once each."""
+def _named(batch: pa.RecordBatch, bits: np.ndarray | None) -> Iterator[tuple[int, bytes]]:
+    """(th, text) of the texts of a batch (th, text) that a bitmap names (None: all), once each."""
     th = batch.column(0).to_numpy(zero_copy_only=False)
-    first = np.unique(th, return_index=True)[1]
-    at = first[in_bitmap(bits, th[first].view(np.uint64))]
+    at = np.unique(th, return_index=True)[1]
+    if bits is not None:
+        at = at[in_bitmap(bits, th[at].view(np.uint64))]
     yield from zip(th[at].tolist(), texts(batch.column(1).take(pa.array(at))), strict=True)
 
 
@@ -187,14 +191,19 @@ def _vocabulary(rows: DataFrame, holders: np.ndarray) -> DataFrame:
     return rows.select("th", "text").mapInArrow(scan, "h long")
 
 
-def _places(rows: DataFrame, holders: np.ndarray, terms: np.ndarray, every: bool) -> DataFrame:
-    """(th, h, start, end) of terms outside protected values, both from bitmaps; the first place in each text or every one."""
+def _places(rows: DataFrame, holders: np.ndarray | None, terms: np.ndarray, every: bool) -> DataFrame:
+    """(th, h, start, end) of terms outside protected values, the first place in each text or every one.
+
+    Texts (None: all) and terms are named by bitmaps.
+    """
     share = rows.sparkSession.sparkContext.broadcast((holders, terms))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in chunks(batches, "text"):
             for th, raw in _named(batch, share.value[0]):
+                if share.value[0] is None and not in_bitmap(share.value[1], hashes.of(raw.translate(WORD_TABLE).split())).any():
+                    continue
                 text, spans = base_spans(raw)
                 words = list(words_outside(text or raw.decode(), spans))
                 h = hashes.of([w for w, _, _ in words])
@@ -208,7 +217,7 @@ def _places(rows: DataFrame, holders: np.ndarray, terms: np.ndarray, every: bool
 
 
 def disclosing_terms(scanned: DataFrame, rows: DataFrame) -> DataFrame | None:
-    """(th, h, action): terms, by hash, that give away too much of a value in the text th; None if no term could.
+    """(h, action): terms, by hash, that give away too much of some value; None if no term could.
 
     With N distinct texts, a value c in n(c) of them, a term t in df(t) and both in
     co(c, t), the term reveals PMI(c, t) = log2((co(c, t) / n(c)) / (df(t) / N)) of the
@@ -231,56 +240,116 @@ def disclosing_terms(scanned: DataFrame, rows: DataFrame) -> DataFrame | None:
     ic = F.log2(F.lit(n) / F.col("nc"))
     share = F.when(ic > 0, F.log2(F.col("co") / F.col("nc") * n / F.col("df")) / ic)
     scored = together.join(own, "entity").join(counts, "h").withColumn("share", share).where(F.col("share") >= GENERALISE)
-    flagged = scored.select("entity", "h", F.when(F.col("share") >= REMOVE, "remove").otherwise("generalise").alias("action"))
-    flagged = stash(flagged.join(held.select("th", "entity"), "entity").groupBy("th", "h").agg(F.max("action").alias("action")), "flagged")
+    flagged = stash(scored.groupBy("h").agg(F.max(F.when(F.col("share") >= REMOVE, "remove").otherwise("generalise")).alias("action")), "flagged")
     return None if flagged.isEmpty() else flagged
 
 
-def _found(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """The rows read, what the scan found, and the disclosing spans of each (doc_id, th)."""
+def wider_terms(rows: DataFrame, places: DataFrame, flagged: DataFrame) -> DataFrame:
+    """(h, wider): for terms to be generalised the next wider term, where the corpus has one.
+
+    A wider term subsumes the other: it stands in most of its texts and in many
+    more, and discloses nothing itself. Of several the one in fewest texts is
+    nearest. Words inside protected values are none.
+    """
+    spark = rows.sparkSession
+    held = stash(places.where("action = 'generalise'").select("th", "h").distinct(), "generalised")
+    own = held.groupBy("h").agg(F.count("*").alias("n"))
+    some = stash(_texts(rows, held.select("th").distinct()), "holders")
+    bits = spark.sparkContext.broadcast(bitmap(own, "h", 24))
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in chunks(batches, "text", 1 << 20):
+            left, right = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+            for raw in texts(batch.column(1)):
+                text, spans = base_spans(raw)
+                h = np.unique(hashes.of([w for w, _, _ in words_outside(text or raw.decode(), spans)]))
+                for g in h[in_bitmap(bits.value, h)] if len(h) else ():
+                    left.append(np.full(len(h), g))
+                    right.append(h)
+            left, right = np.concatenate(left), np.concatenate(right)
+            order = np.lexsort((right, left))
+            left, right = left[order], right[order]
+            at = np.concatenate([[0], np.nonzero((left[1:] != left[:-1]) | (right[1:] != right[:-1]))[0] + 1]) if len(left) else np.zeros(0, np.int64)
+            n = np.diff(np.append(at, len(left)))
+            yield pa.RecordBatch.from_arrays([pa.array(left[at].view(np.int64)), pa.array(right[at].view(np.int64)), pa.array(n.astype(np.int64))], ["h", "x", "co"])
+
+    both = some.mapInArrow(pairs, "h long, x long, co long").groupBy("h", "x").agg(F.sum("co").alias("co")).join(own, "h")
+    both = both.where((F.col("h") != F.col("x")) & (F.col("co") >= WIDER_SHARE * F.col("n"))).join(flagged.select(F.col("h").alias("x")), "x", "left_anti")
+    both = stash(both, "wider")
+    known = spark.sparkContext.broadcast(bitmap(both, "x", 24))
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in chunks(batches, "text"):
+            found = {w for raw in texts(batch.column(1)) for w in raw.translate(WORD_TABLE).split()}
+            words = list(found)
+            h = hashes.of(words)
+            at = np.nonzero(in_bitmap(known.value, h))[0]
+            yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array([words[i].decode() for i in at], pa.string())], ["x", "word"])
+
+    names = some.mapInArrow(named, "x long, word string").groupBy("x").agg(F.min("word").alias("word"))
+    df = _document_counts(rows, both.select(F.col("x").alias("h"))).withColumnRenamed("h", "x")
+    fit = both.join(df, "x").where(F.col("df") >= WIDER_TIMES * F.col("n")).join(names, "x")
+    return fit.groupBy("h").agg(F.min(F.struct("df", "word")).alias("w")).select("h", F.col("w.word").alias("wider"))
+
+
+def _found(docs: DataFrame, id_col: str, text_col: str, with_wider: bool) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """The rows read, what the scan found, and the disclosing spans (start, end, new text) of each (doc_id, th)."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("th", F.xxhash64("text"))
     scanned = stash(rows.mapInArrow(_scan, SCANNED.format(dict(rows.dtypes)["doc_id"])), "pii")
     terms = disclosing_terms(scanned, rows)
     if terms is None:
         return rows, scanned, None
-    places = _places(rows, bitmap(terms, "th", 24), bitmap(terms, "h", 24), every=True).join(terms, ["th", "h"])
-    spans = places.groupBy("th").agg(F.array_sort(F.collect_set(F.struct("start", "end", "action"))).alias("terms"))
+    places = stash(_places(rows, None, bitmap(terms, "h", 24), every=True).join(terms, "h"), "places")
+    if with_wider and not terms.where("action = 'generalise'").isEmpty():
+        places = places.join(stash(wider_terms(rows, places, terms), "named"), "h", "left")
+    else:
+        places = places.withColumn("wider", F.lit(None).cast("string"))
+    new = F.when(F.col("action") == "remove", "").otherwise(F.coalesce("wider", F.lit("[TERM]")))
+    spans = places.groupBy("th").agg(F.array_sort(F.collect_set(F.struct("start", "end", new.alias("new")))).alias("terms"))
     spans = scanned.select("doc_id", "th").distinct().join(spans, "th").select("doc_id", "th", "terms")
-    return rows, scanned, stash(spans.withColumnsRenamed({"doc_id": "__id", "th": "__th"}), "spans")
+    own = unused(docs, "id", "th", "terms")
+    return rows, scanned, stash(spans.toDF(*own), "spans")
 
 
 def scan_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone, n_term, base_sha256, spans.
 
     Spans are kind:start:end in code points, end exclusive, by kind and start;
-    disclosing terms are of kind "term". Null texts count as empty and have none;
-    documents without a protected value have no terms.
+    disclosing terms are of kind "term", in every text that has them, also those
+    without a protected value. Null texts count as empty and have none. Ids may be
+    of any type.
     """
-    _, scanned, spans = _found(docs, id_col, text_col)
+    _, scanned, spans = _found(docs, id_col, text_col, False)
     scanned = scanned.drop("entities")
     if spans is None:
         return scanned.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.lit(0).cast("long").alias("n_term"), "base_sha256", F.col("base").alias("spans"))
+    spans = spans.toDF("__id", "__th", "terms")
     joined = scanned.join(spans, scanned["doc_id"].eqNullSafe(spans["__id"]) & (scanned["th"] == spans["__th"]), "left")
-    flat = F.array_distinct(F.transform(F.coalesce("terms", F.expr("cast(array() as array<struct<start: int, end: int, action: string>>)")), lambda t: F.concat(F.lit("term:"), t["start"].cast("string"), F.lit(":"), t["end"].cast("string"))))
+    flat = F.array_distinct(F.transform(F.coalesce("terms", F.expr("cast(array() as array<struct<start: int, end: int, new: string>>)")), lambda t: F.concat(F.lit("term:"), t["start"].cast("string"), F.lit(":"), t["end"].cast("string"))))
     every = F.array_join(F.concat(F.when(F.col("base") == "", F.array().cast("array<string>")).otherwise(F.array("base")), flat), ",")
     return joined.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.size(flat).cast("long").alias("n_term"), "base_sha256", every.alias("spans"))
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with protected values replaced by their kind in brackets, disclosing terms by [TERM] or by nothing.
+    """``docs`` with protected values replaced by their kind in brackets, and disclosing terms by a wider term or nothing.
 
-    All columns stay; rows without a protected value, null texts among them, are
+    A term to be generalised gives way to the nearest wider one of the corpus
+    ([TERM] if it has none), one to be removed to nothing, in all documents. All
+    columns stay; rows without a value or such a term, null texts among them, are
     returned as they are. Of overlapping spans the first replaces, and what the
     others cover goes as well.
     """
     names = docs.columns
     at = names.index(text_col)
-    _, _, spans = _found(docs, id_col, text_col)
+    _, _, spans = _found(docs, id_col, text_col, True)
     joined = docs
     if spans is not None:
+        key, hashed, terms = spans.columns
         th = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-        joined = docs.join(spans, docs[id_col].eqNullSafe(spans["__id"]) & (th == spans["__th"]), "left").select(*[docs[c] for c in names], F.col("terms").alias("__terms"))
+        joined = docs.join(spans, docs[id_col].eqNullSafe(spans[key]) & (th == spans[hashed]), "left").select(*[docs[c] for c in names], terms)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, text_col):
@@ -288,12 +357,12 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             terms = batch.column(len(names)).to_pylist() if batch.num_columns > len(names) else [None] * batch.num_rows
             for i, raw in enumerate(texts(batch.column(at))):
                 text, base = base_spans(raw)
-                if not base:
+                if not base and not terms[i]:
                     continue
                 if not changed:
                     old, changed = batch.column(at).to_pylist(), True
-                spans = [(a, b, f"[{KINDS[k].upper()}]") for k, a, b in base]
-                spans += [(t["start"], t["end"], "" if t["action"] == "remove" else "[TERM]") for t in terms[i] or ()]
+                text = text if text is not None else raw.decode()
+                spans = [(a, b, f"[{KINDS[k].upper()}]") for k, a, b in base] + [(t["start"], t["end"], t["new"]) for t in terms[i] or ()]
                 done, parts = 0, []
                 for a, b, what in sorted(spans):
                     if b > done:
