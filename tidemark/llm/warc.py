@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import gzip
+import re
+import zlib
+from collections.abc import Iterator
+from hashlib import sha256
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,9 +60,8 @@ def derive(responses: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
 
     ``responses`` has record_id, target_uri, warc_date, http_headers, payload and
     payload_digest; ``keys`` are further columns to carry along. Both derived
-    records name the response in refers_to and keep its target, date and payload
-    digest; the metadata block repeats its HTTP headers, and names the conversion
-    record. Null payloads and headers count as empty, a missing payload digest is
+    records name the response in refers_to and each other in concurrent_to, and keep
+    the response's target, date, payload digest and HTTP headers. Null payloads and headers count as empty, a missing payload digest is
     computed. Repeated responses give repeated records; other columns are left out.
     """
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
@@ -66,17 +72,19 @@ def derive(responses: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
         F.lit("conversion-record: "), F.col("conversion_id"), F.lit("\r\nsource-payload-digest: "), F.col("source_digest"), F.lit("\r\nsource-payload-bytes: "), F.octet_length("p").cast("string"),
         F.lit("\r\ntitle: "), F.col("title"), F.lit("\r\nsource-http: "), F.replace(F.col("h"), F.lit("\r\n"), F.lit("\r\nsource-http: ")), F.lit("\r\n"),
     )
-    record = lambda kind, rid, media, block: F.struct(F.lit(kind).alias("warc_type"), rid.alias("record_id"), F.lit(media).alias("content_type"), block.alias("block"))
-    both = F.array(record("metadata", urn(F.lit("metadata"), F.col("refers_to")), "application/warc-fields", fields), record("conversion", F.col("conversion_id"), "text/plain; charset=utf-8", plain_text(F.col("p"))))
-    out = base.select(*keys, "refers_to", "target_uri", "warc_date", "source_digest", F.explode(both).alias("r"))
-    return out.select(*keys, "r.warc_type", "r.record_id", "refers_to", "target_uri", "warc_date", "r.content_type", F.octet_length("r.block").cast("long").alias("content_length"), digest(F.col("r.block")).alias("block_digest"), "source_digest", "r.block")
+    record = lambda kind, rid, other, media, block: F.struct(F.lit(kind).alias("warc_type"), rid.alias("record_id"), other.alias("concurrent_to"), F.lit(media).alias("content_type"), block.alias("block"))
+    meta, text_id = urn(F.lit("metadata"), F.col("refers_to")), F.col("conversion_id")
+    both = F.array(record("metadata", meta, text_id, "application/warc-fields", fields), record("conversion", text_id, meta, "text/plain; charset=utf-8", plain_text(F.col("p"))))
+    out = base.select(*keys, "refers_to", "target_uri", "warc_date", "source_digest", F.col("h").alias("source_headers"), F.explode(both).alias("r"))
+    return out.select(*keys, "r.warc_type", "r.record_id", "refers_to", "r.concurrent_to", "target_uri", "warc_date", "r.content_type", F.octet_length("r.block").cast("long").alias("content_length"), digest(F.col("r.block")).alias("block_digest"), "source_digest", "source_headers", "r.block")
 
 
 def render(records: DataFrame) -> DataFrame:
-    """``record``: the WARC form of each derived record."""
-    named = (("WARC-Type", "warc_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Target-URI", "target_uri"), ("WARC-Date", "warc_date"), ("WARC-Block-Digest", "block_digest"), ("Content-Type", "content_type"), ("Content-Length", "content_length"))
+    """``record``: the WARC form of each derived record, the source's digest and headers in it as extension fields."""
+    named = (("WARC-Type", "warc_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Concurrent-To", "concurrent_to"), ("WARC-Target-URI", "target_uri"), ("WARC-Date", "warc_date"), ("WARC-Block-Digest", "block_digest"), ("WARC-Payload-Digest", "block_digest"), ("Source-Payload-Digest", "source_digest"), ("Content-Type", "content_type"), ("Content-Length", "content_length"))
     lines = [F.concat(F.lit(f"{name}: "), F.col(c).cast("string"), F.lit("\r\n")) for name, c in named]
-    return records.select(F.concat(F.lit(VERSION), *lines, F.lit("\r\n"), F.col("block"), F.lit("\r\n\r\n")).alias("record"))
+    source = F.when(F.col("source_headers") == "", "").otherwise(F.concat(F.lit("Source-HTTP: "), F.replace(F.col("source_headers"), F.lit("\r\n"), F.lit("\r\nSource-HTTP: ")), F.lit("\r\n")))
+    return records.select(F.concat(F.lit(VERSION), *lines, source, F.lit("\r\n"), F.col("block"), F.lit("\r\n\r\n")).alias("record"))
 
 
 def write_warc(records: DataFrame, path: str) -> None:
@@ -84,26 +92,88 @@ def write_warc(records: DataFrame, path: str) -> None:
     render(records).select(F.expr("left(record, length(record) - 1)").alias("value")).write.option("lineSep", "\n").text(path)
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of WARC files: header lines and block, cut at the version line so that large files split.
+def read_warc(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """Records of WARC/1.0 and 1.1 files: header fields and the block as bytes.
 
-    A block that holds a whole version line of its own isn't told from the next
-    record; content_length shows that.
+    Files are cut at version lines, so large uncompressed files split; a block is as
+    many bytes as its record says. A piece that isn't a whole record (a block with a
+    version line of its own, a cut-off file) is never returned as one: it fails the
+    read, or without ``strict`` comes with what is wrong in ``problem``.
     """
-    rows = spark.read.option("lineSep", VERSION).text(path).where("value <> ''")
-    head = F.substring_index("value", "\r\n\r\n", 1)
-    field = lambda name: F.nullif(F.regexp_extract(head, rf"(?im)^{name}:[ \t]*([^\r\n]*)", 1), F.lit(""))
-    rest = F.expr("substring(value, length(substring_index(value, '\r\n\r\n', 1)) + 5)")
-    block = F.regexp_replace(rest, r"\r\n\r\n$", "")
-    return rows.select(field("WARC-Type").alias("warc_type"), field("WARC-Record-ID").alias("record_id"), field("WARC-Refers-To").alias("refers_to"), field("WARC-Target-URI").alias("target_uri"), field("WARC-Date").alias("warc_date"), field("WARC-Payload-Digest").alias("payload_digest"), field("Content-Length").cast("long").alias("content_length"), block.alias("block"))
+    # one character for each byte, so that lengths are those of bytes
+    raw = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
+    rows = spark.read.option("lineSep", "WARC/1.").text(path).where("value <> ''").select(raw.alias("raw"))
+    rows = rows.withColumn("head", F.substring_index("raw", "\r\n\r\n", 1)).withColumn("rest", F.expr("substring(raw, length(head) + 5)"))
+    utf8 = F.make_valid_utf8(F.encode("head", "ISO-8859-1").cast("string"))
+    field = lambda name: F.nullif(F.regexp_extract(utf8, rf"(?im)^{name}:[ \t]*([^\r\n]*)", 1), F.lit(""))
+    size = F.expr("try_cast(n as long)")
+    rows = rows.withColumn("n", field("Content-Length")).withColumn("content_length", size)
+    begins = F.col("raw").rlike("^[01]\r\n") & (F.length("raw") > F.length("head"))
+    after = F.expr("substring(rest, cast(content_length + 1 as int))")
+    problem = F.when(~begins, "not the beginning of a record").when(F.col("content_length").isNull(), "no Content-Length").when(F.length("rest") < F.col("content_length"), "block shorter than its Content-Length").when(~after.isin("", "\r\n", "\r\n\r\n"), "block longer than its Content-Length")
+    block = F.encode(F.expr("substring(rest, 1, cast(content_length as int))"), "ISO-8859-1")
+    names = (("warc_type", "WARC-Type"), ("record_id", "WARC-Record-ID"), ("refers_to", "WARC-Refers-To"), ("concurrent_to", "WARC-Concurrent-To"), ("target_uri", "WARC-Target-URI"), ("warc_date", "WARC-Date"), ("payload_digest", "WARC-Payload-Digest"), ("block_digest", "WARC-Block-Digest"), ("source_digest", "Source-Payload-Digest"))
+    source = F.array_join(F.regexp_extract_all(utf8, F.lit(r"(?m)^Source-HTTP: ([^\r\n]*)"), 1), "\r\n")
+    out = rows.select(*[field(n).alias(c) for c, n in names], "content_length", source.alias("source_headers"), F.when(problem.isNull(), block).alias("block"), problem.alias("problem"))
+    if not strict:
+        return out
+    checked = F.when(F.col("problem").isNull(), F.col("block")).otherwise(F.raise_error(F.concat(F.lit("WARC record "), F.coalesce("record_id", F.lit("?")), F.lit(": "), "problem")).cast("binary"))
+    return out.withColumn("block", checked).drop("problem")
+
+
+def decoded(block: bytes) -> tuple[str, bytes, str]:
+    """(headers, body, text) of an HTTP message: chunks joined, gzip and deflate undone, the text by its charset."""
+    head, _, body = block.partition(b"\r\n\r\n")
+    headers = head.decode("utf-8", "replace")
+    value = lambda name: (re.search(rf"(?im)^{name}:[ \t]*([^\r\n]*)", headers) or ("", ""))[1].strip().lower()
+    if "chunked" in value("Transfer-Encoding"):
+        parts, at = [], 0
+        while True:
+            end = body.index(b"\r\n", at)
+            size = int(body[at:end].split(b";")[0], 16)
+            if not size:
+                break
+            if end + 2 + size > len(body):
+                raise ValueError("a chunk is cut off")
+            parts.append(body[end + 2 : end + 2 + size])
+            at = end + 4 + size
+        body = b"".join(parts)
+    for coding in reversed([c.strip() for c in value("Content-Encoding").split(",")]):
+        if coding in ("gzip", "x-gzip"):
+            body = gzip.decompress(body)
+        elif coding == "deflate":
+            body = zlib.decompress(body, -15 if body[:1] and body[0] & 15 != 8 else 15)
+        elif coding not in ("", "identity"):
+            raise ValueError(f"unknown content encoding {coding}")
+    charset = re.search(r"charset=[\"']?([\w.:-]+)", value("Content-Type"))
+    try:
+        text = body.decode(charset[1] if charset else "utf-8", "replace")
+    except LookupError:
+        text = body.decode("utf-8", "replace")
+    return headers, body, text
 
 
 def responses_of_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Response records of WARC files, ready for ``derive``."""
-    found = read_warc(spark, path).where("lower(warc_type) = 'response'")
-    headers = F.substring_index("block", "\r\n\r\n", 1)
-    payload = F.expr("substring(block, length(substring_index(block, '\r\n\r\n', 1)) + 5)")
-    return found.select("record_id", "target_uri", "warc_date", headers.alias("http_headers"), payload.alias("payload"), "payload_digest")
+    """Response records of WARC files, ready for ``derive``; one whose body can't be decoded has ``problem`` and an empty payload.
+
+    The payload digest is the record's own; where it has none it is that of the
+    decoded body.
+    """
+    found = read_warc(spark, path).where("lower(warc_type) = 'response'").select("record_id", "target_uri", "warc_date", "payload_digest", "block")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for own, block in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                try:
+                    headers, body, text = decoded(block)
+                    out.append((headers, text, own or f"sha256:{sha256(body).hexdigest()}", None))
+                except (ValueError, OSError, EOFError, zlib.error) as e:
+                    out.append((block.partition(b"\r\n\r\n")[0].decode("utf-8", "replace"), "", own, str(e)))
+            columns = [pa.array([r[j] for r in out], pa.string()) for j in range(4)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], ["record_id", "target_uri", "warc_date", "http_headers", "payload", "payload_digest", "problem"])
+
+    return found.mapInArrow(scan, "record_id string, target_uri string, warc_date string, http_headers string, payload string, payload_digest string, problem string")
 
 
 def derivatives(pages: DataFrame) -> DataFrame:
@@ -132,11 +202,11 @@ WITH r AS (
   SELECT *, 'sha256:' || sha256(p) AS source_digest, {_URN.format(h="md5('conversion|' || refers_to)")} AS conversion_id, {_URN.format(h="md5('metadata|' || refers_to)")} AS metadata_id,
     regexp_replace(regexp_extract(p, '{TITLE}', 1), '\\s+', ' ', 'g') AS title FROM r
 ), u AS (
-  SELECT page_id, 'metadata' AS warc_type, metadata_id AS record_id, refers_to, target_uri, 'application/warc-fields' AS content_type, source_digest,
+  SELECT page_id, 'metadata' AS warc_type, metadata_id AS record_id, conversion_id AS concurrent_to, p, refers_to, target_uri, 'application/warc-fields' AS content_type, source_digest,
     'conversion-record: ' || conversion_id || {_CRLF} || 'source-payload-digest: ' || source_digest || {_CRLF} || 'source-payload-bytes: ' || strlen(p) || {_CRLF} || 'title: ' || title || {_CRLF}
     || 'source-http: HTTP/1.1 200 OK' || {_CRLF} || 'source-http: Content-Type: text/html; charset=utf-8' || {_CRLF} || 'source-http: Content-Length: ' || strlen(p) || {_CRLF} AS block FROM s
   UNION ALL
-  SELECT page_id, 'conversion', conversion_id, refers_to, target_uri, 'text/plain; charset=utf-8', source_digest, {_sql_rules("p")} FROM s
+  SELECT page_id, 'conversion', conversion_id, metadata_id, p, refers_to, target_uri, 'text/plain; charset=utf-8', source_digest, {_sql_rules("p")} FROM s
 )
-SELECT page_id, warc_type, record_id, refers_to, target_uri, '2024-01-01T00:00:00Z' AS warc_date, content_type, strlen(block)::BIGINT AS content_length, 'sha256:' || sha256(block) AS block_digest, source_digest, block FROM u
+SELECT page_id, warc_type, record_id, refers_to, concurrent_to, 'HTTP/1.1 200 OK' || {_CRLF} || 'Content-Type: text/html; charset=utf-8' || {_CRLF} || 'Content-Length: ' || strlen(p) AS source_headers, target_uri, '2024-01-01T00:00:00Z' AS warc_date, content_type, strlen(block)::BIGINT AS content_length, 'sha256:' || sha256(block) AS block_digest, source_digest, block FROM u
 """
