@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import stash, unused
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -29,3 +29,19 @@ def connected_components(edges: DataFrame) -> DataFrame:
         small = large.join(down, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         now = stash(small.where("u <> v").distinct(), "edges")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v").distinct())
+
+
+def leaders(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with one row of each component of ``found`` (doc_id, component_id), that of the least doc_id.
+
+    Of rows that repeat a doc_id the first by text stays. Rows with a null doc_id
+    can't be told apart: they stay if any of them is in a component without ids.
+    """
+    name, place = unused(docs, "keep", "place")
+    keep = found.where("doc_id <=> component_id").select(F.col("doc_id").alias(name)).distinct()
+    kept = docs.join(keep, F.col(id_col).eqNullSafe(F.col(name)), "left_semi")
+    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return kept
+    first = Window.partitionBy(id_col).orderBy(text_col)
+    named = kept.where(F.col(id_col).isNotNull()).withColumn(place, F.row_number().over(first)).where(F.col(place) == 1).drop(place)
+    return named.unionByName(kept.where(F.col(id_col).isNull()))

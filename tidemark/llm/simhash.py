@@ -24,11 +24,11 @@ from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, stash, texts
-from .components import connected_components
+from .components import connected_components, leaders
 
 GENERATOR = 0b110001110101  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
 #: Fingerprints of one key up to which all its pairs are compared; beyond it the ball way is taken.
@@ -91,7 +91,12 @@ def simhash(words: list[bytes], shingle: int = 3) -> int:
     starts = np.concatenate([[0], ends[: n - shingle]]).tolist()
     parts = map(joined.__getitem__, map(slice, starts, (ends[shingle - 1 :] - 1).tolist()))
     m = n - shingle + 1
-    h = np.fromiter(map(partial(xxh64_intdigest, seed=42), parts), np.dtype("<u8"), m).view(np.uint8).reshape(-1, 8)
+    return majority(np.fromiter(map(partial(xxh64_intdigest, seed=42), parts), np.dtype("<u8"), m))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of 64-bit hashes: bits that over half of them have; 0 for none."""
+    m, h = len(hashes), hashes.astype("<u8").view(np.uint8).reshape(-1, 8)
     if m < 300:
         sums = np.unpackbits(h, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     else:
@@ -112,8 +117,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.array([simhash(t.lower().split(), shingle) for t in texts(batch.column(1))], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(scan, "id long, fp long").toDF("doc_id", "fp")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(scan, f"id {dict(rows.dtypes)['id']}, fp long").toDF("doc_id", "fp")
 
 
 def fingerprint_links(fps: DataFrame) -> DataFrame:
@@ -149,7 +154,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``component_id`` is the least doc_id of the component. Equal fingerprints are
     one node, so copies never make pairs. Null texts are empty texts (fingerprint
     0); repeated rows are returned as often as they come; a null doc_id never is
-    the least, and a component of nothing else has component_id null.
+    the least, and a component of nothing else has component_id null. Ids may be of
+    any type that Spark sorts.
     """
     rows = stash(fingerprints(docs, id_col, text_col, shingle), "simhash")
     nodes = stash(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
@@ -161,15 +167,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component, that of the least doc_id, all its columns kept.
-
-    Of rows that repeat a doc_id the first by text stays. Rows with a null doc_id
-    can't be told apart: they stay if any of them is in a component without ids.
-    """
-    found = stash(near_duplicates(docs, id_col, text_col), "found")
-    keep = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    kept = docs.join(keep, F.col(id_col).cast("long").eqNullSafe(F.col("__keep")), "left_semi")
-    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    first = Window.partitionBy(id_col).orderBy(text_col)
-    return kept.withColumn("__n", F.row_number().over(first)).where(F.col(id_col).isNull() | (F.col("__n") == 1)).drop("__n")
+    """``docs`` with one row of each component, all its columns kept (see components.leaders)."""
+    return leaders(docs, stash(near_duplicates(docs, id_col, text_col), "found"), id_col, text_col)
