@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 import __spark_entry__ as entry
+import corpus_pipeline
 from tidemark.llm import chat, decontaminate, minhash, mixture, pii, queries, secrets, simhash, substring, toxicity, warc
 
 SF = "/root/testdata/sf0.001"
@@ -97,6 +98,8 @@ def test_decontamination_in_blocks(documents, spark, monkeypatch):
     whole = [tuple(r) for r in decontaminate.contamination(documents, bench).orderBy("doc_id").collect()]
     cut = rows(decontaminate.decontaminate(documents, bench))
     monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 3000)
+    plan = decontaminate.contamination(documents, bench)
+    assert plan.columns == ["doc_id", "n_words", "n_hit", "item_ids", "spans"]
     assert [tuple(r) for r in decontaminate.contamination(documents, bench).orderBy("doc_id").collect()] == whole
     assert rows(decontaminate.decontaminate(documents, bench)) == cut
 
@@ -303,21 +306,54 @@ def brute_repeats(pairs, length):
     return out
 
 
-def test_substrings(odd):
-    odd = odd.where("coalesce(length(text), 0) < 10000")
+@pytest.mark.parametrize("held", [0, 20_000])
+def test_substrings(odd, monkeypatch, held):
+    """All odd rows, very long ones too; also if a task may hold no group at all."""
+    monkeypatch.setattr(substring, "HELD_ROWS", held)
     assert rows(substring.removal_report(odd)) == brute_repeats(texts(odd), 35)
 
 
-def test_substrings_with_hot_anchors(spark, monkeypatch):
-    monkeypatch.setattr(substring, "HOT_ROWS", 1)
-    monkeypatch.setattr(substring, "HOT_SHARE", 0)
+@pytest.mark.parametrize("bound", [1, 3, 10_000])
+def test_substrings_whatever_the_bound(spark, monkeypatch, bound):
+    """Groups of anchors above the bound are dealt window by window; the rows are the same."""
+    monkeypatch.setattr(substring, "HOT_ROWS", bound)
     r = np.random.default_rng(3)
-    docs = [(i, " ".join(map(str, r.integers(0, 3, int(r.integers(0, 60)))))) for i in range(120)]
-    df = spark.createDataFrame(docs, "doc_id long, text string")
+    docs = [(f"d{i}", " ".join(map(str, r.integers(0, 3, int(r.integers(0, 60)))))) for i in range(120)]
+    df = spark.createDataFrame(docs, "doc_id string, text string")
     for length in (5, 8):
         assert rows(substring.removal_report(df, length)) == brute_repeats(docs, length)
-    long = spark.createDataFrame([(1, LONG), (2, "x " + LONG)], "doc_id long, text string")
-    assert {r.n_words - r.n_removed for r in substring.remove_repeats(long).collect()} == {0, 1}
+
+
+def test_substrings_with_one_common_anchor(spark, monkeypatch):
+    """A passage in 10,000 texts under a low bound, each with neighbours of its own; no text is expanded into pairs."""
+    monkeypatch.setattr(substring, "HOT_ROWS", 100)
+    monkeypatch.setattr(substring, "HELD_ROWS", 50)
+    passage = " ".join(f"p{i}" for i in range(40))
+    docs = [(i, f"a{i} b{i % 7} {passage} c{i % 11} d{i}") for i in range(10_000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(16)
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring.removal_report(df).collect()}
+    assert rows(substring.removal_report(df.where("doc_id < 300"))) == brute_repeats(docs[:300], 35)
+    assert all(got[i] == (44, 42) for i in range(10_000))  # b and c repeat with it, a and d don't
+
+
+def test_matching_over_batches():
+    """A group that comes in many batches, held a few rows at a time, gives the runs of the group as a whole."""
+    import pyarrow as pa
+
+    r = np.random.default_rng(12)
+    windows = r.integers(0, 400, 3000).astype(np.uint64)
+    route = np.sort(r.integers(0, 40, 3000)).astype(np.uint64)
+    key = route * np.uint64(1000) + windows
+    build = lambda i: pa.RecordBatch.from_arrays([pa.array(np.arange(len(key))[i]), pa.array(np.arange(len(key))[i]), pa.array(route[i].view(np.int64)), pa.array(route[i].view(np.int64)), pa.array(np.zeros(len(i), np.int32)), pa.array(np.ones(len(i), np.int32)), pa.array([key[j : j + 1].tobytes() for j in i], pa.binary())], substring.NAMES)
+    count = Counter(key.tolist())
+    for size in (1, 7, 1000):
+        for held in (0, 5, 10_000):
+            before, substring.HELD_ROWS = substring.HELD_ROWS, held
+            try:
+                found = {i for b in substring._match(iter(build(np.arange(a, min(a + size, 3000))) for a in range(0, 3000, size))) for i in b.column(0).to_pylist()}
+            finally:
+                substring.HELD_ROWS = before
+            assert found == {i for i, k in enumerate(key.tolist()) if count[k] > 1}
 
 
 def test_mixture(docs):
@@ -357,23 +393,76 @@ def brute_edited(pairs):
     return out
 
 
+def plain_sketch(text):
+    """One-permutation MinHash in whole numbers, by its definition: (hash of each bin, or None)."""
+    full = 1 << 64
+
+    def mix(h):
+        h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 % full
+        h = (h ^ h >> 27) * 0x94D049BB133111EB % full
+        return h ^ h >> 31
+
+    w = [xxh64_intdigest(x.encode(), 42) for x in re.findall(r"[^\x20\x09-\x0D]+", lower(text))]
+    if not w:
+        return None
+    k, least = min(5, len(w)), {}
+    for i in range(len(w) - k + 1):
+        h = mix(sum(x * pow(0x9E3779B97F4A7C15, j, full) for j, x in enumerate(w[i : i + k])) % full)
+        least[h >> 56] = min(mix(h), least.get(h >> 56, full))
+    out = []
+    for b in range(256):
+        t, at = 0, b
+        while at not in least:
+            at = mix(((t << 32 | b) + 0x9E3779B97F4A7C15) % full) >> 56
+            t += 1
+        out.append(least[at])
+    return out
+
+
+def plain_print(mins):
+    return "" if mins is None else "".join(f"{x & 15:x}" for x in mins)
+
+
+def plain_likeness(a, b):
+    if a is None or b is None:
+        return float(a is b)
+    same = sum(x & 15 == y & 15 for x, y in zip(a, b, strict=True)) / 256
+    return min(1.0, max(0.0, (same - 1 / 16) / (1 - 1 / 16)))
+
+
 @pytest.mark.parametrize("parts", [1, 7, 40])
 def test_edited_texts(documents, parts):
-    pairs = [(i, t or "") for i, t in texts(documents)]
-    want, of = brute_edited(pairs), minhash.Sketcher()
-    got = {r.doc_id: r for r in minhash.with_edited(documents, parts=parts).collect()}
+    some = documents.where("length(text) < 3000")
+    pairs = [(i, t or "") for i, t in texts(some)]
+    want, of = brute_edited(pairs), {}
+    for t in {x for _, t in pairs for x in (t,)} | {e for _, _, e, _ in want.values()}:
+        of[t] = plain_sketch(t)
+    got = {r.doc_id: r for r in minhash.with_edited(some, parts=parts).collect()}
     assert got.keys() == want.keys()
     for i, (n, digest, edited, after) in want.items():
-        r = got[i]
+        r, own = got[i], of[dict(pairs)[i]]
         assert (r.n_chars, r.edited_sha256) == (n, digest)
-        own, changed, following = of(dict(pairs)[i]), of(edited), of(after)
-        assert (r.fingerprint, r.edited_fingerprint) == (minhash.pack(own), minhash.pack(changed))
-        assert (r.near_edited, r.near_next) == (minhash.likeness(own, changed), minhash.likeness(own, following))
+        assert (r.fingerprint, r.edited_fingerprint) == (plain_print(own), plain_print(of[edited]))
+        assert r.near_edited == pytest.approx(plain_likeness(own, of[edited])) and r.near_next == pytest.approx(plain_likeness(own, of[after]))
 
 
-def test_edited_odd_rows(odd):
-    out = minhash.with_edited(odd).collect()
+@pytest.mark.parametrize("parts", [None, 1, 5])
+def test_edited_odd_rows(odd, spark, parts):
+    """Every row once, each with a next one; repeated and null ids among them, in one ring."""
+    out = minhash.with_edited(odd, parts=parts).collect()
     assert sorted(str(r.doc_id) for r in out) == sorted(str(i) for i, _ in ODD)
+    nulls = [(None, f"text number {i} of those without an id") for i in range(40)] + [(i, f"text {i} with an id of its own") for i in range(3)]
+    df = spark.createDataFrame(nulls, "doc_id long, text string")
+    got = {(r.doc_id, r.fingerprint): r for r in minhash.with_edited(df, parts=parts).collect()}
+    assert len(got) == 43
+    # the ring: what each edited text ends with is the beginning of another text, each text exactly once
+    ends = Counter(r.edited_sha256 for r in got.values())
+    each = {(i, t): {sha(t[: len(t) - len(t) // 4] + u[: len(t) // 4]) for _, u in nulls} for i, t in nulls}
+    assert all(any(d in options for d in ends) for options in each.values())
+    only = minhash.with_edited(df.where("doc_id is null"), parts=parts)
+    assert only.count() == 40
+    with pytest.raises(TypeError):
+        minhash.with_edited(df.withColumn("doc_id", F.col("doc_id").cast("string")))
 
 
 def test_likeness_is_unbiased():
@@ -471,8 +560,46 @@ def test_warc_round_trip(spark, tmp_path):
     assert out.count() == 8 and out.where("page_id = 1 and warc_type = 'conversion'").first().block == "T\nHi & bye"
     warc.write_warc(out.coalesce(1), str(tmp_path / "w"))
     back = warc.read_warc(spark, str(tmp_path / "w"))
-    keys = ["warc_type", "record_id", "refers_to", "content_length", "block"]
-    assert rows(back.select(*keys)) == rows(out.select(*keys))
+    keys = ["warc_type", "record_id", "refers_to", "concurrent_to", "content_length", "block_digest", "source_digest", "source_headers"]
+    assert rows(back.select(*keys, F.col("block").cast("string"))) == rows(out.select(*keys, "block"))
+    links = {r.record_id: r.concurrent_to for r in back.collect()}
+    assert all(links[b] == a for a, b in links.items())
+
+
+def warc_file(tmp_path, *records, version=b"1.0"):
+    (tmp_path / "in").mkdir(exist_ok=True)
+    body = b"".join(b"WARC/" + version + b"\r\nWARC-Type: response\r\nWARC-Record-ID: <%d>\r\nWARC-Target-URI: http://x/%d\r\nContent-Length: %d\r\n\r\n" % (i, i, len(r) + cut) + r + b"\r\n\r\n" for i, (r, cut) in enumerate(records))
+    (tmp_path / "in" / "a.warc").write_bytes(body)
+    return str(tmp_path / "in")
+
+
+def test_warc_bytes_and_codings(spark, tmp_path):
+    """WARC/1.0, bytes that aren't UTF-8, compressed and chunked bodies; a body that can't be decoded says so."""
+    import gzip
+    import zlib
+
+    latin = "caf\xe9 <p>ok</p>".encode("latin-1")
+    zipped = gzip.compress(b"<b>zipped</b>")
+    chunked = b"".join(b"%x\r\n%s\r\n" % (len(p), p) for p in (zipped[:9], zipped[9:])) + b"0\r\n\r\n"
+    head = lambda *more: b"HTTP/1.1 200 OK\r\n" + b"".join(m + b"\r\n" for m in more) + b"\r\n"
+    records = [head(b"Content-Type: text/html; charset=iso-8859-1") + latin, head(b"Content-Encoding: gzip", b"Transfer-Encoding: chunked") + chunked, head(b"Content-Encoding: deflate") + zlib.compress(b"deflated"), head(b"Content-Encoding: br") + b"???", head() + bytes(range(256)), b""]
+    path = warc_file(tmp_path, *[(r, 0) for r in records])
+    blocks = {r.record_id: bytes(r.block) for r in warc.read_warc(spark, path).collect()}
+    assert blocks == {f"<{i}>": r for i, r in enumerate(records)}
+    got = {r.record_id: r for r in warc.responses_of_warc(spark, path).collect()}
+    assert got["<0>"].payload == "café <p>ok</p>" and got["<1>"].payload == "<b>zipped</b>" and got["<2>"].payload == "deflated"
+    assert got["<0>"].payload_digest == "sha256:" + hashlib.sha256(latin).hexdigest()
+    assert "br" in got["<3>"].problem and got["<3>"].payload == "" and got["<5>"].payload == ""
+    assert warc.derive(warc.responses_of_warc(spark, path)).where("warc_type = 'conversion'").count() == 6
+
+
+@pytest.mark.parametrize("records, problem", [([(b"before WARC/1.1\r\nWARC-Type: response\r\n\r\nafter", 0)], "shorter"), ([(b"abc", 50)], "shorter"), ([(b"abcdef", -2)], "longer")])
+def test_warc_records_that_are_not_whole_are_refused(spark, tmp_path, records, problem):
+    path = warc_file(tmp_path, *records)
+    with pytest.raises(Exception, match="WARC record"):
+        warc.read_warc(spark, path).collect()
+    loose = warc.read_warc(spark, path, strict=False).collect()
+    assert any(problem in (r.problem or "") for r in loose) and all(r.block is None for r in loose if r.problem)
 
 
 def brute_chat(turns):
@@ -517,3 +644,24 @@ def test_fingerprints_of_copies_are_equal(odd):
         if r.doc_id is not None:
             assert got.setdefault(body[r.doc_id], r.fingerprint) == r.fingerprint
     assert got[None] == got[""] == ""
+
+
+CLASHING = ["fp", "th", "h", "key", "size", "found", "keep", "place", "part", "copies", "copy", "terms", "id", "named", "rate", "start", "before", "source_size", "target", "s", "p", "__id", "__th"]
+
+
+def test_clashing_columns_and_ids_of_other_types(spark):
+    """Extra columns of any name come through; ids may be strings."""
+    base = [(f"x{i}", t, None if i is None else "ab"[i % 2]) for i, t in ODD if t != LONG + "x"]
+    plain = spark.createDataFrame(base, "doc_id string, text string, source string")
+    wide = plain.select("*", *[F.lit(f"v{c}").alias(c) for c in CLASHING])
+    bench = spark.createDataFrame([(1, PASSAGE)], "item_id long, text string")
+    labels = spark.createDataFrame([(f"x{i}", i % 2) for i in range(4, 20)], "doc_id string, toxic int")
+    model = toxicity.fit(wide, labels)
+    for make in (model.keep_clean, simhash.drop_near_duplicates, corpus_pipeline.nearcopies.drop_near_copies, lambda d: decontaminate.decontaminate(d, bench), pii.sanitise, secrets.redact_secrets, mixture.mix):
+        out = make(wide)
+        assert out.columns == wide.columns
+        assert rows(out.select("doc_id", "text", "source")) == rows(make(plain))
+        assert out.where(" or ".join(f"{c} <> 'v{c}'" for c in CLASHING)).isEmpty()
+    for make in (model.score, simhash.near_duplicates, lambda d: decontaminate.contamination(d, bench), pii.scan_pii, secrets.scan_secrets, mixture.taken_copies, minhash.fingerprints):
+        assert Counter(map(str, make(wide).collect())) == Counter(map(str, make(plain).collect()))
+    assert rows(substring.removal_report(wide)) == brute_repeats(texts(plain), 35)

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+import random
+import re
+from collections import Counter
+
 import pytest
 
 from tidemark.llm import pii
@@ -34,14 +39,75 @@ def test_copies_change_no_decision(spark, copied):
 
 
 def test_terms_go_wherever_they_stand(spark):
-    """A name far from the value it discloses, in the title and beside it, but not in texts without the value."""
+    """A name far from the value it discloses, in the title and beside it, and in a text without the value."""
     far = lambda i: " ".join(f"far{i}x{k}" for k in range(40))
     texts = [f"Zorblat report {i} {far(i)} zo@mail.example {far(i)} ends with zorblat" for i in range(5)]
-    texts += [f"beside zo@mail.example zorblat, {far(5)} and zorblat zorblat"]
-    other = [f"report {i} ends with rain" for i in range(400)] + ["one about zorblat"]
+    texts += [f"beside zo@mail.example zorblat, {far(5)} and zorblat zorblat", "one about zorblat"]
+    other = [f"report {i} ends with rain" for i in range(400)]
     df = frame(spark, texts + other)
     got = terms(df)
     assert all(got[t].count("zorblat") + got[t].count("Zorblat") == t.lower().count("zorblat") for t in texts)
     assert not any(got[t] for t in other)
     clean = [r.text for r in pii.sanitise(df).sort("doc_id").collect()]
     assert not any("zorblat" in t.lower() for t in clean[: len(texts)]) and clean[len(texts) :] == other
+
+
+def plain_words(text):
+    """Words and where they stand, those that a protected value covers marked."""
+    _, spans = pii.base_spans(text.encode())
+    inside = {i for _, a, b in spans for i in range(a, b)}
+    return [(m[0].translate({c: c + 32 for c in range(65, 91)}), m.start(), m.end(), bool(inside & set(range(m.start(), m.end())))) for m in re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text)]
+
+
+def brute(texts):
+    """(disclosing term to action, term to wider term), by counting over all distinct texts."""
+    texts = sorted(set(texts))
+    n, every = len(texts), [{w for w, *_ in plain_words(t)} for t in texts]
+    free = [{w for w, _, _, inside in plain_words(t) if not inside} for t in texts]
+    values = [{(k, t[a:b].lower()) for k, a, b in pii.base_spans(t.encode())[1]} for t in texts]
+    df = Counter(w for ws in every for w in ws)
+    action = {}
+    for value in set().union(*values):
+        holds = [i for i in range(n) if value in values[i]]
+        ic = math.log2(n / len(holds))
+        for w, co in Counter(w for i in holds for w in free[i]).items():
+            if min(co, len(holds)) >= pii.SUPPORT and ic > 0:
+                share = math.log2(co / len(holds) * n / df[w]) / ic
+                if share >= pii.GENERALISE - 1e-9:
+                    action[w] = max(action.get(w, ""), "remove" if share >= pii.REMOVE - 1e-9 else "generalise")
+    wider = {}
+    for w in (w for w, what in action.items() if what == "generalise"):
+        own = [ws for ws in free if w in ws]
+        options = [(df[x], x) for x, co in Counter(x for ws in own for x in ws).items() if x != w and x not in action and co >= pii.WIDER_SHARE * len(own) and df[x] >= pii.WIDER_TIMES * len(own)]
+        wider[w] = min(options)[1] if options else "[TERM]"
+    return action, wider
+
+
+def test_against_brute_force(spark):
+    """Random texts over few words, some with values; terms, their spans and the sanitised texts."""
+    r = random.Random(4)
+    groups = [("alder", "tree"), ("birch", "tree"), ("cod", "fish"), ("dab", "fish")]
+    texts = []
+    for i in range(400):
+        kind, wide = r.choice(groups)
+        words = [r.choice(["rain", "sun", "wind", "snow", f"t{i}", wide.title()]) for _ in range(r.randrange(3, 9))] + [wide]
+        if r.random() < 0.35:
+            words.append(kind)
+        if r.random() < (0.5 if kind in words and kind in ("alder", "cod") else 0.05):
+            words.append(f"{kind}@mail.example")
+        r.shuffle(words)
+        texts.append(" ".join(words))
+    texts += [f"odd{k} zeta-{k} zeta@mail.example" for k in range(5)] + texts[:20] + ["", "no words: !!"]
+    action, wider = brute(texts)
+    assert {"remove", "generalise"} <= set(action.values()) and any(v != "[TERM]" for v in wider.values())
+    df = frame(spark, texts)
+    new = lambda w: "" if action[w] == "remove" else wider[w]
+    clean = {k.doc_id: k.text for k in pii.sanitise(df).collect()}
+    for k in pii.scan_pii(df).collect():
+        text = texts[k.doc_id]
+        spans = [(a, b, w) for w, a, b, inside in plain_words(text) if not inside and w in action]
+        assert [s for s in k.spans.split(",") if s.startswith("term")] == [f"term:{a}:{b}" for a, b, _ in spans]
+        both = sorted([(a, b, new(w)) for a, b, w in spans] + [(a, b, f"[{pii.KINDS[x].upper()}]") for x, a, b in pii.base_spans(text.encode())[1]], reverse=True)
+        for a, b, what in both:
+            text = text[:a] + what + text[b:]
+        assert clean[k.doc_id] == text
