@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from functools import lru_cache
 from itertools import count
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,16 +41,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, name: str = "cut") -> DataFrame:
     """As ``cut``, by a table in the shared folder, removed when Python exits.
 
     A checkpoint keeps the constraints that the optimizer derived; in a closure
     they multiply from round to round until no plan compiles. A table starts afresh.
     """
     spark: SparkSession = df.sparkSession
-    path = scratch(spark, "cut")
+    path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -59,6 +62,16 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``written`` made and nothing reads any more."""
+    for df in tables:
+        if path := _PATHS.pop(df, None):
+            _drop(df.sparkSession, path)
+
+
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def _drop(spark: SparkSession, path: str) -> None:
     try:
         table = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -75,14 +88,18 @@ def reach(seed: DataFrame, links: DataFrame) -> DataFrame:
     now and then so that the plan stays short.
     """
     seen = frontier = written(seed.select("id").distinct().withColumn("depth", F.lit(0)))
+    parts = [frontier]
     for depth in count(1):
         step = frontier.join(links, frontier["id"] == links["parent"]).select(links["child"].alias("id")).distinct()
         frontier = written(step.join(seen, "id", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             return seen
         seen = seen.union(frontier)
+        parts.append(frontier)
         if depth % COMPACT_ROUNDS == 0:
             seen = written(seen)
+            discard(*parts[:-1])
+            parts = [seen, frontier]
 
 
 def ancestors(tree: DataFrame, ids: DataFrame) -> DataFrame:
