@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.trees import discard, written
+
 #: Bytes of text that one step of an Arrow scan holds at once (a longer text stands alone).
 CHUNK_BYTES = 4 << 20
 
@@ -20,44 +18,14 @@ CHUNK_BYTES = 4 << 20
 WORD_TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Where the setting is missing (tests in local mode) a temporary folder stands in;
-    on a cluster that would be a machine-local folder, so there it is an error.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = _local_folder()
-    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
-
-
-@lru_cache(1)
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="tidemark-")
-
-
 def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
+    """Write ``df`` as Parquet in the shared folder (``spark.checkpoint.dir``) and read it back.
 
     This cuts lineage, fixes values that would differ on recomputation, and
-    survives the loss of executors. The table is removed when Python exits.
+    survives the loss of executors. The table is removed when Python exits, or
+    by ``discard`` before.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _drop(spark: SparkSession, path: str) -> None:
-    try:
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-    except Exception:  # the session is gone; the folder is the cluster's to clean
-        pass
+    return written(df, name)
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:
@@ -185,3 +153,6 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
         else:
             out.append([a, b])
     return [(int(a), int(b)) for a, b in out]
+
+
+__all__ = ["WordHashes", "bitmap", "chunks", "discard", "in_bitmap", "merged", "mix64", "numbered", "rolling", "stash", "texts", "unused"]
