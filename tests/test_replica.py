@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.scope import Filter, Scope
-from tidemark.operators.capture import ForeignKey, Model
+from tidemark.operators.capture import ForeignKey, Model, Registry
 from tidemark.operators.exchange import InvalidTransfer, received
 from tidemark.plans.replica import NotAllowed, Replica, Transfer, pull, push
 from tidemark.operators.restore import PARENT_DIRTY, PARENT_MISSING
 from tidemark.schemas import DIRTY
+from tidemark.sources.snapshots import Snapshots
 
 
 def models():
@@ -83,6 +84,38 @@ def test_partial_filter_and_resume(spark):
     assert set(ids(b.apps["user"])) == {"bob"} and b.apps["summary"].count() == 2
 
 
+def test_transfer_goes_on_after_a_restart(spark, tmp_path):
+    """Both sides and the transfer come back from their snapshots, and it ends as if nothing had happened."""
+    a, b = replica(spark, "a"), replica(spark, "b")
+    bob = add_user(a, "bob")
+    add_logs(a, "summary", bob, 2)
+    t = Transfer(a, b, Filter(""), push=True, page=2).run(until="queuing")
+    kept = [Snapshots(spark, str(tmp_path / x)) for x in "ab"]
+    a.save(kept[0], [t])
+    b.save(kept[1])
+    a2, b2 = (Replica.load(s, models()) for s in kept)
+    again = Transfer.resume(a2, b2, kept[0].read("transfers").first())
+    assert (again.id, again.stage, again.records_total) == (t.id, "queuing", 3) and a2.counter == a.counter
+    again.run()
+    assert again.stage == "cleanup" and set(ids(b2.apps["user"])) == {"bob"} and b2.apps["summary"].count() == 2
+    assert push(a2, b2, Filter("")).records_total == 0
+
+
+def test_registry_and_dirty_rule(spark):
+    registry = Registry(facility=models())
+    names = [m.name for m in registry.models("facility")]
+    assert names.index("user") < names.index("summary") and registry.model("facility", "user").name == "user" and registry.models("other") == []
+    a = replica(spark, "a")
+    bob = add_user(a, "bob")
+    a.serialize()
+    row = spark.createDataFrame([(bob, "bob", True)], "id string, username string, is_staff boolean")
+    a.upsert("user", row, dirty=None)
+    assert not a.apps["user"].first()[DIRTY]  # as it was
+    a.upsert("user", row)
+    a.upsert("user", row, dirty=False)
+    assert not a.apps["user"].first()[DIRTY] and a.apps["user"].first().is_staff
+
+
 def test_scopes_bound_transfers(spark):
     a, b = replica(spark, "a", scope=Scope(read_write="p")), replica(spark, "b", scope=Scope(read_write="p"))
     with pytest.raises(NotAllowed):

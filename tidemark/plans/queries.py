@@ -57,10 +57,11 @@ def filter_subset(t: Tables) -> DataFrame:
 
 @query
 def scope_permission(t: Tables) -> DataFrame:
-    n = F.concat(F.lit("n"), F.col("n_nationkey").cast("string"))
-    rows = t.raw("nation").select("n_nationkey", F.array(F.concat(n, F.lit(":c1"))).alias("w"), F.array(n).alias("own"), F.array(F.lit("n1"), F.lit("n2")).alias("peer"))
-    row = lambda push: scope.allowed(F.lit(push), F.col("w"), F.col("own"), F.array(F.lit("n2")), F.col("peer"), F.array(F.lit("n")))
-    return rows.select("n_nationkey", row(True).alias("push"), row(False).alias("pull"))
+    """May a customer's part go over, by scopes of different width on both sides?"""
+    own, wanted = "concat('n', c_nationkey)", "concat('n', c_nationkey, ':c', c_custkey)"
+    rows = t.raw("customer").selectExpr("c_custkey", f"array({wanted}) as w", f"if(c_custkey % 3 = 0, array('n1'), array({own})) as cr", f"if(c_custkey % 4 = 0, array('n2', 'x'), array({own})) as cw", "array('n1', 'n2') as sr", "if(c_custkey % 5 = 0, array('n7', 'n1'), array('n')) as sw")
+    row = lambda push: scope.allowed(F.lit(push), *[F.col(c) for c in ("w", "cr", "cw", "sr", "sw")])
+    return rows.select("c_custkey", row(True).alias("push"), row(False).alias("pull"))
 
 
 @query
@@ -540,6 +541,14 @@ def buffer_chunks(t: Tables) -> DataFrame:
     return exchange.numbered(t.buffer).select("model_uuid", "page")
 
 
+@query
+def wire_lists(t: Tables) -> DataFrame:
+    """Wire records as they are sent: each with its vector entries in order."""
+    wire = exchange.nested(t.buffer, t.rmcb)
+    entries = F.array_join(F.transform("rmcb_list", lambda r: F.concat_ws(":", r["instance_id"], r["counter"].cast("string"), r["transfer_session_id"], r["model_uuid"])), " ")
+    return wire.select("model_uuid", "serialized", entries.alias("entries"))
+
+
 @query
 def wire_nest(t: Tables) -> DataFrame:
     _, entries = exchange.unnested(exchange.nested(t.buffer, t.rmcb))

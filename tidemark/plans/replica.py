@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from ..functions.scope import Filter, Scope
 from ..operators import capture, exchange, merge, outgoing, restore, vectors
 from ..operators.trees import cut
-from ..schemas import BUFFER, DELETED, DIRTY, DMC, PARTITION, RMC, RMCB, SOURCE, STORE
+from ..schemas import BUFFER, DELETED, DIRTY, DMC, IDENTITY, PARTITION, RMC, RMCB, SOURCE, STORE, TRANSFERS
+from ..sources.snapshots import Snapshots
 
 #: Stages of a transfer in order.
 STAGES = ("initializing", "serializing", "queuing", "transferring", "dequeuing", "deserializing", "cleanup")
@@ -28,6 +29,10 @@ def empty_app(spark: SparkSession, model: capture.Model) -> DataFrame:
     return spark.createDataFrame([], capture.T.StructType([*fields, *[capture.T.StructField(n, t) for n, t in ((DIRTY, capture.T.BooleanType()), (SOURCE, capture.T.StringType()), (PARTITION, capture.T.StringType()))]]))
 
 
+#: Tables of a replica beside those of its application.
+_TABLES = ("store", "rmc", "dmc", "deleted", "erased", "buffer", "rmcb")
+
+
 @dataclass
 class Replica:
     """One side: application tables, store, vectors and a clock.
@@ -104,6 +109,24 @@ class Replica:
         self.store, self.rmc = cut(store), cut(rmc)
         self.dmc = cut(merge.dmc_with_parts(self.dmc, peer_vector))
 
+    def save(self, snapshots: Snapshots, transfers: list[Transfer] = ()) -> int:
+        """Commit all tables, and transfers that are under way, as a version."""
+        tables = {name: getattr(self, name) for name in _TABLES} | {f"app-{m}": df for m, df in self.apps.items()}
+        tables["identity"] = self.spark.createDataFrame([(self.profile, self.instance_id, self.counter)], IDENTITY)
+        tables["transfers"] = self.spark.createDataFrame([t.row() for t in transfers], TRANSFERS)
+        return snapshots.commit(tables)
+
+    @classmethod
+    def load(cls, snapshots: Snapshots, models: list[capture.Model], scope: Scope | None = None, version: int | None = None) -> Replica:
+        """The replica of a version. Tables stay where they are until something changes them."""
+        n = version or snapshots.version
+        who = snapshots.read("identity", n).first()
+        out = cls(snapshots.spark, models, who.profile, who.instance_id, who.counter, scope or Scope())
+        for name in _TABLES:
+            setattr(out, name, snapshots.read(name, n))
+        out.apps = {m.name: snapshots.read(f"app-{m.name}", n) for m in models}
+        return out
+
     def _resolve(self):
         """The models' own rules for conflicts, as one column; None if there is none."""
         own = [m for m in self.models if m.resolve_conflict]
@@ -148,6 +171,20 @@ class Transfer:
     def receiver(self) -> Replica:
         return self.server if self.push else self.client
 
+    def row(self) -> tuple:
+        """What to keep of a transfer so that it can go on elsewhere (see ``resume``)."""
+        text = lambda name: vectors.to_json(getattr(self, name)) if hasattr(self, name) else None
+        return self.id, str(self.filters), self.push, self.page, self.stage, self.status, self.records_total, self.records_transferred, text("sent"), text("had")
+
+    @classmethod
+    def resume(cls, client: Replica, server: Replica, row) -> Transfer:
+        """A transfer from its row, to ``run`` on from the stage last completed."""
+        out = cls(client, server, Filter(row.filter), row.push, row.page, row.id, row.stage, row.status, row.records_total, row.records_transferred)
+        for name in ("sent", "had"):
+            if row[name] is not None:
+                setattr(out, name, vectors.from_json(client.spark, row[name]))
+        return out
+
     def run(self, until: str = STAGES[-1]) -> Transfer:
         done = STAGES.index(self.stage) + (self.status == COMPLETED) if self.stage else 0
         for stage in STAGES[done : STAGES.index(until) + 1]:

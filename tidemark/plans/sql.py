@@ -105,8 +105,9 @@ ORACLES: dict[str, str] = {
     "filter_subset": """WITH n AS (SELECT n_nationkey, regexp_split_to_array(trim(n_name || ' n' || n_nationkey), '\\s+') AS fs FROM nation)
 SELECT n_nationkey, len(list_filter(fs, lambda x: NOT (starts_with(x, 'n1') OR starts_with(x, 'A') OR starts_with(x, 'I')))) = 0 AS inside, len(list_filter(fs, lambda x: starts_with('n12:x', x))) > 0 AS holds,
   list_sort(list_distinct(fs)) = ['A', 'I', 'n1'] AS same FROM n""",
-    "scope_permission": """WITH n AS (SELECT n_nationkey, 'n' || n_nationkey || ':c1' AS w FROM nation)
-SELECT n_nationkey, starts_with(w, 'n2') AND (starts_with(w, 'n1') OR starts_with(w, 'n2')) AS push, true AS pull FROM n""",
+    "scope_permission": """WITH c AS (SELECT c_custkey, 'n' || c_nationkey AS o, 'n' || c_nationkey || ':c' || c_custkey AS w FROM customer)
+SELECT c_custkey, (CASE WHEN c_custkey % 4 = 0 THEN starts_with(w, 'n2') ELSE true END) AND (starts_with(w, 'n1') OR starts_with(w, 'n2')) AS push,
+  (CASE WHEN c_custkey % 3 = 0 THEN starts_with(w, 'n1') ELSE true END) AND (CASE WHEN c_custkey % 5 = 0 THEN starts_with(w, 'n7') OR starts_with(w, 'n1') ELSE true END) AS pull FROM c""",
     "namespaced_id": """WITH o AS (SELECT o_orderkey, '${id}:c' || o_custkey AS place, substr(sha256('${id}:c' || o_custkey || '::' || o_orderkey || '::order'), 1, 32) AS id FROM orders)
 SELECT o_orderkey, id, replace(place, '${id}', id) AS partition FROM o""",
     "composed_id": "SELECT o_orderkey, substr(sha256(concat_ws(':', nullif(o_orderstatus, ''), CASE WHEN o_custkey % 2 = 0 THEN NULL ELSE nullif(o_orderpriority, '') END, o_custkey::VARCHAR)), 1, 32) AS id FROM orders",
@@ -195,6 +196,7 @@ v AS (SELECT id, r, w, true AS valid FROM c WHERE parent_id IS NULL UNION ALL SE
     "restore_rows": _t("""SELECT id, k, 1 AS v, CASE WHEN k % 9 = 0 THEN '{"k": "Not nine."}' END AS error FROM store WHERE dirty_bit AND NOT deleted AND NOT hard_deleted"""),
     "buffer_page": _t(f"SELECT transfer_session_id, model_uuid, {_RECORD} FROM buffer ORDER BY model_uuid LIMIT 500 OFFSET 500"),
     "buffer_chunks": _t("SELECT model_uuid, (row_number() OVER (ORDER BY model_uuid) - 1) // 500 AS page FROM buffer"),
+    "wire_lists": _t(f"SELECT model_uuid, serialized, (SELECT string_agg(instance_id || ':' || counter || ':{SESSION}:' || model_uuid, ' ' ORDER BY instance_id, counter) FROM rmcb WHERE rmcb.model_uuid = b.model_uuid) AS entries FROM buffer b"),
     "wire_nest": _t("SELECT * FROM rmcb"),
     "stale_cleanup": f"""WITH {_SYNCS}, closed AS (SELECT t.* FROM transfers t JOIN syncs s ON s.id = t.sync_session_id WHERE s.active AND t.active AND t.last_activity < TIMESTAMP '1998-01-01' - INTERVAL 6 HOUR AND starts_with(filter, 'n1'))
 SELECT 'transfer' AS kind, id FROM closed UNION ALL SELECT 'sync', id FROM syncs s WHERE active AND last_activity < TIMESTAMP '1998-01-01' - INTERVAL 6 HOUR
