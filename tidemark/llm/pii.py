@@ -19,6 +19,8 @@ KINDS = ("email", "ip", "card", "phone")
 SUPPORT = 3
 #: Share of a value's information from which a term is generalised, and from which it is removed.
 GENERALISE, REMOVE = 0.5, 0.8
+#: Share of a term's texts that have the value, from which the term goes from all other texts as well.
+EVERYWHERE = 0.5
 #: A term is wider than another if it stands in this share of the other's texts, and in this many times as many in all.
 WIDER_SHARE, WIDER_TIMES = 0.8, 2
 
@@ -140,6 +142,17 @@ def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.join(wanted.select("th"), "th", "left_semi").dropDuplicates(["th"])
 
 
+#: (word, count) pairs that a task sums up before it hands them on.
+HELD_COUNTS = 500_000
+
+
+def _summed(found: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    h, at = np.unique(np.concatenate(found), return_inverse=True)
+    n = np.zeros(len(h), np.int64)
+    np.add.at(n, at, np.concatenate(times))
+    return h, n
+
+
 def _document_counts(rows: DataFrame, terms: DataFrame) -> DataFrame:
     """(h long, df long): in how many distinct texts the terms stand, by hash; a few other words may come along.
 
@@ -153,16 +166,21 @@ def _document_counts(rows: DataFrame, terms: DataFrame) -> DataFrame:
         weighed = weighed.union(_texts(rows, repeated).join(repeated, "th").select("text", "weight"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes, found, times, size = WordHashes(), [], [], 0
         for batch in chunks(batches, "text"):
-            found, times = [], []
             for raw, weight in zip(texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                 h = hashes.of(raw.translate(WORD_TABLE).split())
                 found.append(np.unique(h[in_bitmap(bits.value, h)]))
                 times.append(np.full(len(found[-1]), weight, np.int64))
-            h, at = np.unique(np.concatenate(found), return_inverse=True)
-            n = np.zeros(len(h), np.int64)
-            np.add.at(n, at, np.concatenate(times))
+                size += len(found[-1])
+            if size > HELD_COUNTS:  # summed over as much of a task as has room
+                h, n = _summed(found, times)
+                if len(h) > HELD_COUNTS // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "df"])
+                    h, n = h[:0], n[:0]
+                found, times, size = [h], [n], len(h)
+        if found:
+            h, n = _summed(found, times)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "df"])
 
     return weighed.mapInArrow(scan, "h long, df long").groupBy("h").agg(F.sum("df").alias("df"))
@@ -191,33 +209,42 @@ def _vocabulary(rows: DataFrame, holders: np.ndarray) -> DataFrame:
     return rows.select("th", "text").mapInArrow(scan, "h long")
 
 
-def _places(rows: DataFrame, holders: np.ndarray | None, terms: np.ndarray, every: bool) -> DataFrame:
+def _places(rows: DataFrame, holders: np.ndarray, terms: np.ndarray, every: bool, anywhere: np.ndarray | None = None) -> DataFrame:
     """(th, h, start, end) of terms outside protected values, the first place in each text or every one.
 
-    Texts (None: all) and terms are named by bitmaps.
+    Bitmaps name texts and the terms looked for in them; terms of ``anywhere`` are
+    looked for in all other texts as well.
     """
-    share = rows.sparkSession.sparkContext.broadcast((holders, terms))
+    share = rows.sparkSession.sparkContext.broadcast((holders, terms, anywhere))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holders, terms, anywhere = share.value
         hashes = WordHashes()
         for batch in chunks(batches, "text"):
-            for th, raw in _named(batch, share.value[0]):
-                if share.value[0] is None and not in_bitmap(share.value[1], hashes.of(raw.translate(WORD_TABLE).split())).any():
-                    continue
+            for th, raw in _named(batch, holders if anywhere is None else None):
+                wanted = terms
+                if anywhere is not None and not in_bitmap(holders, np.array([th], np.int64).view(np.uint64))[0]:
+                    wanted = anywhere
+                    if not in_bitmap(wanted, hashes.of(raw.translate(WORD_TABLE).split())).any():
+                        continue
                 text, spans = base_spans(raw)
                 words = list(words_outside(text or raw.decode(), spans))
                 h = hashes.of([w for w, _, _ in words])
-                at = np.nonzero(in_bitmap(share.value[1], h))[0] if len(h) else np.zeros(0, np.int64)
+                at = np.nonzero(in_bitmap(wanted, h))[0] if len(h) else np.zeros(0, np.int64)
                 if not every:
                     at = at[np.unique(h[at], return_index=True)[1]]
                 ends = np.array([(words[i][1], words[i][2]) for i in at], np.int32).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), th, np.int64)), pa.array(h[at].view(np.int64)), pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["th", "h", "start", "end"])
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), th, np.int64)), pa.array(h[at].view(np.int64)), pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["th", "h", "start", "end"])
 
     return rows.select("th", "text").mapInArrow(scan, "th long, h long, start int, end int").distinct()
 
 
 def disclosing_terms(scanned: DataFrame, rows: DataFrame) -> DataFrame | None:
-    """(h, action): terms, by hash, that give away too much of some value; None if no term could.
+    """(th, h, action): terms, by hash, that give away too much of a value in the text th; None if no term could.
+
+    Rows with a null th hold for all texts: of a term of whose texts ``EVERYWHERE``
+    or more have the value, which so is likelier than not wherever the term stands.
 
     With N distinct texts, a value c in n(c) of them, a term t in df(t) and both in
     co(c, t), the term reveals PMI(c, t) = log2((co(c, t) / n(c)) / (df(t) / N)) of the
@@ -240,7 +267,10 @@ def disclosing_terms(scanned: DataFrame, rows: DataFrame) -> DataFrame | None:
     ic = F.log2(F.lit(n) / F.col("nc"))
     share = F.when(ic > 0, F.log2(F.col("co") / F.col("nc") * n / F.col("df")) / ic)
     scored = together.join(own, "entity").join(counts, "h").withColumn("share", share).where(F.col("share") >= GENERALISE)
-    flagged = stash(scored.groupBy("h").agg(F.max(F.when(F.col("share") >= REMOVE, "remove").otherwise("generalise")).alias("action")), "flagged")
+    scored = stash(scored.select("entity", "h", F.when(F.col("share") >= REMOVE, "remove").otherwise("generalise").alias("action"), (F.col("co") >= EVERYWHERE * F.col("df")).alias("all")), "scored")
+    own = scored.join(held.select("th", "entity"), "entity").groupBy("th", "h").agg(F.max("action").alias("action"))
+    everywhere = scored.where("all").groupBy("h").agg(F.max("action").alias("action")).select(F.lit(None).cast("long").alias("th"), "h", "action")
+    flagged = stash(own.unionByName(everywhere), "flagged")
     return None if flagged.isEmpty() else flagged
 
 
@@ -302,9 +332,12 @@ def _found(docs: DataFrame, id_col: str, text_col: str, with_wider: bool) -> tup
     terms = disclosing_terms(scanned, rows)
     if terms is None:
         return rows, scanned, None
-    places = stash(_places(rows, None, bitmap(terms, "h", 24), every=True).join(terms, "h"), "places")
+    own, everywhere = terms.where("th is not null"), terms.where("th is null").select("h", F.col("action").alias("other"))
+    found = _places(rows, bitmap(own, "th", 24), bitmap(terms, "h", 24), True, bitmap(everywhere, "h", 24))
+    found = found.join(own, ["th", "h"], "left").join(everywhere, "h", "left").where("action is not null or other is not null")
+    places = stash(found.select("th", "h", "start", "end", F.greatest("action", "other").alias("action")), "places")
     if with_wider and not terms.where("action = 'generalise'").isEmpty():
-        places = places.join(stash(wider_terms(rows, places, terms), "named"), "h", "left")
+        places = places.join(stash(wider_terms(rows, places, terms.select("h").distinct()), "named"), "h", "left")
     else:
         places = places.withColumn("wider", F.lit(None).cast("string"))
     new = F.when(F.col("action") == "remove", "").otherwise(F.coalesce("wider", F.lit("[TERM]")))
@@ -318,8 +351,8 @@ def scan_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """One row for each row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone, n_term, base_sha256, spans.
 
     Spans are kind:start:end in code points, end exclusive, by kind and start;
-    disclosing terms are of kind "term", in every text that has them, also those
-    without a protected value. Null texts count as empty and have none. Ids may be
+    disclosing terms are of kind "term", in texts that have the value and, if it is
+    likelier than not where the term stands, in all others. Null texts count as empty and have none. Ids may be
     of any type.
     """
     _, scanned, spans = _found(docs, id_col, text_col, False)
@@ -337,7 +370,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """``docs`` with protected values replaced by their kind in brackets, and disclosing terms by a wider term or nothing.
 
     A term to be generalised gives way to the nearest wider one of the corpus
-    ([TERM] if it has none), one to be removed to nothing, in all documents. All
+    ([TERM] if it has none), one to be removed to nothing (where, see scan_pii). All
     columns stay; rows without a value or such a term, null texts among them, are
     returned as they are. Of overlapping spans the first replaces, and what the
     others cover goes as well.
