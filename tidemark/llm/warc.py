@@ -26,9 +26,10 @@ VERSION = "WARC/1.1\r\n"
 
 
 def plain_text(html: Column) -> Column:
-    """Visible text of a page: markup, scripts and comments out, blocks on lines, common entities decoded."""
+    """Visible text of a page: markup, scripts and comments out, blocks on lines, common and numeric entities decoded."""
     for pattern, new in TEXT_RULES:
         html = F.regexp_replace(html, pattern, new)
+    html = F.when(html.contains("&#"), _numeric(html)).otherwise(html)
     for name, char in ENTITIES:
         html = F.replace(html, F.lit(name), F.lit(char))
     for pattern, new in SPACE_RULES:
@@ -36,6 +37,25 @@ def plain_text(html: Column) -> Column:
     return html
 
 
+#: Numeric entities after their mark, in the syntax that RE2 and Java share.
+DECIMAL, HEXADECIMAL = "^[0-9]{1,7};", "^[xX][0-9a-fA-F]{1,6};"
+
+
+def _numeric(html: Column) -> Column:
+    """Numeric entities as characters; those that name no visible character stay as they are."""
+    parts = F.split(html, "&#")
+
+    def char(part: Column) -> Column:
+        digits = F.substring_index(part, ";", 1)
+        n = F.when(part.rlike(DECIMAL), digits.cast("int")).when(part.rlike(HEXADECIMAL), F.conv(F.substring(digits, 2, 6), 16, 10).cast("int"))
+        fine = n.between(32, 126) | n.between(160, 0xD7FF) | n.between(0xE000, 0x10FFFF)
+        new = F.decode(F.unhex(F.lpad(F.hex(n.cast("long")), 8, "0")), "UTF-32")
+        return F.when(fine, F.concat(new, F.substring(part, F.length(digits) + 2, F.length(part)))).otherwise(F.concat(F.lit("&#"), part))
+
+    rest = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), char)
+    return F.concat(parts[0], F.array_join(rest, ""))
+
+
 def urn(*parts: Column) -> Column:
     """A record id of the parts, the same on every run."""
     h = F.md5(F.concat_ws("|", *parts))
@@ -186,6 +206,9 @@ def _sql_rules(expr: str) -> str:
     nl = lambda s: quote(s).replace("\n", "'||chr(10)||'")
     for pattern, new in TEXT_RULES:
         expr = f"regexp_replace({expr}, {quote(pattern)}, {nl(new)}, 'g')"
+    number = f"CASE WHEN regexp_matches(x, '{DECIMAL}') THEN split_part(x, ';', 1)::INT WHEN regexp_matches(x, '{HEXADECIMAL}') THEN ('0x' || substr(split_part(x, ';', 1), 2))::INT END"
+    piece = f"CASE WHEN ({number}) BETWEEN 32 AND 126 OR ({number}) BETWEEN 160 AND 55295 OR ({number}) BETWEEN 57344 AND 1114111 THEN chr({number}) || substr(x, strpos(x, ';') + 1) ELSE '&#' || x END"
+    expr = f"(SELECT pieces[1] || array_to_string(list_transform(pieces[2:], lambda x: {piece}), '') FROM (SELECT string_split({expr}, '&#') AS pieces))"
     for name, char in ENTITIES:
         expr = f"replace({expr}, {quote(name)}, {quote(char)})"
     for pattern, new in SPACE_RULES:
