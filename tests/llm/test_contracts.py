@@ -558,6 +558,8 @@ def test_warc_round_trip(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://a", "<title>T</title><p>Hi &amp; bye</p><script>x</script>", 9), (2, None, None, 9), (2, None, None, 9), (3, "http://b", "a\r\n\r\nb <br> ü", 9)], "page_id long, url string, html string, block int")
     out = warc.derivatives(pages)
     assert out.count() == 8 and out.where("page_id = 1 and warc_type = 'conversion'").first().block == "T\nHi & bye"
+    odd = spark.createDataFrame([("&#8217;x&#x20AC;&#10;&#55296;&#0;&#1114112;&#x1F600;&#;&#x;&#9x&amp;#65;",), ("&#65",), ("&#&#66;",)], "html string")
+    assert [r.t for r in odd.select(warc.plain_text(F.col("html")).alias("t")).collect()] == ["’x€&#10;&#55296;&#0;&#1114112;\U0001f600&#;&#x;&#9x&#65;", "&#65", "&#B"]
     warc.write_warc(out.coalesce(1), str(tmp_path / "w"))
     back = warc.read_warc(spark, str(tmp_path / "w"))
     keys = ["warc_type", "record_id", "refers_to", "concurrent_to", "content_length", "block_digest", "source_digest", "source_headers"]
@@ -593,6 +595,16 @@ def test_warc_bytes_and_codings(spark, tmp_path):
     assert warc.derive(warc.responses_of_warc(spark, path)).where("warc_type = 'conversion'").count() == 6
 
 
+def test_warc_text_in_sql(spark):
+    """The text rules against the registered SQL, over markup that has every kind of entity."""
+    pages = ["<p>a&#8217;b</p>", "&#x41;&#X42;&#120;", "&#55296;&#5;&#1114112;", "&#", "&#65", "x&#;y&#&#66;", "<style>&#65;</style>&lt;&#60;b&#62;", "&amp;#65; ü&#252;", ""]
+    got = [r.t for r in spark.createDataFrame([(p,) for p in pages], "p string").select(warc.plain_text(F.col("p")).alias("t")).collect()]
+    duck = duckdb.connect()
+    duck.execute("CREATE TABLE t (p VARCHAR)")
+    duck.executemany("INSERT INTO t VALUES (?)", [[p] for p in pages])
+    assert got == [r[0] for r in duck.sql(f"SELECT {warc._sql_rules('p')} FROM t").fetchall()]
+
+
 @pytest.mark.parametrize("records, problem", [([(b"before WARC/1.1\r\nWARC-Type: response\r\n\r\nafter", 0)], "shorter"), ([(b"abc", 50)], "shorter"), ([(b"abcdef", -2)], "longer")])
 def test_warc_records_that_are_not_whole_are_refused(spark, tmp_path, records, problem):
     path = warc_file(tmp_path, *records)

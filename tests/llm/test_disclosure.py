@@ -60,7 +60,7 @@ def plain_words(text):
 
 
 def brute(texts):
-    """(disclosing term to action, term to wider term), by counting over all distinct texts."""
+    """((text or None for all, disclosing term) to action, term to wider term), by counting over all distinct texts."""
     texts = sorted(set(texts))
     n, every = len(texts), [{w for w, *_ in plain_words(t)} for t in texts]
     free = [{w for w, _, _, inside in plain_words(t) if not inside} for t in texts]
@@ -74,13 +74,15 @@ def brute(texts):
             if min(co, len(holds)) >= pii.SUPPORT and ic > 0:
                 share = math.log2(co / len(holds) * n / df[w]) / ic
                 if share >= pii.GENERALISE - 1e-9:
-                    action[w] = max(action.get(w, ""), "remove" if share >= pii.REMOVE - 1e-9 else "generalise")
-    wider = {}
-    for w in (w for w, what in action.items() if what == "generalise"):
-        own = [ws for ws in free if w in ws]
-        options = [(df[x], x) for x, co in Counter(x for ws in own for x in ws).items() if x != w and x not in action and co >= pii.WIDER_SHARE * len(own) and df[x] >= pii.WIDER_TIMES * len(own)]
+                    for t in [texts[i] for i in holds] + [None] * (co >= pii.EVERYWHERE * df[w]):
+                        action[t, w] = max(action.get((t, w), ""), "remove" if share >= pii.REMOVE - 1e-9 else "generalise")
+    wider, terms = {}, {w for _, w in action}
+    what = lambda t, w: max(action.get((t, w), ""), action.get((None, w), ""))
+    for w in terms:
+        own = [ws for t, ws in zip(texts, free, strict=True) if w in ws and what(t, w) == "generalise"]
+        options = [(df[x], x) for x, co in Counter(x for ws in own for x in ws).items() if x != w and x not in terms and co >= pii.WIDER_SHARE * len(own) and df[x] >= pii.WIDER_TIMES * len(own)]
         wider[w] = min(options)[1] if options else "[TERM]"
-    return action, wider
+    return what, wider
 
 
 def test_against_brute_force(spark):
@@ -98,16 +100,16 @@ def test_against_brute_force(spark):
         r.shuffle(words)
         texts.append(" ".join(words))
     texts += [f"odd{k} zeta-{k} zeta@mail.example" for k in range(5)] + texts[:20] + ["", "no words: !!"]
-    action, wider = brute(texts)
-    assert {"remove", "generalise"} <= set(action.values()) and any(v != "[TERM]" for v in wider.values())
+    what, wider = brute(texts)
+    assert {"remove", "generalise", ""} <= {what(t, w) for t in texts for w, *_ in plain_words(t)} and any(v != "[TERM]" for v in wider.values())
     df = frame(spark, texts)
-    new = lambda w: "" if action[w] == "remove" else wider[w]
     clean = {k.doc_id: k.text for k in pii.sanitise(df).collect()}
     for k in pii.scan_pii(df).collect():
         text = texts[k.doc_id]
-        spans = [(a, b, w) for w, a, b, inside in plain_words(text) if not inside and w in action]
+        spans = [(a, b, w) for w, a, b, inside in plain_words(text) if not inside and what(text, w)]
+        new = lambda w: "" if what(texts[k.doc_id], w) == "remove" else wider[w]  # noqa: B023, E731
         assert [s for s in k.spans.split(",") if s.startswith("term")] == [f"term:{a}:{b}" for a, b, _ in spans]
         both = sorted([(a, b, new(w)) for a, b, w in spans] + [(a, b, f"[{pii.KINDS[x].upper()}]") for x, a, b in pii.base_spans(text.encode())[1]], reverse=True)
-        for a, b, what in both:
-            text = text[:a] + what + text[b:]
+        for a, b, put in both:
+            text = text[:a] + put + text[b:]
         assert clean[k.doc_id] == text

@@ -56,7 +56,7 @@ def masked(texts):
     action, wider = disclosing(texts)
     out = []
     for text in texts:
-        spans = [(a, b, "" if action[w] == "remove" else wider[w]) for w, a, b, inside in plain_words(text) if not inside and w in action]
+        spans = [(a, b, "" if action(text, w) == "remove" else wider[w]) for w, a, b, inside in plain_words(text) if not inside and action(text, w)]
         spans += [(a, b, f"[{pii.KINDS[k].upper()}]") for k, a, b in pii.base_spans(text.encode())[1]]
         parts, done = [], 0
         for a, b, what in sorted(spans):
