@@ -145,24 +145,28 @@ def _restore_levels(app: DataFrame, model: Model, own: DataFrame, excluded: Data
         rows = rows.join(_reasons(bad).withColumnRenamed("from_id", "id"), "id", "left").withColumn("error", F.coalesce("error", "why")).drop("why")
     rows = rows.withColumn("error", F.when(~F.col("gone"), F.col("error"))).withColumn("up", F.nullif(F.col(f"row.{model.self_key}").cast("string"), F.lit("")))
     rows = written(rows.select("id", "self_ref_fk", "source_id", "partition", "row", "gone", "error", "up"))
-    present = app.select("id").join(rows.where("gone").select("id"), "id", "left_anti")
+    present = app.select("id").join(rows.where("gone").select("id"), "id", "left_anti").select(F.col("id").alias("up"), F.lit(True).alias("there"))
+    rows = written(rows.join(present, "up", "left").withColumn("there", F.coalesce("there", F.lit(False))))
     clean = own.where("not dirty_bit").select(F.col("id").alias("parent"))
-    level = rows.join(clean, F.col("self_ref_fk") == F.col("parent"), "left_semi").union(rows.where("self_ref_fk = ''"))
+    level = rows.join(clean, F.col("self_ref_fk") == F.col("parent"), "left_semi").union(rows.where("self_ref_fk = ''")).withColumn("alive", F.lit(False))
+    # a payload may name another parent than the store's column does; only then restored rows have to be looked through
+    odd = not rows.where("not there and up is not null and up <> self_ref_fk").isEmpty()
     done, depth = None, 0
     while True:
-        there = present.select(F.col("id").alias("up"), F.lit(True).alias("there"))
-        lost = F.col("error").isNull() & ~F.col("gone") & F.col("up").isNotNull() & F.col("there").isNull()
+        there = F.col("up").isNull() | F.col("there") | (F.col("alive") & (F.col("up") == F.col("self_ref_fk")))
+        if odd and done is not None:
+            restored = done.where("error is null and not gone").select(F.col("id").alias("up"), F.lit(True).alias("late")).distinct()
+            level, there = level.join(restored, "up", "left"), there | F.col("late").isNotNull()
         why = F.concat(F.lit(f'{{"{model.self_key}": "'), missing_text(F.lit(model.name), F.col("up")), F.lit('"}'))
-        judged = level.join(there.distinct(), "up", "left").withColumn("error", F.when(lost, why).otherwise(F.col("error"))).drop("there")
-        judged = written(judged.select(*rows.columns))
+        judged = written(level.withColumn("error", F.when(F.col("error").isNull() & ~F.col("gone") & ~there, why).otherwise(F.col("error"))).select(*rows.columns))
         if judged.isEmpty():
             break
         done, depth = judged if done is None else done.union(judged), depth + 1
-        present = present.union(judged.where("error is null and not gone").select("id"))
         if depth % COMPACT_ROUNDS == 0:
-            done, present = written(done), written(present)
-        parents = judged.where("error is null").select(F.col("id").alias("parent"))
-        level = rows.join(parents, F.col("self_ref_fk") == F.col("parent"), "left_semi").join(done.select("id"), "id", "left_anti").select(*rows.columns)
+            done = written(done)
+        # a row has one parent in the store, so it comes up once
+        parents = judged.where("error is null").select(F.col("id").alias("parent"), (~F.col("gone")).alias("alive"))
+        level = rows.join(parents, F.col("self_ref_fk") == F.col("parent")).drop("parent")
     done = judged if done is None else done
     restored, failed = done.where("error is null"), done.where("error is not null")
     waiting = rows.join(done.select("id"), "id", "left_anti")
