@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, minhash, mixture, pii, secrets, simhash, substring, toxicity, warc
+from . import bpe, chat, decontaminate, fim, minhash, mixture, pii, secrets, simhash, substring, toxicity, vectorcodes, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,8 +59,29 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_conversations(_table(spark, sf_dir, "conversations"))
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plain = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents")).withColumn("ids_sha256", F.sha2("ids", 256)))
+    return plain.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sha = lambda c: F.sha2(F.encode(c, "utf-8"), 256)
+    made = fim.transform(_table(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id", "n", "form", F.length("prefix").cast("long").alias("prefix_chars"), F.length("middle").cast("long").alias("middle_chars"),
+        sha(F.col("output")).alias("output_sha256"), sha(fim.restored(F.col("output"), F.col("form"))).alias("restored_sha256"),
+    )
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    books = vectorcodes.train(vectors)
+    coded = vectorcodes.with_label_errors(vectorcodes.encode(vectors, books, label_col="label"))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(books.sha256).alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_simhash, op4_secrets, op5_warc, op6_pii, op7_substring, op8_mixture, op9_minhash, op10_chat)
+    f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_simhash, op4_secrets, op5_warc, op6_pii, op7_substring, op8_mixture, op9_minhash, op10_chat, op11_bpe, op12_fill_in_middle, op13_vector_codes)
 }
 
 _WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -98,4 +119,39 @@ k AS (SELECT z.doc_id, z.size, t.source_size, t.target, t.u, CASE WHEN t.source_
 n AS (SELECT *, least(floor(u + rate * rank) - floor(u + rate * (rank - 1)), ceil(rate))::BIGINT AS copies FROM k)
 SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, copies FROM n
 """
-ORACLES: dict[str, str] = {"op2_decontamination": OP2, "op5_warc": warc.ORACLE, "op7_substring": OP7, "op8_mixture": OP8, "op10_chat": chat.ORACLE}
+OP12 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS w, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+g AS (SELECT *, len(w)::BIGINT AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+f AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS i, greatest(h1 % (n + 1), h2 % (n + 1)) AS j,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM g),
+p AS (SELECT *, array_to_string(w[1:i], '') AS a, array_to_string(w[i + 1:j], '') AS b, array_to_string(w[j + 1:], '') AS c FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(a) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(b) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || a || '<S>' || c || '<M>' || b ELSE '<S>' || c || '<P>' || a || '<M>' || b END) AS output_sha256, sha256(text) AS restored_sha256
+FROM p
+"""
+
+
+def _rounds(n: int) -> str:
+    """Assignments and moved entries of each round, then the last assignments; floor of a quotient whatever the sign."""
+    out = []
+    for r in range(n + 1):
+        out.append(f"d{r} AS (SELECT rid, part, entry, sum((v - c) * (v - c))::BIGINT AS d FROM x JOIN b{r} USING (part, pos) GROUP BY rid, part, entry)")
+        out.append(f"a{r} AS MATERIALIZED (SELECT rid, part, min(d * 64 + entry) % 64 AS entry, min(d * 64 + entry) // 64 AS d FROM d{r} GROUP BY rid, part)")
+        if r < n:
+            out.append(f"u{r} AS (SELECT part, entry, pos, sum(v)::BIGINT AS s, count(*) AS n FROM x JOIN a{r} USING (rid, part) GROUP BY part, entry, pos)")
+            out.append(f"b{r + 1} AS MATERIALIZED (SELECT part, entry, pos, coalesce((s - ((s % n) + n) % n) // n, c)::BIGINT AS c FROM b{r} LEFT JOIN u{r} USING (part, entry, pos))")
+    return ",\n".join(out)
+
+
+#: For vectors of one length that is a multiple of 16.
+OP13 = f"""
+WITH k AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS rid, vec_id, label, embedding, len(embedding) // 16 AS width FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+x AS MATERIALIZED (SELECT rid, i // width AS part, i % width AS pos, floor(256 * e::DOUBLE)::BIGINT AS v FROM (SELECT rid, width, unnest(range(0, len(embedding))) AS i, unnest(embedding) AS e FROM k)),
+b0 AS MATERIALIZED (SELECT part, rid - 1 AS entry, pos, v AS c FROM x WHERE rid <= 64),
+{_rounds(2)},
+e AS (SELECT rid, string_agg(printf('%02x', entry::INTEGER), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a2 GROUP BY rid)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, (SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY part, entry, pos)) FROM b2) AS codebooks_sha256
+FROM k JOIN e USING (rid)
+"""
+ORACLES: dict[str, str] = {"op12_fill_in_middle": OP12, "op13_vector_codes": OP13, "op2_decontamination": OP2, "op5_warc": warc.ORACLE, "op7_substring": OP7, "op8_mixture": OP8, "op10_chat": chat.ORACLE}
