@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import merge
+from tidemark.operators.capture import replaced
 from tidemark.schemas import BUFFER, RMC, RMCB, STORE
 
 OWN, SESSION, CLOCK = "me", "s1", 40
@@ -89,14 +91,50 @@ def test_merging_again_changes_nothing(spark, tables):
 
 def test_rule_for_conflicts(spark, tables):
     """A model's own rule chooses the text that a conflict keeps, unless the record is erased."""
-    rule = F.concat(F.lit("both: "), F.col("s.serialized"), F.lit("|"), F.col("b.serialized"))
-    store, _ = merge.merge(*tables, OWN, CLOCK, SESSION, rule)
+    store, _ = merge.merge(*tables, OWN, CLOCK, SESSION, lambda s, b: F.concat(F.lit("both: "), s["serialized"], F.lit("|"), b["serialized"]))
     rows = {r.id: r.serialized for r in store.collect()}
     for i, case in grid().items():
         kind, row, _ = evaluate(case)
         assert rows[i] == ("both: own text|their text" if kind == merge.CONFLICT and not case[2][4] else row[0])
 
 
+def meeting(spark, seed):
+    """Random tables in which four sessions bring the same records."""
+    draw = random.Random(seed)
+    save = lambda: (draw.choice("abc"), draw.randrange(1, 9))
+    vector = lambda own: {**{draw.choice("abc"): draw.randrange(1, 9) for _ in range(draw.randrange(3))}, own[0]: own[1]}
+    store, buffer, rmc, rmcb = [], [], [], []
+    for i in range(120):
+        if draw.random() < 0.8:
+            own = save()
+            store.append(PLAIN | {"id": f"r{i}", "last_saved_instance": own[0], "last_saved_counter": own[1], "serialized": "own", "conflicting_serialized_data": "", "deleted": draw.random() < 0.2, "hard_deleted": False, "dirty_bit": False, "deserialization_error": "e", "last_transfer_session_id": None})
+            rmc += [(f"r{i}", k, c) for k, c in vector(own).items()]
+        for session in draw.sample(["s1", "s2", "s3", "s4"], draw.randrange(5)):
+            own = save()
+            buffer.append(PLAIN | {"transfer_session_id": session, "model_uuid": f"r{i}", "last_saved_instance": own[0], "last_saved_counter": own[1], "serialized": f"{session}'s", "conflicting_serialized_data": "", "deleted": draw.random() < 0.2, "hard_deleted": draw.random() < 0.1})
+            rmcb += [(session, f"r{i}", k, c) for k, c in vector(own).items()]
+    return make(spark, store, STORE), make(spark, buffer, BUFFER), spark.createDataFrame(rmc, RMC), spark.createDataFrame(rmcb, RMCB)
+
+
+@pytest.mark.parametrize("rule", [None, lambda s, b: F.concat(s["serialized"], F.lit("+"), b["serialized"])])
+def test_sessions_at_once_as_one_by_one(spark, rule):
+    store, buffer, rmc, rmcb = (x.cache() for x in meeting(spark, 11))
+    counters = [("s3", 20), ("s1", 21), ("s4", 22)]  # s2 is left for later
+    folded = merge.fold(store, buffer, rmc, rmcb, OWN, counters, rule)
+    rows, entries = merge.rows_of(folded)
+    at_once = sorted(map(str, replaced(store, rows).collect())), sorted(map(str, replaced(rmc, entries).collect()))
+    for session, counter in counters:
+        store, rmc = (x.cache() for x in merge.merge(store, buffer, rmc, rmcb, OWN, counter, session, rule))
+    assert at_once == (sorted(map(str, store.collect())), sorted(map(str, rmc.collect())))
+
+
+def test_more_sessions_are_no_more_shuffles(spark):
+    tables = meeting(spark, 12)
+    shuffles = [merge.fold(*tables, OWN, [(f"s{i}", i) for i in range(n)])._jdf.queryExecution().sparkPlan().toString().count("Exchange hash") for n in (1, 4)]
+    plan = lambda n: merge.fold(*tables, OWN, [(f"s{i}", i) for i in range(n)])._jdf.queryExecution().executedPlan().toString().count("Exchange")
+    assert shuffles[0] == shuffles[1] and plan(1) == plan(4)
+
+
 def test_empty(spark):
     empty = [spark.createDataFrame([], x) for x in (STORE, BUFFER, RMC, RMCB)]
     store, rmc = merge.merge(*empty, OWN, 1, SESSION)

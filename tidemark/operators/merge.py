@@ -14,20 +14,24 @@ and all joins are on that id alone.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schemas import RECORD_COLUMNS
-from .capture import replaced
+from ..schemas import RECORD_COLUMNS, STORE
+from .capture import Model, replaced
 
+#: The text that a conflict keeps, of the store's text and the buffer's; null keeps the store's.
+Rule = Callable[[Column, Column], Column]
 NEW, REVERSE_FF, FAST_FORWARD, CONFLICT = "NEW", "REVERSE_FF", "FAST_FORWARD", "CONFLICT"
 _EMPTY = "cast(map() as map<string, int>)"
 
 
-def vector_maps(entries: DataFrame, key: str, name: str) -> DataFrame:
-    """(key, map of instance to greatest counter)."""
-    each = entries.groupBy(key, "instance_id").agg(F.max("counter").alias("counter"))
-    return each.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("instance_id", "counter"))).alias(name))
+def vector_maps(entries: DataFrame, key: str, name: str, *more: str) -> DataFrame:
+    """(key, map of instance to greatest counter); of each key and what ``more`` columns say."""
+    each = entries.groupBy(key, *more, "instance_id").agg(F.max("counter").alias("counter"))
+    return each.groupBy(key, *more).agg(F.map_from_entries(F.collect_list(F.struct("instance_id", "counter"))).alias(name))
 
 
 def joined(store: DataFrame, buffer: DataFrame, rmc: DataFrame, rmcb: DataFrame, session: str | None = None) -> DataFrame:
@@ -42,7 +46,7 @@ def joined(store: DataFrame, buffer: DataFrame, rmc: DataFrame, rmcb: DataFrame,
     got = vector_maps(rmcb, "model_uuid", "got").withColumnRenamed("model_uuid", "id")
     every = s.join(b, "id", "full_outer").join(vector_maps(rmc, "id", "has"), "id", "left").join(got, "id", "left")
     every = every.withColumns({"has": F.coalesce("has", F.expr(_EMPTY)), "got": F.coalesce("got", F.expr(_EMPTY))})
-    return every.withColumn("class", classified())
+    return every.withColumn("class", _class(*map(F.col, ("s", "b", "has", "got"))))
 
 
 def met(store: DataFrame, buffer: DataFrame, rmc: DataFrame, rmcb: DataFrame, session: str | None = None) -> DataFrame:
@@ -57,15 +61,97 @@ def met(store: DataFrame, buffer: DataFrame, rmc: DataFrame, rmcb: DataFrame, se
     return joined(store.join(ids, "id", "left_semi"), buffer, rmc.join(ids, "id", "left_semi"), rmcb)
 
 
-def changes(store: DataFrame, buffer: DataFrame, rmc: DataFrame, rmcb: DataFrame, instance_id: str, counter: int, session: str, resolve: Column | None = None) -> tuple[DataFrame, DataFrame]:
+def changes(store: DataFrame, buffer: DataFrame, rmc: DataFrame, rmcb: DataFrame, instance_id: str, counter: int, session: str, rule: Rule | None = None) -> tuple[DataFrame, DataFrame]:
     """(store rows, all vector entries of their ids) of the records that a merge changes; the rest stays as it is."""
     every = met(store, buffer, rmc, rmcb, session).where(F.col("class").isin(NEW, FAST_FORWARD, CONFLICT))
-    return merged_store(every, instance_id, counter, session, resolve), merged_vectors(every, instance_id, counter)
+    return merged_store(every, instance_id, counter, session, rule), merged_vectors(every, instance_id, counter)
+
+
+def rule_of(models: list[Model]) -> Rule | None:
+    """The models' own rules for conflicts as one, by the model that a text belongs to; None if there is none."""
+    own = [m for m in models if m.resolve_conflict]
+
+    def rule(s: Column, b: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for m in own:
+            out = F.when(s["model_name"] == m.name, m.resolve_conflict(s["serialized"], b["serialized"])).otherwise(out)
+        return out
+
+    return rule if own else None
+
+
+def fold(store: DataFrame, buffer: DataFrame, rmc: DataFrame, rmcb: DataFrame, instance_id: str, counters: list[tuple[str, int]], rule: Rule | None = None) -> DataFrame:
+    """(id, s struct, has map) of the records that change as sessions are merged one after another.
+
+    ``counters`` lists (session, the instance's counter for its merge) in the order
+    of merging. All that a record received in any session meets at its id, and is
+    folded into its row and vector there, so every table is shuffled once by id
+    however many sessions there are. Of a record a session has one row. ``rule``
+    consists of built-in functions only, as it is evaluated within the fold.
+    """
+    place = F.create_map(*[F.lit(x) for i, (session, _) in enumerate(counters) for x in (session, i)])
+    clock = F.create_map(*[F.lit(x) for session, counter in counters for x in (session, counter)])
+    by_id = lambda t, name: t.withColumnRenamed(name, "id").repartition("id")
+    session = F.col("transfer_session_id")
+    got = vector_maps(by_id(rmcb.where(place[session].isNotNull()), "model_uuid"), "id", "got", "transfer_session_id")
+    came = buffer.where(place[session].isNotNull()).select(F.col("model_uuid").alias("id"), "transfer_session_id", F.struct("*").alias("b")).repartition("id")
+    came = came.join(got, ["id", "transfer_session_id"], "left").withColumn("got", F.coalesce("got", F.expr(_EMPTY)))
+    one = F.struct(place[session].alias("place"), clock[session].alias("counter"), session.alias("session"), "b", "got")
+    each = came.groupBy("id").agg(F.array_sort(F.collect_list(one), lambda x, y: x["place"] - y["place"]).alias("each"))
+    s = store.join(each.select("id"), "id", "left_semi").select("id", F.struct(*STORE.fieldNames()).cast(STORE).alias("s"))
+    has = vector_maps(rmc.join(each.select("id"), "id", "left_semi"), "id", "has")
+    every = each.join(s, "id", "left").join(has, "id", "left")
+    start = F.struct(F.col("s"), F.coalesce("has", F.expr(_EMPTY)).cast("map<string, int>").alias("has"), F.lit(False).alias("changed"))
+
+    def step(state: Column, x: Column) -> Column:
+        def judged(kind: Column) -> Column:
+            row = F.struct(*_row(state["s"], x["b"], kind, instance_id, x["counter"], x["session"], rule))
+            vector = _vector(state["has"], x["got"], kind, instance_id, x["counter"])
+            return F.when(kind == REVERSE_FF, state).otherwise(F.struct(row.alias("s"), vector.alias("has"), F.lit(True).alias("changed")))
+
+        return F.transform(F.array(_class(state["s"], x["b"], state["has"], x["got"])), judged)[0]  # so that the class is found once
+
+    return every.select("id", F.aggregate("each", start, step).alias("r")).where("r.changed").select("id", "r.s", "r.has")
+
+
+def rows_of(folded: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(store rows, all vector entries of their ids) of what ``fold`` gives."""
+    return folded.select("s.*"), folded.select("id", F.explode("has").alias("instance_id", "counter"))
+
+
+def _class(s: Column, b: Column, has: Column, got: Column) -> Column:
+    seen = lambda vector, row: F.coalesce(F.element_at(vector, row["last_saved_instance"]) >= row["last_saved_counter"], F.lit(False))
+    return F.when(b.isNull(), F.lit(None)).when(s.isNull(), NEW).when(seen(has, b), REVERSE_FF).when(seen(got, s), FAST_FORWARD).otherwise(CONFLICT)
+
+
+def _row(s: Column, b: Column, kind: Column, instance_id: str, counter: Column, session: Column, rule: Rule | None) -> list[Column]:
+    """The columns of a record's store row after a merge of that kind."""
+    taken = kind.isin(NEW, FAST_FORWARD)
+    conflict = kind == CONFLICT
+    hard = b["hard_deleted"]
+    changes: dict[str, Column] = {c: s[c] for c in RECORD_COLUMNS} | {
+        "serialized": F.when(hard, "").otherwise(s["serialized"] if rule is None else F.coalesce(rule(s, b), s["serialized"])),
+        "deleted": s["deleted"] | b["deleted"],
+        "hard_deleted": s["hard_deleted"] | hard,
+        "last_saved_instance": F.lit(instance_id),
+        "last_saved_counter": counter.cast("int"),
+        "conflicting_serialized_data": F.when(hard, "").otherwise(F.concat(b["serialized"], F.lit("\n"), s["conflicting_serialized_data"])),
+    }
+    touched = taken | conflict
+    return [
+        F.coalesce(s["id"], b["model_uuid"]).alias("id"), *[F.when(taken, b[c]).when(conflict, changes[c]).otherwise(s[c]).alias(c) for c in RECORD_COLUMNS],
+        F.when(touched, True).otherwise(s["dirty_bit"]).alias("dirty_bit"),
+        F.when(touched, "").otherwise(s["deserialization_error"]).alias("deserialization_error"),
+        F.when(touched, session).otherwise(s["last_transfer_session_id"]).alias("last_transfer_session_id"),
+    ]
 
 
-def classified() -> Column:
-    seen = lambda vector, row: F.coalesce(F.element_at(F.col(vector), F.col(f"{row}.last_saved_instance")) >= F.col(f"{row}.last_saved_counter"), F.lit(False))
-    return F.when(F.col("b").isNull(), F.lit(None)).when(F.col("s").isNull(), NEW).when(seen("has", "b"), REVERSE_FF).when(seen("got", "s"), FAST_FORWARD).otherwise(CONFLICT)
+def _vector(has: Column, got: Column, kind: Column, instance_id: str, counter: Column) -> Column:
+    """A record's vector after a merge of that kind."""
+    over = F.map_concat(F.map_filter(has, lambda k, _: ~F.map_contains_key(got, k)), got)
+    greatest = F.map_zip_with(has, got, lambda _, a, b: F.greatest(a, b))
+    saved = F.map_concat(F.map_filter(greatest, lambda k, _: k != instance_id), F.create_map(F.lit(instance_id), counter.cast("int")))
+    return F.when(kind.isin(NEW, FAST_FORWARD), over).when(kind == CONFLICT, saved).otherwise(has)
 
 
 def classes(store: DataFrame, buffer: DataFrame, rmc: DataFrame, rmcb: DataFrame, session: str | None = None) -> DataFrame:
@@ -73,49 +159,26 @@ def classes(store: DataFrame, buffer: DataFrame, rmc: DataFrame, rmcb: DataFrame
     return joined(store, buffer, rmc, rmcb, session).where("class is not null").select(F.col("id").alias("model_uuid"), "class")
 
 
-def merged_store(every: DataFrame, instance_id: str, counter: int, session: str, resolve: Column | None = None) -> DataFrame:
+def merged_store(every: DataFrame, instance_id: str, counter: int, session: str, rule: Rule | None = None) -> DataFrame:
     """The store after the merge, from ``joined``; counter is the instance's, raised once for this merge.
 
-    ``resolve`` is the text that a conflict keeps, over the structs ``s`` (the
-    store's row) and ``b`` (the buffer's); without it the store's text stays.
-
-    In a conflict a hard deletion by the other side blanks both texts; deletions
-    of either side hold; place and identity stay the store's.
+    In a conflict the store's text stays, or what ``rule`` makes of both; a hard
+    deletion by the other side blanks both texts; deletions of either side hold;
+    place and identity stay the store's.
     """
-    taken = F.col("class").isin(NEW, FAST_FORWARD)
-    conflict = F.col("class") == CONFLICT
-    hard = F.col("b.hard_deleted")
-    changes: dict[str, Column] = {c: F.col(f"s.{c}") for c in RECORD_COLUMNS} | {
-        "serialized": F.when(hard, "").otherwise(F.col("s.serialized") if resolve is None else F.coalesce(resolve, F.col("s.serialized"))),
-        "deleted": F.col("s.deleted") | F.col("b.deleted"),
-        "hard_deleted": F.col("s.hard_deleted") | hard,
-        "last_saved_instance": F.lit(instance_id),
-        "last_saved_counter": F.lit(counter).cast("int"),
-        "conflicting_serialized_data": F.when(hard, "").otherwise(F.concat("b.serialized", F.lit("\n"), "s.conflicting_serialized_data")),
-    }
-    columns = [F.when(taken, F.col(f"b.{c}")).when(conflict, changes[c]).otherwise(F.col(f"s.{c}")).alias(c) for c in RECORD_COLUMNS]
-    touched = taken | conflict
-    return every.select(
-        "id", *columns,
-        F.when(touched, True).otherwise(F.col("s.dirty_bit")).alias("dirty_bit"),
-        F.when(touched, "").otherwise(F.col("s.deserialization_error")).alias("deserialization_error"),
-        F.when(touched, session).otherwise(F.col("s.last_transfer_session_id")).alias("last_transfer_session_id"),
-    )
+    _, *columns = _row(F.col("s"), F.col("b"), F.col("class"), instance_id, F.lit(counter), F.lit(session), rule)
+    return every.select("id", *columns)
 
 
 def merged_vectors(every: DataFrame, instance_id: str, counter: int) -> DataFrame:
     """Record vectors after the merge: what came replaces entries of taken records; conflicts take the greater
     of both and an entry for the save that the merge is."""
-    over = F.map_concat(F.map_filter("has", lambda k, _: ~F.map_contains_key("got", k)), "got")
-    greatest = F.map_zip_with("has", "got", lambda _, a, b: F.greatest(a, b))
-    saved = F.map_concat(F.map_filter(greatest, lambda k, _: k != instance_id), F.create_map(F.lit(instance_id), F.lit(counter).cast("int")))
-    vector = F.when(F.col("class").isin(NEW, FAST_FORWARD), over).when(F.col("class") == CONFLICT, saved).otherwise(F.col("has"))
-    return every.select("id", F.explode(vector).alias("instance_id", "counter"))
+    return every.select("id", F.explode(_vector(F.col("has"), F.col("got"), F.col("class"), instance_id, F.lit(counter))).alias("instance_id", "counter"))
 
 
-def merge(store: DataFrame, buffer: DataFrame, rmc: DataFrame, rmcb: DataFrame, instance_id: str, counter: int, session: str, resolve: Column | None = None) -> tuple[DataFrame, DataFrame]:
+def merge(store: DataFrame, buffer: DataFrame, rmc: DataFrame, rmcb: DataFrame, instance_id: str, counter: int, session: str, rule: Rule | None = None) -> tuple[DataFrame, DataFrame]:
     """(store, rmc) after one session's buffer was merged."""
-    rows, entries = changes(store, buffer, rmc, rmcb, instance_id, counter, session, resolve)
+    rows, entries = changes(store, buffer, rmc, rmcb, instance_id, counter, session, rule)
     return replaced(store, rows), replaced(rmc, entries, "id")
 
 

@@ -16,6 +16,7 @@ from ..functions.identity import hashed_id
 #: "n1" is a string prefix of "n10": it is both under and above the filter.
 FILTERS = ["n1", "n10", "n3"]
 PROFILE, MODEL, SESSION = "facility", "order", "t1"
+MEETING = ["m1", "m2", "m3"]
 
 
 @dataclass
@@ -67,6 +68,20 @@ class Tables:
     def rmcb(self) -> DataFrame:
         return self._vector(self.buffer, "model_uuid", "l_partkey", 17).select(F.lit(SESSION).alias("transfer_session_id"), F.col("id").alias("model_uuid"), "instance_id", "counter")
 
+    def meeting(self) -> tuple[DataFrame, DataFrame]:
+        """(buffer, rmcb) of three transfers that bring many of the same records, saved by others."""
+        rows = [
+            self.buffer.where(f"cast(source_id as long) % 5 <> {n}").withColumns({
+                "transfer_session_id": F.lit(name), "serialized": F.expr(f"replace(serialized, '2}}', '{n + 2}}}')"),
+                "last_saved_instance": F.expr(f"concat('i', cast((cast(source_id as long) + {n}) % 7 as string))"), "last_saved_counter": F.expr(f"cast((cast(source_id as long) * {3 + n}) % 101 + 1 as int)"),
+            }) for n, name in enumerate(MEETING)
+        ]
+        buffer = rows[0].unionByName(rows[1]).unionByName(rows[2])
+        entries = self.rmcb.select("model_uuid", "instance_id", "counter").join(buffer.select("model_uuid", "transfer_session_id"), "model_uuid")
+        own = buffer.selectExpr("model_uuid", "last_saved_instance as instance_id", "last_saved_counter as counter", "transfer_session_id")
+        both = entries.unionByName(own).groupBy("transfer_session_id", "model_uuid", "instance_id").agg(F.max("counter").alias("counter"))
+        return buffer, both
+
     @property
     def dmc(self) -> DataFrame:
         keyed = self.store.selectExpr("partition", "last_saved_instance as instance_id", "last_saved_counter as c", "cast(source_id as long) as k")

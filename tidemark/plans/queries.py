@@ -12,9 +12,9 @@ from pyspark.sql import types as T
 from ..functions import identity, payload, scope
 from ..operators import capture, certificates, exchange, merge, outgoing, restore, sessions, trees, vectors
 from ..operators.prefix import prefix_join
-from ..sources import pages, snapshots
+from ..sources import feeds, pages, snapshots
 from ..streaming import ingest
-from .derive import FILTERS, MODEL, PROFILE, SESSION, Tables, strangers
+from .derive import FILTERS, MEETING, MODEL, PROFILE, SESSION, Tables, strangers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -602,6 +602,37 @@ def stream_counters(t: Tables) -> DataFrame:
     return _streamed(t).read("dmc")
 
 
+@query
+def stream_sessions(t: Tables) -> DataFrame:
+    """The store after three transfers that meet in the same records came in one batch."""
+    return _met(t).read("store")
+
+
+@query
+def change_feed(t: Tables) -> DataFrame:
+    """What a version changed, read from its changes alone; two later versions change nothing, or less."""
+    s = _met(t)
+    s.commit({}, {"store": (s.read("store").where("id < '1'").withColumn("dirty_bit", F.lit(False)), ["id"])})
+    feed = feeds.changes(t.spark, s.root, "store", after=1).drop("_whole")
+    return feed.select(*[c for c in feed.columns if c != "profile"])
+
+
+def _met(t: Tables) -> snapshots.Snapshots:
+    sink = snapshots.Snapshots(t.spark, trees.scratch(t.spark, "met"))
+    sink.commit({"store": t.store, "rmc": t.rmc})
+    clock = iter(range(500, 600))
+    ingest.merge_batch(sink, exchange.nested(*t.meeting()), "i3", scope.Filter(""), PROFILE, lambda: next(clock))
+    return sink
+
+
+@query
+def pull_pages(t: Tables) -> DataFrame:
+    """A transfer's pages through their data source, from the seventh on: no earlier file is opened."""
+    folder = trees.scratch(t.spark, "pull")
+    pages.write_pages(t.buffer, t.rmcb, folder, size=50, per_file=3)
+    return feeds.pages(t.spark, folder, SESSION, first=7).select("model_uuid", "serialized", "page", F.size("rmcb_list").alias("entries"))
+
+
 def _streamed(t: Tables) -> snapshots.Snapshots:
     root, kept = trees.scratch(t.spark, "stream"), t.settled()
     sink = snapshots.Snapshots(t.spark, f"{root}/replica")

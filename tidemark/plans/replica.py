@@ -47,6 +47,8 @@ class Replica:
     instance_id: str = field(default_factory=lambda: uuid.uuid4().hex)
     counter: int = 0
     scope: Scope = field(default_factory=Scope)
+    #: The snapshot that the tables are of; None if they are of none.
+    version: int | None = None
 
     def __post_init__(self) -> None:
         make = self.spark.createDataFrame
@@ -105,36 +107,45 @@ class Replica:
         return cut(vectors.wire_vector(self.dmc, list(filters), pairs))
 
     def dequeue(self, session: str, peer_vector: DataFrame) -> None:
-        store, rmc = merge.merge(self.store, self.buffer, self.rmc, self.rmcb, self.instance_id, self.tick(), session, self._resolve())
+        store, rmc = merge.merge(self.store, self.buffer, self.rmc, self.rmcb, self.instance_id, self.tick(), session, merge.rule_of(self.models))
         self.store, self.rmc = cut(store), cut(rmc)
         self.dmc = cut(merge.dmc_with_parts(self.dmc, peer_vector))
 
     def save(self, snapshots: Snapshots, transfers: list[Transfer] = ()) -> int:
-        """Commit all tables, and transfers that are under way, as a version."""
+        """Commit all tables, and transfers that are under way, as the version after the one they are of.
+
+        If someone else has made that version, it raises Conflict: saving over it
+        would lose what that one holds. ``updated`` loads and works again then.
+        """
         tables = {name: getattr(self, name) for name in _TABLES} | {f"app-{m}": df for m, df in self.apps.items()}
         tables["identity"] = self.spark.createDataFrame([(self.profile, self.instance_id, self.counter)], IDENTITY)
         tables["transfers"] = self.spark.createDataFrame([t.row() for t in transfers], TRANSFERS)
-        return snapshots.commit(tables)
+        self.version = snapshots.commit(tables, after=self.version)
+        return self.version
+
+    @classmethod
+    def updated(cls, snapshots: Snapshots, models: list[capture.Model], work: Callable[[Replica], None], scope: Scope | None = None) -> Replica:
+        """Load the latest version, ``work`` on it, save; again from the new version if another writer was first."""
+
+        def once(base: int) -> Replica:
+            out = cls.load(snapshots, models, scope, base)
+            work(out)
+            out.save(snapshots)
+            return out
+
+        return snapshots.retried(once)
 
     @classmethod
     def load(cls, snapshots: Snapshots, models: list[capture.Model], scope: Scope | None = None, version: int | None = None) -> Replica:
         """The replica of a version. Tables stay where they are until something changes them."""
         n = version or snapshots.version
         who = snapshots.read("identity", n).first()
-        out = cls(snapshots.spark, models, who.profile, who.instance_id, who.counter, scope or Scope())
+        out = cls(snapshots.spark, models, who.profile, who.instance_id, who.counter, scope or Scope(), n)
         for name in _TABLES:
             setattr(out, name, snapshots.read(name, n))
         out.apps = {m.name: snapshots.read(f"app-{m.name}", n) for m in models}
         return out
 
-    def _resolve(self):
-        """The models' own rules for conflicts, as one column; None if there is none."""
-        own = [m for m in self.models if m.resolve_conflict]
-        out = F.lit(None).cast("string")
-        for m in own:
-            out = F.when(F.col("s.model_name") == m.name, m.resolve_conflict(F.col("s.serialized"), F.col("b.serialized"))).otherwise(out)
-        return out if own else None
-
     def drop_buffers(self, session: str) -> None:
         other = F.col("transfer_session_id") != session
         self.buffer, self.rmcb = cut(self.buffer.where(other)), cut(self.rmcb.where(other))

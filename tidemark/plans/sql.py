@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..operators.restore import PARENT_DIRTY, PARENT_MISSING
 from ..schemas import RECORD_COLUMNS
-from .derive import FILTERS, PROFILE, SESSION, with_tables
+from .derive import FILTERS, MEETING, PROFILE, SESSION, with_tables
 
 _SEEN = "EXISTS (SELECT 1 FROM rmc WHERE rmc.id = b.model_uuid AND rmc.instance_id = b.last_saved_instance AND rmc.counter >= b.last_saved_counter)"
 _PASSED = "EXISTS (SELECT 1 FROM rmcb WHERE rmcb.model_uuid = s.id AND rmcb.instance_id = s.last_saved_instance AND rmcb.counter >= s.last_saved_counter)"
@@ -75,6 +75,33 @@ _S, _B = (", ".join(f"{x}.{c}" for c in RECORD_COLUMNS) for x in "sb")
 _ORDERED = f"""SELECT s.id, {_S}, s.dirty_bit, s.deserialization_error, s.last_transfer_session_id FROM store s LEFT JOIN cls ON s.id = model_uuid WHERE class IS NULL OR class = 'REVERSE_FF'
 UNION ALL SELECT b.model_uuid, {_B}, true, '', '{SESSION}' FROM buffer b JOIN cls USING (model_uuid) WHERE class IN ('NEW', 'FAST_FORWARD')
 UNION ALL SELECT s.id, {_CONFLICT_COLUMNS}, true, '', '{SESSION}' FROM store s JOIN buffer b ON s.id = b.model_uuid JOIN cls ON cls.model_uuid = s.id WHERE class = 'CONFLICT'"""
+
+
+def _meeting() -> str:
+    """Merging the sessions one after another: s0 and v0 are store and vectors, s1 and v1 those after the first session."""
+    out = ["s0 AS (SELECT * EXCLUDE (k) FROM store)", "v0 AS (SELECT * FROM rmc)"]
+    for n, name in enumerate(MEETING):
+        instance, counter = f"'i' || ((k + {n}) % 7)", f"((k * {3 + n}) % 101 + 1)::INT"
+        record = ", ".join({"serialized": f"""'{{"k":' || k || ',"v":{n + 2}}}' AS serialized""", "last_saved_instance": f"{instance} AS last_saved_instance", "last_saved_counter": f"{counter} AS last_saved_counter"}.get(c, c) for c in RECORD_COLUMNS)
+        conflict = ", ".join({**_MERGED, "last_saved_counter": str(500 + n)}.get(c, "s." + c) + f" AS {c}" for c in RECORD_COLUMNS)
+        of = lambda kinds: f"(SELECT model_uuid FROM c{n} WHERE class IN ({kinds}))"  # noqa: B023, E731
+        out += [
+            f"b{n} AS (SELECT model_uuid, {record} FROM buffer WHERE k % 5 <> {n})",
+            f"g{n} AS (SELECT model_uuid, instance_id, max(counter)::INT AS counter FROM (SELECT model_uuid, instance_id, counter FROM rmcb WHERE model_uuid IN (SELECT model_uuid FROM b{n}) UNION ALL SELECT model_uuid, last_saved_instance, last_saved_counter FROM b{n}) GROUP BY ALL)",
+            f"""c{n} AS (SELECT b.model_uuid, CASE WHEN s.id IS NULL THEN 'NEW' WHEN EXISTS (SELECT 1 FROM v{n} v WHERE v.id = b.model_uuid AND v.instance_id = b.last_saved_instance AND v.counter >= b.last_saved_counter) THEN 'REVERSE_FF'
+  WHEN EXISTS (SELECT 1 FROM g{n} g WHERE g.model_uuid = s.id AND g.instance_id = s.last_saved_instance AND g.counter >= s.last_saved_counter) THEN 'FAST_FORWARD' ELSE 'CONFLICT' END AS class FROM b{n} b LEFT JOIN s{n} s ON s.id = b.model_uuid)""",
+            f"""s{n + 1} AS (SELECT s.id, {_S}, s.dirty_bit, s.deserialization_error, s.last_transfer_session_id FROM s{n} s WHERE id NOT IN {of("'NEW', 'FAST_FORWARD', 'CONFLICT'")}
+  UNION ALL SELECT b.model_uuid, {_B}, true, '', '{name}' FROM b{n} b WHERE model_uuid IN {of("'NEW', 'FAST_FORWARD'")}
+  UNION ALL SELECT s.id, {conflict}, true, '', '{name}' FROM s{n} s JOIN b{n} b ON s.id = b.model_uuid WHERE s.id IN {of("'CONFLICT'")})""",
+            f"""v{n + 1} AS (SELECT v.* FROM v{n} v WHERE NOT EXISTS (SELECT 1 FROM g{n} g WHERE g.model_uuid = v.id AND g.instance_id = v.instance_id AND v.id IN {of("'NEW', 'FAST_FORWARD'")}) AND v.id NOT IN {of("'CONFLICT'")}
+  UNION ALL SELECT * FROM g{n} WHERE model_uuid IN {of("'NEW', 'FAST_FORWARD'")}
+  UNION ALL SELECT id, instance_id, max(counter)::INT FROM (SELECT * FROM v{n} UNION ALL SELECT * FROM g{n} UNION ALL SELECT model_uuid, 'i3', {500 + n} FROM c{n}) WHERE id IN {of("'CONFLICT'")} GROUP BY ALL)""",
+        ]
+    return ",\n".join(out)
+
+
+_LAST = f"s{len(MEETING)}"
+_ROW = ", ".join(c for c in ["id", *RECORD_COLUMNS, "deserialization_error", "last_transfer_session_id"] if c != "profile")
 _DMC_PARTS = "SELECT coalesce(p.partition, w.partition) AS partition, coalesce(p.instance_id, w.instance_id) AS instance_id, greatest(p.counter, w.counter) AS counter FROM peer p FULL JOIN (SELECT * FROM ws WHERE side = 'sub' AND instance_id IS NOT NULL) w ON p.partition = w.partition AND p.instance_id = w.instance_id"
 #: Orders that a capture under the filters takes, and those that it leaves dirty.
 _CHANGED = "changed AS (SELECT * FROM base WHERE k % 2 = 0 AND EXISTS (SELECT 1 FROM filters WHERE starts_with(partition, f)))"
@@ -188,6 +215,10 @@ v AS (SELECT id, r, w, true AS valid FROM c WHERE parent_id IS NULL UNION ALL SE
     "page_files": _t("SELECT model_uuid, serialized, page, (SELECT count(*) FROM rmcb WHERE rmcb.model_uuid = x.model_uuid)::INT AS entries FROM (SELECT model_uuid, serialized, (row_number() OVER (ORDER BY model_uuid) - 1) // 100 AS page FROM buffer) x WHERE page >= 2"),
     "stream_store": _t(_ORDERED, CLS),
     "stream_counters": _t(_DMC_PARTS, _wire("dmc", "ws")),
+    "stream_sessions": _t(f"SELECT * FROM {_LAST}", _meeting()),
+    "change_feed": _t(f"""SELECT {_ROW}, dirty_bit, 2::BIGINT AS _version FROM {_LAST} WHERE id IN (SELECT model_uuid FROM c0 WHERE class <> 'REVERSE_FF' UNION SELECT model_uuid FROM c1 WHERE class <> 'REVERSE_FF' UNION SELECT model_uuid FROM c2 WHERE class <> 'REVERSE_FF')
+UNION ALL SELECT {_ROW}, false, 3 FROM {_LAST} WHERE id < '1'""", _meeting()),
+    "pull_pages": _t("SELECT model_uuid, serialized, page, (SELECT count(*) FROM rmcb WHERE rmcb.model_uuid = x.model_uuid)::INT AS entries FROM (SELECT model_uuid, serialized, (row_number() OVER (ORDER BY model_uuid) - 1) // 50 AS page FROM buffer) x WHERE page >= 7"),
     "latest_sessions": f"WITH {_SYNCS} SELECT sync_session_id, id FROM (SELECT *, row_number() OVER (PARTITION BY sync_session_id ORDER BY last_activity DESC, id DESC) AS n FROM transfers WHERE active) WHERE n = 1",
     "readable_buffers": _t("SELECT model_uuid, source_id AS transfer_session_id FROM buffer WHERE k % 3 <> 0 AND k % 2 <> 0"),
     "partitions_outside": _t("SELECT DISTINCT partition FROM ws WHERE side = 'sub' AND NOT starts_with(partition, 'n10') AND NOT starts_with(partition, 'n3:c1')", _wire("dmc", "ws")),

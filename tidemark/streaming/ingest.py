@@ -7,6 +7,7 @@ only once all its records have been merged.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.scope import Filter
 from ..operators import exchange, merge
-from ..operators.capture import replaced
+from ..operators.capture import Model
 from ..operators.trees import cut
 from ..schemas import DMC
 from ..sources.pages import read_vectors, stream_pages
@@ -25,67 +26,90 @@ _SEEN = ["transfer_session_id", "model_uuid"]
 
 
 def _latest(buffer: DataFrame) -> DataFrame:
-    """One row of each record: of rows that differ, that with the greatest counter, then by instance and text."""
-    order = Window.partitionBy("model_uuid").orderBy(F.col("last_saved_counter").desc(), F.col("last_saved_instance").desc(), F.col("serialized").desc(), F.col("deleted").desc(), F.col("hard_deleted").desc())
+    """One row of each record in each session: of rows that differ, that with the greatest counter, then by instance and text."""
+    order = Window.partitionBy(*_SEEN).orderBy(F.col("last_saved_counter").desc(), F.col("last_saved_instance").desc(), F.col("serialized").desc(), F.col("deleted").desc(), F.col("hard_deleted").desc())
     return buffer.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
 
 
-def merge_batch(snapshots: Snapshots, wire: DataFrame, instance_id: str, filters: Filter, profile: str, clock: Callable[[], int], vectors: DataFrame | None = None) -> list[str]:
+def merge_batch(
+    snapshots: Snapshots, wire: DataFrame, instance_id: str, filters: Filter, profile: str, clock: Callable[[], int],
+    vectors: DataFrame | None = None, models: list[Model] = (), batch: str | None = None,
+) -> list[str]:
     """Merge the records of one micro-batch, session by session in order of their names; returns the sessions.
 
-    The whole batch is one commit, and only of what it changes: rows of the store
-    and vectors of the records that came, not the tables. The batch's number is no
-    part of the result: a batch that is run again finds its records in the store's
-    vectors and drops them, so replays change nothing but the clock.
+    All sessions are folded at once (merge.fold). The whole batch is one commit, and
+    only of what it changes: rows of the store and vectors of the records that came,
+    not the tables; a commit of someone else meanwhile has it merged again into what
+    that one left. The batch's number is no part of the result: a batch that is run
+    again finds its records in the store's vectors and drops them, so replays change
+    nothing but the clock. ``models`` may have rules for conflicts.
 
     ``vectors`` (see sources.pages.read_vectors) tells what transfers bring. When
     as many different records of a transfer have come as it has, its vector is taken
     into the database vector, so that the next transfer needn't send them again.
+    ``batch`` names the batch, for the counts of records that came.
     """
-    sessions = [r[0] for r in wire.where("transfer_session_id is not null").select("transfer_session_id").distinct().orderBy("transfer_session_id").collect()]
-    if not sessions:
+    session = F.col("transfer_session_id")
+    wire = wire.where(session.isNotNull())
+    names = [r[0] for r in wire.select("transfer_session_id").distinct().orderBy("transfer_session_id").collect()]
+    if not names:
         return []
-    base = snapshots.version
-    held = set(snapshots.tables(base)) if base else set()
-    spark = wire.sparkSession
-    ids = wire.select(F.col("model_uuid").alias("id")).distinct()
-    store, rmc = (snapshots.read(t, base).join(ids, "id", "left_semi") for t in ("store", "rmc"))
-    store, rmc = cut(store), cut(rmc)
-    refused, rows, entries, came = None, None, None, None
-    for session in sessions:
-        buffer, rmcb, bad = exchange.received(wire.where(F.col("transfer_session_id") == session), session, filters, profile, quarantine=True)
-        buffer = cut(_latest(buffer))
-        some = [cut(x) for x in merge.changes(store, buffer, rmc, rmcb, instance_id, clock(), session)]
-        store, rmc = cut(replaced(store, some[0])), cut(replaced(rmc, some[1], "id"))
-        rows = some[0] if rows is None else replaced(rows, some[0])
-        entries = some[1] if entries is None else replaced(entries, some[1], "id")
-        refused = bad if refused is None else refused.unionByName(bad)
-        came = buffer.select(*_SEEN) if came is None else came.unionByName(buffer.select(*_SEEN))
-    changed = {"store": (rows, ["id"]), "rmc": (entries, ["id"]), "refused": (refused.select(*_SEEN, "problem"), [*_SEEN, "problem"]), "received": (came, _SEEN)}
-    tables = {}
-    if vectors is not None:
-        seen = replaced(snapshots.read("received", base), came, _SEEN) if "received" in held else came
-        counted = seen.groupBy("transfer_session_id").agg(F.countDistinct("model_uuid").alias("n"))
-        due = vectors.join(counted.where(F.col("transfer_session_id").isin(sessions)), "transfer_session_id").where("n >= records")
-        dmc = snapshots.read("dmc", base) if "dmc" in held else spark.createDataFrame([], DMC)
-        told = due.where("side is not null").groupBy("side", "partition", "instance_id").agg(F.max("counter").alias("counter"))
-        tables = {"dmc": merge.dmc_with_parts(dmc, told), "received": cut(seen).join(due.select("transfer_session_id").distinct(), "transfer_session_id", "left_anti").select(*_SEEN)}
-        del changed["received"]  # of transfers that go on
-    snapshots.commit(tables, changed, after=base)
-    return sessions
-
-
-def merge_stream(spark: SparkSession, folder: str, snapshots: Snapshots, checkpoint: str, instance_id: str, filters: Filter, profile: str, clock: Callable[[], int], vector_folder: str | None = None, **trigger) -> StreamingQuery:
+    counters = [(name, clock()) for name in names]
+    buffer, rmcb, refused = exchange.received(wire, session, filters, profile, quarantine=True)
+    buffer = cut(_latest(buffer))
+    ids = cut(buffer.select(F.col("model_uuid").alias("id")).distinct())
+    arrived = cut(buffer.groupBy("transfer_session_id").agg(F.count("*").alias("n")).select("transfer_session_id", F.lit(batch or uuid.uuid4().hex).alias("batch"), "n"))
+
+    def once(base: int) -> list[str]:
+        store, rmc = (snapshots.read(t, base, ids) for t in ("store", "rmc"))
+        rows, entries = merge.rows_of(cut(merge.fold(store, buffer, rmc, rmcb, instance_id, counters, merge.rule_of(list(models)))))
+        changed = {"store": (rows, ["id"]), "rmc": (entries, ["id"]), "refused": (refused.select(*_SEEN, "problem"), [*_SEEN, "problem"]), "received": (buffer.select(*_SEEN), _SEEN), "arrived": (arrived, ["transfer_session_id", "batch"])}
+        tables = _completed(snapshots, base, changed, vectors, names) if vectors is not None else {}
+        snapshots.commit(tables, {t: c for t, c in changed.items() if t not in tables}, after=base)
+        return names
+
+    return snapshots.retried(once)
+
+
+def _completed(snapshots: Snapshots, base: int, changed: dict, vectors: DataFrame, names: list[str]) -> dict[str, DataFrame]:
+    """Tables that change because transfers are complete.
+
+    Counts by batch say cheaply when that may be so; only then the ids that came are
+    counted for themselves, as a record may come twice.
+    """
+    mine = F.col("transfer_session_id").isin(names)
+    held = set(snapshots.tables(base))
+
+    def seen(table: str) -> DataFrame:
+        rows, key = changed[table]
+        return snapshots.read(table, base).join(rows.select(*key), key, "left_anti").select(*rows.columns).unionByName(rows) if table in held else rows
+
+    told = vectors.select("transfer_session_id", "records").distinct()
+    counted = seen("arrived").where(mine).groupBy("transfer_session_id").agg(F.sum("n").alias("n"))
+    maybe = [r[0] for r in counted.join(told, "transfer_session_id").where("n >= records").select("transfer_session_id").distinct().collect()]
+    if not maybe:
+        return {}
+    exact = seen("received").where(F.col("transfer_session_id").isin(maybe)).groupBy("transfer_session_id").agg(F.countDistinct("model_uuid").alias("n"))
+    due = [r[0] for r in exact.join(told, "transfer_session_id").where("n >= records").select("transfer_session_id").distinct().collect()]
+    if not due:
+        return {}
+    over = F.col("transfer_session_id").isin(due)
+    dmc = snapshots.read("dmc", base) if "dmc" in held else snapshots.spark.createDataFrame([], DMC)
+    brought = vectors.where(over & F.col("side").isNotNull()).groupBy("side", "partition", "instance_id").agg(F.max("counter").alias("counter"))
+    return {"dmc": merge.dmc_with_parts(dmc, brought), "received": seen("received").where(~over), "arrived": seen("arrived").where(~over)}
+
+
+def merge_stream(spark: SparkSession, folder: str, snapshots: Snapshots, checkpoint: str, instance_id: str, filters: Filter, profile: str, clock: Callable[[], int], vector_folder: str | None = None, models: list[Model] = (), **trigger) -> StreamingQuery:
     """Start merging what arrives in an exchange folder; each micro-batch becomes a snapshot version.
 
     ``vector_folder`` is where senders say what their transfers bring; they write
-    there before they write pages.
+    there before they write pages. ``models`` may have rules for conflicts.
     """
 
-    def each(batch: DataFrame, _: int) -> None:
+    def each(batch: DataFrame, number: int) -> None:
         batch.persist()
         try:
-            merge_batch(snapshots, batch, instance_id, filters, profile, clock, read_vectors(spark, vector_folder) if vector_folder else None)
+            merge_batch(snapshots, batch, instance_id, filters, profile, clock, read_vectors(spark, vector_folder) if vector_folder else None, models, str(number))
             snapshots.compact()
         finally:
             batch.unpersist()
