@@ -32,3 +32,14 @@ def parsed(text: Column, schema: T.StructType, defaults: dict[str, Column] | Non
     """A payload as a struct: unknown keys are left out, missing ones take the default."""
     row = F.from_json(text, schema)
     return F.struct(*[F.coalesce(row[f.name], defaults[f.name]).alias(f.name) if defaults and f.name in defaults else row[f.name].alias(f.name) for f in schema])
+
+
+def quoted(text: Column) -> Column:
+    """A text as a JSON string, whatever it holds."""
+    listed = F.to_json(F.array(text))
+    return F.substr(listed, F.lit(2), F.length(listed) - 2)
+
+
+def messages(pairs: Column) -> Column:
+    """An array of structs (name, message) as a JSON object in that order."""
+    return F.concat(F.lit("{"), F.array_join(F.transform(pairs, lambda e: F.concat(quoted(e["name"]), F.lit(": "), quoted(e["message"]))), ", "), F.lit("}"))

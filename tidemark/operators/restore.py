@@ -12,7 +12,7 @@ from ..functions import payload
 from ..functions.scope import any_prefix
 from ..schemas import DIRTY, PARTITION, SOURCE
 from .capture import Model, in_order, patched, replaced
-from .trees import COMPACT_ROUNDS, cascade, cut, written
+from .trees import COMPACT_ROUNDS, cascade, cut, reach, written
 
 PARENT_DIRTY = "waits for its parent, which is not restored"
 PARENT_MISSING = "has a parent that the store lacks"
@@ -40,8 +40,8 @@ def to_deleted(refs: DataFrame, store: DataFrame) -> DataFrame:
 
 def _reasons(bad: DataFrame) -> DataFrame:
     """(from_id, why): JSON of column to message."""
-    each = F.concat(F.lit('"'), "column", F.lit('": "'), missing_text(F.col("to_model"), F.col("to_id")), F.lit('"'))
-    return bad.groupBy("from_id").agg(F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_set(each)), ", "), F.lit("}")).alias("why"))
+    each = F.struct(F.col("column").alias("name"), missing_text(F.col("to_model"), F.col("to_id")).alias("message"))
+    return bad.groupBy("from_id").agg(payload.messages(F.array_sort(F.collect_set(each))).alias("why"))
 
 
 def missing_text(model: Column, pk: Column) -> Column:
@@ -69,11 +69,10 @@ def checks(model: Model) -> list[tuple[str, Column, str]]:
 
 def field_errors(model: Model) -> Column:
     """JSON of field to message; null if the row is valid. A payload that isn't JSON fails as a whole."""
-    found = [F.when(bad, F.struct(F.lit(name).alias("k"), F.lit(text).alias("v"))) for name, bad, text in checks(model)]
-    unreadable = F.when(F.expr("try_parse_json(serialized)").isNull(), F.struct(F.lit("serialized").alias("k"), F.lit("Payload is not JSON.").alias("v")))
+    found = [F.when(bad, F.struct(F.lit(name).alias("name"), F.lit(text).alias("message"))) for name, bad, text in checks(model)]
+    unreadable = F.when(F.expr("try_parse_json(serialized)").isNull(), F.struct(F.lit("serialized").alias("name"), F.lit("Payload is not JSON.").alias("message")))
     every = F.array_compact(F.array(unreadable, *found))
-    each = F.array_distinct(F.transform(every, lambda e: F.concat(F.lit('"'), e["k"], F.lit('": "'), e["v"], F.lit('"'))))
-    return F.when(F.size(every) > 0, F.concat(F.lit("{"), F.array_join(each, ", "), F.lit("}")))
+    return F.when(F.size(every) > 0, payload.messages(F.array_distinct(every)))
 
 
 def parse(rows: DataFrame, model: Model) -> DataFrame:
@@ -128,11 +127,11 @@ def restore_model(app: DataFrame, model: Model, store: DataFrame, profile: str,
 
 
 def _restore_levels(app: DataFrame, model: Model, own: DataFrame, excluded: DataFrame, targets: dict[str, DataFrame]):
-    """A table that refers to itself, level by level from rows whose parent is clean or that have none.
+    """A table that refers to itself, downwards from rows whose parent is clean or that have none.
 
     References, also those to other models, have to name application rows: a target
     that failed or is deleted has none. A deleted row is done with, but whoever
-    refers to it fails. Each level writes its own rows only.
+    refers to it fails.
     """
     rows = parse(own.where("dirty_bit"), model).withColumn("gone", F.col("deleted") | F.col("hard_deleted"))
     refs = references(rows.where("error is null and not gone"), model)
@@ -148,26 +147,10 @@ def _restore_levels(app: DataFrame, model: Model, own: DataFrame, excluded: Data
     present = app.select("id").join(rows.where("gone").select("id"), "id", "left_anti").select(F.col("id").alias("up"), F.lit(True).alias("there"))
     rows = written(rows.join(present, "up", "left").withColumn("there", F.coalesce("there", F.lit(False))))
     clean = own.where("not dirty_bit").select(F.col("id").alias("parent"))
-    level = rows.join(clean, F.col("self_ref_fk") == F.col("parent"), "left_semi").union(rows.where("self_ref_fk = ''")).withColumn("alive", F.lit(False))
+    tops = rows.join(clean, F.col("self_ref_fk") == F.col("parent"), "left_semi").union(rows.where("self_ref_fk = ''"))
     # a payload may name another parent than the store's column does; only then restored rows have to be looked through
     odd = not rows.where("not there and up is not null and up <> self_ref_fk").isEmpty()
-    done, depth = None, 0
-    while True:
-        there = F.col("up").isNull() | F.col("there") | (F.col("alive") & (F.col("up") == F.col("self_ref_fk")))
-        if odd and done is not None:
-            restored = done.where("error is null and not gone").select(F.col("id").alias("up"), F.lit(True).alias("late")).distinct()
-            level, there = level.join(restored, "up", "left"), there | F.col("late").isNotNull()
-        why = F.concat(F.lit(f'{{"{model.self_key}": "'), missing_text(F.lit(model.name), F.col("up")), F.lit('"}'))
-        judged = written(level.withColumn("error", F.when(F.col("error").isNull() & ~F.col("gone") & ~there, why).otherwise(F.col("error"))).select(*rows.columns))
-        if judged.isEmpty():
-            break
-        done, depth = judged if done is None else done.union(judged), depth + 1
-        if depth % COMPACT_ROUNDS == 0:
-            done = written(done)
-        # a row has one parent in the store, so it comes up once
-        parents = judged.where("error is null").select(F.col("id").alias("parent"), (~F.col("gone")).alias("alive"))
-        level = rows.join(parents, F.col("self_ref_fk") == F.col("parent")).drop("parent")
-    done = judged if done is None else done
+    done = _by_levels(rows, tops, model) if odd else _by_links(rows, tops, model)
     restored, failed = done.where("error is null"), done.where("error is not null")
     waiting = rows.join(done.select("id"), "id", "left_anti")
     known = own.select(F.col("id").alias("parent"))
@@ -181,6 +164,46 @@ def _restore_levels(app: DataFrame, model: Model, own: DataFrame, excluded: Data
     return app, marks, excluded.select("id").union(failed.select("id")), app.sparkSession.createDataFrame([], "id string, hard boolean")
 
 
+def _orphans(model: Model, there: Column) -> Column:
+    """A row's error: its own, or that its parent isn't there."""
+    why = payload.messages(F.array(F.struct(F.lit(model.self_key).alias("name"), missing_text(F.lit(model.name), F.col("up")).alias("message"))))
+    return F.when(F.col("error").isNull() & ~F.col("gone") & ~there, why).otherwise(F.col("error"))
+
+
+def _by_links(rows: DataFrame, tops: DataFrame, model: Model) -> DataFrame:
+    """The rows that are judged, with their errors.
+
+    Whether a row fails once its turn comes shows from it and its parent alone: the
+    parent has no error then, and is deleted or not. So all rows are judged by one
+    join, and those whose turn comes are what the tops reach over rows without error.
+    """
+    parent = rows.select(F.col("id").alias("parent"), (~F.col("gone")).alias("alive"))
+    there = F.col("up").isNull() | F.col("there") | (F.coalesce("alive", F.lit(False)) & (F.col("up") == F.col("self_ref_fk")))
+    judged = written(rows.join(parent, F.col("self_ref_fk") == F.col("parent"), "left").withColumn("error", _orphans(model, there)).select(*rows.columns))
+    fine = judged.where("error is null").select(F.col("id").alias("parent"))
+    links = judged.select(F.col("self_ref_fk").alias("parent"), F.col("id").alias("child")).join(fine, "parent", "left_semi")
+    return judged.join(reach(tops.select("id"), links), "id", "left_semi")
+
+
+def _by_levels(rows: DataFrame, tops: DataFrame, model: Model) -> DataFrame:
+    """As ``_by_links`` where payloads name parents of their own, which must be restored on an earlier level. Each level writes its own rows only."""
+    level, done, depth = tops.withColumn("alive", F.lit(False)), None, 0
+    while True:
+        there = F.col("up").isNull() | F.col("there") | (F.col("alive") & (F.col("up") == F.col("self_ref_fk")))
+        if done is not None:
+            restored = done.where("error is null and not gone").select(F.col("id").alias("up"), F.lit(True).alias("late")).distinct()
+            level, there = level.join(restored, "up", "left"), there | F.col("late").isNotNull()
+        judged = written(level.withColumn("error", _orphans(model, there)).select(*rows.columns))
+        if judged.isEmpty():
+            return judged if done is None else done
+        done, depth = judged if done is None else done.union(judged), depth + 1
+        if depth % COMPACT_ROUNDS == 0:
+            done = written(done)
+        # a row has one parent in the store, so it comes up once
+        parents = judged.where("error is null").select(F.col("id").alias("parent"), (~F.col("gone")).alias("alive"))
+        level = rows.join(parents, F.col("self_ref_fk") == F.col("parent")).drop("parent")
+
+
 def restore(apps: dict[str, DataFrame], models: list[Model], store: DataFrame, profile: str, skip_erroring: bool = False, filters: list[str] | None = None) -> Restored:
     """All models, those that others refer to first.
 

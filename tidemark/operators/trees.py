@@ -6,14 +6,15 @@ import atexit
 import tempfile
 import uuid
 from functools import lru_cache
-from itertools import count
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rounds of a closure between two writes of all that was seen.
+#: Rounds of a level-by-level loop between two writes of all that was seen.
 COMPACT_ROUNDS = 8
+#: Levels that a closure takes one by one, before it doubles its steps.
+SINGLE_STEPS = 4
 
 
 @lru_cache(1)
@@ -83,23 +84,42 @@ def _drop(spark: SparkSession, path: str) -> None:
 def reach(seed: DataFrame, links: DataFrame) -> DataFrame:
     """(id, depth): what can be reached from ``seed`` (id) over ``links`` (parent, child), each at its least depth.
 
-    A round for each level; ids met before are dropped, so cycles end. Each round
-    writes its new ids only; what was seen is their union, written as one table
-    now and then so that the plan stays short.
+    ``links`` are those of a forest, up or down: of parents or of children each has
+    one partner. The first levels, all there are in most trees, are taken one by
+    one, each from the ids that the last one brought. Then steps double, so that a
+    chain of n links takes log2(n) rounds. Ids met before are dropped, so cycles end.
     """
     seen = frontier = written(seed.select("id").distinct().withColumn("depth", F.lit(0)))
-    parts = [frontier]
-    for depth in count(1):
+    for depth in range(1, SINGLE_STEPS + 1):
         step = frontier.join(links, frontier["id"] == links["parent"]).select(links["child"].alias("id")).distinct()
         frontier = written(step.join(seen, "id", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             return seen
         seen = seen.union(frontier)
-        parts.append(frontier)
-        if depth % COMPACT_ROUNDS == 0:
-            seen = written(seen)
-            discard(*parts[:-1])
-            parts = [seen, frontier]
+    return seen.union(_doubled(frontier, links)).groupBy("id").agg(F.min("depth").alias("depth"))
+
+
+def _doubled(start: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, depth) of ``start`` (id, depth) and all it reaches over ``links``, by pointers that double in each round.
+
+    After k rounds ``jumps`` has the pairs 2 ** k links apart, and ``found`` all ids
+    less than 2 ** k links from the start; what neither gains nor can gain is whole.
+    Pairs run out with the longest chain.
+    """
+    found, jumps, length = start, written(links.select("parent", "child").distinct()), 1
+    known = found.count()
+    while True:
+        step = found.join(jumps, found["id"] == jumps["parent"]).select(jumps["child"].alias("id"), (F.col("depth") + length).alias("depth"))
+        grown = written(found.unionByName(step).groupBy("id").agg(F.min("depth").alias("depth")))
+        if found is not start:
+            discard(found)
+        found, before, known = grown, known, grown.count()
+        if known == before:
+            discard(jumps)
+            return found
+        first, second = jumps.toDF("parent", "middle"), jumps.toDF("middle", "child")
+        last, jumps, length = jumps, written(first.join(second, "middle").select("parent", "child").distinct()), 2 * length
+        discard(last)
 
 
 def ancestors(tree: DataFrame, ids: DataFrame) -> DataFrame:
