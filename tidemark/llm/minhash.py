@@ -8,7 +8,7 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -101,10 +101,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 COMPARED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-#: Bytes of text that a range of documents has, about; a longer text stands in one of its own.
-RANGE_BYTES = 32 << 20
-#: A document weighs one more for so many bytes when ranges are cut.
-WEIGHT_BYTES = 1 << 12
+#: Bytes of text that a range of documents has, about, and how many ranges there are at most; beyond that they grow, and are sorted with spills.
+RANGE_BYTES, RANGES = 32 << 20, 20_000
+#: A document weighs one more for so many bytes when ranges are cut, and so many weights are looked at for each range.
+WEIGHT_BYTES, SAMPLE = 1 << 12, 100
 
 
 def with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
@@ -117,9 +117,11 @@ def with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     words. ``doc_id`` has to be of an integer type.
 
     Documents are cut into ranges of about equal bytes, each a partition of its own;
-    a range starts at an id taken from the column itself (or, among null ids, at the
-    least hash), and its first document goes to the range before it as well. So each
-    text moves once, and no task holds more than a row and the one before it.
+    a range starts at an id taken from a sample of the column (or, among null ids, at
+    the least hash), and its first document goes to the range before it as well. So
+    each text moves once, and no task holds more than a row and the one before it.
+    Where the cuts lie changes no row. There are ``RANGES`` of them at most, whose
+    first ids the plan holds.
     """
     if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
         raise TypeError(f"{id_col} has to be of an integer type to be in order")
@@ -127,31 +129,28 @@ def with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     no_id, size = F.col("doc_id").isNull(), F.octet_length("text").cast("long")
     total = rows.agg(F.sum(size).alias("bytes"), F.sum(F.when(no_id, size)).alias("null_bytes"), F.min("doc_id").alias("least")).first()
     most = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    n = parts or max(int(most) * 2, -(-(total["bytes"] or 0) // RANGE_BYTES))
+    n = parts or min(max(int(most) * 2, -(-(total["bytes"] or 0) // RANGE_BYTES)), RANGES)
     bounds = []
     if total["least"] is not None:
-        weighed = rows.where(~no_id).select(F.explode(F.array_repeat("doc_id", (1 + F.expr(f"octet_length(text) div {WEIGHT_BYTES}")).cast("int"))).alias("doc_id"))
-        bounds = weighed.agg(F.percentile_approx("doc_id", [i / n for i in range(n)], 100 * n)).first()[0]
+        rate = min(1.0, SAMPLE * n / (1 + (total["bytes"] or 0) / WEIGHT_BYTES))
+        times = F.floor(rate * (1 + F.expr(f"octet_length(text) / {WEIGHT_BYTES}")) + F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20)))
+        weighed = rows.where(~no_id).select(F.explode(F.array_repeat("doc_id", times.cast("int"))).alias("doc_id"))
+        bounds = weighed.agg(F.percentile_approx("doc_id", [i / n for i in range(n)], 10 * n)).first()[0] or []
         bounds = sorted({*bounds} - {total["least"]})
     # ranges of null ids by hash, then ranges of ids
-    nulls = 0 if total["null_bytes"] is None else parts or 1 + total["null_bytes"] // RANGE_BYTES
+    nulls = 0 if total["null_bytes"] is None else parts or min(1 + total["null_bytes"] // RANGE_BYTES, RANGES)
     part = nulls + (_place(bounds)(F.col("doc_id")) if bounds else F.lit(0))
-    last = nulls + len(bounds) - (total["least"] is None)
-    rows, firsts = rows.withColumn("key", F.lit(0).cast("long")), F.lit(None).cast("int")
+    rows = rows.withColumn("key", F.when(no_id, F.xxhash64("text")).otherwise(F.lit(0).cast("long")))
     if nulls:
-        rows = rows.withColumn("key", F.when(no_id, F.xxhash64("text")).otherwise(F.lit(0)))
         part = F.when(no_id, F.least(F.lit(nulls - 1), F.floor((F.col("key") / F.lit(2.0**64) + 0.5) * nulls).cast("int"))).otherwise(part)
-        least = sorted(tuple(r) for r in rows.where(no_id).groupBy(part.alias("p")).agg(F.min("key")).collect())  # a row for each range
-        before = last
-        for p, key in least:
-            firsts = F.when(no_id & (F.col("key") == key), before).otherwise(firsts)
-            before = p
-    else:
-        before = last
+    least = dict(tuple(r) for r in rows.where(no_id).groupBy(part.alias("p")).agg(F.min("key")).collect()) if nulls else {}  # a row for each range
+    least |= {nulls + i: x for i, x in enumerate([total["least"], *bounds])} if total["least"] is not None else {}
+    there = sorted(least)
+    before = dict(zip(there, there[-1:] + there[:-1], strict=True))
+    every = range(nulls + len(bounds) + 1)
     rows = rows.withColumn("part", part.cast("int"))
-    if total["least"] is not None:
-        inner = F.when(F.col("doc_id").isin(bounds), F.col("part") - 1) if bounds else F.lit(None).cast("int")
-        firsts = F.when(F.col("doc_id") == total["least"], before).otherwise(F.coalesce(inner, firsts))
+    first = F.get(_constants([least.get(p, 0) for p in every]), F.col("part")) == F.when(no_id, F.col("key")).otherwise(F.col("doc_id"))
+    firsts = F.when(first, F.get(_constants([before.get(p, 0) for p in every]), F.col("part")))
     to = F.array_compact(F.array(F.struct("part", F.lit(0).alias("halo")), F.when(firsts.isNotNull(), F.struct(firsts.cast("int").alias("part"), F.lit(1).alias("halo")))))
     dealt = rows.withColumn("to", F.explode(to)).select(F.col("to.part").alias("part"), F.col("to.halo").alias("halo"), "doc_id", "text", "key")
     dealt = dealt.repartitionById(nulls + len(bounds) + 1, F.col("part")).sortWithinPartitions("part", "halo", F.col("doc_id").asc_nulls_first(), "key", "text").drop("key")
@@ -185,9 +184,14 @@ def compare(of: Sketcher, doc_id: int, text: str, mins: np.ndarray | None, after
     return doc_id, n, sha256(edited.encode()).hexdigest(), pack(mins), pack(own), likeness(mins, own), likeness(mins, after_mins)
 
 
+def _constants(values: list[int]) -> Column:
+    """An array that the plan holds as one constant."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<long>")
+
+
 def _place(bounds: list[int]):
     """The number of bounds at or below a value: a binary search in a constant array."""
-    at = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<long>")
+    at = _constants(bounds)
     whole = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
 
     def expr(x) -> object:
