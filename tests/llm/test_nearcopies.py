@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from tidemark.llm import nearcopies
+from tidemark.llm import nearcopies, simhash
 
 SF = "/root/testdata/sf0.01"
 
@@ -77,3 +77,47 @@ def test_empty_and_null(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (None, "a b"), (3, "c d")], "doc_id long, text string")
     assert nearcopies.drop_near_copies(docs.limit(0)).isEmpty()
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in nearcopies.drop_near_copies(docs).collect()) == [(False, 1), (False, 3), (True, 0)]
+
+
+def test_rows_without_ids(spark):
+    """One row of each group stays, whatever its ids; what shares an id but no text is told apart."""
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(None, text), (None, text), (1, "other words than these are"), (None, "Other words than these are"), (5, "x y z"), (5, "p q r"), (5, "x y z"), (None, ""), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted([("None", text), ("1", "other words than these are"), ("5", "x y z"), ("5", "p q r"), ("None", "")])
+    for drop in (nearcopies.drop_near_copies, simhash.drop_near_duplicates):
+        assert sorted((str(r.doc_id), r.text or "") for r in drop(docs).collect()) == want
+
+
+def test_unlike_texts_in_one_band(spark, monkeypatch):
+    """Three thousand pages of one template, none near another, and a few near copies among them: few pairs are compared, and none is lost."""
+    r = np.random.default_rng(8)
+    common = [f"t{i}" for i in range(70)]
+    texts = [" ".join(common + [f"p{k}-{i}" for i in range(26)]) for k in range(3_000)]
+    texts += [" ".join(common + [f"p{k}-{i}" for i in range(26)][:-1] + [f"q{r.integers(1 << 30)}"]) for k in range(0, 3_000, 100)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    compared = []
+    monkeypatch.setattr(nearcopies, "_close", lambda pairs, sets, f=nearcopies._close: compared.append(pairs.count()) or f(pairs, sets))
+    assert sorted(x.doc_id for x in nearcopies.drop_near_copies(docs).collect()) == list(range(3_000))
+    assert len(compared) == nearcopies.ROUNDS + 2 and sum(compared) < 300_000 and compared[-1] < 3_000
+
+
+def test_prefixes_lose_nothing(spark, monkeypatch):
+    """Sets around 0.8 that all share a band, by prefixes alone, against all pairs."""
+    r = np.random.default_rng(5)
+    monkeypatch.setattr(nearcopies, "PAIR_LIMIT", 1)
+    monkeypatch.setattr(nearcopies, "ROUNDS", 0)
+    centre = [f"c{i}" for i in range(100)]
+    texts = [edited(centre, r, int(k)) for k in r.integers(0, 6, 150)] + [" ".join(centre[: int(n)]) for n in r.integers(70, 100, 20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets, nodes = [shingles(t) for t in texts], None
+    rows = docs.selectExpr("doc_id", "text", "0L as th")
+    nodes = nearcopies._sketches(rows).selectExpr("node", "n", "node as root").distinct()
+    named = {x.node: x.doc_id for x in nearcopies._sketches(rows).collect()}
+    table = nearcopies.stash(nearcopies._sets(rows, nodes), "sets")
+    got = {tuple(sorted((named[p.a], named[p.b]))) for p in nearcopies._close(nearcopies._prefix_pairs(nodes, table), table).collect()}
+    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if sets[i] != sets[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    least = {s: max(i for i in range(len(sets)) if sets[i] == s) for s in sets}
+    want = {tuple(sorted((least[sets[i]], least[sets[j]]))) for i, j in want}
+    top = {x: least[sets[x]] for x in named.values()}
+    assert {tuple(sorted((top[a], top[b]))) for a, b in got} == want and len(want) > 100

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, stash, unused
@@ -32,17 +32,24 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v").distinct())
 
 
+def text_key(text: Column) -> Column:
+    """What tells rows of one id apart: a hash of the text, null counting as empty."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def leaders(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` with one row of each component of ``found`` (doc_id, component_id), that of the least doc_id.
+    """``docs`` with one row of each group of ``found`` (doc_id, th, root), a row of it for each of ``docs``.
 
-    Of rows that repeat a doc_id the first by text stays. Rows with a null doc_id
-    can't be told apart: they stay if any of them is in a component without ids.
+    ``th`` is the row's ``text_key``. The row of least doc_id stays, null ids last, and
+    of one id that of least text key; so of a group without ids one row stays too,
+    and rows that share an id but no group are told apart. Of rows that agree in id
+    and text one stays. Groups are summed up before they are shuffled.
     """
-    name, place = unused(docs, "keep", "place")
-    keep = found.where("doc_id <=> component_id").select(F.col("doc_id").alias(name)).distinct()
-    kept = docs.join(keep, F.col(id_col).eqNullSafe(F.col(name)), "left_semi")
-    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+    who, key = unused(docs, "who", "key")
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("f"))
+    first = first.select(F.col("f.doc_id").alias(who), F.col("f.th").alias(key)).distinct()
+    kept = docs.join(first, F.col(id_col).eqNullSafe(F.col(who)) & (text_key(F.col(text_col)) == F.col(key)), "left_semi")
+    if found.groupBy("doc_id", "th").count().where("count > 1").isEmpty():
         return kept
-    first = Window.partitionBy(id_col).orderBy(text_col)
-    named = kept.where(F.col(id_col).isNotNull()).withColumn(place, F.row_number().over(first)).where(F.col(place) == 1).drop(place)
-    return named.unionByName(kept.where(F.col(id_col).isNull()))
+    same = kept.groupBy(F.col(id_col).alias(who), text_key(F.col(text_col)).alias(key))
+    return same.agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row")).select("row.*")

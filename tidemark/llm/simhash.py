@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, stash, texts
-from .components import connected_components, leaders
+from .components import connected_components, leaders, text_key
 
 GENERATOR = 0b110001110101  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
 #: Fingerprints of one key up to which all its pairs are compared; beyond it the ball way is taken.
@@ -111,14 +111,19 @@ def _byte_bits() -> np.ndarray:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """One row (doc_id, fp long) for each row of ``docs``; null texts count as empty (fp 0)."""
+    return _fingerprints(docs, id_col, text_col, shingle).select("doc_id", "fp")
+
+
+def _fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """As ``fingerprints``, with th (see components.text_key)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
             fps = np.array([simhash(t.lower().split(), shingle) for t in texts(batch.column(1))], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), batch.column(2)], ["id", "fp", "th"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(scan, f"id {dict(rows.dtypes)['id']}, fp long").toDF("doc_id", "fp")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), text_key(F.col(text_col)).alias("th"))
+    return rows.mapInArrow(scan, f"id {dict(rows.dtypes)['id']}, fp long, th long").toDF("doc_id", "fp", "th")
 
 
 def fingerprint_links(fps: DataFrame) -> DataFrame:
@@ -157,15 +162,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the least, and a component of nothing else has component_id null. Ids may be of
     any type that Spark sorts.
     """
-    rows = stash(fingerprints(docs, id_col, text_col, shingle), "simhash")
+    return _grouped(docs, id_col, text_col, shingle).select("doc_id", "fp", "component_id")
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """As ``near_duplicates``, with th and the component's root."""
+    rows = stash(_fingerprints(docs, id_col, text_col, shingle), "simhash")
     nodes = stash(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     roots = connected_components(fingerprint_links(nodes.select("fp")))
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(lowest, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = rooted.join(lowest, "root").select("fp", "component_id", "root")
+    return rows.join(named, "fp").select("doc_id", "fp", "component_id", "th", "root")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each component, all its columns kept (see components.leaders)."""
-    return leaders(docs, stash(near_duplicates(docs, id_col, text_col), "found"), id_col, text_col)
+    return leaders(docs, stash(_grouped(docs, id_col, text_col, 3), "found"), id_col, text_col)
