@@ -64,17 +64,22 @@ def brute(texts):
     texts = sorted(set(texts))
     n, every = len(texts), [{w for w, *_ in plain_words(t)} for t in texts]
     free = [{w for w, _, _, inside in plain_words(t) if not inside} for t in texts]
-    values = [{(k, t[a:b].lower()) for k, a, b in pii.base_spans(t.encode())[1]} for t in texts]
+    found = [{(k, t[a:b].lower()) for k, a, b in pii.base_spans(t.encode())[1]} for t in texts]
+    values = [{("value", k, v) for k, v in f} | {("wide", k, v.split("@")[1] if k == 0 else ".".join(v.split(".")[:2]) if k == 1 else re.sub("[^0-9]", "", v)[: 6 if k == 2 else 4]) for k, v in f} for f in found]
     df = Counter(w for ws in every for w in ws)
     action = {}
     for value in set().union(*values):
         holds = [i for i in range(n) if value in values[i]]
         ic = math.log2(n / len(holds))
+        if value[0] == "wide" and len(holds) > pii.WIDEST * n:
+            continue
+        name = set(re.findall("[0-9a-z\x80-\U0010ffff]{4,}", value[2].split("@")[0])) if value[:2] == ("value", 0) else set()
         for w, co in Counter(w for i in holds for w in free[i]).items():
-            if min(co, len(holds)) >= pii.SUPPORT and ic > 0:
-                share = math.log2(co / len(holds) * n / df[w]) / ic
+            if ic > 0:
+                share = math.log2(co / len(holds) * n / df[w]) / ic * co / (co + 1) * min(len(holds), df[w]) / (min(len(holds), df[w]) + 1)
+                share = max(share, math.log2(n / df[w]) / ic) if w in name and not w.isdigit() else share
                 if share >= pii.GENERALISE - 1e-9:
-                    for t in [texts[i] for i in holds] + [None] * (co >= pii.EVERYWHERE * df[w]):
+                    for t in [texts[i] for i in holds] + [None] * (co > pii.EVERYWHERE * df[w]):
                         action[t, w] = max(action.get((t, w), ""), "remove" if share >= pii.REMOVE - 1e-9 else "generalise")
     wider, terms = {}, {w for _, w in action}
     what = lambda t, w: max(action.get((t, w), ""), action.get((None, w), ""))
@@ -100,6 +105,7 @@ def test_against_brute_force(spark):
         r.shuffle(words)
         texts.append(" ".join(words))
     texts += [f"odd{k} zeta-{k} zeta@mail.example" for k in range(5)] + texts[:20] + ["", "no words: !!"]
+    texts += ["rain by marlowe, see Marlowe.77@far.example and 10.20.30.40", "marlowe sun 10.20.1.1 snow", "sun of rain.77@near.example +49 (221) 555-0101", *[f"gannet wind{k} g{k}@{'close' if k < 4 else 'near'}.example" for k in range(6)]]
     what, wider = brute(texts)
     assert {"remove", "generalise", ""} <= {what(t, w) for t in texts for w, *_ in plain_words(t)} and any(v != "[TERM]" for v in wider.values())
     df = frame(spark, texts)
@@ -113,3 +119,19 @@ def test_against_brute_force(spark):
         for a, b, put in both:
             text = text[:a] + put + text[b:]
         assert clean[k.doc_id] == text
+
+
+def test_names_and_wider_forms(spark):
+    """A name in an address stands in the text too; a word comes only with addresses of one small domain; common words stay."""
+    texts = ["minutes kept by Oferones: write to oferones.34@mail7.example, rain", "someone of rain and rain.12@mail7.example says", "wind 1 for a@guild.example of zorbla", "wind 2 for b@guild.example of zorbla", "wind 3 for c@guild.example of zorbla", "wind 4 for d@guild.example of zorbla"]
+    texts += [f"report {i} of rain and wind for all that someone says" for i in range(900)]
+    got = terms(frame(spark, texts))
+    assert got[texts[0]] == ["Oferones"] and got[texts[1]] == [] and all(got[t] == ["zorbla"] for t in texts[2:6]) and not any(got[t] for t in texts[6:])
+
+
+def test_many_pairs_in_one_text(spark, monkeypatch):
+    """Counts of pairs that are handed on in parts are those of one."""
+    texts = [f"n{i} by zorblat {'blue' if i % 2 else 'green'} to zo@mail.example about rain and snow" for i in range(12)] + [f"n{i} about rain and snow by someone" for i in range(300)]
+    before = sorted(map(str, pii.sanitise(frame(spark, texts)).collect()))
+    monkeypatch.setattr(pii, "HELD_PAIRS", 3)
+    assert sorted(map(str, pii.sanitise(frame(spark, texts)).collect())) == before
