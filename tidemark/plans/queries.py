@@ -13,7 +13,7 @@ from ..functions import identity, payload, scope
 from ..operators import capture, certificates, exchange, merge, outgoing, restore, sessions, trees, vectors
 from ..operators.prefix import prefix_join
 from ..sources import feeds, pages, snapshots
-from ..streaming import ingest
+from ..streaming import ingest, stateful
 from .derive import FILTERS, MEETING, MODEL, PROFILE, SESSION, Tables, strangers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -602,6 +602,33 @@ def stream_counters(t: Tables) -> DataFrame:
     return _streamed(t).read("dmc")
 
 
+@query
+def state_store(t: Tables) -> DataFrame:
+    """The store after a stream that keeps each record as state has merged a transfer, three files at a time."""
+    root = trees.scratch(t.spark, "state")
+    sink = snapshots.Snapshots(t.spark, f"{root}/replica")
+    sink.commit({"store": t.store, "rmc": t.rmc})
+    pages.write_pages(t.buffer, t.rmcb, f"{root}/pages", per_file=8)
+    stateful.merge_by_state(pages.stream_pages(t.spark, f"{root}/pages", 3), sink, f"{root}/check", "i3", 500, scope.Filter(""), PROFILE).awaitTermination()
+    return sink.read("store")
+
+
+@query
+def stream_expiry(t: Tables) -> DataFrame:
+    """Sessions without activity, told by timers as time in the stream of their reports goes on."""
+    root = trees.scratch(t.spark, "expiry")
+    syncs, transfers = _session_tables(t)
+    reports = syncs.selectExpr("id as sync_session_id", "cast(null as string) as transfer_id", "active", "cast(null as string) as filter", "last_activity as at")
+    reports = reports.unionByName(transfers.selectExpr("sync_session_id", "id as transfer_id", "active", "filter", "last_activity as at"))
+    reports = reports.withColumn("at", F.least("at", F.lit(str(NOW)).cast("timestamp")))  # nothing is known of later
+    for rows in (reports, stateful.tick(t.spark, NOW), stateful.tick(t.spark, NOW)):  # time moves for the batch after
+        rows.coalesce(1).write.mode("append").parquet(f"{root}/reports")
+    stream = t.spark.readStream.schema(stateful.ACTIVITY).option("maxFilesPerTrigger", 1).parquet(f"{root}/reports")
+    gone = stateful.expiring(stream, prefix="n1").writeStream.format("parquet").option("path", f"{root}/gone").option("checkpointLocation", f"{root}/check")
+    gone.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.schema(stateful.EXPIRED).parquet(f"{root}/gone")
+
+
 @query
 def stream_sessions(t: Tables) -> DataFrame:
     """The store after three transfers that meet in the same records came in one batch."""

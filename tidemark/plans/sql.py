@@ -219,6 +219,7 @@ v AS (SELECT id, r, w, true AS valid FROM c WHERE parent_id IS NULL UNION ALL SE
     "change_feed": _t(f"""SELECT {_ROW}, dirty_bit, 2::BIGINT AS _version FROM {_LAST} WHERE id IN (SELECT model_uuid FROM c0 WHERE class <> 'REVERSE_FF' UNION SELECT model_uuid FROM c1 WHERE class <> 'REVERSE_FF' UNION SELECT model_uuid FROM c2 WHERE class <> 'REVERSE_FF')
 UNION ALL SELECT {_ROW}, false, 3 FROM {_LAST} WHERE id < '1'""", _meeting()),
     "pull_pages": _t("SELECT model_uuid, serialized, page, (SELECT count(*) FROM rmcb WHERE rmcb.model_uuid = x.model_uuid)::INT AS entries FROM (SELECT model_uuid, serialized, (row_number() OVER (ORDER BY model_uuid) - 1) // 50 AS page FROM buffer) x WHERE page >= 7"),
+    "state_store": _t(_ORDERED, CLS),
     "latest_sessions": f"WITH {_SYNCS} SELECT sync_session_id, id FROM (SELECT *, row_number() OVER (PARTITION BY sync_session_id ORDER BY last_activity DESC, id DESC) AS n FROM transfers WHERE active) WHERE n = 1",
     "readable_buffers": _t("SELECT model_uuid, source_id AS transfer_session_id FROM buffer WHERE k % 3 <> 0 AND k % 2 <> 0"),
     "partitions_outside": _t("SELECT DISTINCT partition FROM ws WHERE side = 'sub' AND NOT starts_with(partition, 'n10') AND NOT starts_with(partition, 'n3:c1')", _wire("dmc", "ws")),
@@ -236,3 +237,4 @@ SELECT 'transfer' AS kind, id FROM closed UNION ALL SELECT 'sync', id FROM syncs
     "session_clear": _t("SELECT 't9' AS transfer_session_id, model_uuid FROM buffer WHERE deleted"),
     "page_sessions": _t("SELECT profile, count(DISTINCT transfer_session_id) AS n FROM buffer GROUP BY 1"),
 }
+ORACLES["stream_expiry"] = ORACLES["stale_cleanup"]
