@@ -227,6 +227,85 @@ def test_random_strings_of_each_class_are_found(spark):
     assert secrets.scan_secrets(docs).agg(F.sum("n_random")).first()[0] < words_ / 200_000
 
 
+def test_short_random_strings(spark):
+    """Recall from the least lengths on: 12 where characters mix, or letters and digits do, 17 where they are all of one class."""
+    r = random.Random(2)
+    mixed = {"letters": string.ascii_letters, "alnum": string.ascii_letters + string.digits, "lower digits": string.ascii_lowercase + string.digits, "base64": string.ascii_letters + string.digits + "+/"}
+    plain = {"lower": string.ascii_lowercase, "upper": string.ascii_uppercase}
+    rows = [(f"{kind} {n}", "key " + "".join(r.choice(chars) for _ in range(n)) + " end") for kinds, least in ((mixed, 12), (plain, 17)) for kind, chars in kinds.items() for n in range(least, 20) for _ in range(200)]
+    found = secrets.scan_secrets(spark.createDataFrame(rows, "doc_id string, text string"))
+    share = {k.doc_id: k.n / 200 for k in found.where("n_random + n_hex > 0").groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    assert len(share) == 4 * 8 + 2 * 3 and min(share.values()) >= 0.9, share
+
+
+def plain_random(text, tokens):
+    """Random spans written plainly: runs of letters, digits and separators outside base spans, judged whole or by their parts."""
+    covered = [False] * (len(text) + 1)
+    for a, _, b in base_secrets(text):
+        covered[a:b] = [True] * (b - a)
+    allowed = set(string.ascii_letters + string.digits + "+/_-")
+    known = r"[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}|sha(1|256|384|512)-[a-z0-9+/=]+"
+    is_known = lambda s: re.fullmatch(known, s, re.I | re.A) is not None
+
+    def mixed(s):
+        kinds = any(c in string.digits for c in s) + any(c in string.ascii_uppercase for c in s) + any(c in string.ascii_lowercase for c in s)
+        rest = [c for c in s[1:] if c in string.ascii_letters]
+        return kinds > 1 and not (rest and all(c in string.ascii_lowercase for c in rest))
+
+    out, i = [], 0
+    while i < len(text):
+        if text[i] not in allowed:
+            i += 1
+            continue
+        end = i
+        while end < len(text) and text[end] in allowed:
+            end += 1
+        if end - i >= secrets.LEAST:
+            a = i
+            while a < end:
+                if covered[a]:
+                    a += 1
+                    continue
+                b = a
+                while b < end and not covered[b]:
+                    b += 1
+                piece = text[a:b]
+                if len(piece) >= secrets.LEAST and not is_known(piece):
+                    parts = [(m.start(), m.end()) for m in re.finditer(r"[^+/_-]+", piece)]
+                    if 2 * sum(y - x for x, y in parts if mixed(piece[x:y])) >= len(piece) and len(piece) < secrets.RATIO * len(tokens(piece)):
+                        out.append((a, b))
+                    else:
+                        for x, y in parts:
+                            s = piece[x:y]
+                            some = mixed(s) or (any(c in string.digits for c in s) and not s.isdigit())
+                            if len(s) >= (secrets.LEAST if some else secrets.PLAIN_LEAST) and not s.isdigit() and not is_known(s) and len(s) < (secrets.RATIO if mixed(s) else secrets.PLAIN_RATIO) * len(tokens(s)):
+                                out.append((a + x, a + y))
+                a = b
+        i = end
+    return out
+
+
+def test_random_strings_against_a_plain_version(spark, docs):
+    """Every random span of the tables, and of random texts full of runs, separators, digests and base spans."""
+    import base64
+
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(secrets.VOCABULARY, "rb"))}
+    tokens = tiktoken.Encoding("plain", pat_str=secrets.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    r = random.Random(6)
+    word = lambda: "".join(r.choice(r.choice((string.ascii_letters + string.digits, string.ascii_lowercase, "0123456789abcdef", string.digits))) for _ in range(r.randrange(1, 40)))
+    made = ["".join(r.choice((word(), " ", "-", "/", "_", "é ", "AKIA" + "A1B2" * 5, "password=" + word())) for _ in range(r.randrange(1, 14))) for _ in range(400)]
+    made += ["0123456789abcdef" * 2, "550e8400-e29b-41d4-a716-446655440000", "sha256-" + "Ab1+" * 11]
+    rows = [(i, t) for i, t in texts(docs) if len(t or "") < 50_000] + list(enumerate(made, 10**6))
+    got = {(k.doc_id, k.text): k.spans for k in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).join(spark.createDataFrame(rows, "doc_id long, text string").distinct(), "doc_id").collect()} if len({i for i, _ in rows}) == len(rows) else None
+    for i, t in rows:
+        base = secrets.base_spans((t or "").encode())
+        own = [(a, b) for a, _, b in secrets.random_spans((t or "").encode(), base, tokens, secrets.RATIO)]
+        assert own == plain_random(t or "", tokens), t
+        assert got is None or [f"random:{a}:{b}" for a, b in own] == [s for s in got[i, t].split(",") if s.startswith("random")]
+
+
 def test_base_spans_are_cut_out_of_random_strings(spark):
     """Of a string that a pattern covers in part, the rest is judged alone; identifiers don't count."""
     rows = [(1, "Zq7xK9vQ2mZp7Lw3RtY8-0123456789abcdef0123-bNc4Xk2Vq8Wz5Rt9Lp3"), (2, "ISBN-978-0-306-40615-7/2024"), (3, "1234567890123456789012345"), (4, "qzjxkvbwpqzjxkvbwmfyhg"), (5, "p" * 40_000), (6, "")]
@@ -605,13 +684,36 @@ def test_warc_text_in_sql(spark):
     assert got == [r[0] for r in duck.sql(f"SELECT {warc._sql_rules('p')} FROM t").fetchall()]
 
 
-@pytest.mark.parametrize("records, problem", [([(b"before WARC/1.1\r\nWARC-Type: response\r\n\r\nafter", 0)], "shorter"), ([(b"abc", 50)], "shorter"), ([(b"abcdef", -2)], "longer")])
+@pytest.mark.parametrize("records, problem", [([(b"abc", 50)], "shorter"), ([(b"abcdef", -2)], "longer"), ([(b"abcdef", -2), (b"next", 0)], "longer"), ([(b"x", 0), (b"abc", 900)], "shorter")])
 def test_warc_records_that_are_not_whole_are_refused(spark, tmp_path, records, problem):
     path = warc_file(tmp_path, *records)
     with pytest.raises(Exception, match="WARC record"):
         warc.read_warc(spark, path).collect()
     loose = warc.read_warc(spark, path, strict=False).collect()
     assert any(problem in (r.problem or "") for r in loose) and all(r.block is None for r in loose if r.problem)
+    whole = [r for r, cut in records if not cut]
+    assert [bytes(r.block) for r in loose if not r.problem] == whole  # what follows a broken record is read
+
+
+@pytest.mark.parametrize("zipped", [None, "members", "one"])
+def test_warc_blocks_may_hold_version_lines(spark, tmp_path, zipped):
+    """Pages about the format are records like any other, in plain files and in gzip of one member or a member a record."""
+    import gzip
+
+    blocks = [b"see WARC/1.0 and\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n", b"", b"WARC/1.1\r\n", bytes(range(256)) * 20_000, b"last"]
+    path = warc_file(tmp_path, *[(b, 0) for b in blocks])
+    file = tmp_path / "in" / "a.warc"
+    if zipped:
+        plain, parts, at = file.read_bytes(), [], 0
+        for i, b in enumerate(blocks):
+            end = plain.index(b, plain.index(b"\r\n\r\n", at) + 4) + len(b) + 4
+            parts.append(plain[at:end])
+            at = end
+        assert b"".join(parts) == plain
+        file.unlink()
+        (tmp_path / "in" / "a.warc.gz").write_bytes(b"".join(gzip.compress(p) for p in parts) if zipped == "members" else gzip.compress(plain))
+    got = {r.record_id: (r.content_length, bytes(r.block)) for r in warc.read_warc(spark, path).collect()}
+    assert got == {f"<{i}>": (len(b), b) for i, b in enumerate(blocks)}
 
 
 def brute_chat(turns):

@@ -15,9 +15,10 @@ from .common import chunks, merged, texts
 
 KINDS = ("assign", "access", "hex", "random")
 #: Characters a token below which a string counts as random: if it mixes digits, small and capital letters, and if it doesn't.
-RATIO, PLAIN_RATIO = 2.3, 1.95
-#: Characters that a string needs for the ratio to tell. Measured on tests/llm: below this random strings and words overlap.
-LEAST = 16
+RATIO, PLAIN_RATIO = 2.3, 2.01
+#: Characters that a string needs for the ratio to tell, if it mixes classes and if it doesn't: from there on nine of ten
+#: random strings of each class are found, and hardly a word is (figures in README).
+LEAST, PLAIN_LEAST = 12, 17
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
@@ -75,12 +76,12 @@ def random_parts(word: str, tokens, ratio: float, plain_ratio: float) -> Iterato
         return
     for a, b in parts:
         part = word[a:b]
-        if b - a >= LEAST and not part.isdigit() and not KNOWN.fullmatch(part) and b - a < (ratio if mixes(part) else plain_ratio) * len(tokens(part)):
+        if b - a >= (LEAST if mixes(part) or (any(map(str.isdigit, part)) and not part.isdigit()) else PLAIN_LEAST) and not part.isdigit() and not KNOWN.fullmatch(part) and b - a < (ratio if mixes(part) else plain_ratio) * len(tokens(part)):
             yield a, b
 
 
 def random_spans(raw: bytes, base: list[tuple[int, int, int]], tokens, ratio: float, plain_ratio: float = PLAIN_RATIO) -> list[tuple[int, int, int]]:
-    """Strings of ``LEAST`` characters or more with few characters a token.
+    """Strings of ``LEAST`` characters or more (``PLAIN_LEAST`` if of one class) with few characters a token.
 
     What ``base`` covers is cut out of them; known digests and identifiers don't count.
     """
@@ -120,7 +121,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Spans are kind:start:end in code points, end exclusive, by start and then
     kind. Null texts count as empty and have none. Of kind "random" are strings
     that a public vocabulary cuts into tokens of few characters, ``LEAST``
-    characters at least; digits alone, known digests and UUIDs are left out.
+    characters at least, or ``PLAIN_LEAST`` where they don't mix digits, small and
+    capital letters; digits alone, known digests and UUIDs are left out.
     """
     ranks = vocabulary(docs.sparkSession, vocabulary_path)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))

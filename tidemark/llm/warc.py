@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import gzip
+import io
 import re
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from hashlib import sha256
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: (pattern, replacement) in order, in the syntax that RE2 and Java share.
 TEXT_RULES = (
@@ -112,29 +115,134 @@ def write_warc(records: DataFrame, path: str) -> None:
     render(records).select(F.expr("left(record, length(record) - 1)").alias("value")).write.option("lineSep", "\n").text(path)
 
 
+BEGIN = re.compile(rb"WARC/1\.[01]\r?\n")
+LENGTH = re.compile(rb"(?im)^content-length:[ \t]*([0-9]+)[ \t]*\r?$")
+#: Bytes of a line, and of a header, that a record may have; and bytes of blocks that are handed on at once.
+LINE, HEADER, BATCH = 1 << 16, 1 << 20, 4 << 20
+
+
+def parse_warc(file) -> Iterator[tuple[bytes, bytes | None, str | None]]:
+    """(header, block, problem) of the records of an open file, read by their lengths.
+
+    A block may hold anything, version lines too. What isn't a whole record has a
+    problem and no block; reading goes on at the next version line after it.
+    """
+    held = b""  # read already
+
+    def next_line() -> bytes:
+        nonlocal held
+        first, end, held = held.partition(b"\n")
+        return first + end if end else first + file.readline(LINE)
+
+    while line := next_line():
+        if line in (b"\r\n", b"\n"):
+            continue
+        if not BEGIN.fullmatch(line):
+            yield line[:200], None, "not the beginning of a record"
+            while line and not BEGIN.fullmatch(line):
+                line = next_line()
+            held = line + held
+            continue
+        head = line
+        while (line := next_line()) not in (b"\r\n", b"\n", b"") and len(head) < HEADER:
+            head += line
+        length = LENGTH.search(head)
+        if not line or length is None or len(head) >= HEADER:
+            yield head, None, "no Content-Length" if line else "header is cut off"
+            continue
+        size = int(length[1])
+        block, held = held[:size], held[size:]
+        block += file.read(size - len(block))
+        if len(block) < size:
+            yield head, None, "block shorter than its Content-Length"
+            return
+        end, held = held[:4], held[4:]
+        end += file.read(4 - len(end))
+        if end in (b"\r\n\r\n", b"\r\n", b""):
+            yield head, block, None
+        else:
+            yield head, None, "block longer than its Content-Length"
+            held = end + held
+
+
+def _opened(path: str):
+    """A file by Arrow's file systems, unzipped if it is gzip: as many members as it has, one after another."""
+    from pyarrow import fs
+
+    system, name = fs.FileSystem.from_uri(path)
+    file = io.BufferedReader(system.open_input_stream(name, compression=None), 1 << 20)
+    return io.BufferedReader(gzip.GzipFile(fileobj=file)) if file.peek(2)[:2] == b"\x1f\x8b" else file
+
+
+@dataclass
+class WarcFile(InputPartition):
+    path: str
+
+
+class WarcFiles(DataSource):
+    """Records of WARC files, plain or gzip: a file or folder (option path), a task for each file, a record at a time in memory."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "tidemark_warc"
+
+    def schema(self) -> str:
+        return "head string, block binary, problem string"
+
+    def reader(self, schema) -> WarcReader:
+        return WarcReader(self.options["path"])
+
+
+class WarcReader(DataSourceReader):
+    def __init__(self, path: str):
+        self.path = path
+
+    def partitions(self) -> list[WarcFile]:
+        from pyarrow import fs
+
+        system, name = fs.FileSystem.from_uri(self.path)
+        if system.get_file_info(name).is_file:
+            return [WarcFile(self.path)]
+        hidden = lambda f: any(part[0] in "._" for part in f.path.removeprefix(name).strip("/").split("/"))
+        files = [f for f in system.get_file_info(fs.FileSelector(name, recursive=True)) if f.is_file and f.size and not hidden(f)]
+        base = self.path.rstrip("/")
+        return [WarcFile(base + f.path.removeprefix(name.rstrip("/"))) for f in files]
+
+    def read(self, partition: WarcFile | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:
+            return
+        rows, size = [], 0
+        with _opened(partition.path) as file:
+            for row in parse_warc(file):
+                rows.append(row)
+                size += len(row[0]) + len(row[1] or b"")
+                if size > BATCH:
+                    yield self._batch(rows)
+                    rows, size = [], 0
+        if rows:
+            yield self._batch(rows)
+
+    @staticmethod
+    def _batch(rows: list[tuple[bytes, bytes | None, str | None]]) -> pa.RecordBatch:
+        head, block, problem = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array([h.decode("utf-8", "replace") for h in head], pa.string()), pa.array(block, pa.binary()), pa.array(problem, pa.string())], ["head", "block", "problem"])
+
+
 def read_warc(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """Records of WARC/1.0 and 1.1 files: header fields and the block as bytes.
+    """Records of WARC/1.0 and 1.1 files, plain or gzip: header fields and the block as bytes.
 
-    Files are cut at version lines, so large uncompressed files split; a block is as
-    many bytes as its record says. A piece that isn't a whole record (a block with a
-    version line of its own, a cut-off file) is never returned as one: it fails the
-    read, or without ``strict`` comes with what is wrong in ``problem``.
+    Blocks are as many bytes as their records say, whatever they hold. What isn't a
+    whole record (a cut-off file, a wrong length) is never returned as one: it fails
+    the read, or without ``strict`` comes with what is wrong in ``problem``, and
+    reading goes on at the next version line.
     """
-    # one character for each byte, so that lengths are those of bytes
-    raw = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
-    rows = spark.read.option("lineSep", "WARC/1.").text(path).where("value <> ''").select(raw.alias("raw"))
-    rows = rows.withColumn("head", F.substring_index("raw", "\r\n\r\n", 1)).withColumn("rest", F.expr("substring(raw, length(head) + 5)"))
-    utf8 = F.make_valid_utf8(F.encode("head", "ISO-8859-1").cast("string"))
-    field = lambda name: F.nullif(F.regexp_extract(utf8, rf"(?im)^{name}:[ \t]*([^\r\n]*)", 1), F.lit(""))
-    size = F.expr("try_cast(n as long)")
-    rows = rows.withColumn("n", field("Content-Length")).withColumn("content_length", size)
-    begins = F.col("raw").rlike("^[01]\r\n") & (F.length("raw") > F.length("head"))
-    after = F.expr("substring(rest, cast(content_length + 1 as int))")
-    problem = F.when(~begins, "not the beginning of a record").when(F.col("content_length").isNull(), "no Content-Length").when(F.length("rest") < F.col("content_length"), "block shorter than its Content-Length").when(~after.isin("", "\r\n", "\r\n\r\n"), "block longer than its Content-Length")
-    block = F.encode(F.expr("substring(rest, 1, cast(content_length as int))"), "ISO-8859-1")
+    spark.dataSource.register(WarcFiles)
+    rows = spark.read.format(WarcFiles.name()).option("path", path).load()
+    field = lambda name: F.nullif(F.regexp_extract("head", rf"(?im)^{name}:[ \t]*([^\r\n]*)", 1), F.lit(""))
     names = (("warc_type", "WARC-Type"), ("record_id", "WARC-Record-ID"), ("refers_to", "WARC-Refers-To"), ("concurrent_to", "WARC-Concurrent-To"), ("target_uri", "WARC-Target-URI"), ("warc_date", "WARC-Date"), ("payload_digest", "WARC-Payload-Digest"), ("block_digest", "WARC-Block-Digest"), ("source_digest", "Source-Payload-Digest"))
-    source = F.array_join(F.regexp_extract_all(utf8, F.lit(r"(?m)^Source-HTTP: ([^\r\n]*)"), 1), "\r\n")
-    out = rows.select(*[field(n).alias(c) for c, n in names], "content_length", source.alias("source_headers"), F.when(problem.isNull(), block).alias("block"), problem.alias("problem"))
+    source = F.array_join(F.regexp_extract_all("head", F.lit(r"(?m)^Source-HTTP: ([^\r\n]*)"), 1), "\r\n")
+    size = F.expr("try_cast(n as long)").alias("content_length")
+    out = rows.withColumn("n", field("Content-Length")).select(*[field(n).alias(c) for c, n in names], size, source.alias("source_headers"), "block", "problem")
     if not strict:
         return out
     checked = F.when(F.col("problem").isNull(), F.col("block")).otherwise(F.raise_error(F.concat(F.lit("WARC record "), F.coalesce("record_id", F.lit("?")), F.lit(": "), "problem")).cast("binary"))
