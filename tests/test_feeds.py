@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
+import time
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.scope import Filter
-from tidemark.operators import exchange
+from tidemark.operators import exchange, merge, progress, summary
 from tidemark.operators.capture import Model
 from tidemark.plans.derive import MEETING, SESSION, Tables
 from tidemark.plans.replica import Replica
 from tidemark.schemas import STORE
-from tidemark.sources import feeds
+from tidemark.sources import buckets, feeds
 from tidemark.sources.pages import read_pages, write_pages
 from tidemark.sources.snapshots import Snapshots
-from tidemark.streaming.ingest import merge_batch
+from tidemark.streaming.ingest import merge_batch, merge_stream
 
 SF = "/root/testdata/sf0.001"
 
@@ -185,3 +186,50 @@ def test_rules_hold_in_the_stream(spark, tmp_path):
     columns = STORE.fieldNames()
     assert whole(s.read("store").select(*columns)) == whole(replica.store.select(*columns)) and whole(s.read("rmc")) == whole(replica.rmc.select("id", "instance_id", "counter"))
     assert not s.read("store").where("serialized like '% / %'").isEmpty()
+
+
+def test_batches_keep_the_summary(spark, tmp_path):
+    """Counts by partition and instance after batches that bring conflicts are those of a whole count."""
+    t = Tables(spark, SF)
+    buffer, rmcb = (x.cache() for x in t.meeting())
+    s = Snapshots(spark, f"{tmp_path}/r")
+    s.commit({"store": t.store, "rmc": t.rmc, "summary": summary.counted(t.store, t.rmc)})
+    for name in MEETING:
+        mine = F.col("transfer_session_id") == name
+        merge_batch(s, exchange.nested(buffer.where(mine), rmcb.where(mine)), "i3", Filter(""), "facility", lambda: 500)
+    assert whole(s.read("summary").where("records > 0").select(*summary.KEY, "records")) == whole(summary.counted(s.read("store"), s.read("rmc")).select(*summary.KEY, "records"))
+
+
+def test_progress_of_a_stream(spark, tmp_path):
+    """A listener's records and bytes are those of the files, batch by batch."""
+    t = Tables(spark, SF)
+    buffer = t.buffer.cache()
+    s = Snapshots(spark, f"{tmp_path}/r")
+    s.commit({"store": t.store.limit(0), "rmc": t.rmc.limit(0)})
+    write_pages(buffer, t.rmcb, f"{tmp_path}/x", size=100, per_file=4)
+    told = progress.Progress()
+    spark.streams.addListener(told)
+    try:
+        merge_stream(spark, f"{tmp_path}/x", s, f"{tmp_path}/c", "i3", Filter(""), "facility", lambda: 500).awaitTermination()
+        for _ in range(100):
+            if told.ended:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(told)
+    (total,) = told.totals.values()
+    size = buffer.agg(F.sum(F.octet_length("serialized") + F.octet_length("conflicting_serialized_data"))).first()[0]
+    assert total["records"] == buffer.count() and total["bytes"] == size and list(told.ended.values()) == [None]
+
+
+def test_buckets_are_not_shuffled(spark, tmp_path):
+    t = Tables(spark, SF)
+    store, buffer, rmc, rmcb = (buckets.write(df, kind, f"{tmp_path}/{kind}", 8) for kind, df in {"store": t.store, "buffer": t.buffer, "rmc": t.rmc, "rmcb": t.rmcb}.items())
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in merge.changes(store, buffer, rmc, rmcb, "i3", 500, SESSION):
+            assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert whole(merge.merge(store, buffer, rmc, rmcb, "i3", 500, SESSION)[0]) == whole(merge.merge(t.store, t.buffer, t.rmc, t.rmcb, "i3", 500, SESSION)[0])

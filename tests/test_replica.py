@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.scope import Filter, Scope
-from tidemark.operators.capture import ForeignKey, Model, Registry
+from tidemark.operators import summary
+from tidemark.operators.capture import ForeignKey, Model, Registry, captured
 from tidemark.operators.exchange import InvalidTransfer, received
 from tidemark.plans.replica import NotAllowed, Replica, Transfer, pull, push
 from tidemark.operators.restore import PARENT_DIRTY, PARENT_MISSING
@@ -94,7 +95,7 @@ def test_transfer_goes_on_after_a_restart(spark, tmp_path):
     a.save(kept[0], [t])
     b.save(kept[1])
     a2, b2 = (Replica.load(s, models()) for s in kept)
-    again = Transfer.resume(a2, b2, kept[0].read("transfers").first())
+    again = Transfer.resume(a2, b2, kept[0].read("transfers").first(), kept[0].read("vectors"))
     assert (again.id, again.stage, again.records_total) == (t.id, "queuing", 3) and a2.counter == a.counter
     again.run()
     assert again.stage == "cleanup" and set(ids(b2.apps["user"])) == {"bob"} and b2.apps["summary"].count() == 2
@@ -269,3 +270,68 @@ def test_three_replicas_converge(spark):
     first = payloads(group[0])
     assert first and all(payloads(x) == first for x in group[1:])
     assert all({u.username: u.is_staff for u in x.apps["user"].collect()} == {p["username"]: p["is_staff"] for p in first.values()} for x in group)
+
+
+def counts(df):
+    return sorted(tuple(r) for r in df.select("kind", "partition", "instance_id", "records").where("records > 0").collect())
+
+
+def test_summary_is_kept(spark, tmp_path):
+    """After captures, deletions, merges with conflicts, a save and a load the kept counts are those of a whole count."""
+    a, b = replica(spark, "a"), replica(spark, "b")
+    ann = add_user(a, "ann")
+    add_logs(a, "interaction", ann, 3)
+    push(a, b, Filter(""))
+    for r, name in ((a, "of a"), (b, "of b")):
+        r.upsert("user", spark.createDataFrame([(ann, name, False)], "id string, username string, is_staff boolean").withColumns({c: F.lit(None).cast("string") for c in ("_source_id", "_partition")}))
+    add_user(b, "bob")
+    b.delete("interaction", b.apps["interaction"].limit(1))
+    went = pull(a, b, Filter(""))
+    assert went.bytes_transferred > 0 and went.records_transferred == went.records_total > 0
+    push(a, b, Filter(""))
+    for r in (a, b):
+        assert r.summary is not None and counts(r.summary) == counts(summary.counted(r.store, r.rmc))
+    s = Snapshots(spark, str(tmp_path / "a"))
+    a.save(s)
+    again = Replica.load(s, models())
+    again.serialize()
+    assert counts(again.summary) == counts(summary.counted(again.store, again.rmc))
+
+
+def scanned(df):
+    """Rows that the scans of a plan gave."""
+    session = df.sparkSession
+    before = session.conf.get("spark.sql.adaptive.enabled")
+    session.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = df._jdf.queryExecution().executedPlan()
+        df._jdf.queryExecution().toRdd().count()
+        leaves = plan.collectLeaves()
+        return {str(leaves.apply(i).output()): leaves.apply(i).metrics().get("numOutputRows").get().value() for i in range(leaves.size()) if leaves.apply(i).metrics().contains("numOutputRows")}
+    finally:
+        session.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def test_capture_reads_dirty_rows_alone(spark, tmp_path):
+    """Of a saved table with ten dirty rows a capture reads ten, also where changes came after."""
+    user = models()[2]
+    r = replica(spark, "a")
+    r.upsert("user", rows(spark, *[(f"u{i}", False) for i in range(3_000)], columns="username string, is_staff boolean"))
+    r.serialize()
+    r.upsert("user", rows(spark, *[(f"u{i}", True) for i in range(10)], columns="username string, is_staff boolean"))
+    s = Snapshots(spark, str(tmp_path / "r"))
+    r.save(s)
+    table = s.read("app-user")
+    assert table.count() == 3_000 and list(scanned(table.where(DIRTY)).values()) == [10]
+    assert sum(n for out, n in scanned(captured(table, user, s.read("store").limit(0), "facility", r.instance_id, 9)).items() if DIRTY in out) in (10, 20)
+    assert scanned(s.read("store").where("dirty_bit")) == {} or sum(scanned(s.read("store").where("dirty_bit")).values()) == 0
+    again = Replica.load(s, models())
+    again.serialize()
+    assert again.store.where("serialized like '%true%'").count() == 10 and again.apps["user"].where(DIRTY).isEmpty()
+
+
+def test_what_a_profile_says_of_itself():
+    known = Registry({"facility": {"app": "learning", "version": "2"}}, facility=models(), other=[])
+    assert known.instance_info("facility") == {"app": "learning", "version": "2"} and known.instance_info("other") == {} == known.instance_info("none")
+    known.instance_info("facility")["app"] = "changed"
+    assert known.instance_info("facility")["app"] == "learning" and len(known.models("facility")) == 4

@@ -55,9 +55,14 @@ def filled_column(template: Column, values: dict[str, Column]) -> Column:
     return reduce(lambda t, kv: F.replace(t, F.lit("${" + kv[0] + "}"), kv[1]), values.items(), template)
 
 
+def lock_scope(partition: Column) -> Column:
+    """What of a partition a lock is for: its first 32 characters."""
+    return F.substring(partition, 1, 32)
+
+
 def lock_key(partition: Column) -> Column:
-    """Number of the advisory lock for a partition: its first 32 characters count."""
-    return F.crc32(F.encode(F.substring(partition, 1, 32), "utf-8")) - 2147483647
+    """Number of the advisory lock for a partition."""
+    return F.crc32(F.encode(lock_scope(partition), "utf-8")) - 2147483647
 
 
 def system_hash(value: Column) -> Column:

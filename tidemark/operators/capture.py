@@ -58,10 +58,15 @@ class Model:
 
 
 class Registry:
-    """Models by profile and name."""
+    """Models by profile and name, and what each profile's application says of itself to others (``info``)."""
 
-    def __init__(self, **profiles: list[Model]):
+    def __init__(self, info: dict[str, dict[str, str]] | None = None, /, **profiles: list[Model]):
         self._profiles = {name: {m.name: m for m in in_order(models)} for name, models in profiles.items()}
+        self._info = info or {}
+
+    def instance_info(self, profile: str) -> dict[str, str]:
+        """What a replica of the profile tells its peers beside its id; nothing if the profile says nothing."""
+        return dict(self._info.get(profile, {}))
 
     def model(self, profile: str, name: str) -> Model:
         return self._profiles[profile][name]
@@ -116,7 +121,8 @@ def captured(app: DataFrame, model: Model, store: DataFrame, profile: str, insta
         dirty = dirty.where(any_prefix(PARTITION, filters))
     self_ref = F.coalesce(F.col(model.self_key).cast("string"), F.lit("")) if model.self_key else F.lit("")
     new = dirty.select("id", F.col(PARTITION).alias("__partition"), F.col(SOURCE).alias("__source"), self_ref.alias("__self"), payload.payload(model.columns, model.as_text).alias("__text"))
-    both = new.join(store.where(F.col("profile") == profile).select("id", F.struct("*").alias("s")), "id", "left")
+    known = store.where(F.col("profile") == profile).join(new.select("id"), "id", "left_semi")  # few, so the store itself isn't shuffled
+    both = new.join(known.select("id", F.struct("*").alias("s")), "id", "left")
     old = lambda c, otherwise: F.when(F.col("s").isNotNull(), F.col(f"s.{c}")).otherwise(otherwise)
     aside = F.when(F.col("s.dirty_bit"), F.concat("s.serialized", F.lit("\n"), "s.conflicting_serialized_data"))
     columns = {
@@ -130,6 +136,11 @@ def captured(app: DataFrame, model: Model, store: DataFrame, profile: str, insta
     return both.select("id", *[c.alias(n) for n, c in columns.items()]).select(*STORE.fieldNames())
 
 
+def split(rows: DataFrame, store: DataFrame) -> DataFrame:
+    """(id, is_new) of rows to be saved: whether the store has to insert or update them."""
+    return rows.join(store.select("id", F.lit(True).alias("__known")), "id", "left").select("id", F.col("__known").isNull().alias("is_new"))
+
+
 def replaced(table: DataFrame, new: DataFrame, key: str | list[str] = "id") -> DataFrame:
     """Full-row upsert: rows of ``new`` in place of those with the same key."""
     keys = [key] if isinstance(key, str) else key

@@ -41,10 +41,15 @@ def joined(store: DataFrame, buffer: DataFrame, rmc: DataFrame, rmcb: DataFrame,
     """
     if session is not None:
         buffer, rmcb = (x.where(F.col("transfer_session_id") == session) for x in (buffer, rmcb))
+    return _compared(store, buffer, rmc, rmcb, "full_outer")
+
+
+def _compared(store: DataFrame, buffer: DataFrame, rmc: DataFrame, rmcb: DataFrame, how: str) -> DataFrame:
+    """Buffered records with the store's and both vectors, by joins on the record's id; ``how`` says whether others of the store come along."""
     s = store.select("id", F.struct("*").alias("s"))
     b = buffer.select(F.col("model_uuid").alias("id"), F.struct("*").alias("b"))
     got = vector_maps(rmcb, "model_uuid", "got").withColumnRenamed("model_uuid", "id")
-    every = s.join(b, "id", "full_outer").join(vector_maps(rmc, "id", "has"), "id", "left").join(got, "id", "left")
+    every = b.join(s, "id", how).join(vector_maps(rmc, "id", "has"), "id", "left").join(got, "id", "left")
     every = every.withColumns({"has": F.coalesce("has", F.expr(_EMPTY)), "got": F.coalesce("got", F.expr(_EMPTY))})
     return every.withColumn("class", _class(*map(F.col, ("s", "b", "has", "got"))))
 
@@ -58,7 +63,7 @@ def met(store: DataFrame, buffer: DataFrame, rmc: DataFrame, rmcb: DataFrame, se
     if session is not None:
         buffer, rmcb = (x.where(F.col("transfer_session_id") == session) for x in (buffer, rmcb))
     ids = buffer.select(F.col("model_uuid").alias("id"))
-    return joined(store.join(ids, "id", "left_semi"), buffer, rmc.join(ids, "id", "left_semi"), rmcb)
+    return _compared(store.join(ids, "id", "left_semi"), buffer, rmc.join(ids, "id", "left_semi"), rmcb, "left")
 
 
 def changes(store: DataFrame, buffer: DataFrame, rmc: DataFrame, rmcb: DataFrame, instance_id: str, counter: int, session: str, rule: Rule | None = None) -> tuple[DataFrame, DataFrame]:

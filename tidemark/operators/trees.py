@@ -11,6 +11,8 @@ from weakref import WeakKeyDictionary
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import trusted
+
 #: Rounds of a level-by-level loop between two writes of all that was seen.
 COMPACT_ROUNDS = 8
 #: Levels that a closure takes one by one, before it doubles its steps.
@@ -24,6 +26,7 @@ def _local_folder() -> str:
 
 def _shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``. Only in local mode may the setting be missing; a temporary folder stands in then."""
+    trusted(spark)
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local["):
@@ -34,7 +37,7 @@ def _shared_folder(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint in the shared folder, so that loops neither grow plans nor fear lost executors."""
-    spark: SparkSession = df.sparkSession
+    spark: SparkSession = trusted(df.sparkSession)
     if spark.sparkContext.getCheckpointDir() is None:
         base = _shared_folder(spark)
         if not spark.conf.get("spark.checkpoint.dir", None):

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import identity, payload, scope
-from ..operators import capture, certificates, exchange, merge, outgoing, restore, sessions, trees, vectors
+from ..operators import capture, certificates, exchange, merge, outgoing, progress, restore, sessions, summary, trees, vectors
 from ..operators.prefix import prefix_join
-from ..sources import feeds, pages, snapshots
+from ..session import trusted
+from ..sources import buckets, feeds, pages, snapshots
 from ..streaming import ingest, stateful
 from .derive import FILTERS, MEETING, MODEL, PROFILE, SESSION, Tables, strangers
 
@@ -23,7 +24,7 @@ NOW = datetime(1998, 1, 1)
 
 
 def query(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
-    QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+    QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(trusted(spark), sf_dir))
     return f
 
 
@@ -119,12 +120,14 @@ def json_merge(t: Tables) -> DataFrame:
 
 @query
 def char_ids(t: Tables) -> DataFrame:
-    return t.store.where("dirty_bit").select(F.replace(F.concat_ws("-", F.substring("id", 1, 8), F.substring("id", 9, 24)), F.lit("-")).alias("id"))
+    """Ids written with dashes and in capitals, as plain ones."""
+    dashed = F.upper(F.concat_ws("-", F.substring("id", 1, 8), F.substring("id", 9, 24)))
+    return t.store.where("dirty_bit").select(identity.plain_uuid(dashed).alias("id"))
 
 
 @query
 def lock_keys(t: Tables) -> DataFrame:
-    return t.store.select(F.substring("partition", 1, 32).alias("partition")).distinct()
+    return t.store.select(identity.lock_scope(F.col("partition")).alias("partition")).distinct()
 
 
 @query
@@ -149,7 +152,7 @@ def system_hashes(t: Tables) -> DataFrame:
 
 @query
 def dirty_upsert_split(t: Tables) -> DataFrame:
-    return t.base.join(t.store.select("id", F.lit(True).alias("known")), "id", "left").select("id", F.col("known").isNull().alias("is_new"))
+    return capture.split(t.base, t.store)
 
 
 @query
@@ -339,7 +342,7 @@ def queue_v2_vectors(t: Tables) -> DataFrame:
 
 @query
 def queued_count(t: Tables) -> DataFrame:
-    return t.buffer.groupBy("transfer_session_id").agg(F.count("*").alias("records_total"))
+    return sessions.queued(t.buffer)
 
 
 # Merging
@@ -360,6 +363,21 @@ def dequeue_rmc(t: Tables) -> DataFrame:
     return merge.merged_vectors(merge.joined(t.store, t.buffer, t.rmc, t.rmcb, SESSION), "i3", 500)
 
 
+@query
+def bucketed_store(t: Tables) -> DataFrame:
+    """The store after a merge of tables that are laid out by record id."""
+    tables = {"store": t.store, "buffer": t.buffer, "rmc": t.rmc, "rmcb": t.rmcb}
+    store, buffer, rmc, rmcb = (buckets.write(df, kind, trees.scratch(t.spark, kind), 16) for kind, df in tables.items())
+    return merge.merge(store, buffer, rmc, rmcb, "i3", 500, SESSION)[0]
+
+
+@query
+def kept_summary(t: Tables) -> DataFrame:
+    """Records by partition and instance, kept through a merge by what it changed."""
+    rows, entries = (trees.written(x) for x in merge.changes(t.store, t.buffer, t.rmc, t.rmcb, "i3", 500, SESSION))
+    return summary.applied(summary.counted(t.store, t.rmc), summary.difference(t.store, t.rmc, rows, entries))
+
+
 def _deletes(t: Tables) -> DataFrame:
     return t.base.where("k % 10 = 1").select("id", F.when(F.col("k") % 4 == 1, "elsewhere").otherwise(PROFILE).alias("profile"))
 
@@ -670,6 +688,14 @@ def _streamed(t: Tables) -> snapshots.Snapshots:
     return sink
 
 
+@query
+def observed_transfer(t: Tables) -> DataFrame:
+    """Records and bytes of a queued transfer, counted as it is written."""
+    rows, seen = progress.observed(t.buffer)
+    trees.written(rows, "queued")
+    return t.spark.createDataFrame([(SESSION, seen.get["records"], seen.get["bytes"])], "transfer_session_id string, records long, bytes long")
+
+
 @query
 def latest_sessions(t: Tables) -> DataFrame:
     _, transfers = _session_tables(t)
@@ -702,4 +728,4 @@ def short_names(t: Tables) -> DataFrame:
 
 @query
 def page_sessions(t: Tables) -> DataFrame:
-    return t.buffer.groupBy("profile").agg(F.countDistinct("transfer_session_id").alias("n"))
+    return exchange.page_sessions(t.buffer, "profile")

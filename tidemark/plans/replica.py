@@ -5,14 +5,15 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scope import Filter, Scope
-from ..operators import capture, exchange, merge, outgoing, restore, vectors
+from ..operators import capture, exchange, merge, outgoing, progress, restore, summary, vectors
 from ..operators.trees import cut
-from ..schemas import BUFFER, DELETED, DIRTY, DMC, IDENTITY, PARTITION, RMC, RMCB, SOURCE, STORE, TRANSFERS
+from ..schemas import BUFFER, DELETED, DIRTY, DMC, IDENTITY, PARTITION, RMC, RMCB, SOURCE, STORE, TRANSFER_VECTORS, TRANSFERS
 from ..sources.snapshots import Snapshots
 
 #: Stages of a transfer in order.
@@ -56,6 +57,8 @@ class Replica:
         self.store, self.rmc, self.dmc = make([], STORE), make([], RMC), make([], DMC)
         self.deleted, self.erased = make([], DELETED), make([], DELETED)
         self.buffer, self.rmcb = make([], BUFFER), make([], RMCB)
+        #: Records by partition and instance (see operators.summary); counted when first asked for, then kept.
+        self.summary: DataFrame | None = None
 
     def tick(self) -> int:
         self.counter += 1
@@ -90,7 +93,10 @@ class Replica:
             self.dmc = cut(capture.own_counters(self.dmc, names, self.instance_id, counter))
             return
         done = capture.capture(self.apps, changed, self.store, self.rmc, self.dmc, self.deleted, self.erased, self.profile, self.instance_id, counter, names)
+        before = self.store, self.rmc
         self.store, self.rmc, self.dmc = cut(done.store), cut(done.rmc), cut(done.dmc)
+        saved = (F.col("last_saved_instance") == self.instance_id) & (F.col("last_saved_counter") == counter)
+        self._count(*before, self.store.where(saved), self.rmc)
         self.apps |= {k: cut(v) for k, v in done.apps.items()}
         empty = self.spark.createDataFrame([], DELETED)
         self.deleted, self.erased = empty, empty
@@ -103,12 +109,21 @@ class Replica:
 
     def vector(self, filters: Filter, producer: bool) -> DataFrame:
         """Wire vector of a filter, without entries that no record needs."""
-        pairs = vectors.store_pairs(self.store) if producer else vectors.vector_pairs(self.store, self.rmc)
-        return cut(vectors.wire_vector(self.dmc, list(filters), pairs))
+        if self.summary is None:
+            self.summary = cut(summary.counted(self.store, self.rmc))
+        return cut(vectors.wire_vector(self.dmc, list(filters), summary.pairs(self.summary, producer)))
+
+    def _count(self, store: DataFrame, rmc: DataFrame, rows: DataFrame, rmc_after: DataFrame) -> None:
+        """Keep the summary as ``rows`` took the place of records of the store."""
+        if self.summary is not None:
+            entries = rmc_after.join(rows.select("id"), "id", "left_semi")
+            self.summary = cut(summary.applied(self.summary, summary.difference(store, rmc, rows, entries)))
 
     def dequeue(self, session: str, peer_vector: DataFrame) -> None:
-        store, rmc = merge.merge(self.store, self.buffer, self.rmc, self.rmcb, self.instance_id, self.tick(), session, merge.rule_of(self.models))
-        self.store, self.rmc = cut(store), cut(rmc)
+        rows, entries = (cut(x) for x in merge.changes(self.store, self.buffer, self.rmc, self.rmcb, self.instance_id, self.tick(), session, merge.rule_of(self.models)))
+        before = self.store, self.rmc
+        self.store, self.rmc = cut(capture.replaced(self.store, rows)), cut(capture.replaced(self.rmc, entries))
+        self._count(*before, rows, entries)
         self.dmc = cut(merge.dmc_with_parts(self.dmc, peer_vector))
 
     def save(self, snapshots: Snapshots, transfers: list[Transfer] = ()) -> int:
@@ -118,8 +133,12 @@ class Replica:
         would lose what that one holds. ``updated`` loads and works again then.
         """
         tables = {name: getattr(self, name) for name in _TABLES} | {f"app-{m}": df for m, df in self.apps.items()}
+        if self.summary is not None:
+            tables["summary"] = self.summary
         tables["identity"] = self.spark.createDataFrame([(self.profile, self.instance_id, self.counter)], IDENTITY)
         tables["transfers"] = self.spark.createDataFrame([t.row() for t in transfers], TRANSFERS)
+        known = [rows for t in transfers if (rows := t.vector_rows()) is not None]
+        tables["vectors"] = reduce(DataFrame.unionByName, known, self.spark.createDataFrame([], TRANSFER_VECTORS))
         self.version = snapshots.commit(tables, after=self.version)
         return self.version
 
@@ -144,6 +163,7 @@ class Replica:
         for name in _TABLES:
             setattr(out, name, snapshots.read(name, n))
         out.apps = {m.name: snapshots.read(f"app-{m.name}", n) for m in models}
+        out.summary = snapshots.read("summary", n) if "summary" in snapshots.tables(n) else None
         return out
 
     def drop_buffers(self, session: str) -> None:
@@ -171,6 +191,8 @@ class Transfer:
     status: str = PENDING
     records_total: int | None = None
     records_transferred: int = 0
+    #: Bytes of what the records carry, of those that went over in this process.
+    bytes_transferred: int = 0
     hooks: list[Callable[[str, str], None]] = field(default_factory=list)
     operations: dict[str, list[Callable[[Transfer], bool]]] = field(default_factory=dict)
 
@@ -184,16 +206,24 @@ class Transfer:
 
     def row(self) -> tuple:
         """What to keep of a transfer so that it can go on elsewhere (see ``resume``)."""
-        text = lambda name: vectors.to_json(getattr(self, name)) if hasattr(self, name) else None
-        return self.id, str(self.filters), self.push, self.page, self.stage, self.status, self.records_total, self.records_transferred, text("sent"), text("had")
+        return self.id, str(self.filters), self.push, self.page, self.stage, self.status, self.records_total, self.records_transferred
+
+    def vector_rows(self) -> DataFrame | None:
+        """The two sides' vectors, a row for each entry and one that says a vector is there; None before they are known."""
+        out = None
+        for name in (n for n in ("sent", "had") if hasattr(self, n)):
+            mark = self.client.spark.createDataFrame([(self.id, name, None, None, None, None)], TRANSFER_VECTORS)
+            rows = getattr(self, name).select(F.lit(self.id).alias("transfer_session_id"), F.lit(name).alias("vector"), "side", "partition", "instance_id", "counter").unionByName(mark)
+            out = rows if out is None else out.unionByName(rows)
+        return out
 
     @classmethod
-    def resume(cls, client: Replica, server: Replica, row) -> Transfer:
-        """A transfer from its row, to ``run`` on from the stage last completed."""
+    def resume(cls, client: Replica, server: Replica, row, kept: DataFrame | None = None) -> Transfer:
+        """A transfer from its row, and the table of vectors saved with it, to ``run`` on from the stage last completed."""
         out = cls(client, server, Filter(row.filter), row.push, row.page, row.id, row.stage, row.status, row.records_total, row.records_transferred)
-        for name in ("sent", "had"):
-            if row[name] is not None:
-                setattr(out, name, vectors.from_json(client.spark, row[name]))
+        mine = None if kept is None else kept.where(F.col("transfer_session_id") == row.id)
+        for name in () if mine is None else [r[0] for r in mine.where("side is null").select("vector").collect()]:
+            setattr(out, name, mine.where((F.col("vector") == name) & F.col("side").isNotNull()).select("side", "partition", "instance_id", "counter"))
         return out
 
     def run(self, until: str = STAGES[-1]) -> Transfer:
@@ -225,14 +255,17 @@ class Transfer:
     def _queuing(self) -> None:
         s = self.sender
         buffer, rmcb = outgoing.queue_transfer(s.store, s.rmc, self.sent, self.had, self.filters, s.profile, self.id)
+        buffer, queued = progress.observed(buffer)
         s.buffer = cut(s.buffer.unionByName(buffer))
         s.rmcb = cut(s.rmcb.unionByName(rmcb))
-        self.records_total = s.buffer.where(F.col("transfer_session_id") == self.id).count()
+        self.records_total = queued.get["records"]
 
     def _transferring(self) -> None:
         """All that is left goes over at once: within a cluster a page is a label, not a round trip."""
         mine = F.col("transfer_session_id") == self.id
-        wire = cut(exchange.nested(exchange.numbered(self.sender.buffer.where(mine), self.page), self.sender.rmcb.where(mine)).where(F.col("page") >= self.records_transferred // self.page))
+        wire, went = progress.observed(exchange.nested(exchange.numbered(self.sender.buffer.where(mine), self.page), self.sender.rmcb.where(mine)).where(F.col("page") >= self.records_transferred // self.page))
+        wire = cut(wire)
+        self.bytes_transferred += went.get["bytes"]
         buffer, rmcb, _ = exchange.received(wire, self.id, self.filters, self.receiver.profile)
         self.receiver.buffer = cut(self.receiver.buffer.join(buffer.select("transfer_session_id", "model_uuid"), ["transfer_session_id", "model_uuid"], "left_anti").select(*BUFFER.fieldNames()).unionByName(buffer))
         self.receiver.rmcb = cut(self.receiver.rmcb.unionByName(rmcb).distinct())

@@ -75,6 +75,10 @@ _S, _B = (", ".join(f"{x}.{c}" for c in RECORD_COLUMNS) for x in "sb")
 _ORDERED = f"""SELECT s.id, {_S}, s.dirty_bit, s.deserialization_error, s.last_transfer_session_id FROM store s LEFT JOIN cls ON s.id = model_uuid WHERE class IS NULL OR class = 'REVERSE_FF'
 UNION ALL SELECT b.model_uuid, {_B}, true, '', '{SESSION}' FROM buffer b JOIN cls USING (model_uuid) WHERE class IN ('NEW', 'FAST_FORWARD')
 UNION ALL SELECT s.id, {_CONFLICT_COLUMNS}, true, '', '{SESSION}' FROM store s JOIN buffer b ON s.id = b.model_uuid JOIN cls ON cls.model_uuid = s.id WHERE class = 'CONFLICT'"""
+_ORDERED_RMC = """SELECT * FROM rmc WHERE NOT EXISTS (SELECT 1 FROM cls WHERE model_uuid = id AND class <> 'REVERSE_FF')
+UNION ALL SELECT coalesce(a.id, b.model_uuid), coalesce(a.instance_id, b.instance_id), coalesce(b.counter, a.counter) FROM (SELECT * FROM rmc WHERE id IN (SELECT model_uuid FROM cls WHERE class IN ('NEW', 'FAST_FORWARD'))) a
+  FULL JOIN (SELECT * FROM rmcb WHERE model_uuid IN (SELECT model_uuid FROM cls WHERE class IN ('NEW', 'FAST_FORWARD'))) b ON a.id = b.model_uuid AND a.instance_id = b.instance_id
+UNION ALL SELECT id, instance_id, max(counter)::INT FROM (SELECT * FROM rmc UNION ALL SELECT model_uuid, instance_id, counter FROM rmcb UNION ALL SELECT model_uuid, 'i3', 500 FROM cls) WHERE id IN (SELECT model_uuid FROM cls WHERE class = 'CONFLICT') GROUP BY ALL"""
 
 
 def _meeting() -> str:
@@ -183,10 +187,9 @@ SELECT 'nation' AS table_name, 4::BIGINT AS id UNION ALL SELECT 'customer', id F
     "queued_count": _t("SELECT transfer_session_id, count(*) AS records_total FROM buffer GROUP BY 1"),
     "dequeue_classify": _t("SELECT class, count(*) AS n FROM cls GROUP BY 1", CLS),
     "dequeue_store": _t(_ORDERED, CLS),
-    "dequeue_rmc": _t("""SELECT * FROM rmc WHERE NOT EXISTS (SELECT 1 FROM cls WHERE model_uuid = id AND class <> 'REVERSE_FF')
-UNION ALL SELECT coalesce(a.id, b.model_uuid), coalesce(a.instance_id, b.instance_id), coalesce(b.counter, a.counter) FROM (SELECT * FROM rmc WHERE id IN (SELECT model_uuid FROM cls WHERE class IN ('NEW', 'FAST_FORWARD'))) a
-  FULL JOIN (SELECT * FROM rmcb WHERE model_uuid IN (SELECT model_uuid FROM cls WHERE class IN ('NEW', 'FAST_FORWARD'))) b ON a.id = b.model_uuid AND a.instance_id = b.instance_id
-UNION ALL SELECT id, instance_id, max(counter)::INT FROM (SELECT * FROM rmc UNION ALL SELECT model_uuid, instance_id, counter FROM rmcb UNION ALL SELECT model_uuid, 'i3', 500 FROM cls) WHERE id IN (SELECT model_uuid FROM cls WHERE class = 'CONFLICT') GROUP BY ALL""", CLS),
+    "dequeue_rmc": _t(_ORDERED_RMC, CLS),
+    "kept_summary": _t(f"""SELECT 'saved' AS kind, partition, last_saved_instance AS instance_id, count(*) AS records FROM ms GROUP BY ALL
+UNION ALL SELECT 'seen', partition, instance_id, count(*) FROM mv JOIN ms USING (id) GROUP BY ALL""", CLS, f"ms AS ({_ORDERED})", f"mv AS ({_ORDERED_RMC})"),
     "soft_delete": _t("SELECT s.id, deleted OR g.id IS NOT NULL AS deleted, dirty_bit AND g.id IS NULL AS dirty_bit, CASE WHEN g.id IS NULL THEN last_saved_instance ELSE 'i3' END AS last_saved_instance, CASE WHEN g.id IS NULL THEN last_saved_counter ELSE 500 END AS last_saved_counter FROM store s LEFT JOIN gone g ON g.id = s.id", _DELETES),
     "hard_delete": _t("SELECT s.id, hard_deleted OR g.id IS NOT NULL AS hard_deleted, CASE WHEN g.id IS NULL THEN serialized ELSE '{}' END AS serialized, CASE WHEN g.id IS NULL THEN conflicting_serialized_data ELSE '' END AS conflicting_serialized_data FROM store s LEFT JOIN gone g ON g.id = s.id", _DELETES),
     "app_upsert": _t("SELECT id, 'old' AS v, k FROM base WHERE k % 3 <> 0 AND k % 4 <> 0 UNION ALL SELECT id, 'new', k * 2 FROM base WHERE k % 4 = 0"),
@@ -219,6 +222,8 @@ v AS (SELECT id, r, w, true AS valid FROM c WHERE parent_id IS NULL UNION ALL SE
     "change_feed": _t(f"""SELECT {_ROW}, dirty_bit, 2::BIGINT AS _version FROM {_LAST} WHERE id IN (SELECT model_uuid FROM c0 WHERE class <> 'REVERSE_FF' UNION SELECT model_uuid FROM c1 WHERE class <> 'REVERSE_FF' UNION SELECT model_uuid FROM c2 WHERE class <> 'REVERSE_FF')
 UNION ALL SELECT {_ROW}, false, 3 FROM {_LAST} WHERE id < '1'""", _meeting()),
     "pull_pages": _t("SELECT model_uuid, serialized, page, (SELECT count(*) FROM rmcb WHERE rmcb.model_uuid = x.model_uuid)::INT AS entries FROM (SELECT model_uuid, serialized, (row_number() OVER (ORDER BY model_uuid) - 1) // 50 AS page FROM buffer) x WHERE page >= 7"),
+    "bucketed_store": _t(_ORDERED, CLS),
+    "observed_transfer": _t(f"SELECT '{SESSION}' AS transfer_session_id, count(*) AS records, sum(strlen(serialized) + strlen(conflicting_serialized_data))::BIGINT AS bytes FROM buffer"),
     "state_store": _t(_ORDERED, CLS),
     "latest_sessions": f"WITH {_SYNCS} SELECT sync_session_id, id FROM (SELECT *, row_number() OVER (PARTITION BY sync_session_id ORDER BY last_activity DESC, id DESC) AS n FROM transfers WHERE active) WHERE n = 1",
     "readable_buffers": _t("SELECT model_uuid, source_id AS transfer_session_id FROM buffer WHERE k % 3 <> 0 AND k % 2 <> 0"),

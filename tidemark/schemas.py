@@ -37,8 +37,9 @@ DELETED = _schema("id string, profile string")
 SYNC_SESSIONS = _schema("id string, active boolean, last_activity timestamp, client_instance_id string, server_instance_id string, profile string")
 TRANSFER_SESSIONS = _schema("id string, sync_session_id string, active boolean, last_activity timestamp, filter string, push boolean, records_total long, records_transferred long, stage string, status string")
 
-#: A transfer as it is kept between its stages, the two sides' vectors as text.
-TRANSFERS = _schema("id string, filter string, push boolean, page int, stage string, status string, records_total long, records_transferred long, sent string, had string")
+#: A transfer as it is kept between its stages, and what its sides have ("sent", "had"), a row for each entry.
+TRANSFERS = _schema("id string, filter string, push boolean, page int, stage string, status string, records_total long, records_transferred long")
+TRANSFER_VECTORS = _schema("transfer_session_id string, vector string, side string, partition string, instance_id string, counter int")
 #: Who a replica is: a single row.
 IDENTITY = _schema("profile string, instance_id string, counter int")
 

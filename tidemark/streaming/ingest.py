@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.scope import Filter
-from ..operators import exchange, merge
+from ..operators import exchange, merge, progress, summary
 from ..operators.capture import Model
 from ..operators.trees import cut
 from ..schemas import DMC
@@ -64,6 +64,8 @@ def merge_batch(
         store, rmc = (snapshots.read(t, base, ids) for t in ("store", "rmc"))
         rows, entries = merge.rows_of(cut(merge.fold(store, buffer, rmc, rmcb, instance_id, counters, merge.rule_of(list(models)))))
         changed = {"store": (rows, ["id"]), "rmc": (entries, ["id"]), "refused": (refused.select(*_SEEN, "problem"), [*_SEEN, "problem"]), "received": (buffer.select(*_SEEN), _SEEN), "arrived": (arrived, ["transfer_session_id", "batch"])}
+        if "summary" in snapshots.tables(base):
+            changed["summary"] = (_recounted(snapshots, base, summary.difference(store, rmc, rows, entries)), summary.KEY)
         tables = _completed(snapshots, base, changed, vectors, names) if vectors is not None else {}
         snapshots.commit(tables, {t: c for t, c in changed.items() if t not in tables}, after=base)
         return names
@@ -71,6 +73,13 @@ def merge_batch(
     return snapshots.retried(once)
 
 
+def _recounted(snapshots: Snapshots, base: int, change: DataFrame) -> DataFrame:
+    """New counts of the partitions and instances that a batch changes; 0 where nothing is left."""
+    change = cut(change)
+    known = snapshots.read("summary", base, change.select(*summary.KEY))
+    return change.join(known.withColumnRenamed("records", "before"), summary.KEY, "left").select(*summary.KEY, (F.coalesce("before", F.lit(0)) + F.col("records")).alias("records"))
+
+
 def _completed(snapshots: Snapshots, base: int, changed: dict, vectors: DataFrame, names: list[str]) -> dict[str, DataFrame]:
     """Tables that change because transfers are complete.
 
@@ -103,7 +112,8 @@ def merge_stream(spark: SparkSession, folder: str, snapshots: Snapshots, checkpo
     """Start merging what arrives in an exchange folder; each micro-batch becomes a snapshot version.
 
     ``vector_folder`` is where senders say what their transfers bring; they write
-    there before they write pages. ``models`` may have rules for conflicts.
+    there before they write pages. ``models`` may have rules for conflicts. Records and
+    bytes of each batch are in the stream's progress (see operators.progress).
     """
 
     def each(batch: DataFrame, number: int) -> None:
@@ -114,4 +124,4 @@ def merge_stream(spark: SparkSession, folder: str, snapshots: Snapshots, checkpo
         finally:
             batch.unpersist()
 
-    return stream_pages(spark, folder).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    return progress.watched(stream_pages(spark, folder)).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
