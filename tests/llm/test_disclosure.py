@@ -86,7 +86,7 @@ def brute(texts):
     for w in terms:
         own = [ws for t, ws in zip(texts, free, strict=True) if w in ws and what(t, w) == "generalise"]
         options = [(df[x], x) for x, co in Counter(x for ws in own for x in ws).items() if x != w and x not in terms and co >= pii.WIDER_SHARE * len(own) and df[x] >= pii.WIDER_TIMES * len(own)]
-        wider[w] = min(options)[1] if options else "[TERM]"
+        wider[w] = min(options)[1] if options and len(own) >= pii.WIDER_TEXTS else "[TERM]"
     return what, wider
 
 

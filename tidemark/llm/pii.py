@@ -24,6 +24,8 @@ GENERALISE, REMOVE = 0.5, 0.8
 EVERYWHERE = 0.5
 #: A term is wider than another if it stands in this share of the other's texts, and in this many times as many in all.
 WIDER_SHARE, WIDER_TIMES = 0.8, 2
+#: Texts in which a term must be generalised for a wider one to be told: in fewer, most words of a text stand in all of them.
+WIDER_TEXTS = 3
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -336,11 +338,13 @@ def wider_terms(rows: DataFrame, places: DataFrame, flagged: DataFrame) -> DataF
 
     A wider term subsumes the other: it stands in most of its texts and in many
     more, and discloses nothing itself. Of several the one in fewest texts is
-    nearest. Words inside protected values are none.
+    nearest. Words inside protected values are none, and a term that is generalised
+    in fewer than ``WIDER_TEXTS`` texts has none.
     """
     spark = rows.sparkSession
     held = stash(places.where("action = 'generalise'").select("th", "h").distinct(), "generalised")
-    own = held.groupBy("h").agg(F.count("*").alias("n"))
+    own = stash(held.groupBy("h").agg(F.count("*").alias("n")).where(f"n >= {WIDER_TEXTS}"), "told")
+    held = held.join(own, "h", "left_semi")
     some = stash(_texts(rows, held.select("th").distinct()), "holders")
     bits = spark.sparkContext.broadcast(bitmap(own, "h", 24))
 
