@@ -172,3 +172,17 @@ def test_limits_and_partitions(spark):
     wide = spark.range(vectors.PART_ENTRY_LIMIT // 2).selectExpr("concat('k', id) as partition", "'x' as instance_id", "0 as counter")
     with pytest.raises(vectors.LimitExceeded):
         outgoing.queue(store, wide, "f")
+
+
+def test_queue_of_many_bounds(spark):
+    """A store's own question has no limit: bounds beyond the protocol's give the rows that the definition gives."""
+    n = vectors.PART_ENTRY_LIMIT
+    wide = spark.range(n).selectExpr("concat('k', id, ':') as partition", "concat('i', id % 3) as instance_id", "cast(id % 7 as int) as counter")
+    wide = wide.union(spark.sql("select 'k1', 'i0', 5"))
+    rows = [(f"r{j}", p, f"k{k}:x" if k is not None else None, f"i{j % 3}", c) for j, (k, c, p) in enumerate([(1, 3, "f"), (10, 6, "f"), (10, 5, "f"), (99799, 9, "f"), (99799, 9, "g"), (100000, 9, "f"), (2, 2, "f"), (1, 1, "f"), (5, 6, "f"), (None, 9, "f")])]
+    store = spark.createDataFrame(rows, "id string, profile string, partition string, last_saved_instance string, last_saved_counter int")
+    bounds = {(f"k{k}:", f"i{k % 3}"): k % 7 for k in range(n)} | {("k1", "i0"): 5}
+    want = sorted(i for i, p, path, who, c in rows if p == "f" and path and any(c > bounds.get((path[:m], who), 1 << 30) for m in range(len(path) + 1)))
+    got = outgoing.queue(store, wide, "f", limit=None)
+    assert got.columns == store.columns and sorted(r.id for r in got.collect()) == want
+    assert want

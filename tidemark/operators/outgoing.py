@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scope import Filter
 from ..schemas import RECORD_COLUMNS
 from . import vectors
+from .prefix import prefix_join
 from .trees import written
 from .vectors import ENTRY_LIMIT, PART_ENTRY_LIMIT, LimitExceeded
 
@@ -42,17 +43,21 @@ def queue_flat(store: DataFrame, diff: DataFrame, filters: list[str], profile: s
     return own.join(bound, (F.col("last_saved_instance") == F.col("i")) & (F.col("last_saved_counter") > F.col("c")), "left_semi")
 
 
-def queue(store: DataFrame, diff: DataFrame, profile: str) -> DataFrame:
+def queue(store: DataFrame, diff: DataFrame, profile: str, limit: int | None = PART_ENTRY_LIMIT) -> DataFrame:
     """As queue_flat with a bound for each partition: the row's partition starts with the bound's.
 
-    A row's partition is cut to each length that bounds have (few, a partition has
+    ``limit`` is the protocol's for a transfer; None takes bounds however many there
+    are. Below it a row's partition is cut to each length that bounds have (few, a partition has
     at most 128 characters), and each length is one broadcast join on equal keys,
     instance and prefix. Bounds are one for each key, so no row comes twice, and the
-    store isn't shuffled.
+    store isn't shuffled. Beyond, nothing is broadcast by force (see _queue_many).
     """
     diff = written(diff)  # counted, then joined
     size = diff.agg(F.count("*"), F.countDistinct("partition"), F.collect_set(F.length("partition"))).first()
-    _within(size[0] + size[1], PART_ENTRY_LIMIT)
+    if limit is not None:
+        _within(size[0] + size[1], limit)
+    if size[0] + size[1] >= PART_ENTRY_LIMIT:
+        return _queue_many(store, diff, profile)
     rows, above = store.where(F.col("profile") == profile), F.lit(False)
     for n in sorted(size[2]):
         i, p, c = f"__i{n}", f"__p{n}", f"__c{n}"
@@ -62,6 +67,15 @@ def queue(store: DataFrame, diff: DataFrame, profile: str) -> DataFrame:
     return rows.where(above).select(*store.columns)
 
 
+def _queue_many(store: DataFrame, diff: DataFrame, profile: str) -> DataFrame:
+    """Many records share a partition, so bounds are handed down to the partitions that there are; rows then meet their own by equal keys."""
+    own = store.where(F.col("profile") == profile)
+    parts = own.select(F.col("partition").alias("path")).distinct()
+    below = prefix_join(parts, diff.select(F.col("partition").alias("prefix"), F.col("instance_id").alias("i"), F.col("counter").alias("c")), "path", "prefix")
+    bound = below.groupBy("path", "i").agg(F.min("c").alias("c"))
+    return own.join(bound, (F.col("partition") == F.col("path")) & (F.col("last_saved_instance") == F.col("i")) & (F.col("last_saved_counter") > F.col("c")), "left_semi")
+
+
 def buffered(queued: DataFrame, session: str) -> DataFrame:
     """Queued store rows as buffer rows; local state (dirty bit, errors, last session) stays behind."""
     return queued.select(F.lit(session).alias("transfer_session_id"), F.col("id").alias("model_uuid"), *RECORD_COLUMNS)
