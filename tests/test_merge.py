@@ -139,3 +139,11 @@ def test_empty(spark):
     empty = [spark.createDataFrame([], x) for x in (STORE, BUFFER, RMC, RMCB)]
     store, rmc = merge.merge(*empty, OWN, 1, SESSION)
     assert store.count() == 0 and rmc.count() == 0
+
+
+def test_vectors_are_shuffled_once(spark):
+    """Entries go to their record in one exchange, and the greatest counter of an instance counts, whatever came with it."""
+    entries = spark.createDataFrame([("a", "x", 1), ("a", "x", 3), ("a", "y", None), ("b", "y", 2), ("a", "y", 5)], "id string, instance_id string, counter int")
+    got = merge.vector_maps(entries, "id", "v")
+    assert {r.id: r.v for r in got.collect()} == {"a": {"x": 3, "y": 5}, "b": {"y": 2}}
+    assert got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1

@@ -7,8 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tidemark.operators import exchange
+from tidemark.plans.derive import Tables
 from tidemark.plans.queries import QUERIES
 from tidemark.plans.sql import ORACLES
+from tidemark.session import trusted
 
 SF = "/root/testdata/sf0.001"
 
@@ -57,3 +60,10 @@ def test_owners_of_levels_are_there(spark, tmp_path):
         c.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
     got, want = entry.queries()["restore_levels"](spark, str(tmp_path)), c.sql(entry.oracle_sql()["restore_levels"])
     assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(want.columns, want.fetchall())
+
+
+def test_meeting_as_wire(spark):
+    """Wire records that are gathered for each order are those that nesting the two tables gives."""
+    t = Tables(trusted(spark), SF)
+    plain, direct = exchange.nested(*t.meeting()), t.meeting_wire()
+    assert sorted(map(str, plain.select(*direct.columns).collect())) == sorted(map(str, direct.collect()))
