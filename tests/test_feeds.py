@@ -13,7 +13,7 @@ from tidemark.operators import exchange, merge, progress, summary
 from tidemark.operators.capture import Model
 from tidemark.plans.derive import MEETING, SESSION, Tables
 from tidemark.plans.replica import Replica
-from tidemark.schemas import STORE
+from tidemark.schemas import BUFFER, RMCB, STORE
 from tidemark.sources import buckets, feeds
 from tidemark.sources.pages import read_pages, write_pages
 from tidemark.sources.snapshots import Snapshots
@@ -233,3 +233,14 @@ def test_buckets_are_not_shuffled(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert whole(merge.merge(store, buffer, rmc, rmcb, "i3", 500, SESSION)[0]) == whole(merge.merge(t.store, t.buffer, t.rmc, t.rmcb, "i3", 500, SESSION)[0])
+
+
+def test_small_files_share_a_task(spark, tmp_path):
+    """A transfer of many small files is not as many tasks, and none is lost or read twice."""
+    files = [(f"f{i}", 10_000) for i in range(1000)] + [("big", 1 << 30), ("after", 1)]
+    parts = feeds._together(iter(files), 3)
+    assert [p for part in parts for p in part.paths] == [f for f, _ in files] and len(parts) == 18 and all(part.first == 3 for part in parts)
+    buffer = spark.range(300).selectExpr("'t' as transfer_session_id", "lpad(hex(id), 32, '0') as model_uuid", *[f"cast(null as {f.dataType.simpleString()}) as {f.name}" for f in BUFFER if f.name not in ("transfer_session_id", "model_uuid")])
+    write_pages(buffer, spark.createDataFrame([], RMCB), f"{tmp_path}/pages", size=5, per_file=1)
+    got = feeds.pages(spark, f"{tmp_path}/pages", "t", first=7)
+    assert got.rdd.getNumPartitions() == 1 and sorted(r.model_uuid for r in got.collect()) == [f"{i:032X}" for i in range(35, 300)]

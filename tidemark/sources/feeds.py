@@ -74,14 +74,30 @@ def _names(system: fs.FileSystem, folder: str, files: bool = False) -> list[str]
     return sorted(f.base_name for f in found if f.base_name[0] not in "._" and f.is_file == files)
 
 
+#: Small files that one task reads, at most so many and so many bytes together; a larger file has a task of its own.
+FILES, TOGETHER = 64, 8 << 20
+
+
 @dataclass
-class PageFile(InputPartition):
-    path: str
+class PageFiles(InputPartition):
+    paths: list[str]
     first: int
 
 
-def _page_files(path: str, session: str | None, first: int, end: int | None = None) -> Iterator[tuple[int, PageFile]]:
-    """(first page in it, file) of the files that hold pages from ``first`` on and before ``end``."""
+def _together(files: Iterator[tuple[str, int]], first: int) -> list[InputPartition]:
+    """Files (path, bytes) in their order, small ones in one partition: a transfer of many files isn't as many tasks."""
+    out, room = [], 0
+    for path, size in files:
+        if not out or size > room or len(out[-1].paths) >= FILES:
+            out.append(PageFiles([], first))
+            room = TOGETHER
+        out[-1].paths.append(path)
+        room -= size
+    return out
+
+
+def _page_files(path: str, session: str | None, first: int, end: int | None = None) -> Iterator[tuple[int, str, int]]:
+    """(first page in it, path, bytes) of the files that hold pages from ``first`` on and before ``end``."""
     system, root = _open(path)
     for folder in _names(system, root):
         if not folder.startswith("session=") or session not in (None, unquote(folder.removeprefix("session="))):
@@ -90,23 +106,29 @@ def _page_files(path: str, session: str | None, first: int, end: int | None = No
         for start, after in zip(starts, [*starts[1:], None], strict=True):
             if (after is None or after > first) and (end is None or start < end):
                 part = f"{folder}/start={start}"
-                yield from ((start, PageFile(f"{part}/{name}", first)) for name in _names(system, f"{root}/{part}", True))
+                found = system.get_file_info(fs.FileSelector(f"{root}/{part}", allow_not_found=True))
+                yield from ((start, f"{part}/{f.base_name}", f.size or 0) for f in sorted(found, key=lambda f: f.base_name) if f.is_file and f.base_name[0] not in "._")
 
 
-def _read_pages(path: str, schema: T.StructType, part: PageFile) -> Iterator[pa.RecordBatch]:
-    """A file's records from a page on. A file is parsed at once; ``write_pages`` bounds what it holds."""
+def _read_pages(path: str, schema: T.StructType, part: PageFiles) -> Iterator[pa.RecordBatch]:
+    """Records of files from a page on, file by file. A file is parsed at once; ``write_pages`` bounds what it holds."""
+    system, root = _open(path)
+    for file in part.paths:
+        yield from _read_page_file(system, f"{root}/{file}", schema, part.first)
+
+
+def _read_page_file(system: fs.FileSystem, path: str, schema: T.StructType, first: int) -> Iterator[pa.RecordBatch]:
     import pyarrow.compute as pc
     from pyarrow import json as lines
 
-    system, root = _open(path)
-    with system.open_input_stream(f"{root}/{part.path}", compression=None) as file:
+    with system.open_input_stream(path, compression=None) as file:
         content = gzip.decompress(file.read())
     if not content:
         return
     arrow = to_arrow_schema(schema)
     whole = lines.read_json(pa.BufferReader(content), lines.ReadOptions(block_size=len(content) + 1), lines.ParseOptions(explicit_schema=arrow, unexpected_field_behavior="ignore"))
     table = whole.select(arrow.names).cast(arrow)
-    yield from table.filter(pc.greater_equal(table["page"], part.first)).to_batches()
+    yield from table.filter(pc.greater_equal(table["page"], first)).to_batches()
 
 
 class Pages(DataSource):
@@ -141,9 +163,9 @@ class PagesReader(DataSourceReader):
             yield f
 
     def partitions(self) -> list[InputPartition]:
-        return [part for _, part in _page_files(self.path, self.session, self.first)]
+        return _together(((file, size) for _, file, size in _page_files(self.path, self.session, self.first)), self.first)
 
-    def read(self, partition: PageFile | None) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: PageFiles | None) -> Iterator[pa.RecordBatch]:
         if partition is not None:  # Spark asks once with none where there are no partitions
             yield from _read_pages(self.path, self.rows, partition)
 
@@ -161,7 +183,7 @@ class PagesStream(DataSourceStreamReader):
     def latestOffset(self) -> dict:
         """The page after the last file that has come without a gap before it."""
         page = self.first - self.first % self.per_file
-        starts = [start for start, _ in _page_files(self.path, self.session, page)]
+        starts = [start for start, _, _ in _page_files(self.path, self.session, page)]
         if any(start % self.per_file for start in starts):
             raise ValueError(f"files of this session don't hold {self.per_file} pages each (option perFile)")
         there = set(starts)
@@ -170,9 +192,9 @@ class PagesStream(DataSourceStreamReader):
         return {"page": max(page, self.first)}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        return [part for _, part in _page_files(self.path, self.session, start["page"], end["page"])]
+        return _together(((file, size) for _, file, size in _page_files(self.path, self.session, start["page"], end["page"])), start["page"])
 
-    def read(self, partition: PageFile) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: PageFiles) -> Iterator[pa.RecordBatch]:
         yield from _read_pages(self.path, self.rows, partition)
 
 
