@@ -100,3 +100,19 @@ def test_silent_sessions(spark, tmp_path):
     tick(30)
     run()
     assert got[3:] == [("sync", "a")]
+
+
+def test_partitions_of_state(spark, tmp_path):
+    """State is dealt by what there is and what runs at once, not by the session's number for large shuffles."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "33")
+    try:
+        reports = spark.createDataFrame([("s", None, True, None)], "sync_session_id string, transfer_id string, active boolean, filter string").withColumn("at", F.lit("2024-01-01").cast("timestamp"))
+        reports.write.parquet(f"{tmp_path}/r")
+        stream = stateful.expiring(spark.readStream.schema(stateful.ACTIVITY).parquet(f"{tmp_path}/r"))
+        writer = stream.writeStream.format("parquet").option("path", f"{tmp_path}/o").option("checkpointLocation", f"{tmp_path}/c").outputMode("append").trigger(availableNow=True)
+        stateful.started(writer, spark).awaitTermination()
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "33"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len([p for p in (tmp_path / "c/state/0").iterdir() if p.name.isdigit()]) == spark.sparkContext.defaultParallelism
