@@ -18,7 +18,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts whose five-word shingles reach Jaccard 0.8 (README says why not by SimHash)."""
+    """One document of each group of texts whose five-word shingles reach Jaccard 0.8; candidates come by SimHash and by MinHash bands."""
     return nearcopies.drop_near_copies(docs)
 
 

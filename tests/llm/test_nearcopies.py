@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidemark.llm import nearcopies, simhash
@@ -121,3 +122,17 @@ def test_prefixes_lose_nothing(spark, monkeypatch):
     want = {tuple(sorted((least[sets[i]], least[sets[j]]))) for i, j in want}
     top = {x: least[sets[x]] for x in named.values()}
     assert {tuple(sorted((top[a], top[b]))) for a, b in got} == want and len(want) > 100
+
+
+def test_candidates_by_fingerprints(spark, monkeypatch):
+    """What no band brings together comes by fingerprints of 2 bits or fewer apart, and counts only at 0.8."""
+    monkeypatch.setattr(nearcopies, "_sketches", lambda rows, f=nearcopies._sketches: f(rows).withColumn("keys", F.array().cast("array<long>")))
+    base = [f"w{i}" for i in range(4_000)]
+    texts = [" ".join(base), " ".join([*base[:-1], "other"]), " ".join(f"v{i}" for i in range(4_000)), "one two", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in nearcopies.drop_near_copies(docs).collect()) == [0, 2, 3, 4]
+
+
+def test_pairs_of_fingerprints(spark):
+    nodes = spark.createDataFrame([(1, 9, 5), (2, 9, 5), (3, 9, 6), (4, 9, 1 << 40), (7, 0, 0)], "node long, n long, fp long")
+    assert {tuple(r) for r in nearcopies._fingerprint_pairs(nodes).collect()} == {(1, 2), (1, 3)}

@@ -1,8 +1,9 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Texts with equal sets are one node. Candidates are nodes that share the key of a band
-of MinHash values; each candidate pair counts only if its sets, compared whole, reach
-0.8. With 32 bands of 5 values a pair at 0.8 has no band in common with probability
+Texts with equal sets are one node. Candidates are nodes whose SimHash fingerprints (of
+the same shingles) are within 2 bits, found by Golay keys (see simhash), and nodes that
+share the key of a band of MinHash values, as fingerprints of sets at 0.8 differ in some
+ten bits; each candidate pair counts only if its sets, compared whole, reach 0.8. With 32 bands of 5 values a pair at 0.8 has no band in common with probability
 (1 - 0.8 ** 5) ** 32, which is 3e-6, and a closer pair with less.
 
 Keys that few nodes share give all their pairs. In keys that many share, nodes are
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import WordHashes, bitmap, chunks, discard, in_bitmap, mix64, rolling, stash, texts
 from .components import connected_components, leaders, text_key
+from .simhash import fingerprint_links, majority
 
 SHINGLE = 5
 BANDS, BAND_ROWS = 32, 5
@@ -72,20 +74,21 @@ def band_keys(h: np.ndarray) -> np.ndarray:
 
 
 def _sketches(rows: DataFrame) -> DataFrame:
-    """(doc_id, node, n, keys, th) of each row; n is the size of the set."""
+    """(doc_id, node, n, fp, keys, th) of each row; n is the size of the set, fp its fingerprint."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in chunks(batches, "text"):
-            nodes, sizes, keys = [], [], []
+            nodes, sizes, fps, keys = [], [], [], []
             for raw in texts(batch.column(1)):
                 h = shingle_set(raw, hashes)
                 nodes.append(node_of(h))
                 sizes.append(len(h))
+                fps.append(majority(h))
                 keys.append(band_keys(h) if len(h) else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), batch.column(2)], ["doc_id", "node", "n", "keys", "th"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), batch.column(2)], ["doc_id", "node", "n", "fp", "keys", "th"])
 
-    return rows.mapInArrow(scan, f"doc_id {dict(rows.dtypes)['doc_id']}, node long, n long, keys array<long>, th long")
+    return rows.mapInArrow(scan, f"doc_id {dict(rows.dtypes)['doc_id']}, node long, n long, fp long, keys array<long>, th long")
 
 
 def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -123,6 +126,15 @@ def _pairs(left: DataFrame, right: DataFrame, unlike: str) -> DataFrame:
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs a < b of ``nodes`` (node, n, fp) by fingerprints: those of equal ones with the first of them, and the first of those within 2 bits."""
+    worded = nodes.where("n > 0").select("node", "fp")
+    first = worded.groupBy("fp").agg(F.min("node").alias("first"))
+    same = worded.join(first, "fp").where("node <> first").select("node", "first")
+    near = fingerprint_links(first.select("fp")).join(first.toDF("a", "node"), "a").join(first.toDF("b", "first"), "b").select("node", "first")
+    return same.union(near).select(F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b")).distinct()
+
+
 def _prefix_pairs(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     """Distinct pairs a < b of ``nodes`` (node, n, root) of different roots among which are all whose sets reach 0.8.
 
@@ -176,13 +188,15 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, li
     """As ``near_copies``, with th and the component's root; and the tables that it reads."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), text_key(F.col(text_col)).alias("th"))
     sketched = stash(_sketches(rows), "sketches")
-    nodes = stash(sketched.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes")
+    nodes = stash(sketched.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "nodes")
+    alike = stash(_fingerprint_pairs(nodes), "alike")
     keys = nodes.select("node", "n", F.explode("keys").alias("key"))
     shared = stash(keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "bands")
     members = stash(keys.join(shared, "key").select("key", "node", "n", (F.col("c") > PAIR_LIMIT).alias("hot")), "members")
-    sets = stash(_sets(rows, members.select("node").distinct()), "sets")
+    sets = stash(_sets(rows, members.select("node").union(alike.select("a")).union(alike.select("b")).distinct()), "sets")
     few, hot = members.where("not hot").drop("hot"), members.where("hot").drop("hot")
-    links = stash(_close(_pairs(few.toDF("key", "a", "na"), few.toDF("key", "b", "nb"), "a < b"), sets), "links")
+    pairs = _pairs(few.toDF("key", "a", "na"), few.toDF("key", "b", "nb"), "a < b").union(alike).distinct()
+    links = stash(_close(pairs, sets), "links")
     roots = connected_components(links)
     if not hot.isEmpty():
         for turn in range(ROUNDS + 1):
@@ -201,7 +215,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, li
             roots = connected_components(links)
     rooted = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    discard(shared, members, sets, links)
+    discard(alike, shared, members, sets, links)
     return sketched.select("doc_id", "node", "th").join(rooted.join(lowest, "root").select("node", "component_id", "root"), "node"), [sketched, nodes]
 
 
