@@ -67,3 +67,10 @@ def test_meeting_as_wire(spark):
     t = Tables(trusted(spark), SF)
     plain, direct = exchange.nested(*t.meeting()), t.meeting_wire()
     assert sorted(map(str, plain.select(*direct.columns).collect())) == sorted(map(str, direct.collect()))
+
+
+def test_wire_records_as_nested(spark):
+    """Wire records made order by order are those that buffer and vectors give."""
+    t = Tables(spark, SF)
+    text = lambda df: sorted(df.select(F.to_json(F.struct(*df.columns))).toArrow().column(0).to_pylist())
+    assert text(t.wire) == text(exchange.nested(t.buffer, t.rmcb).select(*t.wire.columns))
