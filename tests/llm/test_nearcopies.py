@@ -103,6 +103,15 @@ def test_unlike_texts_in_one_band(spark, monkeypatch):
     assert len(compared) == nearcopies.ROUNDS + 2 and sum(compared) < 300_000 and compared[-1] < 3_000
 
 
+def test_rounds_link_what_is_new(spark, planted, monkeypatch):
+    """Each round joins components by new links alone; none is gone through twice, and none is lost."""
+    given = []
+    monkeypatch.setattr(nearcopies, "PAIR_LIMIT", 1)
+    monkeypatch.setattr(nearcopies, "connected_components", lambda edges, f=nearcopies.connected_components: given.append({tuple(sorted(e)) for e in edges.collect()}) or f(edges))
+    assert sorted(r.doc_id for r in nearcopies.drop_near_copies(planted).collect()) == brute([tuple(r) for r in planted.collect()])
+    assert len(given) > 1 and given[1] and len(set().union(*given)) == sum(map(len, given))
+
+
 def test_prefixes_lose_nothing(spark, monkeypatch):
     """Sets around 0.8 that all share a band, by prefixes alone, against all pairs."""
     r = np.random.default_rng(5)

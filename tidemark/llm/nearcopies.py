@@ -13,7 +13,8 @@ cost of a comparison a member. What is left then shares a key but is mostly unli
 one order of shingles, rare ones first, that reach 0.8 share one of their first few,
 so early that what is left of both is enough. Shingles of a template are common, so
 they stand too late in the order to make a pair. Pairs inside a component can add
-nothing, so the components are those of all candidate pairs.
+nothing, so the components are those of all candidate pairs; a round's new links join
+components as they are by then, and what is linked already isn't gone through again.
 """
 
 from __future__ import annotations
@@ -129,12 +130,18 @@ def _pairs(left: DataFrame, right: DataFrame, unlike: str) -> DataFrame:
 def _fingerprint_pairs(nodes: DataFrame) -> DataFrame:
     """Pairs a < b of ``nodes`` (node, n, fp) by fingerprints: those of equal ones with the first of them, and the first of those within 2 bits."""
     worded = nodes.where("n > 0").select("node", "fp")
-    first = worded.groupBy("fp").agg(F.min("node").alias("first"))
+    first = stash(worded.groupBy("fp").agg(F.min("node").alias("first")), "first")
     same = worded.join(first, "fp").where("node <> first").select("node", "first")
     near = fingerprint_links(first.select("fp")).join(first.toDF("a", "node"), "a").join(first.toDF("b", "first"), "b").select("node", "first")
     return same.union(near).select(F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b")).distinct()
 
 
+def _between(links: DataFrame, placed: DataFrame) -> DataFrame:
+    """Links (a, b) of nodes as links of their components; ``placed`` has (node, root) of all of them."""
+    root_of = placed.select("node", "root").distinct()
+    return links.join(root_of.toDF("a", "ra"), "a").join(root_of.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
+
+
 def _prefix_pairs(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     """Distinct pairs a < b of ``nodes`` (node, n, root) of different roots among which are all whose sets reach 0.8.
 
@@ -197,12 +204,15 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, li
     few, hot = members.where("not hot").drop("hot"), members.where("hot").drop("hot")
     pairs = _pairs(few.toDF("key", "a", "na"), few.toDF("key", "b", "nb"), "a < b").union(alike).distinct()
     links = stash(_close(pairs, sets), "links")
-    roots = connected_components(links)
+    roots = stash(connected_components(links), "roots")
+    rooted = stash(nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "rooted")
     if not hot.isEmpty():
+        left, used = hot.join(rooted.select("node", "root"), "node").select("key", "node", "n", "root"), []
         for turn in range(ROUNDS + 1):
-            placed = hot.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-            split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-            left = stash(placed.join(split, "key", "left_semi"), "open")
+            split = left.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+            left = stash(left.join(split, "key", "left_semi"), "open")
+            discard(*used)
+            used = [left]
             if left.isEmpty():
                 break
             if turn < ROUNDS:
@@ -210,12 +220,15 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, li
                 pairs = _pairs(first.toDF("key", "a", "na", "ra"), left.toDF("key", "b", "nb", "rb"), "ra <> rb")
             else:
                 pairs = _prefix_pairs(left.select("node", "n", "root").distinct(), sets)
-            before, links = links, stash(links.union(_close(pairs, sets)), "links")
-            discard(before, left)
-            roots = connected_components(links)
-    rooted = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+            new = stash(_between(_close(pairs, sets), left), "between")
+            if new.isEmpty():
+                continue
+            above = stash(connected_components(new).toDF("root", "above"), "above")  # a component of components, of few of them
+            used += [rooted, new, above]
+            rooted = stash(rooted.join(above, "root", "left").select("node", "least", F.coalesce("above", "root").alias("root")), "rooted")
+            left = left.join(above, "root", "left").select("key", "node", "n", F.coalesce("above", "root").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    discard(alike, shared, members, sets, links)
+    discard(alike, shared, members, sets, links, roots)
     return sketched.select("doc_id", "node", "th").join(rooted.join(lowest, "root").select("node", "component_id", "root"), "node"), [sketched, nodes]
 
 
