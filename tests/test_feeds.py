@@ -244,3 +244,10 @@ def test_small_files_share_a_task(spark, tmp_path):
     write_pages(buffer, spark.createDataFrame([], RMCB), f"{tmp_path}/pages", size=5, per_file=1)
     got = feeds.pages(spark, f"{tmp_path}/pages", "t", first=7)
     assert got.rdd.getNumPartitions() == 1 and sorted(r.model_uuid for r in got.collect()) == [f"{i:032X}" for i in range(35, 300)]
+
+
+def test_buckets_follow_rows():
+    """A bucket doesn't grow with its table."""
+    assert buckets.enough(0) == buckets.enough(600_000) == 16
+    for rows in (36_000_000, 216_000_000):
+        assert rows / buckets.enough(rows) <= buckets.ROWS

@@ -9,6 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 #: Column by which each table is laid out; all name the same record.
 BY = {"store": "id", "rmc": "id", "buffer": "model_uuid", "rmcb": "model_uuid"}
 BUCKETS = 200
+#: Rows of vectors that a bucket has, about.
+ROWS = 200_000
+
+
+def enough(rows: int, least: int = 16) -> int:
+    """Buckets for tables the largest of which has so many rows, so that a bucket, and with it a task, doesn't grow with them."""
+    return max(least, -(-rows // ROWS))
 
 
 def write(df: DataFrame, kind: str, path: str, buckets: int = BUCKETS, name: str | None = None) -> DataFrame:
