@@ -186,3 +186,11 @@ def test_queue_of_many_bounds(spark):
     got = outgoing.queue(store, wide, "f", limit=None)
     assert got.columns == store.columns and sorted(r.id for r in got.collect()) == want
     assert want
+
+
+def test_pairs_of_rows_with_their_vectors(spark):
+    """The same pairs as of store and vectors apart."""
+    held = spark.createDataFrame([("r1", "p", [("a", 1), ("b", 2)]), ("r2", "q", [("a", 3)])], "id string, partition string, entries array<struct<instance_id: string, counter: int>>")
+    rmc = held.selectExpr("id", "inline(entries)")
+    got, want = (sorted(tuple(r) for r in x.collect()) for x in (vectors.list_pairs(held), vectors.vector_pairs(held, rmc)))
+    assert got == want == [("p", "a"), ("p", "b"), ("q", "a")]

@@ -71,6 +71,11 @@ def vector_pairs(store: DataFrame, rmc: DataFrame) -> DataFrame:
     return rmc.join(store.select("id", "partition"), "id").select("partition", "instance_id")
 
 
+def list_pairs(held: DataFrame) -> DataFrame:
+    """As vector_pairs, of store rows that have their vectors with them (``entries``): nothing meets by id."""
+    return held.select("partition", F.explode("entries.instance_id").alias("instance_id"))
+
+
 def wire_vector(dmc: DataFrame, filters: list[str], records: DataFrame | None = None) -> DataFrame:
     """The vector of a filter in wire form, entries that a shorter prefix covers removed.
 
