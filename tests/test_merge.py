@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import merge
+from tidemark.operators import exchange, merge
 from tidemark.operators.capture import replaced
 from tidemark.schemas import BUFFER, RMC, RMCB, STORE
 
@@ -147,3 +147,37 @@ def test_vectors_are_shuffled_once(spark):
     got = merge.vector_maps(entries, "id", "v")
     assert {r.id: r.v for r in got.collect()} == {"a": {"x": 3, "y": 5}, "b": {"y": 2}}
     assert got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1
+
+
+def test_a_vector_is_sorted_once(spark):
+    """Not again for each of its entries, as a lambda that names the sorted array would."""
+    rows = spark.createDataFrame([(1, [("x", 1), ("y", 2), ("x", 3)])], "n int, e array<struct<instance_id: string, counter: int>>").select(merge.greatest(F.col("e")).alias("e"))
+    assert [tuple(x) for x in rows.first().e] == [("x", 3), ("y", 2)]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sort_array(") + plan.count("array_sort(") == 1
+
+
+@pytest.mark.parametrize("sessions", [["s3", "s1", "s4"], ["s2"]])
+@pytest.mark.parametrize("rule", [None, lambda s, b: F.concat(s["serialized"], F.lit("+"), b["serialized"])])
+def test_wire_records_are_folded_with_their_vectors(spark, sessions, rule):
+    """As one by one, also where a session has a record twice: the later save counts, with the entries of both."""
+    store, buffer, rmc, rmcb = (x.cache() for x in meeting(spark, 13))
+    wire = exchange.nested(buffer, rmcb)
+    single = len(sessions) == 1
+    if not single:
+        entry = F.array(*[F.struct(F.lit("d").alias("instance_id"), F.lit(3).alias("counter"), F.col("transfer_session_id"), F.col("model_uuid"))])
+        wire = wire.unionByName(wire.where("model_uuid like '%7'").withColumns({"last_saved_counter": F.lit(0), "serialized": F.lit("earlier"), "rmcb_list": entry}))
+        rmcb = rmcb.unionByName(buffer.where("model_uuid like '%7'").select("transfer_session_id", "model_uuid", F.lit("d").alias("instance_id"), F.lit(3).alias("counter"))).cache()
+    counters = [(name, 20 + i) for i, name in enumerate(sessions)]
+    each = merge.gathered(wire, sessions, once=single)
+    rows, entries = merge.rows_of(merge.fold_gathered(store, each, rmc, OWN, counters, 1 if single else 6, rule))
+    at_once = sorted(map(str, replaced(store, rows).collect())), sorted(map(str, replaced(rmc, entries).collect()))
+    for session, counter in counters:
+        store, rmc = (x.cache() for x in merge.merge(store, buffer, rmc, rmcb, OWN, counter, session, rule))
+    assert at_once == (sorted(map(str, store.collect())), sorted(map(str, rmc.collect())))
+
+
+def test_records_that_came_once_are_not_shuffled(spark):
+    _, buffer, _, rmcb = meeting(spark, 14)
+    wire = spark.createDataFrame(exchange.nested(buffer, rmcb).where("transfer_session_id = 's1'").collect(), exchange.nested(buffer, rmcb).schema)
+    assert "Exchange" not in merge.gathered(wire, ["s1"], once=True)._jdf.queryExecution().executedPlan().toString()

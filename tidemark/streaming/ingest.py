@@ -10,7 +10,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -25,19 +25,13 @@ from ..sources.snapshots import Snapshots
 _SEEN = ["transfer_session_id", "model_uuid"]
 
 
-def _latest(buffer: DataFrame) -> DataFrame:
-    """One row of each record in each session: of rows that differ, that with the greatest counter, then by instance and text."""
-    order = Window.partitionBy(*_SEEN).orderBy(F.col("last_saved_counter").desc(), F.col("last_saved_instance").desc(), F.col("serialized").desc(), F.col("deleted").desc(), F.col("hard_deleted").desc())
-    return buffer.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
-
-
 def merge_batch(
     snapshots: Snapshots, wire: DataFrame, instance_id: str, filters: Filter, profile: str, clock: Callable[[], int],
     vectors: DataFrame | None = None, models: list[Model] = (), batch: str | None = None,
 ) -> list[str]:
     """Merge the records of one micro-batch, session by session in order of their names; returns the sessions.
 
-    All sessions are folded at once (merge.fold). The whole batch is one commit, and
+    All sessions are folded at once (merge.fold_gathered). The whole batch is one commit, and
     only of what it changes: rows of the store and vectors of the records that came,
     not the tables; a commit of someone else meanwhile has it merged again into what
     that one left. The batch's number is no part of the result: a batch that is run
@@ -55,15 +49,23 @@ def merge_batch(
     if not names:
         return []
     counters = [(name, clock()) for name in names]
-    buffer, rmcb, refused = exchange.received(wire, session, filters, profile, quarantine=True)
-    buffer = cut(_latest(buffer))
-    ids = cut(buffer.select(F.col("model_uuid").alias("id")).distinct())
-    arrived = cut(buffer.groupBy("transfer_session_id").agg(F.count("*").alias("n")).select("transfer_session_id", F.lit(batch or uuid.uuid4().hex).alias("batch"), "n"))
+    rows = exchange.judged(wire, session, filters, profile)
+    refused, rows = rows.where("problem is not null").select(*_SEEN, "problem"), rows.where("problem is null")
+    place = F.create_map(*[F.lit(x) for i, name in enumerate(names) for x in (name, i)])[session]
+    ids = cut(rows.groupBy(F.col("model_uuid").alias("id")).agg(F.count("*").alias("n"), F.max(place).alias("place")))
+    most = ids.agg(F.max("n")).first()[0] or 0
+    if most <= 1:  # no record came twice
+        each, received = merge.gathered(rows, names, once=True), ids.select(F.get(F.array(*map(F.lit, names)), "place").alias(_SEEN[0]), F.col("id").alias(_SEEN[1]))
+    else:
+        each = cut(merge.gathered(rows, names))
+        received = each.select(F.explode("each.b.transfer_session_id").alias(_SEEN[0]), F.col("id").alias(_SEEN[1]))
+    ids = ids.select("id")
+    arrived = cut(received.groupBy("transfer_session_id").agg(F.count("*").alias("n")).select("transfer_session_id", F.lit(batch or uuid.uuid4().hex).alias("batch"), "n"))
 
     def once(base: int) -> list[str]:
         store, rmc = (snapshots.read(t, base, ids) for t in ("store", "rmc"))
-        rows, entries = merge.rows_of(cut(merge.fold(store, buffer, rmc, rmcb, instance_id, counters, merge.rule_of(list(models)))))
-        changed = {"store": (rows, ["id"]), "rmc": (entries, ["id"]), "refused": (refused.select(*_SEEN, "problem"), [*_SEEN, "problem"]), "received": (buffer.select(*_SEEN), _SEEN), "arrived": (arrived, ["transfer_session_id", "batch"])}
+        rows, entries = merge.rows_of(cut(merge.fold_gathered(store, each, rmc, instance_id, counters, most, merge.rule_of(list(models)))))
+        changed = {"store": (rows, ["id"]), "rmc": (entries, ["id"]), "refused": (refused, [*_SEEN, "problem"]), "received": (received, _SEEN), "arrived": (arrived, ["transfer_session_id", "batch"])}
         if "summary" in snapshots.tables(base):
             changed["summary"] = (_recounted(snapshots, base, summary.difference(store, rmc, rows, entries)), summary.KEY)
         tables = _completed(snapshots, base, changed, vectors, names) if vectors is not None else {}
