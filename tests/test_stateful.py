@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 from test_merge import OWN, SESSION, evaluate, grid
 
@@ -116,3 +118,41 @@ def test_partitions_of_state(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert len([p for p in (tmp_path / "c/state/0").iterdir() if p.name.isdigit()]) == spark.sparkContext.defaultParallelism
+
+
+def test_a_group_is_read_and_written_once():
+    """Records of a group share their calls for state; records that nothing changes stay as they are."""
+    calls = []
+
+    class Kept:
+        text = None
+
+        def get(self):
+            calls.append("get")
+            return self.text and (self.text,)
+
+        def update(self, value):
+            calls.append("update")
+            self.text = value[0]
+
+    def row(name, counter, session="t1"):
+        plain = {"profile": "f", "model_name": "m", "partition": "p", "source_id": "x", "self_ref_fk": "", "serialized": f"{name}{counter}", "deleted": False, "hard_deleted": False, "conflicting_serialized_data": ""}
+        return Row(record=json.dumps(plain | {"transfer_session_id": session, "model_uuid": name, "last_saved_instance": "a", "last_saved_counter": counter, "entries": [{"instance_id": "a", "counter": counter}]}))
+
+    processor = stateful.Merging("me", 9)
+    processor._kept = Kept()
+    names = [f"abcd{i}" for i in range(50)]
+    first = [json.loads(r["record"]) for r in processor.handleInputRows(("abcd",), iter(row(n, 2) for n in names), None)]
+    assert calls == ["get", "update"] and [r["id"] for r in first] == names
+    second = [json.loads(r["record"]) for r in processor.handleInputRows(("abcd",), iter([row("abcd1", 1), row("abcd2", 3), row("abcd2", 4, "t2")]), None)]
+    assert [(r["id"], r["serialized"], r["vector"], r["last_transfer_session_id"]) for r in second] == [("abcd2", "abcd24", {"a": 4}, "t2")]
+    assert list(processor.handleInputRows(("abcd",), iter([row("abcd3", 2)]), None)) == []
+    assert calls == ["get", "update"] * 2 + ["get"]
+    assert sorted((r["id"], r["serialized"]) for r in json.loads(processor._kept.text)) == sorted((n, "abcd24" if n == "abcd2" else f"{n}2") for n in names)
+
+
+def test_groups_of_ids(spark):
+    """Neighbours share a group; ids that aren't digits are dealt by their hash and not by what they begin with."""
+    ids = spark.createDataFrame([(f"0123{i:028x}",) for i in range(5)] + [(f"order-{i}",) for i in range(40)], "id string")
+    got = {r.id: r.group for r in ids.select("id", stateful.group_of("id")).collect()}
+    assert {g for i, g in got.items() if i[0] == "0"} == {"0123"} and len({g for i, g in got.items() if i[0] == "o"}) > 30
